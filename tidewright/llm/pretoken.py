@@ -15,7 +15,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 
-from tidewright.llm.textkernel import code_table, codes, hash_runs, ragged
+from tidewright.llm.textkernel import codes, hash_runs, ragged
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 # Code points with the Unicode property White_Space.
@@ -90,7 +90,7 @@ class PieceCache:
     `longest` code points are always encoded afresh.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 700_000, longest: int = 512) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000, longest: int = 512) -> None:
         self.encode, self.limit, self.longest = encode, limit, longest
         self.clear()
 
@@ -120,7 +120,7 @@ class PieceCache:
         """Ids of all pieces in a row, and the number of ids of each piece. `text` has the code points c."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        keys = hash_runs(c, starts, ends, code_table()[c])
+        keys = hash_runs(c, starts, ends)
         which, different = pd.factorize(keys)
         first = np.zeros(len(different), np.int64)
         first[which[::-1]] = np.arange(len(keys) - 1, -1, -1)

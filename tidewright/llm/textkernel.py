@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _tables: dict[str, np.ndarray] = {}
@@ -78,14 +78,20 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def hash_runs(c: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of c[start:end] for each run; the runs ascend and do not overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    p, inverse = powers(len(c) + 1)
-    total = np.zeros(len(c) + 1, np.uint64)
-    np.cumsum((code_table()[c] if values is None else values) * p[: len(c)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+class RunHasher:
+    """64-bit hashes of c[start:end] for any runs of the code points c."""
+
+    def __init__(self, c: np.ndarray) -> None:
+        p, self.inverse = powers(len(c) + 1)
+        self.total = np.zeros(len(c) + 1, np.uint64)
+        np.cumsum(code_table()[c] * p[: len(c)], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def hash_runs(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return RunHasher(c)(starts, ends)
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
