@@ -52,8 +52,14 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.media import read_back, store_payload
+
+    return read_back(store_payload(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_toxicity, op4_decontamination, op5_rendezvous_sharding, op7_language, op8_byte_bpe, op9_token_files)
+    found = (op3_toxicity, op4_decontamination, op5_rendezvous_sharding, op7_language, op8_byte_bpe, op9_token_files, op10_progressive_jpeg)
     return {f.__name__: f for f in found}
 
 
