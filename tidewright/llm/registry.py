@@ -34,6 +34,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidewright.llm.htmltext import extract
+
+    return extract(_table(spark, sf_dir, "pages"), ["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm.toxicity import score_documents
 
@@ -59,7 +67,7 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_toxicity, op4_decontamination, op5_rendezvous_sharding, op7_language, op8_byte_bpe, op9_token_files, op10_progressive_jpeg)
+    found = (op2_main_text, op3_toxicity, op4_decontamination, op5_rendezvous_sharding, op7_language, op8_byte_bpe, op9_token_files, op10_progressive_jpeg)
     return {f.__name__: f for f in found}
 
 
