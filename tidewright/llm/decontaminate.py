@@ -24,6 +24,8 @@ hash joined with a shuffle otherwise; so are the keys of documents with a hit.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,62 +53,74 @@ def _plain(token: Column) -> Column:
     return F.lower(F.rtrim(token, F.lit(".!?:")))
 
 
-def _kind(raw: Column, token: Column, i: Column) -> Column:
-    """0, or the placeholder's number."""
-    before = F.get(raw, i - 1)
+def _kind(before: Column, token: Column) -> Column:
+    """0, or the placeholder's number; `before` is the token before or empty."""
     head = F.substring(token, 1, 1)
-    name = (head != F.lower(head)) & before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?", ":")
+    name = (head != F.lower(head)) & (before != "") & ~F.substring(before, -1, 1).isin(".", "!", "?", ":")
     return F.when(_is_number(token), _NUMBER).when(_is_number(before) & _plain(token).isin(UNITS), _UNIT).when(name, _NAME).otherwise(0)
 
 
-def token_hashes(raw: str) -> Column:
-    """A hash of each canonical token."""
+def _with_before(raw: str, f: Callable[[Column, Column], Column]) -> Column:
+    """f(token before, token) of each token. The lambda names no other column, so nothing is computed again inside."""
     r = F.col(raw)
-    return F.transform(r, lambda t, i: F.when(_kind(r, t, i) > 0, F.xxhash64(_kind(r, t, i))).otherwise(F.xxhash64(_plain(t))))
+    return F.slice(F.zip_with(F.concat(F.array(F.lit("")), r), r, f), F.lit(1), F.size(r))
+
+
+def canonical(raw: str) -> Column:
+    """The canonical tokens of the column `raw`; placeholders are <1>, <2> and <3>."""
+
+    def one(before: Column, token: Column) -> Column:
+        kind = _kind(before, token)
+        return F.when(kind == 0, _plain(token)).otherwise(F.concat(F.lit("<"), kind, F.lit(">")))
+
+    return _with_before(raw, one)
 
 
-def window_hashes(hashes: Column, width: int) -> Column:
-    """Hashes of all windows of `width` tokens; none if there are fewer. Doubles the width where it can."""
-    size, done, out = F.size(hashes), 1, hashes
+def values(raw: str) -> Column:
+    """The value at each placeholder of the column `raw`, null elsewhere."""
+    return _with_before(raw, lambda before, token: F.when(_kind(before, token) > 0, _plain(token)))
+
+
+def with_windows(df: DataFrame, width: int, name: str = "hashes") -> DataFrame:
+    """Add the hashes of all windows of `width` tokens of the column `canon`; none if there are fewer.
+
+    Doubles the width where it can; each step is a column of its own, so that it is computed once.
+    """
+    df = df.withColumn("_1", F.transform("canon", lambda t: F.xxhash64(t)))
+    done, size = 1, F.size("canon")
     while done < width:
-        if done * 2 <= width:
-            out = F.zip_with(out, F.slice(out, F.lit(done + 1), F.greatest(size, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-            done *= 2
-        else:
-            out = F.zip_with(out, F.slice(hashes, F.lit(done + 1), F.greatest(size, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-            done += 1
-    return F.slice(out, F.lit(1), F.greatest(size - (width - 1), F.lit(0)))
+        other, step = (f"_{done}", done) if done * 2 <= width else ("_1", 1)
+        df = df.withColumn(f"_{done + step}", F.zip_with(f"_{done}", F.slice(F.col(other), F.lit(done + 1), F.greatest(size, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
+        done += step
+    return df.withColumn(name, F.slice(F.col(f"_{width}"), F.lit(1), F.greatest(size - (width - 1), F.lit(0))))
 
 
-def _slots(raw: Column, width: int) -> Column:
-    """For each window the values at its placeholders, in order."""
-    values = F.transform(raw, lambda t, i: F.when(_kind(raw, t, i) > 0, _plain(t)))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(raw) - (width - 1), F.lit(1)))
-    return F.transform(starts, lambda s: F.filter(F.slice(values, s, F.lit(width)), lambda v: v.isNotNull()))
+def _hashes(df: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Keys and hash of every window."""
+    # an inner explode would make Spark test the arrays' sizes on a second computation of them
+    return with_windows(df, width).select(*keys, F.explode_outer("hashes").alias("hash")).where(F.col("hash").isNotNull())
 
 
-def _windows(df: DataFrame, keys: list[str], width: int, slots: bool) -> DataFrame:
-    """Keys, width, pos, hash (and slots) of every window of the column `raw`."""
-    staged = df.withColumn("_h", token_hashes("raw"))
-    if not slots:
-        return staged.select(*keys, F.explode(window_hashes(F.col("_h"), width)).alias("hash"))
-    both = F.arrays_zip(window_hashes(F.col("_h"), width).alias("hash"), _slots(F.col("raw"), width).alias("slots"))
-    staged = staged.where(F.size("raw") >= width).select(*keys, F.posexplode(both).alias("pos", "_w"))
-    return staged.select(*keys, F.lit(width).alias("width"), "pos", F.col("_w")["hash"].alias("hash"), F.col("_w")["slots"].alias("slots"))
+def _windows(df: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Keys, width, pos, hash and slots (values at the placeholders, in order) of every window; df has canon and vals."""
+    staged = with_windows(df.where(F.size("canon") >= width), width)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("canon") - (width - 1), F.lit(1)))
+    slots = F.transform(starts, lambda s: F.filter(F.slice(F.col("vals"), s, F.lit(width)), lambda v: v.isNotNull()))
+    staged = staged.select(*keys, F.posexplode_outer(F.arrays_zip(F.col("hashes").alias("hash"), slots.alias("slots"))).alias("pos", "_w"))
+    return staged.where(F.col("pos").isNotNull()).select(*keys, F.lit(width).alias("width"), "pos", F.col("_w")["hash"].alias("hash"), F.col("_w")["slots"].alias("slots"))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, list[int]]:
     """item_id, item_windows, width, pos, hash, slots of the benchmark; and the widths in use."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("raw")).withColumn("_n", F.size("raw")).where(F.col("_n") >= MIN_TOKENS)
-    kinds = items.withColumn("_w", F.least(F.col("_n"), F.lit(width))).select("item_id", "raw", "_n", "_w")
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("raw")).where(F.size("raw") >= MIN_TOKENS)
+    kinds = items.withColumn("_n", F.size("raw")).withColumn("_w", F.least(F.col("_n"), F.lit(width)))
+    kinds = materialise(kinds.select("item_id", "_n", "_w", canonical("raw").alias("canon"), values("raw").alias("vals")), "bench-items")
     widths = [r[0] for r in kinds.select("_w").distinct().collect()]  # at most `width` values
     out = None
-    for w in widths:
+    for w in widths or [width]:
         part = kinds.where(F.col("_w") == w).withColumn("item_windows", F.col("_n") - (w - 1))
-        part = _windows(part, ["item_id", "item_windows"], w, slots=True)
+        part = _windows(part, ["item_id", "item_windows"], w)
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = _windows(kinds.withColumn("item_windows", F.lit(0)), ["item_id", "item_windows"], width, slots=True)
     return out, sorted(widths)
 
 
@@ -121,21 +135,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, mi
     windows = materialise(windows, "bench-windows")
     n_windows = windows.count()
     rows = docs.select("doc_id", "text").withColumn("row", F.xxhash64("text"))
-    tokenised = rows.select("doc_id", "row", tokens(F.col("text")).alias("raw"))
+    tokenised = rows.select("doc_id", "row", tokens(F.col("text")).alias("raw")).select("doc_id", "row", canonical("raw").alias("canon"))
     hits = None
     for w in widths:
         known = _small(windows.where(F.col("width") == w).select("hash").distinct(), n_windows)
-        part = _windows(tokenised, ["doc_id", "row"], w, slots=False).join(known, "hash", "left_semi").select("doc_id", "row")
+        part = _hashes(tokenised, ["doc_id", "row"], w).join(known, "hash", "left_semi").select("doc_id", "row")
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         hits = rows.select("doc_id", "row").limit(0)
     hits = materialise(hits.distinct(), "bench-hits")
     found = rows.join(_small(hits, hits.count()), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
-    raw = materialise(found.select("doc_id", "row", tokens(F.col("text")).alias("raw")), "bench-docs")
+    found = found.select("doc_id", "row", tokens(F.col("text")).alias("raw"))
+    held = materialise(found.select("doc_id", "row", canonical("raw").alias("canon"), values("raw").alias("vals")), "bench-docs")
     pairs = None
     for w in widths or [width]:
         b = windows.where(F.col("width") == w).select("item_id", "item_windows", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"))
-        d = _windows(raw, ["doc_id", "row"], w, slots=True).select("doc_id", "row", "pos", "hash", "slots")
+        d = _windows(held, ["doc_id", "row"], w).select("doc_id", "row", "pos", "hash", "slots")
         part = d.join(_small(b, n_windows), "hash")
         pairs = part if pairs is None else pairs.unionByName(part)
     pairs = pairs.withColumn("diagonal", F.col("pos") - F.col("item_pos"))
