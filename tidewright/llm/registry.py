@@ -34,6 +34,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.ngramjoin import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -67,7 +73,7 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_main_text, op3_toxicity, op4_decontamination, op5_rendezvous_sharding, op7_language, op8_byte_bpe, op9_token_files, op10_progressive_jpeg)
+    found = (op1_ngram_join, op2_main_text, op3_toxicity, op4_decontamination, op5_rendezvous_sharding, op7_language, op8_byte_bpe, op9_token_files, op10_progressive_jpeg)
     return {f.__name__: f for f in found}
 
 

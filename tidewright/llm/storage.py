@@ -53,4 +53,4 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Size of the plan's input as the optimiser estimates it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
