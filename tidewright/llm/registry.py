@@ -60,6 +60,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.pitmanyor import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm.language import identify_documents
 
@@ -73,7 +79,7 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_join, op2_main_text, op3_toxicity, op4_decontamination, op5_rendezvous_sharding, op7_language, op8_byte_bpe, op9_token_files, op10_progressive_jpeg)
+    found = (op1_ngram_join, op2_main_text, op3_toxicity, op4_decontamination, op5_rendezvous_sharding, op6_pitman_yor, op7_language, op8_byte_bpe, op9_token_files, op10_progressive_jpeg)
     return {f.__name__: f for f in found}
 
 
