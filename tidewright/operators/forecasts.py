@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from functools import partial, reduce
 
 import numpy as np
@@ -17,31 +18,66 @@ LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
 NAMES = ("q05", "q25", "q50", "q75", "q95")
 HORIZONS = (1, 3, 7, 15)
 O = Ordered()  # noqa: E741
-Q = [F.col(n) for n in NAMES]
-Y = F.col("actual")
+
+
+def predicted() -> list[Column]:
+    return [F.col(n) for n in NAMES]
+
+
+def actual() -> Column:
+    return F.col("actual")
 
 
 def forward_targets(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """One row for each bar and horizon: past return over the horizon (known now) and the one ahead (null at the end)."""
     c = F.col("close")
-    parts = [F.struct(F.lit(x).alias("horizon"), F.ln(c / O.lag(c, x)).alias("past"), F.ln(O.lead(c, x) / c).alias("actual")) for x in horizons]
-    return bars.select("symbol", "day", "close", F.explode(F.array(*parts)).alias("t")).select("symbol", "day", "close", "t.*")
+    made = {f"_p{x}": F.ln(c / O.lag(c, x)) for x in horizons} | {f"_a{x}": F.ln(O.lead(c, x) / c) for x in horizons}
+    parts = [F.struct(F.lit(x).alias("horizon"), F.col(f"_p{x}").alias("past"), F.col(f"_a{x}").alias("actual")) for x in horizons]
+    return bars.withColumns(made).select("symbol", "day", "close", F.explode(F.array(*parts)).alias("t")).select("symbol", "day", "close", "t.*")
+
+
+def running_quantiles(x: np.ndarray, levels: tuple[float, ...], window: int | None, least: int) -> np.ndarray:
+    """Quantiles of the values up to each row (of its last `window` rows), with linear interpolation.
+
+    The values are kept in order, so a row costs one insertion instead of a sort of its frame.
+    """
+    out = np.full((len(x), len(levels)), np.nan)
+    held: list[float] = []
+    for i, v in enumerate(x.tolist()):
+        if v == v:
+            insort(held, v)
+        if window is not None and i >= window and x[i - window] == x[i - window]:
+            del held[bisect_left(held, x[i - window])]
+        n = len(held)
+        if n >= least:
+            for j, q in enumerate(levels):
+                at = q * (n - 1)
+                k = int(at)
+                out[i, j] = held[k] + (held[min(k + 1, n - 1)] - held[k]) * (at - k)
+    return out
+
+
+def _cone(targets: DataFrame, window: int | None, least: int) -> DataFrame:
+    def f(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("day").reset_index(drop=True)
+        q = running_quantiles(frame["past"].to_numpy(float, na_value=np.nan), LEVELS, window, least)
+        out = frame[["symbol", "day", "horizon", "close", "actual"]].copy()
+        for j, n in enumerate(NAMES):
+            out[n] = q[:, j]
+        return out[~np.isnan(q[:, 0])]
+
+    made = targets.groupBy("symbol", "horizon").applyInPandas(f, "symbol string, day date, horizon int, close double, actual double, " + ", ".join(f"{n} double" for n in NAMES))
+    return made.replace(float("nan"), None, subset=["actual"])
 
 
 def cone(targets: DataFrame, least: int = 180) -> DataFrame:
-    """Historical quantiles of what is known at each day: past returns up to it, in one expanding frame."""
-    w = Window.partitionBy("symbol", "horizon").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    q = F.percentile("past", F.array(*[F.lit(x) for x in LEVELS])).over(w)
-    df = targets.withColumn("_q", F.when(F.count("past").over(w) >= least, q))
-    return df.select("symbol", "day", "horizon", "close", "actual", *[F.col("_q")[i].alias(n) for i, n in enumerate(NAMES)]).where(F.col("q50").isNotNull())
+    """Historical quantiles of what is known at each day: past returns up to it."""
+    return _cone(targets, None, least)
 
 
 def window_cone(targets: DataFrame, n: int = 365, least: int = 180) -> DataFrame:
     """The same over the last n rows."""
-    w = Window.partitionBy("symbol", "horizon").orderBy("day").rowsBetween(-(n - 1), 0)
-    q = F.percentile("past", F.array(*[F.lit(x) for x in LEVELS])).over(w)
-    df = targets.withColumn("_q", F.when(F.count("past").over(w) >= least, q))
-    return df.select("symbol", "day", "horizon", "close", "actual", *[F.col("_q")[i].alias(n) for i, n in enumerate(NAMES)]).where(F.col("q50").isNotNull())
+    return _cone(targets, n, least)
 
 
 def weighted_quantiles(values: np.ndarray, weights: np.ndarray, levels: tuple[float, ...]) -> np.ndarray:
@@ -103,26 +139,26 @@ def regimes(bars: DataFrame) -> DataFrame:
 
 def with_losses(rows: DataFrame, cost_bps: float = 15.0) -> DataFrame:
     """Pinballs and their mean, both interval scores, widths, misses, position and net return."""
-    pins = [pinball(Y, q, x) for q, x in zip(Q, LEVELS, strict=True)]
+    pins = [pinball(actual(), q, x) for q, x in zip(predicted(), LEVELS, strict=True)]
     position = F.when(F.abs("q50") > 1e-12, F.signum("q50")).otherwise(0.0)
     return rows.withColumns({
         **{f"{n}_pinball": p for n, p in zip(NAMES, pins, strict=True)}, "pinball": reduce(lambda a, b: a + b, pins) / 5,
-        "wis": wis_sum(Y, *Q), "wis_c": wis_canonical(Y, *Q), "width_50": F.col("q75") - F.col("q25"), "width_90": F.col("q95") - F.col("q05"),
-        "q05_miss": F.coalesce(F.col("q05") > Y, F.lit(False)), "q95_miss": F.coalesce(F.col("q95") < Y, F.lit(False)),
-        "position": position, "net_return": position * (F.exp(Y) - 1) - F.abs(position) * 2 * cost_bps / 10000,
+        "wis": wis_sum(actual(), *predicted()), "wis_c": wis_canonical(actual(), *predicted()), "width_50": F.col("q75") - F.col("q25"), "width_90": F.col("q95") - F.col("q05"),
+        "q05_miss": F.coalesce(F.col("q05") > actual(), F.lit(False)), "q95_miss": F.coalesce(F.col("q95") < actual(), F.lit(False)),
+        "position": position, "net_return": position * (F.exp(actual()) - 1) - F.abs(position) * 2 * cost_bps / 10000,
     })
 
 
 def summarise(losses: DataFrame, keys: list[str]) -> DataFrame:
     """Mean losses, coverages, misses, widths, hit rate and correlation of the rows that came true."""
-    done = losses.where(Y.isNotNull())
-    signed = (Y != 0) & (F.col("q50") != 0)
-    inside = lambda a, b: F.avg(((Y >= F.col(a)) & (Y <= F.col(b))).cast("double"))
+    done = losses.where(actual().isNotNull())
+    signed = (actual() != 0) & (F.col("q50") != 0)
+    inside = lambda a, b: F.avg(((actual() >= F.col(a)) & (actual() <= F.col(b))).cast("double"))
     return done.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("observations"), F.avg("pinball").alias("avg_pinball"), F.avg("wis").alias("wis"), F.avg("wis_c").alias("wis_c"), (2 * F.avg("pinball")).alias("crps"),
         inside("q25", "q75").alias("coverage_50"), inside("q05", "q95").alias("coverage_90"), F.avg("width_50").alias("width_50"), F.avg("width_90").alias("width_90"),
         F.avg(F.col("q05_miss").cast("double")).alias("q05_miss_rate"), F.avg(F.col("q95_miss").cast("double")).alias("q95_miss_rate"),
-        F.avg(F.when(signed, (F.signum(Y) == F.signum("q50")).cast("double"))).alias("hit_rate"), F.avg("net_return").alias("mean_net_return"), F.corr("q50", Y).alias("corr"),
+        F.avg(F.when(signed, (F.signum(actual()) == F.signum("q50")).cast("double"))).alias("hit_rate"), F.avg("net_return").alias("mean_net_return"), ratio(F.covar_pop("q50", actual()), F.stddev_pop("q50") * F.stddev_pop(actual())).alias("corr"),
     )
 
 
@@ -157,19 +193,19 @@ def realised_selection(losses: DataFrame, default: str, window: int = 365, least
 
 def terciles(losses: DataFrame) -> DataFrame:
     """Mean loss and hit rate by tercile of interval width (narrow first)."""
-    done = losses.where(Y.isNotNull())
+    done = losses.where(actual().isNotNull())
     k = Window.partitionBy("symbol", "horizon")
     ranked = done.withColumns({"r": F.row_number().over(k.orderBy("width_90", "day")), "n": F.count(F.lit(1)).over(k)})
-    return ranked.withColumn("bucket", bucket_of_rank(F.col("r"), F.col("n"), 3)).groupBy("symbol", "horizon", "bucket").agg(F.count(F.lit(1)).alias("observations"), F.avg("wis").alias("wis"), F.avg((F.signum("q50") == F.signum(Y)).cast("double")).alias("hit_rate"))
+    return ranked.withColumn("bucket", bucket_of_rank(F.col("r"), F.col("n"), 3)).groupBy("symbol", "horizon", "bucket").agg(F.count(F.lit(1)).alias("observations"), F.avg("wis").alias("wis"), F.avg((F.signum("q50") == F.signum(actual())).cast("double")).alias("hit_rate"))
 
 
 def conformal(losses: DataFrame, fit_share: float = 0.65) -> DataFrame:
     """Additive quantile calibration: residual quantiles of the first rows move the quantiles of the later ones, which are sorted again."""
     k = Window.partitionBy("symbol", "horizon")
     df = losses.withColumn("_f", F.row_number().over(k.orderBy("day")) / F.count(F.lit(1)).over(k))
-    shift = df.where((F.col("_f") <= fit_share) & Y.isNotNull()).groupBy("symbol", "horizon").agg(*[F.percentile(Y - q, x).alias(f"s_{n}") for q, x, n in zip(Q, LEVELS, NAMES, strict=True)])
+    shift = df.where((F.col("_f") <= fit_share) & actual().isNotNull()).groupBy("symbol", "horizon").agg(*[F.percentile(actual() - q, x).alias(f"s_{n}") for q, x, n in zip(predicted(), LEVELS, NAMES, strict=True)])
     later = df.where(F.col("_f") > fit_share).join(F.broadcast(shift), ["symbol", "horizon"])  # a row a symbol and horizon
-    ordered = F.array_sort(F.array(*[q + F.col(f"s_{n}") for q, n in zip(Q, NAMES, strict=True)]))
+    ordered = F.array_sort(F.array(*[q + F.col(f"s_{n}") for q, n in zip(predicted(), NAMES, strict=True)]))
     return later.select("symbol", "horizon", "day", "actual", *[ordered[i].alias(n) for i, n in enumerate(NAMES)])
 
 

@@ -12,7 +12,26 @@ from tidewright.operators.frames import Ordered
 from tidewright.operators.recursion import Recursion, ema, ewm, fold, high_pass, smoothed, wilder
 
 O = Ordered()  # noqa: E741
-o, h, l, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))  # noqa: E741
+
+
+def opened() -> Column:
+    return F.col("open")
+
+
+def high() -> Column:
+    return F.col("high")
+
+
+def low() -> Column:
+    return F.col("low")
+
+
+def close() -> Column:
+    return F.col("close")
+
+
+def volume() -> Column:
+    return F.col("volume")
 
 
 def _add(df: DataFrame, **columns: Column) -> DataFrame:
@@ -20,13 +39,13 @@ def _add(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def stochastic(x: str, n: int) -> Column:
-    low, high = O.low(F.col(x), n), O.high(F.col(x), n)
-    return ratio(100 * (F.col(x) - low), high - low)
+    bottom, top = O.low(F.col(x), n), O.high(F.col(x), n)
+    return ratio(100 * (F.col(x) - bottom), top - bottom)
 
 
 def true_range() -> Column:
-    before = O.lag(c)
-    return F.greatest(h - l, F.abs(h - before), F.abs(l - before))
+    before = O.lag(close())
+    return F.greatest(high() - low(), F.abs(high() - before), F.abs(low() - before))
 
 
 def weighted(x: Column, weights: list[float]) -> Column:
@@ -40,20 +59,20 @@ def linear_weights(n: int) -> list[float]:
 
 def mean_reversion(bars: DataFrame) -> DataFrame:
     """vz_score, range_oscillator, commodity_channel."""
-    df = _add(bars, mid=(h + l) / 2, typical=(h + l + c) / 3)
+    df = _add(bars, mid=(high() + low()) / 2, typical=(high() + low() + close()) / 3)
     df = _add(df, move=F.abs(O.diff(F.col("mid"), 5)))
     df = _add(df, weighted_mid=ratio(O.total(F.col("move") * F.col("mid"), 5), O.total(F.col("move"), 5)), tp_mean=O.mean(F.col("typical"), 20))
     f = F.col("weighted_mid")
     sd = O.deviation(f, 20, sample=False)
     df = _add(df, z=ratio(f - O.mean(f, 20), F.when(sd > 1e-12, sd)), tp_off=F.abs(F.col("typical") - F.col("tp_mean")))
-    top, bottom = O.high(h, 100, 1), O.low(l, 100, 1)
-    return df.select("symbol", "day", O.mean(F.col("z"), 3).alias("vz_score"), ratio(c - (bottom + (top - bottom) / 2), (top - bottom) / 2).alias("range_oscillator"), ratio(F.col("typical") - F.col("tp_mean"), 0.015 * O.mean(F.col("tp_off"), 20)).alias("commodity_channel"))
+    top, bottom = O.high(high(), 100, 1), O.low(low(), 100, 1)
+    return df.select("symbol", "day", O.mean(F.col("z"), 3).alias("vz_score"), ratio(close() - (bottom + (top - bottom) / 2), (top - bottom) / 2).alias("range_oscillator"), ratio(F.col("typical") - F.col("tp_mean"), 0.015 * O.mean(F.col("tp_off"), 20)).alias("commodity_channel"))
 
 
 def trend_windows(bars: DataFrame) -> DataFrame:
     """leverage_drawdown, detrended, imi, adx, volatility_30, ls_volatility, true_range."""
-    df = _add(bars, mid=(h + l) / 2, peak=O.high(h, 55, 1), change=safe_log(ratio(c, O.lag(c))), tr=true_range(), up=O.diff(h), down=-O.diff(l), gain=F.when(c > o, c - o).otherwise(0.0), loss=F.when(c <= o, o - c).otherwise(0.0))
-    df = _add(df, drawdown=ratio(c, F.col("peak")) * 100 - 100, mid_mean=O.mean(F.col("mid"), 19), hvi=O.deviation(F.col("change"), 21, sample=False) * (252**0.5) * 100, plus=clip(F.col("up"), 0), minus=clip(F.col("down"), 0), close_mean=O.mean(c, 21))
+    df = _add(bars, mid=(high() + low()) / 2, peak=O.high(high(), 55, 1), change=safe_log(ratio(close(), O.lag(close()))), tr=true_range(), up=O.diff(high()), down=-O.diff(low()), gain=F.when(close() > opened(), close() - opened()).otherwise(0.0), loss=F.when(close() <= opened(), opened() - close()).otherwise(0.0))
+    df = _add(df, drawdown=ratio(close(), F.col("peak")) * 100 - 100, mid_mean=O.mean(F.col("mid"), 19), hvi=O.deviation(F.col("change"), 21, sample=False) * (252**0.5) * 100, plus=clip(F.col("up"), 0), minus=clip(F.col("down"), 0), close_mean=O.mean(close(), 21))
     # the true range of the first bar is its own range
     width = O.total(F.col("tr"), 14)
     df = _add(df, off=F.col("mid") - O.lag(F.col("mid_mean"), 10), dip=100 * ratio(O.total(F.col("plus"), 14), width), dim=100 * ratio(O.total(F.col("minus"), 14), width))
@@ -66,14 +85,14 @@ def trend_windows(bars: DataFrame) -> DataFrame:
         ratio(100 * gain, gain + loss).alias("imi"),
         O.mean(F.col("dx"), 14).alias("adx"),
         (100 * O.deviation(F.col("change"), 30, sample=False)).alias("volatility_30"),
-        ratio(ratio(F.abs(c - F.col("close_mean")), F.col("close_mean")) * 100, O.mean(F.col("hvi"), 21)).__mul__(100).alias("ls_volatility"),
+        ratio(ratio(F.abs(close() - F.col("close_mean")), F.col("close_mean")) * 100, O.mean(F.col("hvi"), 21)).__mul__(100).alias("ls_volatility"),
         F.col("tr").alias("true_range"),
     )
 
 
 def money_flow(n: int = 14) -> Column:
-    tp = (h + l + c) / 3
-    up, down = F.when(tp > O.lag(tp), tp * v).otherwise(0.0), F.when(tp < O.lag(tp), tp * v).otherwise(0.0)
+    tp = (high() + low() + close()) / 3
+    up, down = F.when(tp > O.lag(tp), tp * volume()).otherwise(0.0), F.when(tp < O.lag(tp), tp * volume()).otherwise(0.0)
     return up, down
 
 
@@ -88,10 +107,10 @@ def strength(up: str, down: str, both_zero: float) -> Column:
 
 def recursive(bars: DataFrame) -> DataFrame:
     """Indicators with recursions: rsi, vzo, pzo, schaff, trend_sniper, rmi, precision_trend, volume_rsi, momentum, ls_normalized and more."""
-    df = _add(bars, hl3=(h + l + c) / 3, change=O.diff(c))
+    df = _add(bars, hl3=(high() + low() + close()) / 3, change=O.diff(close()))
     tp = F.col("hl3")
-    sign = F.when(c > O.lag(c), 1.0).when(c < O.lag(c), -1.0).otherwise(0.0)
-    df = _add(df, gain=clip(F.col("change"), 0), loss=clip(-F.col("change"), 0), signed_volume=sign * v, signed_close=sign * c, tp_change=O.diff(tp), tr=true_range(), wl=weighted(c, [max(14 - i - 14 / 3, 0.0) for i in range(15)]), flow_up=F.when(tp > O.lag(tp), tp * v).otherwise(0.0), flow_down=F.when(tp < O.lag(tp), tp * v).otherwise(0.0), rdiff=c - (O.high(h, 10) + O.low(l, 10)) / 2, span=O.high(h, 10) - O.low(l, 10))
+    sign = F.when(close() > O.lag(close()), 1.0).when(close() < O.lag(close()), -1.0).otherwise(0.0)
+    df = _add(df, gain=clip(F.col("change"), 0), loss=clip(-F.col("change"), 0), signed_volume=sign * volume(), signed_close=sign * close(), tp_change=O.diff(tp), tr=true_range(), wl=weighted(close(), [max(14 - i - 14 / 3, 0.0) for i in range(15)]), flow_up=F.when(tp > O.lag(tp), tp * volume()).otherwise(0.0), flow_down=F.when(tp < O.lag(tp), tp * volume()).otherwise(0.0), rdiff=close() - (O.high(high(), 10) + O.low(low(), 10)) / 2, span=O.high(high(), 10) - O.low(low(), 10))
     for n in (5, 10, 20):
         up, down = O.total(clip(F.col("gain"), 0), n), O.total(clip(F.col("loss"), 0), n)
         df = df.withColumn(f"cmo{n}", F.coalesce(100 * ratio(up - down, up + down), F.lit(0.0)))
@@ -106,19 +125,19 @@ def recursive(bars: DataFrame) -> DataFrame:
         Recursion("rel", "rdiff", e(3, True)), Recursion("spread", "span", e(3, True)),
         *[r for n in (5, 10, 20) for r in (Recursion(f"d{n}", f"cmo{n}", e(3, True)), Recursion(f"dd{n}", f"d{n}", e(3, True)))],
     ])
-    er = F.coalesce(clip(ratio(F.abs(v - O.lag(v, 14)), O.total(F.abs(O.diff(v)), 14)), 0, 1), F.lit(0.0))
+    er = F.coalesce(clip(ratio(F.abs(volume() - O.lag(volume(), 14)), O.total(F.abs(O.diff(volume())), 14)), 0, 1), F.lit(0.0))
     factor = F.pow(er * (2 / 3 - 2 / 31) + 2 / 31, F.lit(2.0))
-    df = _add(df, macd=F.col("e_fast") - F.col("e_slow"), smooth_volume=F.col("rma_volume") + factor * (v - F.col("rma_volume")), anchor=F.when(h >= F.col("e55"), h).otherwise(l))
+    df = _add(df, macd=F.col("e_fast") - F.col("e_slow"), smooth_volume=F.col("rma_volume") + factor * (volume() - F.col("rma_volume")), anchor=F.when(high() >= F.col("e55"), high()).otherwise(low()))
     df = _add(df, k=stochastic("macd", 10), vup=clip(F.col("tp_change"), 0) * F.col("smooth_volume"), vdown=clip(-F.col("tp_change"), 0) * F.col("smooth_volume"), ls=ratio(ratio(F.abs(F.col("anchor") - F.col("e55")), F.col("e55")) * 100, F.col("atr89")) * 100, smi_raw=F.when(F.col("spread") != 0, F.col("rel") / (F.col("spread") / 2) * 100).otherwise(0.0))
     blend = (strength("rma_up", "rma_down", 100) + (100 - 100 / (1 + ratio(O.total(F.col("flow_up"), 14), O.total(F.col("flow_down"), 14))))) / 2
     df = _add(df, blend=blend, smi5=O.mean(F.col("smi_raw"), 5))
-    df = _add(df, component=0.6 * (F.col("blend") - 50) / 50 + 0.25 * clip((F.col("blend") - 50) / 18, -2, 2) / 2 + 0.15 * clip(ratio(F.col("e5") - F.col("e_c21"), O.deviation(c, 14)), -3, 3) / 3)
+    df = _add(df, component=0.6 * (F.col("blend") - 50) / 50 + 0.25 * clip((F.col("blend") - 50) / 18, -2, 2) / 2 + 0.15 * clip(ratio(F.col("e5") - F.col("e_c21"), O.deviation(close(), 14)), -3, 3) / 3)
     df = fold(df, [Recursion("d", "k", e(3)), Recursion("vr_up", "vup", partial(wilder, n=14)), Recursion("vr_down", "vdown", partial(wilder, n=14)), Recursion("rmi", "component", e(3)), Recursion("smi", "smi5", e(10, True))])
     df = _add(df, kd=stochastic("d", 10), vrsi=strength("vr_up", "vr_down", 100))
     df = fold(df, [Recursion("stc", "kd", e(3)), Recursion("vrsi_ema", "vrsi", e(14))])
-    sd = {n: O.deviation(c, n, sample=False) for n in (5, 10, 20)}
+    sd = {n: O.deviation(close(), n, sample=False) for n in (5, 10, 20)}
     dema = {n: 2 * F.col(f"d{n}") - F.col(f"dd{n}") for n in (5, 10, 20)}
-    low, high = O.low(F.col("ls"), 89), O.high(F.col("ls"), 89)
+    bottom, top = O.low(F.col("ls"), 89), O.high(F.col("ls"), 89)
     return df.select(
         "symbol", "day",
         strength("rma_up", "rma_down", 0).alias("rsi"),
@@ -132,16 +151,16 @@ def recursive(bars: DataFrame) -> DataFrame:
         (F.col("s4") - F.col("s12")).alias("ma_momentum"),
         ratio(sum(sd[n] * dema[n] for n in sd), sum(sd.values())).alias("cmo_momentum"),
         F.col("smi").alias("slow_stochastic"),
-        ratio((F.col("ls") - low) * 100, high - low).alias("ls_normalized"),
+        ratio((F.col("ls") - bottom) * 100, top - bottom).alias("ls_normalized"),
     )
 
 
 def squeeze_momentum(bars: DataFrame, n: int = 20) -> DataFrame:
     """Fitted end of a regression line of open less the centre of range and Hull mean."""
     half, root = n // 2, round(n**0.5)
-    df = _add(bars, raw=2 * weighted(c, linear_weights(half)) - weighted(c, linear_weights(n)), pos=F.row_number().over(O.spec).cast("double"))
+    df = _add(bars, raw=2 * weighted(close(), linear_weights(half)) - weighted(close(), linear_weights(n)), pos=F.row_number().over(O.spec).cast("double"))
     df = _add(df, hull=weighted(F.col("raw"), linear_weights(root)))
-    df = _add(df, y=o - ((O.high(h, n) + O.low(l, n)) / 2 + F.col("hull")) / 2)
+    df = _add(df, y=opened() - ((O.high(high(), n) + O.low(low(), n)) / 2 + F.col("hull")) / 2)
     w = O.spec.rowsBetween(-(n - 1), 0)
     y, x = F.col("y"), F.col("pos")
     fit = F.regr_slope(y, x).over(w) * x + F.regr_intercept(y, x).over(w)
