@@ -10,15 +10,17 @@ first n - ceil(0.8 n) + l. So:
    Any order is exact; this one keeps common passages out of prefixes.
 2. Equal sets become one class. Each class emits its prefix under the first
    order; classes that share a token are candidates.
-3. Candidates meet the second and third orders: their longer prefixes must
-   share l = ceil(n / 10) tokens under each. What is left is verified on whole
-   sets, 100 * intersection >= 80 * union.
+3. Candidates meet the second and third orders (a hash alone in the third):
+   their longer prefixes must share l = ceil(n / 10) tokens under each. What is
+   left is verified on whole sets, 100 * intersection >= 80 * union.
 4. Token groups are not expanded into pairs. First every class is compared
-   with the least and the greatest class of each of its tokens, which are plain
-   aggregates; links become components. Then only pairs of different
-   components are compared: in each token group the classes outside the
-   group's largest component meet all others. No link between components is
-   lost, and no pair inside one is needed.
+   with three classes that share a token with it: the least one, the one that
+   has a token earliest in its order, and that of its most common token, all
+   plain aggregates; links become components. Then only pairs of different components are
+   compared: in each token group the classes outside the group's largest
+   component meet all others, if the tokens from the shared one on suffice in
+   both (the first shared token always passes). No link between components is lost, and no pair
+   inside one is needed.
 
 Tables: documents(doc_id, text). Null texts and texts without words have the
 empty set and stay alone; a text of fewer words than a shingle is one shingle.
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.graph import components
-from tidewright.llm.storage import input_bytes, materialise
+from tidewright.llm.storage import input_bytes, materialise, new_path, remove
 from tidewright.llm.textkernel import mix, slices, words
 
 N = 5
@@ -150,7 +152,7 @@ def frequent_tokens(docs: DataFrame, limit: int = HOT_TOKENS) -> tuple[np.ndarra
 
 
 def sketch(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, key (of the set), prefix (first order) and further (second and third order, 32 bits a token) of each row."""
+    """doc_id, n, key (of the set), prefix (first order, in it) and further (second order, 32 bits a token) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,26 +165,28 @@ def sketch(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                         rows.append((0, 0, [], b""))
                         continue
                     key = set_key(s)
-                    first = prefix(s, ordered(s, 0, shared.value), n - needed(n) + 1)
-                    more = [np.sort((prefix(s, ordered(s, k, shared.value), n - needed(n) + -(-n // 10)) >> np.uint64(32)).astype("<u4")) for k in (1, 2)]
-                    rows.append((n, key, first.view(np.int64), b"".join(x.tobytes() for x in more)))
+                    rank = ordered(s, 0, shared.value)
+                    first = s[np.argsort(rank)[: n - needed(n) + 1]]
+                    more = np.sort((prefix(s, ordered(s, 1, shared.value), long_prefix(n)) >> np.uint64(32)).astype("<u4"))
+                    rows.append((n, key, first.view(np.int64), more.tobytes()))
                 n, key, first, more = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(more, pa.binary())], names=["doc_id", "n", "key", "prefix", "further"])
 
     return docs.select("doc_id", "text").mapInArrow(f, "doc_id long, n int, key long, prefix array<long>, further binary")
 
 
+def long_prefix(n: int) -> int:
+    """Tokens in which similar sets share ceil(n / 10) at least."""
+    return n - needed(n) + -(-n // 10)
+
+
 def _share(a: bytes, b: bytes, need: int) -> bool:
-    """Whether both further orders have `need` tokens in common; two may be lost to equal 32-bit parts."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    for u, v in ((x[: len(x) // 2], y[: len(y) // 2]), (x[len(x) // 2 :], y[len(y) // 2 :])):
-        if len(np.intersect1d(u, v)) < max(1, need - 2):
-            return False
-    return True
+    """Whether the second order's prefixes have `need` tokens in common; two may be lost to equal 32-bit parts."""
+    return len(np.intersect1d(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"))) >= max(1, need - 2)
 
 
 def _filter_pairs(pairs: DataFrame, further: DataFrame) -> DataFrame:
-    """Pairs (a, na, b, nb) that pass the second and third orders."""
+    """Pairs (a, na, b, nb) that pass the second order."""
     left = further.select(F.col("key").alias("a"), F.col("further").alias("fa"))
     right = further.select(F.col("key").alias("b"), F.col("further").alias("fb"))
 
@@ -213,6 +217,7 @@ def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs that pass the third order, then whole sets."""
     left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
 
@@ -221,6 +226,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
             ok = []
             for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x3, y3 = (z[np.argsort(mix(z ^ _SALTS[2]))[: long_prefix(len(z))]] for z in (u, v))
+                if len(np.intersect1d(x3, y3, assume_unique=True)) < min(-(-len(u) // 10), -(-len(v) // 10)):
+                    ok.append(False)
+                    continue
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 ok.append(100 * both >= percent * (len(u) + len(v) - both))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
@@ -233,6 +242,11 @@ def _alike(x: str, y: str) -> Column:
     return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
 
 
+def _in_place(n: str, pos: str, n2: str, pos2: str) -> Column:
+    """Whether the tokens from the shared one on suffice; true for the first token that similar sets share."""
+    return (100 + PERCENT) * F.least(F.col(n) - F.col(pos), F.col(n2) - F.col(pos2)) >= PERCENT * (F.col(n) + F.col(n2))
+
+
 def _links(docs: DataFrame, candidates: DataFrame, further: DataFrame, classes: DataFrame, name: str) -> DataFrame:
     left = materialise(_filter_pairs(candidates, further), f"{name}-pairs")
     keys = left.select(F.col("a").alias("key")).union(left.select(F.col("b").alias("key")))
@@ -242,18 +256,22 @@ def _links(docs: DataFrame, candidates: DataFrame, further: DataFrame, classes:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every row."""
-    sketched = materialise(sketch(docs, frequent_tokens(docs)), "sketch")
+    spark = docs.sparkSession
+    path = new_path(spark, "sketch")
+    sketch(docs, frequent_tokens(docs)).write.parquet(path)
+    wide = spark.read.parquet(path)
+    sketched = materialise(wide.select("doc_id", "n", "key"), "keys")
     full = sketched.where(F.col("n") > 0)
-    classes = materialise(full.groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix"), F.any_value("further").alias("further")), "classes")
+    classes = materialise(wide.where(F.col("n") > 0).groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix"), F.any_value("further").alias("further")), "classes")
+    remove(spark, path)
     further = classes.select("key", "further")
     # tokens that two classes share, and their least and greatest class
-    rows = classes.select("key", "n", F.explode("prefix").alias("token"))
-    ends = rows.groupBy("token").agg(F.min(F.struct("n", "key")).alias("low"), F.max(F.struct("n", "key")).alias("high")).where(F.col("low.key") != F.col("high.key"))
+    rows = classes.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
+    ends = rows.groupBy("token").agg(F.min(F.struct("n", "key", "pos")).alias("low"), F.max(F.struct("n", "key", "pos")).alias("high"), F.min(F.struct("pos", "n", "key")).alias("first"), F.count(F.lit(1)).alias("size")).where(F.col("low.key") != F.col("high.key"))
     common = materialise(rows.join(ends, "token"), "common")
-    pairs = None
-    for end in ("low", "high"):
-        one = common.select("key", "n", F.col(f"{end}.key").alias("k2"), F.col(f"{end}.n").alias("n2")).where((F.col("key") != F.col("k2")) & _alike("n", "n2"))
-        pairs = one if pairs is None else pairs.union(one)
+    leads = common.groupBy("key", "n").agg(F.min("low").alias("x"), F.min("first").alias("y"), F.max_by("first", F.struct("size", "token")).alias("z"))
+    one = lambda c: F.struct(F.col(f"{c}.key").alias("key"), F.col(f"{c}.n").alias("n"))
+    pairs = leads.select("key", "n", F.explode(F.array(one("x"), one("y"), one("z"))).alias("e")).select("key", "n", F.col("e.key").alias("k2"), F.col("e.n").alias("n2")).where((F.col("key") != F.col("k2")) & _alike("n", "n2"))
 
     def as_pairs(df: DataFrame) -> DataFrame:
         swap = F.col("key") > F.col("k2")
@@ -263,15 +281,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _links(docs, first, further, classes, "first")
     labels = components(links)
     # pairs of different components in one token group
-    placed = common.select("token", "key", "n").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    placed = common.select("token", "key", "n", "pos").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     placed = materialise(placed, "placed")
     mixed = placed.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(F.col("l") != F.col("h")).select("token")
     counts = placed.join(mixed, "token", "left_semi").groupBy("token", "label").count()
     largest = counts.groupBy("token").agg(F.max(F.struct("count", "label"))["label"].alias("largest"))
     split = materialise(placed.join(largest, "token"), "split")
-    outside = split.where(F.col("label") != F.col("largest")).select("token", "key", "n", "label")
-    every = split.select("token", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("label").alias("label2"), (F.col("label") == F.col("largest")).alias("main"))
-    cross = outside.join(every, "token").where((F.col("label") != F.col("label2")) & (F.col("main") | (F.col("key") < F.col("k2"))) & _alike("n", "n2"))
+    outside = split.where(F.col("label") != F.col("largest")).select("token", "key", "n", "pos", "label")
+    every = split.select("token", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"), (F.col("label") == F.col("largest")).alias("main"))
+    cross = outside.join(every, "token").where((F.col("label") != F.col("label2")) & (F.col("main") | (F.col("key") < F.col("k2"))) & _alike("n", "n2") & _in_place("n", "pos", "n2", "pos2"))
     second = as_pairs(cross.select("key", "n", "k2", "n2")).join(first.select("a", "b"), ["a", "b"], "left_anti")
     more = _links(docs, second, further, classes, "second")
     final = components(links.union(more))
