@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,11 +106,9 @@ def chart_series(df: DataFrame, column: str) -> DataFrame:
 
 def typed_array(df: DataFrame, data: str, dtype: str, out: str = "values") -> DataFrame:
     """Doubles from base64 bytes with a dtype such as f8, i2 or u4 (little endian, or big with a leading >)."""
-    import numpy as np
-    import pandas as pd
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def decode(raw: pd.Series, kind: pd.Series) -> pd.Series:
+    @F.pandas_udf(T.ArrayType(T.DoubleType()), F.PandasUDFType.SCALAR)
+    def decode(raw, kind):  # type hints are texts here, which Spark does not read
         return pd.Series([None if b is None or k is None else np.frombuffer(b, np.dtype(k if k[0] in "<>" else "<" + k)).astype(float).tolist() for b, k in zip(raw, kind, strict=True)])
 
     return df.withColumn(out, decode(F.unbase64(data), F.col(dtype)))
