@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.graph import components
-from tidewright.llm.storage import input_bytes, materialise, new_path, remove
+from tidewright.llm.storage import input_bytes, materialise, most_frequent, new_path, remove
 from tidewright.llm.textkernel import mix, slices, words
 
 N = 5
@@ -144,7 +144,7 @@ def frequent_tokens(docs: DataFrame, limit: int = HOT_TOKENS) -> tuple[np.ndarra
         return pd.DataFrame({"token": (np.uint64(key[0]) << low | value[keep].astype(np.uint64)).astype(np.int64), "n": n[keep].astype(np.int64)})
 
     counted = docs.select("text").mapInArrow(count, "bucket long, packed binary").groupBy("bucket").applyInPandas(total, "token long, n long")
-    top = counted.orderBy(F.desc("n"), "token").limit(limit).toPandas()
+    top = most_frequent(materialise(counted, "frequent"), "n", limit).toPandas()
     if not len(top):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     top = top.sort_values("token")
