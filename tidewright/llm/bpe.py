@@ -29,6 +29,8 @@ from tidewright.llm.textkernel import codes, ragged, slices
 
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 1_024
+#: Pieces that a worker keeps encoded.
+CACHED_PIECES = 150_000
 #: A match may depend on so many characters after its end.
 LOOKAHEAD = 4
 
@@ -52,7 +54,7 @@ def piece_cache(path: str) -> PieceCache:
 
         encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
         single = encoding._core_bpe.encode_single_piece
-        _caches[path] = PieceCache(lambda pieces: [single(p.encode()) for p in pieces])
+        _caches[path] = PieceCache(lambda pieces: [single(p.encode()) for p in pieces], limit=CACHED_PIECES)
     return _caches[path]
 
 

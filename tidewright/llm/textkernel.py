@@ -8,6 +8,8 @@ loop over words. Memory is about 60 bytes a code point of the slice in hand;
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,17 +47,26 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables["pow"][:n], _tables["inv"][:n]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batch with about `limit` characters each, and their texts (null: empty)."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > limit:
-            yield batch.slice(start, i - start), texts[start:i]
-            start, size = i, 0
-        size += len(t)
-    if len(texts) > start:
-        yield batch.slice(start), texts[start:]
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_CHARS, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batch with about `limit` characters and at most `rows` rows each, and their texts (null: empty)."""
+    for first in range(0, batch.num_rows, rows):
+        part = batch.slice(first, rows)
+        texts = [t or "" for t in part.column(column).to_pylist()]
+        start = size = 0
+        for i, t in enumerate(texts):
+            if i > start and size + len(t) > limit:
+                yield part.slice(start, i - start), texts[start:i]
+                start, size = i, 0
+            size += len(t)
+        yield part.slice(start), texts[start:]
+    tidy()
+
+
+def tidy() -> None:
+    """Give memory that allocators hold back to the system, once a batch; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
