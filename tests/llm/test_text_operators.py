@@ -184,6 +184,40 @@ def test_pitman_yor_base_and_sum(spark, odd):
     assert pitmanyor.score_documents(empty(docs)).count() == 0
 
 
+def test_pitman_yor_learns_contexts(spark):
+    """Words that are equally frequent are told apart by the word before, and the tables of contexts feed the corpus."""
+    from collections import Counter
+
+    texts = ["a b a b c d c d"] * 30 + ["b x c y"] * 5
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    model, table = pitmanyor.fit(train)
+    pairs = Counter()
+    for t in texts:
+        w = t.split()
+        pairs.update(zip([None, *w], [*w, "</s>"], strict=True))
+    assert table.count() == len(pairs) and model.total == sum(pairs.values())
+    state = {r.key: r for r in model.words.collect()}
+    assert len(pairs) <= model.customers < model.total  # tables, not tokens
+    assert abs(sum(r.ut for r in state.values()) - model.customers) < 1e-6
+    assert all(r.tables <= r.customers + 1e-9 and r.customers <= r.c + 1e-9 for r in state.values())
+    docs = spark.createDataFrame([(1, "a b"), (2, "a d"), (3, "zz b"), (4, "zz d")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pitmanyor.score(docs, model, table).collect()}
+    assert got[1].base_score == pytest.approx(got[2].base_score, abs=0.2) and got[1].score > got[2].score + 0.5
+    # the probabilities after a word sum to one over the known words and the unknown one
+    one = sorted({x for t in texts for x in t.split()} | {"zz"})
+    step = spark.createDataFrame([(i, "a " + x) for i, x in enumerate(one)] + [(99, "a")], "doc_id long, text string")
+    u = pitmanyor.events(["a"])[1][0]
+    back = (pitmanyor.STRENGTH + model.context_discount * state[u].ut) / (pitmanyor.STRENGTH + state[u].uc)
+    p_word = lambda r: max(r.customers - model.discount * r.tables, 0) / (pitmanyor.STRENGTH + model.customers) + model.unknown
+    q = {r.key: r.q for r in table.collect()}
+    total = back * model.unknown
+    for key, r in state.items():
+        if r.c > 0:
+            total += q.get(int(pitmanyor.pair_key(np.array([u]), np.array([key]))[0]), back * p_word(r))
+    assert total == pytest.approx(1, abs=1e-9)
+    assert all(r.score < 0 for r in pitmanyor.score(step, model, table).collect())
+
+
 def test_payload_files_round_trip(odd):
     for p in (b"\0" * 64, os.urandom(64 * 301), bytes(range(256)) * 3):
         frame = jpeg.read_coefficients(media.pack(p))

@@ -1,27 +1,30 @@
 """Document scores by a hierarchical Pitman-Yor language model.
 
-Restaurants: every document is a context restaurant whose customers are its
-words so far; all of them share one parent, the corpus restaurant, whose base
-measure is uniform over the words of the training texts and one unknown word.
-The end of a text is a word too. So a word's probability adapts to the
-document while the corpus gives the prior, and the probabilities of a step sum
+Restaurants: every previous word of the training texts is a context restaurant
+whose customers are the words that follow it; its tables are the customers of
+the one corpus restaurant, whose base measure is uniform over the words of the
+training texts and one unknown word. In scoring each document has a restaurant
+of its own below the contexts, whose customers are its words so far. The end
+of a text is a word and the begin a context. The probabilities of a step sum
 to one over the same events as those of an additive unigram model.
 
-Seating in the corpus restaurant is sampled by Gibbs sweeps: each sweep seats
-the customers of every word anew by the Chinese-restaurant rule, given the
-tables of all other words. After BURN_IN sweeps, SAMPLES sweeps are averaged;
-the predictive probability is linear in the tables, so the average predictive
-is the predictive at the average tables. In a document's restaurant each word
-has one table: at its few customers a second one is improbable. The corpus
-discount is the one that the numbers of words seen once and twice suggest.
-
-Distribution: words are counted by 64-bit hash over all training texts
-(counts of each batch, then one aggregation). The table of words grows with
-the corpus and stays distributed; a sweep reads it and returns one sum. For
-scoring, the HOT_WORDS most frequent words (a bound on the broadcast) are
-looked up where the text is read; each document's other words are joined by
-hash with the whole table, so that no word is dropped and no frequent word
-gathers its documents in one task.
+Seating at both levels is sampled by Gibbs sweeps: a sweep seats the customers
+of every (context, word) anew by the Chinese-restaurant rule, given the
+context's tables and the corpus probability of the word from the sweep before,
+and then the tables so made in the corpus restaurant. After BURN_IN sweeps the
+tables of a last one are averaged over SAMPLES seatings. A dish with one
+customer has one table. The discount of each level is the one that the numbers
+of its dishes with one and two customers suggest. In a document's restaurant
+each word has one table: at its few customers a second one is improbable.
+
+Distribution: pairs (context, word) are counted by 64-bit hashes in each batch
+and then in one aggregation. Only pairs with two customers or more take part in
+a sweep; joins by context and by word bring the other level's state. The last
+step writes the probability of every pair that was seen. For scoring, the
+HOT_PAIRS most frequent pairs (a bound on the broadcast) are looked up where
+the text is read; the others are joined by hash with the whole table, and pairs
+never seen back off by a join with their context and their word. No word or
+context is dropped.
 
 Null texts are empty and have the end alone. Repeated rows are scored each.
 Extra columns are not carried; an empty table gives an empty result; without
@@ -36,7 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.language import held_out
@@ -45,11 +48,13 @@ from tidewright.llm.textkernel import slices, words
 
 SAMPLES = 4
 BURN_IN = 2
-HOT_WORDS = 1 << 18
-#: Strength of the corpus restaurant, and strength and discount of a document's.
+HOT_PAIRS = 1 << 18
+#: Strength of the corpus and of the context restaurants, and strength and discount of a document's.
 STRENGTH = 1.0
 DOC_STRENGTH = 100.0
 DOC_DISCOUNT = 0.9
+#: Keys of the context of a first word and of the end of a text.
+BEGIN, END = np.int64(0x1F2E3D4C5B6A7988), np.int64(0x2C4D6E8FA1B3C5D7)
 
 
 def seat(c: np.ndarray, concentration: np.ndarray, discount: float, rng: np.random.Generator, exact: int = 48) -> np.ndarray:
@@ -73,160 +78,253 @@ def seat(c: np.ndarray, concentration: np.ndarray, discount: float, rng: np.rand
     return np.minimum(t, c)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """key (hash) and c of the words of the texts."""
+def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One 64-bit key of a context and a word: the context's hash turned by 21 bits, exclusive or the word's."""
+    u = context.view(np.uint64)
+    return ((u << np.uint64(21)) | (u >> np.uint64(43))).view(np.int64) ^ word
+
+
+def _pair_key(context: str, word: str) -> Column:
+    u = F.col(context)
+    return F.shiftleft(u, 21).bitwiseOR(F.shiftrightunsigned(u, 43)).bitwiseXOR(F.col(word))
+
+
+def events(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context and word of every event of the texts (its words and its end), and the first event of each text."""
+    _, _, _, h, first = words(texts)
+    n, k = len(h), len(texts)
+    w = np.full(n + k, END)
+    w[np.arange(n) + np.repeat(np.arange(k), np.diff(first))] = h.view(np.int64)
+    first = first + np.arange(k + 1)
+    u = np.append(BEGIN, w)[: n + k]
+    u[first[:-1]] = BEGIN
+    return u, w, first
+
+
+def count_pairs(docs: DataFrame) -> DataFrame:
+    """u (context), w (word) and c of the pairs of the texts."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts = [], []
+            found = []
             for _, texts in slices(batch):
-                which, key = pd.factorize(words(texts)[3])
-                keys.append(key)
-                counts.append(np.bincount(which, minlength=len(key)))
-            if keys:
-                key, place = np.unique(np.concatenate(keys), return_inverse=True)
-                n = np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.uint64).view(np.int64)), pa.array(n)], names=["key", "c"])
+                u, w, _ = events(texts)
+                _, one, c = np.unique(pair_key(u, w), return_index=True, return_counts=True)
+                found.append((u[one], w[one], c))
+            if found:
+                u, w, c = (np.concatenate(x) for x in zip(*found, strict=True))
+                _, one, place = np.unique(pair_key(u, w), return_index=True, return_inverse=True)
+                n = np.bincount(place, c, len(one)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(u[one]), pa.array(w[one]), pa.array(n)], names=["u", "w", "c"])
 
-    return docs.select("text").mapInArrow(f, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(f, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class Model:
-    discount: float
+    discount: float  # of the corpus restaurant
+    context_discount: float
+    customers: float  # tables of all contexts
     tables: float
     total: int  # N
     distinct: int  # V
-    ends: int  # training texts
-    end_tables: float
-    hot: tuple[np.ndarray, np.ndarray, np.ndarray]  # key, c, tables of the most frequent words
+    words: DataFrame | None = None  # key, c, customers, tables; as a context: uc, ut
 
     @property
     def unknown(self) -> float:
-        """Probability of a word without a customer."""
-        return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.total) / (self.distinct + 1)
+        """Corpus probability of a word without a customer."""
+        return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.customers) / (self.distinct + 1)
+
+    def word_probability(self, customers: Column, tables: Column) -> Column:
+        return F.greatest(customers - self.discount * tables, F.lit(0.0)) / (STRENGTH + self.customers) + self.unknown
+
+    def backoff(self, uc: Column, ut: Column) -> Column:
+        """Weight that a context gives to the corpus restaurant."""
+        return (STRENGTH + self.context_discount * ut) / (STRENGTH + uc)
 
-    def probability(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        return np.maximum(c - self.discount * t, 0) / (STRENGTH + self.total) + self.unknown
 
+def _discount(n1: int | None, n2: int | None) -> float:
+    return float(np.clip(n1 / (n1 + 2 * (n2 or 0)), 0.1, 0.95)) if n1 else 0.5
 
-def _seated(table: DataFrame, discount: float, tables: float, distinct: int, sweep: int, samples: int) -> DataFrame:
-    """Add the tables of each word, averaged over `samples` sweeps."""
+
+def _sides(pairs: DataFrame, tables: Column) -> DataFrame:
+    """What each pair adds to its word (c, customers) and to its context (uc, ut)."""
+    none, zero = F.lit(0).cast("long"), F.lit(0.0)
+    c, t = F.col("c"), tables.cast("double")
+    as_word = pairs.select(F.col("w").alias("key"), c.alias("c"), t.alias("customers"), none.alias("uc"), zero.alias("ut"))
+    as_context = pairs.select(F.col("u").alias("key"), none.alias("c"), zero.alias("customers"), c.alias("uc"), t.alias("ut"))
+    return as_word.unionByName(as_context)
+
+
+def _sum_sides(sides: DataFrame) -> DataFrame:
+    return sides.groupBy("key").agg(*[F.sum(x).alias(x) for x in ("c", "customers", "uc", "ut")])
+
+
+def _root_seated(state: DataFrame, m: Model, sweep: int, samples: int) -> DataFrame:
+    """Add the tables of each word in the corpus restaurant, averaged over `samples` seatings."""
+    d, a0 = m.discount, (STRENGTH + m.discount * m.tables) / (m.distinct + 1)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column("customers").to_numpy(zero_copy_only=False)
+            whole = np.rint(k)
+            rng = np.random.default_rng([sweep, len(k), int(whole.sum())])
+            t = sum(seat(whole, np.full(len(k), a0), d, rng) for _ in range(samples)) / samples
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.minimum(t, k))], names=[*batch.schema.names, "tables"])
+
+    return state.select("key", "c", "customers", "uc", "ut").mapInArrow(f, "key long, c long, customers double, uc long, ut double, tables double")
+
+
+def _with_state(pairs: DataFrame, m: Model) -> DataFrame:
+    """Add what a pair's context (uc, ut) and word (wc, p) have to say."""
+    as_context = m.words.where(F.col("uc") > 0).select(F.col("key").alias("u"), "uc", "ut")
+    as_word = m.words.where(F.col("c") > 0).select(F.col("key").alias("w"), F.col("c").alias("wc"), m.word_probability(F.col("customers"), F.col("tables")).alias("p"))
+    return pairs.join(as_context, "u", "left").join(as_word, "w", "left")
+
+
+def _context_seated(several: DataFrame, m: Model, sweep: int, samples: int) -> DataFrame:
+    """Seat the customers of pairs with two or more in their contexts: u, w, c, t."""
+    d = m.context_discount
+    met = _with_state(several.select("u", "w", "c"), m).select("u", "w", "c", "ut", "p")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = batch.column("c").to_numpy(zero_copy_only=False).astype(float)
-            a = np.full(len(c), (STRENGTH + discount * tables) / (distinct + 1))
+            ut, p = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("ut", "p"))
             rng = np.random.default_rng([sweep, len(c), int(c.sum())])
-            t = sum(seat(c, a, discount, rng) for _ in range(samples)) / samples
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("c"), pa.array(t)], names=["key", "c", "tables"])
+            a = (STRENGTH + d * ut) * p
+            t = sum(seat(c, a, d, rng) for _ in range(samples)) / samples
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(t)], names=["u", "w", "c", "t"])
 
-    return table.select("key", "c").mapInArrow(f, "key long, c long, tables double")
+    return met.mapInArrow(f, "u long, w long, c long, t double")
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the whole table (key, c, tables) of the words of docs(text)."""
-    table = materialise(count_words(docs), "words")
-    one, two = (F.sum((F.col("c") == k).cast("long")) for k in (1, 2))
-    n, v, n1, n2 = table.agg(F.sum("c"), F.count(F.lit(1)), one, two).first()
-    ends = docs.count()
-    total, distinct = int(n or 0) + ends, int(v) + (ends > 0)
-    discount = float(np.clip(n1 / (n1 + 2 * n2), 0.1, 0.95)) if n1 else 0.5
-    tables, end_tables = float(distinct), 1.0
-    for sweep in range(BURN_IN):
-        tables = float(_seated(table, discount, tables, distinct, sweep, 1).agg(F.sum("tables")).first()[0] or 0) + end_tables
-    seated = materialise(_seated(table, discount, tables, distinct, BURN_IN, SAMPLES), "seated")
-    if ends:
-        rng = np.random.default_rng(1)
-        a = np.array([(STRENGTH + discount * tables) / (distinct + 1)])
-        end_tables = float(np.mean([seat(np.array([float(ends)]), a, discount, rng)[0] for _ in range(SAMPLES)]))
-    tables = float(seated.agg(F.sum("tables")).first()[0] or 0) + (end_tables if ends else 0)
-    hot = most_frequent(seated, "c", HOT_WORDS).toPandas().sort_values("key")
-    return Model(discount, tables, total, distinct, ends, end_tables, tuple(hot[c].to_numpy() for c in ("key", "c", "tables"))), seated
-
-
-def _gather(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
-    """For each text a row with the sums of its frequent words, and a row for each of its other words.
-
-    times: occurrences; a, b: parts of the probability of its second and later
-    occurrences, a + b * p, for the parent's p.
+    """The model, and key, q (probability) and wc (count of the word) of every pair of docs(text); `c` is the pair's count."""
+    pairs = materialise(count_pairs(docs), "pairs")
+    n, n1, n2 = pairs.agg(F.sum("c"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    single, several = pairs.where("c = 1"), pairs.where("c > 1")
+    # what single pairs add never changes; the counts of the others do not either
+    fixed = materialise(_sum_sides(_sides(single, F.lit(1.0))), "sides")
+    m = Model(0.5, _discount(n1, n2), 0.0, 0.0, int(n or 0), 0)
+    seated = several.withColumn("t", F.lit(1.0))
+    for sweep in range(BURN_IN + 2):  # the first only sets the state that the sweeps start from
+        samples = SAMPLES if sweep > BURN_IN else 1
+        if sweep:
+            seated = materialise(_context_seated(several, m, sweep, samples), "seated")
+        state = materialise(_sum_sides(fixed.unionByName(_sides(seated, F.col("t")))), "state")
+        k, v, r1, r2 = state.where("c > 0").agg(F.sum("customers"), F.count(F.lit(1)), F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2)).first()
+        m.customers, m.distinct = float(k or 0), int(v)
+        if not sweep:
+            m.discount, m.tables = _discount(r1, r2), float(m.distinct)
+        m.words = materialise(_root_seated(state, m, sweep, samples), "words")
+        m.tables = float(m.words.agg(F.sum("tables")).first()[0] or 0)
+    all_pairs = single.withColumn("t", F.lit(1.0)).unionByName(seated.select("u", "w", "c", "t"))
+    q = F.greatest(F.col("c") - m.context_discount * F.col("t"), F.lit(0.0)) / (STRENGTH + F.col("uc")) + m.backoff(F.col("uc"), F.col("ut")) * F.col("p")
+    table = _with_state(all_pairs, m).select(_pair_key("u", "w").alias("key"), "c", q.alias("q"), "wc")
+    return m, materialise(table, "probabilities")
+
+
+def _gather(batches: Iterator[pa.RecordBatch], hot: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    """For each text a row with the sums that need no join, and a row for each of its other pairs.
+
+    In a document's restaurant the k-th event has probability (x + y * p) / (strength + k) for the parent's p; x is
+    zero where the word is new. times: events of the pair; x, y: those of its events with a word seen before.
     """
-    hot_key, hot_c, hot_t = m.hot
-    hot_p = m.probability(hot_c.astype(float), hot_t)
-    p_end = float(m.probability(np.array([float(m.ends)]), np.array([m.end_tables]))[0]) if m.ends else m.unknown
+    hot_key, hot_q, hot_c = hot
     for batch in batches:
         for part, texts in slices(batch):
-            _, _, _, h, first = words(texts)
-            n_words = np.diff(first)
-            which, key = pd.factorize(h.view(np.int64))
-            width = max(len(key), 1)
-            known = np.zeros(len(key), bool)
-            p, b = np.zeros(len(key)), np.zeros(len(key))
-            if len(hot_key):
-                at = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
-                known = hot_key[at] == key
-                p, b = np.where(known, hot_p[at], 0.0), np.where(known, np.log10(hot_c[at] + 0.5), 0.0)
-            owner = np.repeat(np.arange(len(texts)), n_words)
-            place = np.arange(len(h)) - first[owner]
-            pair = owner * np.int64(width) + which
-            order = np.argsort(pair, kind="stable")
-            new = np.append(True, np.diff(pair[order]) != 0)[: len(h)]
-            begin = np.flatnonzero(new)
-            seen = np.empty(len(h), np.int64)
-            seen[order] = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
+            u, w, first = events(texts)
+            n, k = len(w), len(texts)
+            size = np.diff(first)
+            owner = np.repeat(np.arange(k), size)
+            place = np.arange(n) - first[owner]
+
+            def rank(which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+                """Order by (text, which), and how often the event's `which` came before in its text."""
+                cell = owner * np.int64(max(width, 1)) + which  # noqa: B023
+                order = np.argsort(cell, kind="stable")
+                begin = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0)[: len(cell)])
+                seen = np.empty(len(cell), np.int64)
+                seen[order] = np.arange(len(cell)) - np.repeat(begin, np.diff(np.append(begin, len(cell))))
+                return order, seen
+
+            which, names = pd.factorize(w)
+            seen = rank(which, len(names))[1]
             fresh = np.append(0, np.cumsum(seen == 0))
             types = fresh[:-1] - fresh[first[owner]]
-            denominator = DOC_STRENGTH + place
-            new_table = (DOC_STRENGTH + DOC_DISCOUNT * types) / denominator
-            old = np.where(seen > 0, seen - DOC_DISCOUNT, 0.0) / denominator
+            x = np.where(seen > 0, seen - DOC_DISCOUNT, 0.0)
+            y = DOC_STRENGTH + DOC_DISCOUNT * types
+            which, key = pd.factorize(pair_key(u, w))
+            order, before = rank(which, len(key))
+            known, q, b = np.zeros(len(key), bool), np.ones(len(key)), np.zeros(len(key))
+            if len(hot_key) and len(key):
+                at = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
+                known = hot_key[at] == key
+                q, b = np.where(known, hot_q[at], 1.0), np.where(known, np.log10(hot_c[at] + 0.5), 0.0)
             hit = known[which]
-            local = np.where(hit, np.log10(old + new_table * np.where(hit, p[which], 1.0)), np.where(seen == 0, np.log10(new_table), 0.0))
-            sums = [np.append(0, np.cumsum(x))[first] for x in (hit.astype(np.int64), b[which], local)]
-            n_known, base_sum, p_sum = (x[1:] - x[:-1] for x in sums)
-            all_types = fresh[first[1:]] - fresh[first[:-1]]
-            p_sum = p_sum + np.log10((DOC_STRENGTH + DOC_DISCOUNT * all_types) / (DOC_STRENGTH + n_words) * p_end)
-            # the other words
+            local = np.where(hit | (seen == 0), np.log10(x + y * q[which]), 0.0) - np.log10(DOC_STRENGTH + place)
+            n_known, base_sum, p_sum = (np.diff(np.append(0, np.cumsum(v))[first]) for v in (hit.astype(np.int64), b[which], local))
+            # the other pairs
             miss = order[~hit[order]]
-            starts = np.flatnonzero(seen[miss] == 0)
+            starts = np.flatnonzero(before[miss] == 0)
             times = np.diff(np.append(starts, len(miss)))
             later = miss[seen[miss] > 0]
-            ends = np.cumsum(times - 1)
-            n, k = len(texts), len(starts)
-            offsets = pa.array(np.concatenate([np.zeros(n + 1, np.int64), ends]).astype(np.int32))
+            ends = np.add.reduceat((seen[miss] > 0).astype(np.int64), starts).cumsum() if len(starts) else np.zeros(0, np.int64)
+            one, j = miss[starts], len(starts)
+            offsets = pa.array(np.concatenate([np.zeros(k + 1, np.int64), ends]).astype(np.int32))
             row = part.column("row").to_numpy()
+            held = part.column("held").to_numpy(zero_copy_only=False).astype(bool)[owner[one]]
+            blank = pa.nulls(k, pa.int64())
+
+            def after(values: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+                return pa.chunked_array([blank, pa.array(values, mask=mask)]).combine_chunks()  # noqa: B023
+
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.append(row, row[owner[miss[starts]]])),
-                    pa.chunked_array([part.column("doc_id"), pa.nulls(k, pa.int64())]).combine_chunks(),
-                    pa.array(np.append(row * 31 + 7, key[which[miss[starts]]])),
-                    pa.array(np.append(n_words + 1, np.zeros(k, np.int64))),
-                    pa.array(np.append(np.zeros(n, np.int64), times)),
-                    pa.array(np.append(n_known + (1 if m.ends else 0), np.zeros(k, np.int64))),
-                    pa.array(np.append(base_sum + np.log10(m.ends + 0.5), np.zeros(k))),
-                    pa.array(np.append(p_sum, np.zeros(k))),
-                    pa.ListArray.from_arrays(offsets, pa.array(old[later])),
-                    pa.ListArray.from_arrays(offsets, pa.array(new_table[later])),
+                    pa.array(np.append(row, row[owner[one]])),
+                    pa.chunked_array([part.column("doc_id"), pa.nulls(j, pa.int64())]).combine_chunks(),
+                    pa.array(np.append(row * 31 + 7, key[which[one]])),
+                    after(u[one], ~held),
+                    after(w[one], ~held),
+                    pa.array(np.append(size, np.zeros(j, np.int64))),
+                    pa.array(np.append(np.zeros(k, np.int64), times)),
+                    pa.array(np.append(n_known, np.zeros(j, np.int64))),
+                    pa.array(np.append(base_sum, np.zeros(j))),
+                    pa.array(np.append(p_sum, np.zeros(j))),
+                    pa.ListArray.from_arrays(offsets, pa.array(seen[later].astype(np.int32))),
+                    pa.ListArray.from_arrays(offsets, pa.array(types[later].astype(np.int32))),
                 ],
-                names=["row", "doc_id", "key", "n_tokens", "times", "n_known", "base_sum", "p_sum", "a", "b"],
+                names=["row", "doc_id", "key", "u", "w", "n_tokens", "times", "n_known", "base_sum", "p_sum", "seen", "types"],
             )
 
 
-def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every row of docs(doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # HOT_WORDS words at most
-    schema = "row long, doc_id long, key long, n_tokens long, times long, n_known long, base_sum double, p_sum double, a array<double>, b array<double>"
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(lambda it: _gather(it, shared.value), schema)
-    met = rows.join(table, "key", "left")
-    c, t = F.coalesce("c", F.lit(0)), F.coalesce("tables", F.lit(0.0))
-    met = met.withColumn("c", c).withColumn("p", F.greatest(c - model.discount * t, F.lit(0.0)) / (STRENGTH + model.total) + model.unknown)
-    later = F.aggregate(F.zip_with("a", "b", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.lit(0.0), lambda s, x: s + F.log10(x["a"] + x["b"] * F.col("p")))
+def score(docs: DataFrame, model: Model, table: DataFrame, held: Column | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of every row of docs(doc_id, text).
+
+    held: false for texts that the model has learned from; their pairs are all in the table, so their words are not sent.
+    """
+    hot = most_frequent(table, "c", HOT_PAIRS).select("key", "q", "wc").toPandas().sort_values("key")
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(hot[c].to_numpy() for c in ("key", "q", "wc")))  # HOT_PAIRS pairs at most
+    held = F.lit(True) if held is None else F.coalesce(held, F.lit(True))
+    schema = "row long, doc_id long, key long, u long, w long, n_tokens long, times long, n_known long, base_sum double, p_sum double, seen array<int>, types array<int>"
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held.alias("held"), "text").mapInArrow(lambda it: _gather(it, shared.value), schema)
+    met = materialise(rows.join(table.select("key", "q", "wc"), "key", "left").drop("key"), "met")
+    lost = (F.col("times") > 0) & F.col("q").isNull()
+    back = F.coalesce(model.backoff(F.col("uc"), F.col("ut")), F.lit(1.0))
+    unseen = _with_state(met.where(lost).drop("q", "wc"), model)
+    unseen = unseen.withColumn("q", back * F.coalesce("p", F.lit(model.unknown))).select(*met.columns)
+    met = met.where(~lost).unionByName(unseen)
+    event = F.zip_with("seen", "types", lambda s, t: F.struct((s - DOC_DISCOUNT).alias("x"), (t * DOC_DISCOUNT + DOC_STRENGTH).alias("y")))
+    later = F.aggregate(event, F.lit(0.0), lambda total, e: total + F.log10(e["x"] + e["y"] * F.col("q")))
     word = F.col("times") > 0
+    wc = F.coalesce("wc", F.lit(0))
     gathered = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(word & (F.col("c") > 0), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base_sum") + F.when(word, F.col("times") * F.log10(F.col("c") + 0.5)).otherwise(0.0)).alias("base_sum"),
-        F.sum(F.col("p_sum") + F.when(word, F.log10("p") + F.when(F.col("times") > 1, later).otherwise(0.0)).otherwise(0.0)).alias("score"),
+        F.sum(F.col("n_known") + F.when(word & (wc > 0), F.col("times")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("base_sum") + F.when(word, F.col("times") * F.log10(wc + 0.5)).otherwise(0.0)).alias("base_sum"),
+        F.sum(F.col("p_sum") + F.when(word, (F.col("times") - F.size("seen")) * F.log10("q") + later).otherwise(0.0)).alias("score"),
     )
     norm = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
     return gathered.select("doc_id", "n_tokens", "n_known", (F.col("base_sum") - F.col("n_tokens") * norm).alias("base_score"), "score")
@@ -235,4 +333,4 @@ def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
 def score_documents(docs: DataFrame) -> DataFrame:
     held = held_out(F.col("doc_id"), 5, 1)
     model, table = fit(docs.where(~held).select("text"))
-    return score(docs, model, table).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return score(docs, model, table, held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
