@@ -132,6 +132,16 @@ def test_inconsistent_slots_are_no_hit(spark):
     assert [r.doc_id for r in decontaminate.contamination(d, b).collect()] == [2]
 
 
+def test_one_other_value_leaves_the_exact_windows(spark):
+    item = "we saw Anna walk down to the old mill and then we heard Anna sing by the river while her brother asked whether Anna would come home before the long night fell on the village"
+    apples = "she buys 2 apples at the market of the old town and then walks home for 2 hours along the quiet river"
+    docs = [(1, item.replace("whether Anna", "whether Eva")), (2, apples.replace("2 apples", "5 apples").replace("2 hours", "7 hours"))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (2, apples)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contamination(d, b).collect()}
+    assert set(got) == {(1, 1), (2, 2)} and got[1, 1].coverage > 0.9 and got[2, 2].changed_slots
+
+
 def test_forward_backward_equals_the_plain_recursion():
     rng = np.random.default_rng(0)
     e, t, init = rng.normal(size=(300, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)

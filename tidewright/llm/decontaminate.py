@@ -7,11 +7,11 @@ Tokens are runs of letters and numbers such as 3, 1,000 or 12:30; a mark . ! ?
 - a name (a capitalised word that does not start a sentence) with a third,
 and puts all else in lower case. Windows of WINDOW canonical tokens are
 hashed; document windows meet benchmark windows in a hash join. Documents
-with a hit are read again with their slots: in windows of one alignment each
-benchmark value must stand for one document value throughout, so that a
-question with other numbers or names is caught while a chance likeness of
-templates is not. A pair is contaminated if its consistent windows are at
-least MIN_COVERAGE of the item's.
+with a hit are read again with their slots: within a window each benchmark
+value must stand for one document value, so that a question with other numbers
+or names is caught while a chance likeness of templates is not, and one value
+that differs costs only the windows that hold it twice. A pair is contaminated
+if its consistent windows are at least MIN_COVERAGE of the item's.
 
 Items shorter than WINDOW tokens are one window of their own length; items
 below MIN_TOKENS tokens, null and empty items match nothing, and null or empty
@@ -153,13 +153,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, mi
         d = _windows(held, ["doc_id", "row"], w).select("doc_id", "row", "pos", "hash", "slots")
         part = d.join(_small(b, n_windows), "hash")
         pairs = part if pairs is None else pairs.unionByName(part)
-    pairs = pairs.withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     filled = F.zip_with("item_slots", "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d")))
-    # on one alignment an item has each of its windows once, so the sets are bounded by the item
-    aligned = pairs.groupBy("doc_id", "row", "item_id", "item_windows", "diagonal").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(filled))).alias("filled"))
-    consistent = aligned.where(F.size(F.array_distinct(F.transform("filled", lambda x: x["b"]))) == F.size("filled"))
+    slots = F.array_distinct(filled)
+    consistent = pairs.withColumn("filled", slots).where(F.size(F.array_distinct(F.transform("filled", lambda x: x["b"]))) == F.size("filled"))
     # a document may repeat a passage: alignments are merged window by window
-    merged = consistent.select("doc_id", "row", "item_id", "item_windows", F.exists("filled", lambda x: x["b"] != x["d"]).alias("changed"), F.explode("at").alias("at")).groupBy("doc_id", "row", "item_id", "item_windows").agg(F.countDistinct("at").alias("matched"), F.max("changed").alias("changed"))
+    changed = F.exists("filled", lambda x: x["b"] != x["d"])
+    merged = consistent.groupBy("doc_id", "row", "item_id", "item_windows").agg(F.countDistinct("item_pos").alias("matched"), F.max(changed).alias("changed"))
     flagged = merged.where(F.col("matched") >= F.lit(min_coverage) * F.col("item_windows"))
     return flagged.groupBy("doc_id", "item_id", "item_windows").agg(F.max("matched").cast("long").alias("matched"), F.max("changed").alias("changed_slots")).select("doc_id", "item_id", "matched", F.col("item_windows").cast("long").alias("item_windows"), F.round(F.col("matched") / F.col("item_windows"), 6).alias("coverage"), "changed_slots")
 
