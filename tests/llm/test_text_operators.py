@@ -142,6 +142,16 @@ def test_one_other_value_leaves_the_exact_windows(spark):
     assert set(got) == {(1, 1), (2, 2)} and got[1, 1].coverage > 0.9 and got[2, 2].changed_slots
 
 
+def test_exact_copies_of_short_items(spark):
+    items = [(1, "What is the capital city of old France?"), (2, "Min and max of a list are what?"), (3, "Quo vadis?"), (4, "Xyzzy")]
+    docs = [(1, "Quiz\nWhat is the capital city of old France?"), (2, "he said (no). What is the capital city of old France?"), (3, "Example 3, What is the capital city of old France?"), (4, "of 12 Min and max of a list are what?"), (5, "he asked Quo vadis and left"), (6, "quo et vadis, xyzzy"), (7, "say Xyzzy."), (8, "what was the capital city of old France?")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(d, b).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (7, 4)]
+    assert all(r.coverage == 1 and not r.changed_slots for r in got)
+
+
 def test_forward_backward_equals_the_plain_recursion():
     rng = np.random.default_rng(0)
     e, t, init = rng.normal(size=(300, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)

@@ -13,9 +13,14 @@ or names is caught while a chance likeness of templates is not, and one value
 that differs costs only the windows that hold it twice. A pair is contaminated
 if its consistent windows are at least MIN_COVERAGE of the item's.
 
-Items shorter than WINDOW tokens are one window of their own length; items
-below MIN_TOKENS tokens, null and empty items match nothing, and null or empty
-texts match nothing. Repeated rows count once: a pair gets one row with its
+Items up to WINDOW tokens are one window of their own length. What stands
+before a document's window decides whether its first token is a name or a unit;
+so a window whose first token is one is hashed a second time with that token in
+lower case, for the items of one window: their exact copies are found after any
+text. Longer items have other windows, and their first one counts only in its
+context, as in the SQL. Items below MIN_TOKENS tokens match the same tokens, in the same case,
+without placeholders. Null and empty items match nothing, and null or empty texts match
+nothing. Repeated rows count once: a pair gets one row with its
 best coverage. An empty table on either side gives no pairs.
 
 The benchmark's windows are broadcast if they are at most BROADCAST_ROWS, and
@@ -81,47 +86,79 @@ def values(raw: str) -> Column:
     return _with_before(raw, lambda before, token: F.when(_kind(before, token) > 0, _plain(token)))
 
 
+def plain_heads(raw: str) -> Column:
+    """The plain form of each name and unit of the column `raw`, null elsewhere."""
+    return _with_before(raw, lambda before, token: F.when(_kind(before, token) > _NUMBER, _plain(token)))
+
+
+def exact(raw: str) -> Column:
+    """The tokens of the column `raw` as they are but for the mark at the end, apart from canonical ones."""
+    return F.transform(raw, lambda token: F.concat(F.lit("="), F.rtrim(token, F.lit(".!?:"))))
+
+
 def with_windows(df: DataFrame, width: int, name: str = "hashes") -> DataFrame:
     """Add the hashes of all windows of `width` tokens of the column `canon`; none if there are fewer.
 
-    Doubles the width where it can; each step is a column of its own, so that it is computed once.
+    Doubles the width where it can; each step is a column of its own, so that it is computed once. With a column
+    `heads`, `<name>_plain` has the hashes of the windows with a plain first token, null where the first is no name or unit.
     """
     df = df.withColumn("_1", F.transform("canon", lambda t: F.xxhash64(t)))
     done, size = 1, F.size("canon")
+    plain = "heads" in df.columns
+    if plain:
+        df = df.withColumn("_p1", F.transform("heads", lambda t: F.when(t.isNotNull(), F.xxhash64(t))))
     while done < width:
         other, step = (f"_{done}", done) if done * 2 <= width else ("_1", 1)
         df = df.withColumn(f"_{done + step}", F.zip_with(f"_{done}", F.slice(F.col(other), F.lit(done + 1), F.greatest(size, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
+        if plain:
+            df = df.withColumn(f"_p{done + step}", F.zip_with(f"_p{done}", F.slice(F.col(other), F.lit(done + 1), F.greatest(size, F.lit(0))), lambda a, b: F.when(a.isNotNull(), F.xxhash64(a, b))))
         done += step
-    return df.withColumn(name, F.slice(F.col(f"_{width}"), F.lit(1), F.greatest(size - (width - 1), F.lit(0))))
+    whole = [(name, f"_{width}"), *([(f"{name}_plain", f"_p{width}")] if plain else [])]
+    return df.withColumns({n: F.slice(F.col(c), F.lit(1), F.greatest(size - (width - 1), F.lit(0))) for n, c in whole})
 
 
 def _hashes(df: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Keys and hash of every window."""
     # an inner explode would make Spark test the arrays' sizes on a second computation of them
-    return with_windows(df, width).select(*keys, F.explode_outer("hashes").alias("hash")).where(F.col("hash").isNotNull())
+    df = with_windows(df, width)
+    hashes = F.concat("hashes", "hashes_plain") if "heads" in df.columns else F.col("hashes")
+    return df.select(*keys, F.explode_outer(hashes).alias("hash")).where(F.col("hash").isNotNull())
 
 
 def _windows(df: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Keys, width, pos, hash and slots (values at the placeholders, in order) of every window; df has canon and vals."""
+    """Keys, width, pos, hash, slots (values at the placeholders, in order) and plain (first token taken so) of every window; df has canon and vals."""
     staged = with_windows(df.where(F.size("canon") >= width), width)
     starts = F.sequence(F.lit(1), F.greatest(F.size("canon") - (width - 1), F.lit(1)))
     slots = F.transform(starts, lambda s: F.filter(F.slice(F.col("vals"), s, F.lit(width)), lambda v: v.isNotNull()))
-    staged = staged.select(*keys, F.posexplode_outer(F.arrays_zip(F.col("hashes").alias("hash"), slots.alias("slots"))).alias("pos", "_w"))
-    return staged.where(F.col("pos").isNotNull()).select(*keys, F.lit(width).alias("width"), "pos", F.col("_w")["hash"].alias("hash"), F.col("_w")["slots"].alias("slots"))
-
-
-def benchmark_windows(benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, list[int]]:
-    """item_id, item_windows, width, pos, hash, slots of the benchmark; and the widths in use."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("raw")).where(F.size("raw") >= MIN_TOKENS)
-    kinds = items.withColumn("_n", F.size("raw")).withColumn("_w", F.least(F.col("_n"), F.lit(width)))
-    kinds = materialise(kinds.select("item_id", "_n", "_w", canonical("raw").alias("canon"), values("raw").alias("vals")), "bench-items")
-    widths = [r[0] for r in kinds.select("_w").distinct().collect()]  # at most `width` values
+    plain = [F.col("hashes_plain").alias("other")] if "heads" in df.columns else []
+    staged = staged.select(*keys, F.posexplode_outer(F.arrays_zip(F.col("hashes").alias("hash"), slots.alias("slots"), *plain)).alias("pos", "_w"))
+    form = F.struct(F.col("_w")["hash"].alias("hash"), F.col("_w")["slots"].alias("slots"), F.lit(False).alias("plain"))
+    if plain:  # a plain first token is no slot
+        rest = F.slice(F.col("_w")["slots"], F.lit(2), F.greatest(F.size(F.col("_w")["slots"]), F.lit(0)))
+        form = F.explode(F.array(form, F.struct(F.col("_w")["other"].alias("hash"), rest.alias("slots"), F.lit(True).alias("plain"))))
+    staged = staged.where(F.col("pos").isNotNull()).select(*keys, F.lit(width).alias("width"), "pos", form.alias("_f"))
+    return staged.select(*keys, "width", "pos", *[F.col("_f")[c].alias(c) for c in ("hash", "slots", "plain")]).where(F.col("hash").isNotNull())
+
+
+def _forms(df: DataFrame, keys: list[str], width: int, heads: bool = False) -> DataFrame:
+    """Keys and the columns canon, vals and, if asked for, heads of the column `raw` for windows of `width`."""
+    if width < MIN_TOKENS:
+        none = F.transform("raw", lambda t: F.lit(None).cast("string"))
+        return df.select(*keys, exact("raw").alias("canon"), none.alias("vals"))
+    return df.select(*keys, canonical("raw").alias("canon"), values("raw").alias("vals"), *([plain_heads("raw").alias("heads")] if heads else []))
+
+
+def benchmark_windows(benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, dict[int, bool]]:
+    """item_id, item_windows, width, pos, hash, slots of the benchmark; and the widths in use, and if an item has one window of it."""
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("raw")).where(F.size("raw") > 0)
+    kinds = materialise(items.withColumn("_n", F.size("raw")).withColumn("_w", F.least(F.col("_n"), F.lit(width))), "bench-items")
+    widths = dict(map(tuple, kinds.groupBy("_w").agg(F.bool_or(F.col("_n") == F.col("_w"))).collect()))  # at most `width` values
     out = None
-    for w in widths or [width]:
+    for w in sorted(widths) or [width]:
         part = kinds.where(F.col("_w") == w).withColumn("item_windows", F.col("_n") - (w - 1))
-        part = _windows(part, ["item_id", "item_windows"], w)
+        part = _windows(_forms(part, ["item_id", "item_windows"], w), ["item_id", "item_windows"], w)
         out = part if out is None else out.unionByName(part)
-    return out, sorted(widths)
+    return out.drop("plain"), widths
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -135,23 +172,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, mi
     windows = materialise(windows, "bench-windows")
     n_windows = windows.count()
     rows = docs.select("doc_id", "text").withColumn("row", F.xxhash64("text"))
-    tokenised = rows.select("doc_id", "row", tokens(F.col("text")).alias("raw")).select("doc_id", "row", canonical("raw").alias("canon"))
+    tokenised = rows.select("doc_id", "row", tokens(F.col("text")).alias("raw"))
     hits = None
-    for w in widths:
+    for w, short in sorted(widths.items()):
         known = _small(windows.where(F.col("width") == w).select("hash").distinct(), n_windows)
-        part = _hashes(tokenised, ["doc_id", "row"], w).join(known, "hash", "left_semi").select("doc_id", "row")
+        part = _hashes(_forms(tokenised, ["doc_id", "row"], w, short).drop("vals"), ["doc_id", "row"], w).join(known, "hash", "left_semi").select("doc_id", "row")
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         hits = rows.select("doc_id", "row").limit(0)
     hits = materialise(hits.distinct(), "bench-hits")
     found = rows.join(_small(hits, hits.count()), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
-    found = found.select("doc_id", "row", tokens(F.col("text")).alias("raw"))
-    held = materialise(found.select("doc_id", "row", canonical("raw").alias("canon"), values("raw").alias("vals")), "bench-docs")
+    held = materialise(found.select("doc_id", "row", tokens(F.col("text")).alias("raw")), "bench-docs")
     pairs = None
-    for w in widths or [width]:
+    for w, short in sorted(widths.items()) or [(width, False)]:
         b = windows.where(F.col("width") == w).select("item_id", "item_windows", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"))
-        d = _windows(held, ["doc_id", "row"], w).select("doc_id", "row", "pos", "hash", "slots")
-        part = d.join(_small(b, n_windows), "hash")
+        d = _windows(_forms(held, ["doc_id", "row"], w, short), ["doc_id", "row"], w).select("doc_id", "row", "pos", "hash", "slots", "plain")
+        part = d.join(_small(b, n_windows), "hash").where(~F.col("plain") | (F.col("item_windows") == 1))
         pairs = part if pairs is None else pairs.unionByName(part)
     filled = F.zip_with("item_slots", "slots", lambda b, d: F.struct(b.alias("b"), d.alias("d")))
     slots = F.array_distinct(filled)
