@@ -186,6 +186,17 @@ def test_language_and_toxicity_edge_cases(spark, odd):
     assert toxicity.tag(odd, m).count() == odd.count()
 
 
+def test_every_language_is_learned(spark):
+    langs = [f"l{i:02d}" for i in range(70)]
+    rows = [(i * 4 + k, f"wort{chr(97 + i % 26)}{chr(97 + i // 26)} qu{chr(97 + i // 26)}{chr(97 + i % 26)}x " * 6, x) for i, x in enumerate(langs) for k in range(4 if i else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.sample(docs, "doc_id", "lang", 3)
+    assert {x for x, _ in found} == set(langs) and len(found) == 3 * len(langs)
+    assert language.fit(found[:60] + [x for x in found if x[0] == "l69"]).labels[-1] == "l69"
+    repeated = docs.unionByName(docs)
+    assert len(language.sample(repeated, "doc_id", "lang", 3)) == 3 * len(langs)
+
+
 def test_pitman_yor_base_and_sum(spark, odd):
     import math
 

@@ -216,9 +216,8 @@ def forward_backward(e: np.ndarray, first: np.ndarray, trans: np.ndarray, initia
     a[cell[:, :width][mask]] = alpha[mask]
     bx[cell[:, :width][mask]] = (beta * xs[:, :width])[mask]
     inner = np.flatnonzero(~is_head)
-    xi = a[inner - 1][:, :, None] * t[None] * bx[inner][:, None, :]
-    xi /= xi.sum((1, 2), keepdims=True)
-    return out, xi.sum(0)
+    before, after = a[inner - 1], bx[inner]
+    return out, t * ((before / ((before @ t) * after).sum(1, keepdims=True)).T @ after)
 
 
 def train(crf: Crf, sequences: list[tuple[Words, np.ndarray]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-6, seed: int = 7) -> Crf:

@@ -4,7 +4,7 @@ Every word gets a label by forward-backward over affix, character n-gram and
 lexicon (whole word) features and learned transitions. A text's language is
 the label with the greatest share of its letters; `score` is that share.
 
-Labels are learned from at most SAMPLE_DOCS texts of each language, SAMPLE_WORDS
+Every language that a row names is learned, from at most SAMPLE_DOCS texts of each, SAMPLE_WORDS
 words of each, chosen by a hash of the key; segments of different languages are
 joined, so that the transitions learn to switch. Prediction reads whole texts.
 
@@ -23,13 +23,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.crf import Crf, letter_words, new_crf, train
-from tidewright.llm.textkernel import slices
+from tidewright.llm.textkernel import SLICE_CHARS, slices
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 160
 SAMPLE_WORDS = 200
-#: At most so many languages are learned, the most frequent first.
-MAX_LABELS = 64
+#: The chosen keys are broadcast up to so many, and joined by shuffle otherwise.
+BROADCAST_ROWS = 1_000_000
+#: Slices are smaller by the square of the number of labels above this one.
+WIDE_LABELS = 32
 BITS = 16
 
 
@@ -38,18 +40,19 @@ def held_out(key: Column, modulus: int, remainder: int) -> Column:
 
 
 def sample(labelled: DataFrame, key: str, label: str, size: int) -> list[tuple[str, str]]:
-    """At most `size` texts of each label, by a hash of the key: size * MAX_LABELS rows."""
+    """At most `size` texts of each label, by a hash of the key."""
     rows = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull())
     order = F.xxhash64(F.col(key).cast("string"))
-    frequent = [r[0] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LABELS).collect()]
     # the smallest hashes of each label meet, not all rows: keys first, then their texts
-    keys = rows.where(F.col(label).isin(frequent)).select(F.col(label).alias("_l"), order.alias("_h"), F.col(key).alias("_k"))
+    keys = rows.select(F.col(label).alias("_l"), order.alias("_h"), F.col(key).alias("_k"))
     salted = keys.withColumn("_salt", F.spark_partition_id())
     few = salted.withColumn("_r", F.row_number().over(Window.partitionBy("_l", "_salt").orderBy("_h", "_k"))).where(F.col("_r") <= size)
-    few = few.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_k"))).where(F.col("_r") <= size).select("_l", "_h", "_k")
-    # at most size * MAX_LABELS keys
-    got = rows.join(F.broadcast(few), (F.col(key) == F.col("_k")) & (F.col(label) == F.col("_l"))).select(label, F.col("text"), "_h", "_k").orderBy("_h", "_k").limit(size * MAX_LABELS).collect()
-    return [(r[0], r[1]) for r in got]
+    few = few.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_k"))).where(F.col("_r") <= size).select("_l", "_h", "_k").distinct()
+    few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    got = rows.join(few, (F.col(key) == F.col("_k")) & (F.col(label) == F.col("_l"))).select(label, F.col("text"), "_h", "_k")
+    # a repeated key brings all its rows
+    got = got.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_h", "_k"))).where(F.col("_r") <= size)
+    return [(r[0], r[1]) for r in got.orderBy("_h", "_k").collect()]
 
 
 def fit(rows: list[tuple[str, str]], words: int = SAMPLE_WORDS, bits: int = BITS, seed: int = 11) -> Crf | None:
@@ -99,10 +102,11 @@ def identify(docs: DataFrame, crf: Crf | None, carry: list[str] | None = None) -
     """Columns `carry` (doc_id if not given), lang_pred and score of every row."""
     carry = carry or ["doc_id"]
     model = docs.sparkSession.sparkContext.broadcast(crf)  # 2**BITS weights a label
+    limit = int(SLICE_CHARS / max(1.0, len(crf.labels) / WIDE_LABELS) ** 2) if crf else SLICE_CHARS
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, limit=limit):
                 langs, scores, _ = predict(texts, model.value)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(langs), pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
 
