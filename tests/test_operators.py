@@ -121,3 +121,14 @@ def test_stream_upsert(spark, tmp_path):
         q = upsert_stream(spark.readStream.schema("k int, v string, seq int").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", ["k"], ["seq"], f"{tmp_path}/cp").trigger(availableNow=True).start()
         q.awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/v1").collect())) == [(1, "a", 1), (2, "c", 2)]
+
+
+def test_conformal_calibration_never_narrows(spark):
+    rows = [("X", 1, DAY + timedelta(days=i), float(i % 5) - 2, -10.0, -5.0, 0.0, 5.0, 1.5) for i in range(40)]
+    df = spark.createDataFrame(rows, "symbol string, horizon int, day date, actual double, q05 double, q25 double, q50 double, q75 double, q95 double")
+    y = np.array([r[3] for r in rows[:26]])
+    for method, level, weight in (("conformal", 0.9, 1.0), ("asymmetric_lower_tail", 0.5, 0.1)):
+        got = forecasts.widened(df, method).collect()
+        up = weight * max(np.quantile(y - 1.5, level), 0)
+        assert len(got) == 14 and all(r.q05 == -10.0 and r.q25 == -5.0 and r.q75 == pytest.approx(1.5 + up) and r.q95 == 5.0 for r in got)
+    assert all(r.q05 > -10.0 for r in forecasts.additive_quantile(df).collect())

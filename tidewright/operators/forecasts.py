@@ -199,7 +199,30 @@ def terciles(losses: DataFrame) -> DataFrame:
     return ranked.withColumn("bucket", bucket_of_rank(F.col("r"), F.col("n"), 3)).groupBy("symbol", "horizon", "bucket").agg(F.count(F.lit(1)).alias("observations"), F.avg("wis").alias("wis"), F.avg((F.signum("q50") == F.signum(actual())).cast("double")).alias("hit_rate"))
 
 
-def conformal(losses: DataFrame, fit_share: float = 0.65) -> DataFrame:
+def _residual(name: str, level: float, sign: int, weight: float = 1.0) -> Column:
+    """Quantile of the residual on one side (sign -1: below the forecast), which only widens."""
+    return weight * sign * F.greatest(F.percentile(sign * (actual() - F.col(name)), level), F.lit(0.0))
+
+
+#: Adjustments of each quantile by method, over the rows to fit.
+WIDENING = {
+    "conformal": lambda: [_residual("q05", 0.9, -1), _residual("q25", 0.5, -1), F.median(actual() - F.col("q50")), _residual("q75", 0.5, 1), _residual("q95", 0.9, 1)],
+    "asymmetric_lower_tail": lambda: [_residual("q05", 0.9, -1), _residual("q25", 0.75, -1, 0.65), 0.25 * F.median(actual() - F.col("q50")), _residual("q75", 0.35, 1, 0.25), _residual("q95", 0.5, 1, 0.1)],
+}
+
+
+def widened(losses: DataFrame, method: str, fit_share: float = 0.65) -> DataFrame:
+    """One-sided calibration: the outer quantiles of the later rows move outwards or stay; rows without a fit keep theirs."""
+    k = Window.partitionBy("symbol", "horizon")
+    df = losses.withColumn("_f", F.row_number().over(k.orderBy("day")) / F.count(F.lit(1)).over(k))
+    whole = reduce(lambda a, b: a & b, [x.isNotNull() for x in (actual(), *predicted())])
+    shift = df.where((F.col("_f") <= fit_share) & whole).groupBy("symbol", "horizon").agg(*[x.alias(f"s_{n}") for x, n in zip(WIDENING[method](), NAMES, strict=True)])
+    later = df.where(F.col("_f") > fit_share).join(F.broadcast(shift), ["symbol", "horizon"], "left")  # a row a symbol and horizon
+    ordered = F.array_sort(F.array(*[q + F.coalesce(f"s_{n}", F.lit(0.0)) for q, n in zip(predicted(), NAMES, strict=True)]))
+    return later.select("symbol", "horizon", "day", "actual", *[ordered[i].alias(n) for i, n in enumerate(NAMES)])
+
+
+def additive_quantile(losses: DataFrame, fit_share: float = 0.65) -> DataFrame:
     """Additive quantile calibration: residual quantiles of the first rows move the quantiles of the later ones, which are sorted again."""
     k = Window.partitionBy("symbol", "horizon")
     df = losses.withColumn("_f", F.row_number().over(k.orderBy("day")) / F.count(F.lit(1)).over(k))

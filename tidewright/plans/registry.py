@@ -548,7 +548,18 @@ s AS (SELECT symbol, horizon, {', '.join(f'quantile_cont(y - {n}, {q}) AS s_{n}'
 z AS (SELECT k.symbol, k.horizon, day, y, list_sort([{', '.join(f'{n} + s_{n}' for n in fc.NAMES)}]) AS q FROM k JOIN s USING (symbol, horizon) WHERE part > 0.65)
 SELECT symbol, horizon, day, round(y, 6) AS actual, {', '.join(f'round(q[{i}], 6) AS {n}' for i, n in enumerate(fc.NAMES, 1))} FROM z""")
 def conformal_calibration(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(fc.conformal(fc.with_losses(fc.cone(fc.forward_targets(bars(spark, d))))))
+    """Additive quantile calibration; the name stays because its SQL is registered under it."""
+    return rounded(fc.additive_quantile(fc.with_losses(fc.cone(fc.forward_targets(bars(spark, d))))))
+
+
+@query()
+def conformal_widening(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(fc.widened(fc.with_losses(fc.cone(fc.forward_targets(bars(spark, d)))), "conformal"))
+
+
+@query()
+def asymmetric_lower_tail(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(fc.widened(fc.with_losses(fc.cone(fc.forward_targets(bars(spark, d)))), "asymmetric_lower_tail"))
 
 
 @query()
