@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes
 each stage's result to the shared folder and reads it back for the next one.
-Rows that repeat a doc_id count as one document in the third stage. Null texts
-and texts without a letter go in the second stage.
+Null texts and texts without a letter go in the second stage. Rows with one
+doc_id and different texts are documents of their own in the third.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import bpe, decontaminate, language, ngramjoin, toxicity
-from tidewright.llm.storage import materialise, new_path, release
+from tidewright.llm.storage import materialise, new_path, prepare
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if one language holds at least this share of its letters.
@@ -21,14 +21,15 @@ MIN_LANGUAGE_SHARE = 0.35
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the ids; the ids are broadcast if they are few, and joined by shuffle otherwise."""
-    few = ids.count() <= ngramjoin.BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+def _without(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs without the keys; the keys are broadcast if they are few, and joined by shuffle otherwise."""
+    few = keys.count() <= ngramjoin.BROADCAST_ROWS
+    return docs.join(F.broadcast(keys) if few else keys, key, "left_anti")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below one half."""
+    prepare(spark)
     docs = docs.select(*COLUMNS)
     model = toxicity.fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.tag(docs, model, COLUMNS).where(F.col("score") < 0.5).select(*COLUMNS)
@@ -36,30 +37,37 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def reject_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language."""
+    prepare(spark)
     docs = docs.select(*COLUMNS)
     found = language.identify(docs, language.fit_documents(docs), COLUMNS)
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*COLUMNS)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies."""
+    """One row of each group of near copies: the one with the least doc_id, and then the least hash of its text.
+
+    Rows with one doc_id and different texts are documents of their own. Texts without words are in no group.
+    """
+    prepare(spark)
     docs = docs.select(*COLUMNS)
-    groups = materialise(ngramjoin.near_duplicates(docs), "groups")
-    copies = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    repeated = groups.where((F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
-    repeated = materialise(repeated, "repeated", free=False)
-    kept = _without(docs, copies)
+    rows = materialise(ngramjoin.groups(docs).where(F.col("component").isNotNull()).select("component", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("row")), "groups")
+    first = rows.groupBy("component").agg(F.min("row").alias("first"))
+    others = materialise(rows.join(first, "component").where(F.col("row") != F.col("first")).select("row").distinct(), "others")
+    repeated = materialise(rows.groupBy("row").count().where(F.col("count") > 1).select("row"), "repeated")
+    keyed = docs.withColumn("row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text_hash")))
+    kept = _without(keyed, others, "row")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(kept, repeated).unionByName(once)
+        return kept.drop("row")
+    once = kept.join(repeated, "row", "left_semi").dropDuplicates(["row"])
+    return _without(kept, repeated, "row").unionByName(once).drop("row")
 
 
 def reject_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item's template."""
+    prepare(spark)
     docs = docs.select(*COLUMNS)
     pairs = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, materialise(pairs.select("doc_id").distinct(), "leaks", free=False))
+    return _without(docs, materialise(pairs.select("doc_id").distinct(), "leaks"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,10 +83,9 @@ STAGES = [("toxicity", reject_toxic), ("language", reject_no_language), ("near_c
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        release(spark)
         docs = spark.read.parquet(path)
     return docs

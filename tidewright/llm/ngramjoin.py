@@ -24,8 +24,10 @@ first n - ceil(0.8 n) + l. So:
 
 Tables: documents(doc_id, text). Null texts and texts without words have the
 empty set and stay alone; a text of fewer words than a shingle is one shingle.
-Repeated rows are copies. Ties of doc_id are allowed; extra columns are not
-carried; an empty table gives an empty result.
+Repeated rows are copies. Ties of doc_id are allowed. Rows with a null doc_id
+take part in links; a component of such rows alone has a null component_id.
+Whole texts of any length are read. Extra columns are not carried; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,11 +37,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.graph import components
-from tidewright.llm.storage import input_bytes, materialise, most_frequent, new_path, remove
+from tidewright.llm.storage import discard, input_bytes, materialise, most_frequent
 from tidewright.llm.textkernel import mix, slices, words
 
 N = 5
@@ -48,6 +50,8 @@ PERCENT = 80
 HOT_TOKENS = 1 << 17
 #: Documents that share a shingle before it counts as frequent.
 HOT_LEAST = 8
+#: Shingles that a task sorts at once.
+SORTED_TOKENS = 1 << 20
 #: Keys up to this many are broadcast to pick documents; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 _SALTS = tuple(np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
@@ -120,23 +124,33 @@ def _unpack(data: bytes) -> np.ndarray:
     return full.view("<u4").ravel().cumsum(dtype=np.uint32)
 
 
+def _packed(parts: list[np.ndarray], low: np.uint64) -> pa.RecordBatch:
+    """Buckets and the packed low bits of the top 40 bits of their tokens."""
+    short = np.sort(np.concatenate(parts) >> np.uint64(24))
+    bucket = (short >> low).astype(np.int64)
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    rest = (short & np.uint64((1 << int(low)) - 1)).astype(np.uint32)
+    packed = [_pack(x) for x in np.split(rest, at[1:])] if len(at) else []
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+
+
 def frequent_tokens(docs: DataFrame, limit: int = HOT_TOKENS) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens (their top 40 bits, ascending) and a class 1 to 63 by frequency."""
-    bits = int(np.clip(np.ceil(np.log2(max(input_bytes(docs), 1) / 2e6)), 8, 18))
+    bits = int(np.clip(np.ceil(np.log2(max(input_bytes(docs), 1) / 2e6)), 8, 30))
     low = np.uint64(40 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            parts = [s for _, texts in slices(batch) for s in shingle_sets(texts)]
-            if not parts:
-                continue
-            short = np.sort(np.concatenate(parts) >> np.uint64(24))
-            bucket = (short >> low).astype(np.int64)
-            at = np.flatnonzero(np.diff(bucket, prepend=-1))
-            rest = (short & np.uint64((1 << int(low)) - 1)).astype(np.uint32)
-            packed = [_pack(x) for x in np.split(rest, at[1:])] if len(at) else []
-            if packed:
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+            for _, texts in slices(batch):
+                for s in shingle_sets(texts):
+                    parts.append(s)
+                    held += len(s)
+                    if held >= SORTED_TOKENS:
+                        yield _packed(parts, low)
+                        parts, held = [], 0
+        if held:
+            yield _packed(parts, low)
 
     def total(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         value, n = np.unique(np.concatenate([_unpack(x) for x in frame["packed"]]), return_counts=True)
@@ -144,7 +158,9 @@ def frequent_tokens(docs: DataFrame, limit: int = HOT_TOKENS) -> tuple[np.ndarra
         return pd.DataFrame({"token": (np.uint64(key[0]) << low | value[keep].astype(np.uint64)).astype(np.int64), "n": n[keep].astype(np.int64)})
 
     counted = docs.select("text").mapInArrow(count, "bucket long, packed binary").groupBy("bucket").applyInPandas(total, "token long, n long")
-    top = most_frequent(materialise(counted, "frequent"), "n", limit).toPandas()
+    counted = materialise(counted, "frequent")
+    top = most_frequent(counted, "n", limit).toPandas()
+    discard(counted)
     if not len(top):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     top = top.sort_values("token")
@@ -152,7 +168,7 @@ def frequent_tokens(docs: DataFrame, limit: int = HOT_TOKENS) -> tuple[np.ndarra
 
 
 def sketch(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, key (of the set), prefix (first order, in it) and further (second order, 32 bits a token) of each row."""
+    """doc_id, text_hash, n, key (of the set), prefix (first order, in it) and further (second order, 32 bits a token) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +186,9 @@ def sketch(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                     more = np.sort((prefix(s, ordered(s, 1, shared.value), long_prefix(n)) >> np.uint64(32)).astype("<u4"))
                     rows.append((n, key, first.view(np.int64), more.tobytes()))
                 n, key, first, more = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(more, pa.binary())], names=["doc_id", "n", "key", "prefix", "further"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(more, pa.binary())], names=["doc_id", "text_hash", "n", "key", "prefix", "further"])
 
-    return docs.select("doc_id", "text").mapInArrow(f, "doc_id long, n int, key long, prefix array<long>, further binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(f, "doc_id long, text_hash long, n int, key long, prefix array<long>, further binary")
 
 
 def long_prefix(n: int) -> int:
@@ -181,8 +197,13 @@ def long_prefix(n: int) -> int:
 
 
 def _share(a: bytes, b: bytes, need: int) -> bool:
-    """Whether the second order's prefixes have `need` tokens in common; two may be lost to equal 32-bit parts."""
-    return len(np.intersect1d(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"))) >= max(1, need - 2)
+    """Whether the second order's prefixes have `need` tokens in common, but for those that equal 32-bit parts hide.
+
+    Common tokens with equal parts count once; there are no more of them than repeated parts in either prefix.
+    """
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    u, v = np.unique(x), np.unique(y)
+    return len(np.intersect1d(u, v, assume_unique=True)) >= max(1, need - min(len(x) - len(u), len(y) - len(v)))
 
 
 def _filter_pairs(pairs: DataFrame, further: DataFrame) -> DataFrame:
@@ -199,11 +220,16 @@ def _filter_pairs(pairs: DataFrame, further: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(f, "a long, b long")
 
 
+def _known(column: str) -> Column:
+    """The key as a join column in which a null equals a null."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("null"))
+
+
 def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
-    """key and whole set of the classes named by keys(key); read again from one document of each."""
+    """key and whole set of the classes named by keys(key); read again from the documents with the id of one of each."""
     wanted = materialise(classes.join(keys.distinct(), "key", "left_semi").select("key", "rep"), "wanted")
-    few = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    chosen = docs.select("doc_id", "text").join(F.broadcast(few) if wanted.count() <= BROADCAST_ROWS else few, "doc_id", "left_semi")
+    few = wanted.select(_known("rep").alias("_id")).distinct()
+    chosen = docs.select("text", _known("doc_id").alias("_id")).join(_small(few, wanted), "_id", "left_semi").select("text")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +239,16 @@ def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
                     keys = [set_key(s) for s in sets]
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "tokens"])
 
-    return chosen.mapInArrow(f, "key long, tokens binary").dropDuplicates(["key"])
+    # rows that share an id with a wanted one go before the sets are shuffled
+    named = chosen.mapInArrow(f, "key long, tokens binary").join(_small(wanted.select("key"), wanted), "key", "left_semi")
+    out = materialise(named.dropDuplicates(["key"]), "sets")
+    discard(wanted)
+    return out
+
+
+def _small(df: DataFrame, of: DataFrame) -> DataFrame:
+    """df, broadcast if the step that it comes from has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if of.count() <= BROADCAST_ROWS else df
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -247,28 +282,39 @@ def _in_place(n: str, pos: str, n2: str, pos2: str) -> Column:
     return (100 + PERCENT) * F.least(F.col(n) - F.col(pos), F.col(n2) - F.col(pos2)) >= PERCENT * (F.col(n) + F.col(n2))
 
 
+def _band(n: str) -> Column:
+    """Sizes within the similarity are in one band or in two that follow each other."""
+    return F.floor(F.ln(F.col(n).cast("double")) / F.lit(float(np.log(100 / PERCENT)))).cast("int")
+
+
 def _links(docs: DataFrame, candidates: DataFrame, further: DataFrame, classes: DataFrame, name: str) -> DataFrame:
     left = materialise(_filter_pairs(candidates, further), f"{name}-pairs")
     keys = left.select(F.col("a").alias("key")).union(left.select(F.col("b").alias("key")))
-    sets = materialise(_sets(docs, keys, classes), f"{name}-sets")
-    return materialise(_verify(left, sets), f"{name}-links")
+    sets = _sets(docs, keys, classes)
+    links = materialise(_verify(left, sets), f"{name}-links")
+    discard(left, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every row."""
-    spark = docs.sparkSession
-    path = new_path(spark, "sketch")
-    sketch(docs, frequent_tokens(docs)).write.parquet(path)
-    wide = spark.read.parquet(path)
-    sketched = materialise(wide.select("doc_id", "n", "key"), "keys")
+    return groups(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component (a key of its own for each component, null without words) and component_id of every row."""
+    wide = materialise(sketch(docs, frequent_tokens(docs)), "sketch")
+    sketched = materialise(wide.select("doc_id", "text_hash", "n", "key"), "keys")
     full = sketched.where(F.col("n") > 0)
     classes = materialise(wide.where(F.col("n") > 0).groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix"), F.any_value("further").alias("further")), "classes")
-    remove(spark, path)
+    discard(wide)
     further = classes.select("key", "further")
-    # tokens that two classes share, and their least and greatest class
+    # tokens that two classes share, with the least class, the one that has the token earliest, and the group's size
     rows = classes.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
-    ends = rows.groupBy("token").agg(F.min(F.struct("n", "key", "pos")).alias("low"), F.max(F.struct("n", "key", "pos")).alias("high"), F.min(F.struct("pos", "n", "key")).alias("first"), F.count(F.lit(1)).alias("size")).where(F.col("low.key") != F.col("high.key"))
-    common = materialise(rows.join(ends, "token"), "common")
+    group = Window.partitionBy("token")
+    low, first = F.min(F.struct("n", "key")).over(group), F.min(F.struct("pos", "n", "key")).over(group)
+    ends = rows.withColumns({"low": low, "first": first, "size": F.count(F.lit(1)).over(group)})
+    common = materialise(ends.where(F.col("size") > 1), "common")  # a class has a token once
     leads = common.groupBy("key", "n").agg(F.min("low").alias("x"), F.min("first").alias("y"), F.max_by("first", F.struct("size", "token")).alias("z"))
     one = lambda c: F.struct(F.col(f"{c}.key").alias("key"), F.col(f"{c}.n").alias("n"))
     pairs = leads.select("key", "n", F.explode(F.array(one("x"), one("y"), one("z"))).alias("e")).select("key", "n", F.col("e.key").alias("k2"), F.col("e.n").alias("n2")).where((F.col("key") != F.col("k2")) & _alike("n", "n2"))
@@ -283,20 +329,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # pairs of different components in one token group
     placed = common.select("token", "key", "n", "pos").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     placed = materialise(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(F.col("l") != F.col("h")).select("token")
-    counts = placed.join(mixed, "token", "left_semi").groupBy("token", "label").count()
-    largest = counts.groupBy("token").agg(F.max(F.struct("count", "label"))["label"].alias("largest"))
-    split = materialise(placed.join(largest, "token"), "split")
-    outside = split.where(F.col("label") != F.col("largest")).select("token", "key", "n", "pos", "label")
-    every = split.select("token", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"), (F.col("label") == F.col("largest")).alias("main"))
-    cross = outside.join(every, "token").where((F.col("label") != F.col("label2")) & (F.col("main") | (F.col("key") < F.col("k2"))) & _alike("n", "n2") & _in_place("n", "pos", "n2", "pos2"))
-    second = as_pairs(cross.select("key", "n", "k2", "n2")).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    discard(common, labels)
+    counts = placed.groupBy("token", "label").count()
+    largest = counts.groupBy("token").agg(F.max(F.struct("count", "label"))["label"].alias("largest"), F.count(F.lit(1)).alias("labels")).where(F.col("labels") > 1).select("token", "largest")
+    split = materialise(placed.join(largest, "token").withColumn("band", _band("n")), "split")
+    discard(placed)
+    outside = split.where(F.col("label") != F.col("largest")).select("token", "band", "key", "n", "pos", "label")
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    every = split.select("token", near.alias("band"), F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"), (F.col("label") == F.col("largest")).alias("main"))
+    cross = outside.join(every, ["token", "band"]).where((F.col("label") != F.col("label2")) & (F.col("main") | (F.col("key") < F.col("k2"))) & _alike("n", "n2") & _in_place("n", "pos", "n2", "pos2"))
+    second = materialise(as_pairs(cross.select("key", "n", "k2", "n2")).join(first.select("a", "b"), ["a", "b"], "left_anti"), "second-pairs")
+    discard(split, first)
     more = _links(docs, second, further, classes, "second")
     final = components(links.union(more))
+    discard(second, links, more)
     # least doc_id of each component, back to the rows
     named = classes.select("key", "rep").join(final.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_key = named.join(least, "label").select("key", "component_id")
-    linked = full.select("doc_id", "n", "key").join(by_key, "key").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = sketched.where(F.col("n") == 0).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    by_key = materialise(named.join(least, "label").select("key", F.col("label").alias("component"), "component_id"), "by-key")
+    discard(classes, final)
+    linked = full.join(by_key, "key").select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "component", "component_id")
+    alone = sketched.where(F.col("n") == 0).select("doc_id", "text_hash", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

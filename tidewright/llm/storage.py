@@ -7,7 +7,6 @@ here survives lost executors, and its lineage ends.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -15,9 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of text that reach a Python worker at once.
+BATCH_BYTES = "8m"
+#: Steps that may be discarded, by identity.
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings of this subpackage's jobs: small Arrow batches, and no shuffle files kept after their job."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`; where it is unset, a folder of this machine, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,21 +43,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidewright/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, free: bool = True, **options: str) -> DataFrame:
-    """Write a step and read it back. `free` lets Spark's cleaner drop the shuffle files of plans that are gone."""
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a step and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
     df.write.options(**options).mode("overwrite").parquet(path)
-    if free:
-        release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Collect garbage on the driver, which makes Spark delete the shuffle files of finished plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*steps: DataFrame) -> None:
+    """Delete steps that `materialise` returned and that no later plan reads."""
+    for df in steps:
+        remove(df.sparkSession, _paths.pop(id(df))[1])
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

@@ -8,14 +8,12 @@ loop over words. Memory is about 60 bytes a code point of the slice in hand;
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_CHARS = 500_000
+SLICE_CHARS = 250_000
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _tables: dict[str, np.ndarray] = {}
@@ -59,14 +57,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_CHARS
                 start, size = i, 0
             size += len(t)
         yield part.slice(start), texts[start:]
-    tidy()
-
-
-def tidy() -> None:
-    """Give memory that allocators hold back to the system, once a batch; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +81,10 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RunHasher:
-    """64-bit hashes of c[start:end] for any runs of the code points c."""
+    """64-bit hashes of c[start:end] for any runs of the code points c, for features.
+
+    A polynomial modulo 2**64, for which texts can be made that collide; keys that decide equality take `hash_runs`.
+    """
 
     def __init__(self, c: np.ndarray) -> None:
         p, self.inverse = powers(len(c) + 1)
@@ -101,8 +95,27 @@ class RunHasher:
         return mix((self.total[ends] - self.total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def multipliers(n: int) -> np.ndarray:
+    """n independent random odd multipliers, one for each place in a run."""
+    if "odd" not in _tables or len(_tables["odd"]) < n:
+        _tables["odd"] = mix(np.arange(max(n, 4096), dtype=np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+    return _tables["odd"]
+
+
 def hash_runs(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return RunHasher(c)(starts, ends)
+    """64-bit keys of the runs c[start:end]: each code point's random value times a random multiplier of its place.
+
+    The multipliers are independent, so no text is known whose key another one shares.
+    """
+    length = ends - starts
+    odd = multipliers(int(length.max(initial=0)))
+    index = ragged(starts, length)
+    value = code_table()[c[index]]
+    value *= odd[index - np.repeat(starts, length)]
+    total = np.zeros(len(index) + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    at = np.append(0, np.cumsum(length))
+    return mix(total[at[1:]] - total[at[:-1]] + length.astype(np.uint64))
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +137,3 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     firsts = np.cumsum(lengths) - lengths
     return np.arange(total) + np.repeat(starts - firsts, lengths)
-
-
-def same_rows(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
-    return [batch.column(n) for n in names]
