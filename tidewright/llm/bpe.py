@@ -1,11 +1,15 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
-A long text is cut into chunks that overlap. Each chunk is pre-tokenised and
-its pre-tokens are encoded on its own, in parallel; then the chunks of a text
-are stitched where a boundary of one chunk is also a boundary of the next:
-from there on both agree, because a pre-token depends only on the text ahead
-of its start. If an overlap has no common boundary, the text is split again
-from the last sure boundary. Decoding concatenates the bytes of the ids.
+Texts are cut into chunks of CHUNK_CHARS that overlap by OVERLAP_CHARS. All
+chunks of a slice are pre-tokenised at once; then the chunks of a text are
+stitched where a boundary of one chunk is also a boundary of the next: from
+there on both agree, because a pre-token depends only on the text ahead of its
+start. The pre-tokens that are left are encoded, each different one once. If an
+overlap has no common boundary, the text is split again as a whole. Decoding
+concatenates the bytes of the ids.
+
+Texts above FAR_CHARS are dealt out in larger chunks, so that one text keeps
+several tasks busy; their chunks are stitched in the same way when they meet.
 
 Nulls and empty texts have no ids. Repeated rows are encoded each. Columns
 other than the key and the text are not carried. An empty table gives an
@@ -27,10 +31,14 @@ from pyspark.sql import functions as F
 from tidewright.llm.pretoken import PieceCache, boundaries, split_batch
 from tidewright.llm.textkernel import codes, ragged, slices
 
-CHUNK_CHARS = 65_536
-OVERLAP_CHARS = 1_024
+CHUNK_CHARS = 1_024
+OVERLAP_CHARS = 128
+#: Texts above this are dealt out in chunks of FAR_CHUNK code points with FAR_OVERLAP.
+FAR_CHARS = 1 << 20
+FAR_CHUNK = 1 << 18
+FAR_OVERLAP = 1_024
 #: Pieces that a worker keeps encoded.
-CACHED_PIECES = 150_000
+CACHED_PIECES = 500_000
 #: A match may depend on so many characters after its end.
 LOOKAHEAD = 4
 
@@ -70,13 +78,64 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _bytes[path]
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
+def cut(texts: list[str], chunk: int, overlap: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Chunks of all texts in order, the text of each and its start there."""
+    parts, owner, start = [], [], []
+    for i, t in enumerate(texts):
+        for at in range(0, len(t), chunk):
+            parts.append(t[at : at + chunk + overlap])
+            owner.append(i)
+            start.append(at)
+            if at + chunk + overlap >= len(t):
+                break
+    return parts, np.array(owner, np.int64), np.array(start, np.int64)
+
+
+def stitched(texts: list[str], chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Pre-tokens of the texts from their chunks.
+
+    Returns the joined chunks, their code points, starts and ends of the pre-tokens, the text of each, and the texts
+    with an overlap without a common boundary, which have no pre-tokens here.
+    """
+    parts, owner, start = cut(texts, chunk, overlap)
+    joined, c, starts, ends, first = split_batch(parts)
+    m = len(parts)
+    if not m:
+        return joined, c, starts[:0], ends[:0], owner, []
+    size = np.array([len(p) for p in parts], np.int64)
+    k = np.repeat(np.arange(m), np.diff(first))
+    shift = start - (np.cumsum(size + 1) - size - 1)
+    pos, stop, end = starts + shift[k], ends + shift[k], start + size
+    follows = owner[1:] == owner[:-1]
+    more, before = np.append(follows, False), np.append(False, follows)
+    # boundaries of a chunk that the text after it can't change, and boundaries of the next chunk in the overlap
+    sure = more[k] & (stop < end[k] - LOOKAHEAD) & (pos >= np.append(start[1:], 0)[k])
+    again = before[k] & (pos < np.append(0, end[:-1])[k])
+    common = np.intersect1d(k[sure] << 40 | pos[sure], (k[again] - 1) << 40 | pos[again], assume_unique=True)
+    pair, at = np.unique(common >> 40, return_index=True)
+    meet = np.full(m, -1, np.int64)
+    meet[pair] = common[at] & ((1 << 40) - 1)
+    lost = np.unique(owner[more & (meet < 0)])
+    keep = (~before[k] | (pos >= np.append(0, meet[:-1])[k])) & (~more[k] | (pos < meet[k])) & ~np.isin(owner[k], lost)
+    return joined, c, starts[keep], ends[keep], owner[k[keep]], lost.tolist()
+
+
+def encode_texts(texts: list[str], path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
-    joined, c, starts, ends, first = split_batch(texts)
+    joined, c, starts, ends, owner, lost = stitched(texts, chunk, overlap)
     ids, sizes = piece_cache(path).lookup(c, starts, ends, joined)
-    at = np.append(0, np.cumsum(sizes))[first]
+    at = np.append(0, np.cumsum(sizes))[np.searchsorted(owner, np.arange(len(texts) + 1))]
     raw = ids.astype("<u4").tobytes()
-    return [raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    out = [raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    for i in lost:
+        out[i] = encode_whole(texts[i], path)
+    return out
+
+
+def encode_whole(text: str, path: str) -> bytes:
+    """Ids of a text that is pre-tokenised in one piece."""
+    joined, c, starts, ends, _ = split_batch([text])
+    return piece_cache(path).lookup(c, starts, ends, joined)[0].astype("<u4").tobytes()
 
 
 def decode_ids(ids: list[bytes], path: str) -> list[bytes]:
@@ -140,7 +199,7 @@ def stitch(chunks: list[dict], path: str) -> bytes:
                 stop = int(np.searchsorted(b, p))
                 rest = "".join(z["text"][: (chunks[i + 1]["start"] - z["start"]) if i + 1 < len(chunks) else None] for i, z in enumerate(chunks) if i >= k)[p - x["start"] :]
                 out.append(_ids(x, sizes, first, stop))
-                out.extend(encode_texts([rest], path))
+                out.append(encode_whole(rest, path))
                 break
             stop = int(np.searchsorted(b, common[0]))
         out.append(_ids(x, sizes, first, stop))
@@ -160,21 +219,22 @@ def _stitch_group(key: tuple, frame: pd.DataFrame, path: str) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": [chunks[0]["doc_id"]], "ids": [stitch(chunks, path)]})
 
 
-def encode(docs: DataFrame, ranks_path: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, far_chars: int = FAR_CHARS, far_chunk: int = FAR_CHUNK, far_overlap: int = FAR_OVERLAP) -> DataFrame:
     """Columns doc_id and ids (little-endian unsigned 32-bit) of every row of docs(doc_id, text)."""
     rows = docs.select("doc_id", "text")
-    long = F.length("text") > chunk_chars
+    far = F.coalesce(F.length("text") > far_chars, F.lit(False))
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(encode_texts(texts, ranks_path), pa.binary())], names=["doc_id", "ids"])
-
-    whole = rows.where(~F.coalesce(long, F.lit(False))).mapInArrow(short, "doc_id long, ids binary")
-    cut = rows.where(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(lambda it: _cut(it, chunk_chars, overlap_chars), "row long, doc_id long, chunk int, start long, last boolean, text string")
-    parts = cut.repartition("row", "chunk").mapInArrow(lambda it: _encode_chunks(it, ranks_path), "row long, doc_id long, chunk int, start long, last boolean, text string, bounds binary, ids binary, sizes binary")
-    stitched = parts.groupBy("row").applyInPandas(lambda k, f: _stitch_group(k, f, ranks_path), "doc_id long, ids binary")
-    return whole.unionByName(stitched)
+                ids = encode_texts(texts, ranks_path, chunk_chars, overlap_chars)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    whole = rows.where(~far).mapInArrow(here, "doc_id long, ids binary")
+    dealt = rows.where(far).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(lambda it: _cut(it, far_chunk, far_overlap), "row long, doc_id long, chunk int, start long, last boolean, text string")
+    parts = dealt.repartition("row", "chunk").mapInArrow(lambda it: _encode_chunks(it, ranks_path), "row long, doc_id long, chunk int, start long, last boolean, text string, bounds binary, ids binary, sizes binary")
+    met = parts.groupBy("row").applyInPandas(lambda k, f: _stitch_group(k, f, ranks_path), "doc_id long, ids binary")
+    return whole.unionByName(met)
 
 
 def decode(tokens: DataFrame, ranks_path: str, out: str = "decoded") -> DataFrame:
