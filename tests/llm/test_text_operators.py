@@ -31,8 +31,8 @@ def empty(df):
 
 def test_bpe_equals_the_library(odd):
     want = sorted((str(r.doc_id), *bpe.reference_digest(r.text, RANKS)) for r in odd.collect())
-    for chunk, overlap in ((65_536, 1_024), (200, 16), (50, 2)):
-        got = bpe.digests(bpe.decode(bpe.encode(odd, RANKS, chunk, overlap), RANKS)).collect()
+    for chunk, overlap, far in ((1_024, 128, 1 << 20), (200, 16, 10_000), (50, 2, 100)):
+        got = bpe.digests(bpe.decode(bpe.encode(odd, RANKS, chunk, overlap, far, chunk, overlap), RANKS)).collect()
         assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
     assert bpe.encode(empty(odd), RANKS).count() == 0
 
@@ -41,8 +41,8 @@ def test_token_files_equal_the_library(odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    docs = odd.where("doc_id is not null")
+    special = odd.selectExpr("doc_id + 900 as doc_id", "concat('hello <|endoftext|> world', text) as text").where("doc_id is not null and text is not null")
+    docs = odd.where("doc_id is not null").select("doc_id", "text").unionByName(special)
     got = {}
     for r in tokenfiles.token_table(docs, JSON).collect():
         got.setdefault(r.doc_id, []).append((r.start, r.n_tokens, r.ids_crc32))

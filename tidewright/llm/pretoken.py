@@ -86,55 +86,64 @@ def boundaries(c: np.ndarray, at: np.ndarray) -> np.ndarray:
 class PieceCache:
     """Ids of pieces by their hash; `encode` gives the ids of a list of pieces.
 
-    At most `limit` pieces are kept, then the cache starts anew. Pieces above
-    `longest` code points are always encoded afresh.
+    Keys are one sorted array, so that a slice's pieces are looked up at once. At most `limit` pieces are kept, then
+    the cache starts anew. Pieces above `longest` code points are always encoded afresh.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000, longest: int = 512) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 800_000, longest: int = 512) -> None:
         self.encode, self.limit, self.longest = encode, limit, longest
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)
+        self.slot = np.zeros(0, np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int32)
         self.used = 0
 
-    def _add(self, keys: list[int], found: list[list[int]]) -> None:
-        ids = np.fromiter((x for y in found for x in y), np.uint32)
-        sizes = np.fromiter(map(len, found), np.int32, len(found))
+    def _add(self, keys: np.ndarray, found: list[list[int]]) -> None:
+        ids = np.array([x for y in found for x in y], np.uint32)
+        sizes = np.array([len(y) for y in found], np.int32)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        n = len(self.index)
+        n = len(self.keys)
         while n + len(keys) > len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.at[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(keys)] = sizes
-        self.index.update(zip(keys, range(n, n + len(keys)), strict=True))
+        order = np.argsort(keys)
+        place = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, place, keys[order])
+        self.slot = np.insert(self.slot, place, n + order.astype(np.int32))
         self.used += len(ids)
 
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 where it is not kept."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.slot[at], -1)
+
     def lookup(self, c: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and the number of ids of each piece. `text` has the code points c."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         keys = hash_runs(c, starts, ends)
         which, different = pd.factorize(keys)
-        first = np.zeros(len(different), np.int64)
-        first[which[::-1]] = np.arange(len(keys) - 1, -1, -1)
-        if len(self.index) + len(different) > self.limit:
+        if len(self.keys) + len(different) > self.limit:
             self.clear()
-        different = different.tolist()
-        place = [self.index.get(k, -1) for k in different]
-        missing = [i for i, p in enumerate(place) if p < 0]
-        if missing:
-            pieces = [text[starts[first[i]] : ends[first[i]]] for i in missing]
-            self._add([different[i] for i in missing], self.encode(pieces))
-            for i in missing:
-                place[i] = self.index[different[i]]
-        slot = np.array(place, np.int64)[which]
+        place = self._find(different)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            first = np.zeros(len(different), np.int64)
+            first[which[::-1]] = np.arange(len(keys) - 1, -1, -1)
+            at = first[missing]
+            self._add(different[missing], self.encode([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
+            place = self._find(different)
+        slot = place[which]
         sizes = self.size[slot].astype(np.int64)
         ids = self.flat[ragged(self.at[slot], sizes)]
         far = np.flatnonzero(ends - starts > self.longest)

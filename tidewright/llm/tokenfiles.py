@@ -17,8 +17,10 @@ no rows. Other columns are not carried.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,30 +35,71 @@ END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 SCHEMA = "part int, row long, doc_id long, local_start long, n_tokens int, ids array<int>"
-_caches: dict[str, PieceCache] = {}
 
 
-def piece_cache(path: str) -> PieceCache:
+@dataclass
+class Pieces:
+    """A tokenizer file's own encoder, and the cache of its pre-tokens' ids where it is plain byte-level BPE."""
+
+    tokenizer: object
+    cache: PieceCache | None
+    special: list[str]
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+_loaded: dict[str, Pieces] = {}
+
+
+def byte_alphabet() -> dict[int, int]:
+    """The code point that stands for each byte in byte-level vocabularies: printable ones themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+def load(path: str) -> Pieces:
     """Pre-tokens are encoded by the tokenizers library's model, each different one once."""
-    if path not in _caches:
+    if path not in _loaded:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         tokenizer.no_truncation()
+        tokenizer.no_padding()
+        spec = json.loads(tokenizer.to_str())
+        split = spec["pre_tokenizer"] or {}
+        plain = spec["model"]["type"] == "BPE" and spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        model, letters = tokenizer.model, byte_alphabet()
 
         def encode(pieces: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            return [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))] for p in pieces]
 
-        _caches[path] = PieceCache(encode)
-    return _caches[path]
+        _loaded[path] = Pieces(tokenizer, PieceCache(encode) if plain else None, [t["content"] for t in spec["added_tokens"]])
+    return _loaded[path]
 
 
 def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids in a row with END_ID after each text, and each text's number of ids."""
-    joined, c, starts, ends, first = split_batch(texts)
-    ids, sizes = piece_cache(path).lookup(c, starts, ends, joined)
-    at = np.append(0, np.cumsum(sizes))[first]
+    """All ids in a row with END_ID after each text, and each text's number of ids.
+
+    A text that holds one of the tokenizer's added tokens, and any text of another kind of tokenizer, is encoded whole.
+    """
+    own = load(path)
+    odd = [i for i, t in enumerate(texts) if own.cache is None or any(x in t for x in own.special)]
+    plain = list(texts)
+    for i in odd:
+        plain[i] = ""
+    if own.cache is None:
+        ids, at = np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+    else:
+        joined, c, starts, ends, first = split_batch(plain)
+        ids, sizes = own.cache.lookup(c, starts, ends, joined)
+        at = np.append(0, np.cumsum(sizes))[first]
+    if odd:
+        parts = np.split(ids, at[1:-1])
+        for i in odd:
+            parts[i] = np.array(own.whole(texts[i]), np.uint32)
+        ids, at = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
     return np.insert(ids, at[1:], END_ID).astype(np.int32), np.diff(at) + 1
 
 
