@@ -237,9 +237,10 @@ def train(crf: Crf, sequences: list[tuple[Words, np.ndarray]], epochs: int = 6,
         owner = np.repeat(np.arange(n), u.ends - u.starts)
         index = np.concatenate([*fixed.T, i2[letters], i3[letters]])
         index[index < 0] = dims - 1
-        who = np.concatenate([*[np.arange(n)] * fixed.shape[1], owner, owner])
+        who = np.concatenate([*[np.arange(n)] * fixed.shape[1], owner, owner]).astype(np.int32)
         keep = index < dims - 1
         cells, place = np.unique(index[keep], return_inverse=True)
+        place = place.astype(np.int32)
         inner = np.setdiff1d(np.arange(w.count), w.first[:-1])
         seen = np.zeros((k, k))
         np.add.at(seen, (y[inner - 1], y[inner]), 1)

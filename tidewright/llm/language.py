@@ -4,9 +4,10 @@ Every word gets a label by forward-backward over affix, character n-gram and
 lexicon (whole word) features and learned transitions. A text's language is
 the label with the greatest share of its letters; `score` is that share.
 
-Every language that a row names is learned, from at most SAMPLE_DOCS texts of each, SAMPLE_WORDS
-words of each, chosen by a hash of the key; segments of different languages are
-joined, so that the transitions learn to switch. Prediction reads whole texts.
+Every language that a row names is learned, from at most SAMPLE_DOCS texts of each, chosen by a
+hash of the key. The texts are learned whole: each is cut into segments, and two segments of a
+step in random order are joined, so that the transitions learn to switch. Prediction reads whole
+texts.
 
 Texts that are null or have no letter get `und` with score 0. Repeated rows get
 equal results. Without any labelled row every text is `und`. Extra columns are
@@ -27,7 +28,8 @@ from tidewright.llm.textkernel import SLICE_CHARS, slices
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 160
-SAMPLE_WORDS = 200
+#: Words of a segment of a training text.
+SEGMENT_WORDS = 200
 #: The chosen keys are broadcast up to so many, and joined by shuffle otherwise.
 BROADCAST_ROWS = 1_000_000
 #: Slices are smaller by the square of the number of labels above this one.
@@ -55,7 +57,7 @@ def sample(labelled: DataFrame, key: str, label: str, size: int) -> list[tuple[s
     return [(r[0], r[1]) for r in got.orderBy("_h", "_k").collect()]
 
 
-def fit(rows: list[tuple[str, str]], words: int = SAMPLE_WORDS, bits: int = BITS, seed: int = 11) -> Crf | None:
+def fit(rows: list[tuple[str, str]], words: int = SEGMENT_WORDS, bits: int = BITS, seed: int = 11) -> Crf | None:
     """A CRF from (language, text) rows."""
     labels = sorted({r[0] for r in rows})
     if not labels:
@@ -64,21 +66,20 @@ def fit(rows: list[tuple[str, str]], words: int = SAMPLE_WORDS, bits: int = BITS
     segments: list[tuple[int, str]] = []
     for lang, text in rows:
         w = letter_words([text])
-        if w.count:
-            a = int(rng.integers(0, max(1, w.count - words)))
+        for a in range(0, w.count, words):
             b = min(w.count, a + words)
             segments.append((labels.index(lang), text[w.starts[a] : w.ends[b - 1]]))
     rng.shuffle(segments)
     batches = []
-    for i in range(0, len(segments), 16):
+    for i in range(0, len(segments), 32):
         texts, marks = [], []
-        part = segments[i : i + 16]
+        part = segments[i : i + 32]
         for j in range(0, len(part), 2):  # two segments in a row are one code-switched text
             two = part[j : j + 2]
             texts.append(" ".join(s for _, s in two))
             marks.append(np.concatenate([np.full(letter_words([s]).count, y) for y, s in two]))
         batches.append((letter_words(texts), np.concatenate(marks)))
-    return train(new_crf(bits, labels), batches, epochs=4)
+    return train(new_crf(bits, labels), batches, epochs=3)
 
 
 def predict(texts: list[str], crf: Crf | None) -> tuple[list[str], list[float], list[list[float]]]:

@@ -4,7 +4,7 @@ Learning, from at most SAMPLE_DOCS labelled texts by a hash of the key:
 1. Tokens get labels: words, prefixes and suffixes whose share of toxic
    documents departs from the base rate beyond chance (a binomial bound with
    the number of candidates in it) mark their tokens toxic in toxic documents.
-2. The CRF learns these tokens in windows of the sampled texts.
+2. The CRF learns these tokens in the whole sampled texts.
 3. Forward-backward marginals give each text an expected number of toxic
    tokens and a greatest marginal; a logistic fit on the document labels turns
    them into a score.
@@ -32,7 +32,8 @@ from tidewright.llm.language import held_out
 from tidewright.llm.textkernel import RunHasher, slices
 
 SAMPLE_DOCS = 2_500
-WINDOW_WORDS = 120
+#: Code points of the texts that one gradient step reads, but for a longer text.
+STEP_CHARS = 60_000
 BITS = 16
 MINE_PREFIXES = (3, 4, 5, 6)
 MINE_SUFFIXES = (4, 5, 6)
@@ -56,7 +57,7 @@ def candidates(w: Words) -> np.ndarray:
 
 
 def mine(docs: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Candidates tied to toxic documents; docs: label and candidates of each."""
+    """Candidates tied to toxic documents; docs: label and different candidates of each."""
     labels = np.array([y for y, _ in docs])
     rate = labels.mean()
     if not 0 < rate < 1:
@@ -64,7 +65,7 @@ def mine(docs: list[tuple[int, np.ndarray]]) -> np.ndarray:
     seen: list[tuple[np.ndarray, np.ndarray]] = []
     counts = []
     for y in (1, 0):
-        parts = [np.unique(c) for z, c in docs if z == y]
+        parts = [c for z, c in docs if z == y]
         counts.append(np.unique(np.concatenate(parts), return_counts=True))
     keys, toxic = counts[0]
     at = np.minimum(np.searchsorted(counts[1][0], keys), len(counts[1][0]) - 1)
@@ -97,33 +98,34 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 40)
     return b
 
 
+def _steps(texts: list[str], rng: np.random.Generator) -> list[list[int]]:
+    """All texts in a random order, in parts of about STEP_CHARS code points."""
+    parts: list[list[int]] = []
+    held = STEP_CHARS
+    for i in rng.permutation(len(texts)).tolist():
+        if held >= STEP_CHARS:
+            parts.append([])
+            held = 0
+        parts[-1].append(i)
+        held += len(texts[i])
+    return parts
+
+
 def fit(rows: list[tuple[int, str]], seed: int = 5) -> Model:
     """A model from (toxic, text) rows."""
     rate = float(np.clip(np.mean([y for y, _ in rows]) if rows else 0.0, 1e-4, 1 - 1e-4))
     constant = Model(None, np.array([0.0, 0.0, np.log(rate / (1 - rate))]))
-    docs = []
-    for y, t in rows:
-        w = letter_words([t])
-        docs.append((y, candidates(w)))
-    found = mine(docs) if docs else np.zeros(0, np.uint64)
+    found = mine([(y, np.unique(candidates(letter_words([t])))) for y, t in rows]) if rows else np.zeros(0, np.uint64)
     if not len(found):
         return constant
-    rng = np.random.default_rng(seed)
-    segments: list[tuple[str, np.ndarray]] = []
-    for (y, t), (_, c) in zip(rows, docs, strict=True):
-        if not len(c):
-            continue
-        w = letter_words([t])
-        mark = np.isin(c, found).any(1) if y else np.zeros(len(c), bool)
-        at = np.flatnonzero(mark)
-        centre = int(rng.choice(at)) if len(at) else int(rng.integers(0, len(c)))
-        a, b = max(0, centre - WINDOW_WORDS // 2), min(len(c), centre + WINDOW_WORDS // 2)
-        segments.append((t[w.starts[a] : w.ends[b - 1]], mark[a:b].astype(int)))
-    rng.shuffle(segments)
+
+    def mark(y: int, text: str) -> np.ndarray:
+        w = letter_words([text])
+        return np.isin(candidates(w), found).any(1).astype(np.int8) if y else np.zeros(w.count, np.int8)
+
     batches = []
-    for i in range(0, len(segments), 50):
-        part = segments[i : i + 50]
-        batches.append((letter_words([s for s, _ in part]), np.concatenate([m for _, m in part])))
+    for part in _steps([t for _, t in rows], np.random.default_rng(seed)):
+        batches.append((letter_words([rows[i][1] for i in part]), np.concatenate([mark(*rows[i]) for i in part])))
     crf = train(new_crf(BITS, ["clean", "toxic"]), batches, epochs=3)
     x = []
     for i in range(0, len(rows), 200):
@@ -174,9 +176,11 @@ def tag(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFr
 
 def fit_documents(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> Model:
     """Learn from labelled documents that are not held out; at most `size` rows reach the driver."""
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "toxic")
-    few = known.orderBy(F.xxhash64(F.col("doc_id")), "toxic").limit(size)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("toxic", F.coalesce("text", F.lit("")), "doc_id").orderBy(F.xxhash64("doc_id"), "toxic", "text").limit(size).collect()
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "toxic").distinct()
+    # labels of documents that are not there don't count
+    met = docs.select("doc_id").join(known, "doc_id").distinct()
+    few = met.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(size)
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("toxic", F.coalesce("text", F.lit("")), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "text").limit(size).collect()
     return fit([(int(r[0]), r[1]) for r in rows])
 
 
