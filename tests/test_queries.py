@@ -25,8 +25,7 @@ def rows(values):
     return sorted((tuple(None if v is None or v != v else str(v) if not isinstance(v, float) else round(v, 9) for v in r) for r in values), key=str)
 
 
-# spans of missing days make a spaced sample depend on its start, which its SQL leaves out
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - {"spaced_sample"}))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query(spark, duck, name):
     df = registry.queries()[name](spark, DIR)
     columns = sorted(df.columns)

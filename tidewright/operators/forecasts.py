@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from functools import partial, reduce
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.scalars import pinball, ratio, wis_canonical, wis_sum
 from tidewright.operators.frames import Ordered, bucket_of_rank
-from tidewright.operators.recursion import Recursion, fold
+from tidewright.operators.recursion import Recursion, fold, running_quantile, running_quantiles
 
 LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
 NAMES = ("q05", "q25", "q50", "q75", "q95")
@@ -36,27 +35,6 @@ def forward_targets(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> Da
     return bars.withColumns(made).select("symbol", "day", "close", F.explode(F.array(*parts)).alias("t")).select("symbol", "day", "close", "t.*")
 
 
-def running_quantiles(x: np.ndarray, levels: tuple[float, ...], window: int | None, least: int) -> np.ndarray:
-    """Quantiles of the values up to each row (of its last `window` rows), with linear interpolation.
-
-    The values are kept in order, so a row costs one insertion instead of a sort of its frame.
-    """
-    out = np.full((len(x), len(levels)), np.nan)
-    held: list[float] = []
-    for i, v in enumerate(x.tolist()):
-        if v == v:
-            insort(held, v)
-        if window is not None and i >= window and x[i - window] == x[i - window]:
-            del held[bisect_left(held, x[i - window])]
-        n = len(held)
-        if n >= least:
-            for j, q in enumerate(levels):
-                at = q * (n - 1)
-                k = int(at)
-                out[i, j] = held[k] + (held[min(k + 1, n - 1)] - held[k]) * (at - k)
-    return out
-
-
 def _cone(targets: DataFrame, window: int | None, least: int) -> DataFrame:
     def f(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("day").reset_index(drop=True)
@@ -120,17 +98,17 @@ def volatility_cone(bars: DataFrame, span: int = 30, least: int = 90, horizons:
     c = F.col("close")
     df = fold(bars.select("symbol", "day", "close", F.ln(c / O.lag(c)).alias("r")), [Recursion("sigma", "r", partial(ewm_std, span=span))])
     df = df.withColumn("z", ratio(F.col("r"), O.lag(F.col("sigma"))))
-    w = O.spec.rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_z", F.when(F.count("z").over(w) >= least, F.percentile("z", F.array(*[F.lit(x) for x in LEVELS])).over(w))).withColumn("horizon", F.explode(F.array(*[F.lit(x) for x in horizons])))
-    return df.where(F.col("_z").isNotNull()).select("symbol", "day", "horizon", *[(F.col("_z")[i] * F.col("sigma") * F.sqrt(F.col("horizon").cast("double"))).alias(n) for i, n in enumerate(NAMES)])
+    df = fold(df, [Recursion(f"_{n}", "z", partial(running_quantile, level=q, window=None, least=least, shift=1)) for n, q in zip(NAMES, LEVELS, strict=True)])
+    df = df.where(F.col("_q50").isNotNull()).withColumn("horizon", F.explode(F.array(*[F.lit(x) for x in horizons])))
+    return df.select("symbol", "day", "horizon", *[(F.col(f"_{n}") * F.col("sigma") * F.sqrt(F.col("horizon").cast("double"))).alias(n) for n in NAMES])
 
 
 def regimes(bars: DataFrame) -> DataFrame:
     """Volatility and trend regimes from thresholds known the day before."""
     c = F.col("close")
     df = bars.select("symbol", "day", "close", F.ln(c / O.lag(c)).alias("r"))
-    df = df.withColumns({"vol": O.deviation(F.col("r"), 30, 20), "trend": c / O.mean(c, 90, 45) - 1, "tail": O.quantile(F.abs("r"), 0.95, 365, 90, shift=1)})
-    df = df.withColumn("threshold", O.quantile(F.col("vol"), 0.5, None, 180, shift=1))
+    df = df.withColumns({"vol": O.deviation(F.col("r"), 30, 20), "trend": c / O.mean(c, 90, 45) - 1, "size": F.abs("r")})
+    df = fold(df, [Recursion("tail", "size", partial(running_quantile, level=0.95, window=365, least=90, shift=1)), Recursion("threshold", "vol", partial(running_quantile, level=0.5, window=None, least=180, shift=1))])
     flare = F.coalesce(F.abs("r") / F.nullif("tail", F.lit(0.0)) >= 1, F.lit(False))
     vol = F.when(flare & F.col("vol").isNotNull(), "high_vol").when(F.col("threshold").isNull() | F.col("vol").isNull(), "unknown_vol").when(F.col("vol") > F.col("threshold"), "high_vol").otherwise("low_vol")
     trend = F.when(F.col("trend").isNull(), "unknown_trend").when(F.col("trend") >= 0, "uptrend").otherwise("downtrend")
@@ -180,12 +158,14 @@ def realised_selection(losses: DataFrame, default: str, window: int = 365, least
     by `gain`; ties go to the smaller pinball, then the name.
     """
     w = Window.partitionBy("symbol", "horizon", "forecaster").orderBy("day")
-    parts = []
-    for x in HORIZONS:
-        own = w.rowsBetween(-(window - 1) - x, -x)
-        part = losses.where(F.col("horizon") == x).withColumns({"mean_wis": F.avg("wis").over(own), "mean_pinball": F.avg("pinball").over(own), "n": F.count("wis").over(own)})
-        parts.append(part)
-    seen = reduce(DataFrame.unionByName, parts).where(F.col("n") >= least)
+    own = w.rowsBetween(-(window - 1), 0)
+    means = losses.withColumns({"_w": F.avg("wis").over(own), "_p": F.avg("pinball").over(own), "_n": F.count("wis").over(own)})
+
+    def known(x: str) -> Column:
+        """x as it was `horizon` rows before."""
+        return F.coalesce(*[F.when(F.col("horizon") == h, F.lag(x, h).over(w)) for h in HORIZONS])
+
+    seen = means.withColumns({"mean_wis": known("_w"), "mean_pinball": known("_p"), "n": known("_n")}).where(F.col("n") >= least)
     base = F.min(F.when(F.col("forecaster") == default, F.col("mean_wis"))).over(Window.partitionBy("symbol", "horizon", "day"))
     ok = seen.withColumn("base", base).where((F.col("forecaster") == default) | (F.col("mean_wis") < F.col("base") * (1 - gain)))
     return ok.groupBy("symbol", "horizon", "day").agg(F.min_by("forecaster", F.struct("mean_wis", "mean_pinball", "forecaster")).alias("selected"))

@@ -90,12 +90,6 @@ def trend_windows(bars: DataFrame) -> DataFrame:
     )
 
 
-def money_flow(n: int = 14) -> Column:
-    tp = (high() + low() + close()) / 3
-    up, down = F.when(tp > O.lag(tp), tp * volume()).otherwise(0.0), F.when(tp < O.lag(tp), tp * volume()).otherwise(0.0)
-    return up, down
-
-
 def strength(up: str, down: str, both_zero: float) -> Column:
     """Relative strength from smoothed gains and losses."""
     u, d = F.col(up), F.col(down)
@@ -112,7 +106,8 @@ def recursive(bars: DataFrame) -> DataFrame:
     sign = F.when(close() > O.lag(close()), 1.0).when(close() < O.lag(close()), -1.0).otherwise(0.0)
     df = _add(df, gain=clip(F.col("change"), 0), loss=clip(-F.col("change"), 0), signed_volume=sign * volume(), signed_close=sign * close(), tp_change=O.diff(tp), tr=true_range(), wl=weighted(close(), [max(14 - i - 14 / 3, 0.0) for i in range(15)]), flow_up=F.when(tp > O.lag(tp), tp * volume()).otherwise(0.0), flow_down=F.when(tp < O.lag(tp), tp * volume()).otherwise(0.0), rdiff=close() - (O.high(high(), 10) + O.low(low(), 10)) / 2, span=O.high(high(), 10) - O.low(low(), 10))
     for n in (5, 10, 20):
-        up, down = O.total(clip(F.col("gain"), 0), n), O.total(clip(F.col("loss"), 0), n)
+        # the first bar moved by 0
+        up, down = O.total(F.coalesce("gain", F.lit(0.0)), n), O.total(F.coalesce("loss", F.lit(0.0)), n)
         df = df.withColumn(f"cmo{n}", F.coalesce(100 * ratio(up - down, up + down), F.lit(0.0)))
     e = lambda n, strict=False: partial(ema, span=n, strict=strict)
     df = fold(df, [
@@ -128,7 +123,7 @@ def recursive(bars: DataFrame) -> DataFrame:
     er = F.coalesce(clip(ratio(F.abs(volume() - O.lag(volume(), 14)), O.total(F.abs(O.diff(volume())), 14)), 0, 1), F.lit(0.0))
     factor = F.pow(er * (2 / 3 - 2 / 31) + 2 / 31, F.lit(2.0))
     df = _add(df, macd=F.col("e_fast") - F.col("e_slow"), smooth_volume=F.col("rma_volume") + factor * (volume() - F.col("rma_volume")), anchor=F.when(high() >= F.col("e55"), high()).otherwise(low()))
-    df = _add(df, k=stochastic("macd", 10), vup=clip(F.col("tp_change"), 0) * F.col("smooth_volume"), vdown=clip(-F.col("tp_change"), 0) * F.col("smooth_volume"), ls=ratio(ratio(F.abs(F.col("anchor") - F.col("e55")), F.col("e55")) * 100, F.col("atr89")) * 100, smi_raw=F.when(F.col("spread") != 0, F.col("rel") / (F.col("spread") / 2) * 100).otherwise(0.0))
+    df = _add(df, k=stochastic("macd", 10), vup=clip(F.col("tp_change"), 0) * F.col("smooth_volume"), vdown=clip(-F.col("tp_change"), 0) * F.col("smooth_volume"), ls=ratio(ratio(F.abs(F.col("anchor") - F.col("e55")), F.col("e55")) * 100, F.col("atr89")) * 100, smi_raw=F.when(F.col("spread") != 0, F.col("rel") / (F.col("spread") / 2) * 100).when(F.col("spread") == 0, 0.0))
     blend = (strength("rma_up", "rma_down", 100) + (100 - 100 / (1 + ratio(O.total(F.col("flow_up"), 14), O.total(F.col("flow_down"), 14))))) / 2
     df = _add(df, blend=blend, smi5=O.mean(F.col("smi_raw"), 5))
     df = _add(df, component=0.6 * (F.col("blend") - 50) / 50 + 0.25 * clip((F.col("blend") - 50) / 18, -2, 2) / 2 + 0.15 * clip(ratio(F.col("e5") - F.col("e_c21"), O.deviation(close(), 14)), -3, 3) / 3)

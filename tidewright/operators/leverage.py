@@ -5,41 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.scalars import clip, ratio, weighted_mean
+from tidewright.functions.scalars import clip, weighted_mean
 from tidewright.operators.frames import Ordered
 
 O = Ordered()  # noqa: E741
 
 
-def robust_score(x: Column, n: int = 365, least: int = 60) -> Column:
-    """100 tanh(z / 2) against the median and median deviation of the rows before; z within 4. x has no gaps.
+def with_robust_score(df: DataFrame, column: str, out: str, n: int = 365, least: int = 60) -> DataFrame:
+    """100 tanh(z / 2) against the median and 1.4826 median deviations of the rows before; z within 4; 0 without spread.
 
-    The deviation needs the median first, so this is the score of a column `x` whose prior median is `x_median`.
+    The median deviation is that of each prior frame about its own median, by an array of the frame. Rows without a
+    value don't belong in df: they are no history.
     """
-    return O.quantile(x, 0.5, n, least, shift=1)
-
-
-def with_robust_score(df: DataFrame, column: str, out: str, n: int = 365, least: int = 60) -> DataFrame:
-    """The median deviation is that of each prior frame about its own median, by an array of the frame."""
     w = O.spec.rowsBetween(-n, -1)
     x = F.col(column)
-    df = df.withColumns({"_past": F.array_sort(F.collect_list(x).over(w)), "_m": F.percentile(x, 0.5).over(w), "_s": F.stddev_samp(x).over(w), "_n": F.count(x).over(w)})
+    df = df.withColumns({"_past": F.array_sort(F.collect_list(x).over(w)), "_m": F.percentile(x, 0.5).over(w), "_s": F.stddev_pop(x).over(w), "_n": F.count(x).over(w)})
     off = F.array_sort(F.transform("_past", lambda v: F.abs(v - F.col("_m"))))
     middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
-    df = df.withColumn("_mad", F.when(F.col("_n") > 0, middle(off)))
+    df = df.withColumn("_mad", F.when(F.col("_n") > 0, 1.4826 * middle(off)))
     scale = F.when(F.col("_mad") > 1e-12, F.col("_mad")).when(F.col("_s") > 1e-12, F.col("_s"))
-    z = clip((x - F.col("_m")) / scale, -4, 4)
-    return df.withColumn(out, F.when(F.col("_n") >= least, 100 * F.tanh(z / 2))).drop("_past", "_m", "_s", "_n", "_mad")
+    z = F.coalesce(clip((x - F.col("_m")) / scale, -4, 4), F.lit(0.0))
+    return df.withColumn(out, F.when(x.isNotNull() & (F.col("_n") >= least), 100 * F.tanh(z / 2))).drop("_past", "_m", "_s", "_n", "_mad")
 
 
-def fuel_score(x: Column, n: int = 365, least: int = 60) -> Column:
-    """Share of the 90th percentile of earlier positive values, in percent, 0 to 100."""
-    positive = F.when(x > 0, x)
-    return clip(100 * ratio(x, O.quantile(positive, 0.9, n, least, shift=1)), 0, 100)
+def amount_score(column: str, n: int = 365, least: int = 60) -> Column:
+    """Share of the 90th percentile of the last n positive values before, in percent, 0 to 100; 0 for values up to 0."""
+    x = F.col(column)
+    # positive rows are a partition of their own, so that a frame counts positive rows only
+    w = Window.partitionBy("symbol", x > 0).orderBy("day").rowsBetween(-n, -1)
+    high = F.percentile(x, 0.9).over(w)
+    return F.when(x <= 0, 0.0).when(x.isNotNull() & (F.count(x).over(w) >= least), F.when(high > 0, clip(100 * x / high, 0, 100)).otherwise(0.0))
 
 
 def crowding(funding: Column, predicted: Column) -> Column:
-    """Negative weighted score; the weights shift when one is missing."""
+    """Negative weighted mean of the two robust scores; the weights shift when one is missing."""
     return -weighted_mean([funding, predicted], [0.6, 0.4])
 
 
@@ -48,16 +47,18 @@ def impulse(dominance: Column) -> Column:
 
 
 def trigger(change: Column, sigma: Column) -> Column:
-    return clip((ratio(F.abs(change), sigma) - 0.75) / 1.75 * 100, 0, 100)
+    """Moves beyond 0.75 deviations, in percent of 1.75 more; deviations count as 0.005 at least."""
+    return F.when(sigma.isNotNull(), clip((F.abs(change) / F.greatest(sigma, F.lit(0.005)) - 0.75) / 1.75 * 100, 0, 100))
 
 
 def cascade_band(sigma: Column) -> Column:
-    """Two weekly deviations in basis points, within 150 and 1200."""
-    return clip(2 * sigma * (7**0.5) * 10000, 150, 1200)
+    """Two weekly deviations in basis points, within 150 and 1200; without one, those of 0.005."""
+    return clip(2 * F.coalesce(F.nullif(sigma, F.lit(0.0)), F.lit(0.005)) * (7**0.5) * 10000, 150, 1200)
 
 
 def closeness(distance: Column, band: Column) -> Column:
-    return F.exp(-0.5 * F.pow(distance / band, F.lit(2.0)))
+    """100 at no distance, falling off as a bell curve of the band's width."""
+    return 100 * F.exp(-0.5 * F.pow(distance / band, F.lit(2.0)))
 
 
 def best_walls(walls: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ history is its daily rows, which bounds the group.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -124,6 +125,46 @@ def spaced(days: np.ndarray, gap: int) -> np.ndarray:
     return out
 
 
+def running_quantiles(x: np.ndarray, levels: tuple[float, ...], window: int | None, least: int) -> np.ndarray:
+    """Quantiles of the values up to each row (of its last `window` rows), with linear interpolation.
+
+    The values are kept in order, so a row costs one insertion instead of a sort of its frame.
+    """
+    out = np.full((len(x), len(levels)), np.nan)
+    held: list[float] = []
+    for i, v in enumerate(x.tolist()):
+        if v == v:
+            insort(held, v)
+        if window is not None and i >= window and x[i - window] == x[i - window]:
+            del held[bisect_left(held, x[i - window])]
+        n = len(held)
+        if n >= least:
+            for j, q in enumerate(levels):
+                at = q * (n - 1)
+                k = int(at)
+                out[i, j] = held[k] + (held[min(k + 1, n - 1)] - held[k]) * (at - k)
+    return out
+
+
+def running_quantile(x: np.ndarray, level: float, window: int | None, least: int, shift: int = 0) -> np.ndarray:
+    """One running quantile, known `shift` rows before."""
+    out = running_quantiles(x, (level,), window, least)[:, 0]
+    return out if not shift else np.concatenate([np.full(shift, np.nan), out[:-shift]])[: len(x)]
+
+
+def percentile_of_last(x: np.ndarray, window: int, least: int) -> np.ndarray:
+    """Place of each value among those of the `window` rows before it: -1 below all, 1 not below any."""
+    out, held = np.full(len(x), np.nan), []
+    for i, v in enumerate(x.tolist()):
+        if len(held) >= least and v == v:
+            out[i] = 2 * bisect_right(held, v) / len(held) - 1
+        if v == v:
+            insort(held, v)
+        if i >= window and x[i - window] == x[i - window]:
+            del held[bisect_left(held, x[i - window])]
+    return out
+
+
 @dataclass(frozen=True)
 class Recursion:
     """`name` = f(values of `source`)."""

@@ -18,7 +18,7 @@ def append_checked(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:
     """Rows of `new` replace those of the same key, its last version wins. Null keys replace nothing."""
-    latest = keep_last(new, keys, sequence).select(*existing.columns)
+    latest = new.groupBy(*keys).agg(F.max_by(F.struct(*existing.columns), F.struct(*sequence)).alias("_v")).select("_v.*")
     return existing.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
 
 

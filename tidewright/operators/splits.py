@@ -27,9 +27,12 @@ def outer_folds(n: int, test: int, step: int, count: int, least: int) -> list[tu
 
 
 def sanitation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column: share of missing values, distinct values, and whether it is constant; one pass."""
-    aggs = [F.struct(F.lit(c).alias("feature"), F.avg(F.col(c).isNull().cast("double")).alias("missing"), F.countDistinct(c).alias("distinct_values"), F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias("sd")) for c in columns]
-    return df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("x")).select("x.*").withColumn("constant", F.col("distinct_values") <= 1)
+    """One row a column: share of missing values, distinct values, spread, and whether it is constant.
+
+    One column at a time: several exact distinct counts in one aggregation would copy every row for each of them.
+    """
+    parts = [df.agg(F.lit(c).alias("feature"), F.avg(F.col(c).isNull().cast("double")).alias("missing"), F.countDistinct(c).alias("distinct_values"), F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias("sd"), F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias("constant")) for c in columns]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ from tidewright.operators import leverage as lv
 from tidewright.operators import relational as rel
 from tidewright.operators import splits as sp
 from tidewright.operators.frames import Ordered, bucket_of_rank
-from tidewright.operators.recursion import Recursion, ema, fold, integrate, local_level, local_trend, smoothed, spaced, wilder
+from tidewright.operators.recursion import Recursion, ema, fold, integrate, local_level, local_trend, percentile_of_last, running_quantile, smoothed, spaced, wilder
 from tidewright.plans.market import BARS_SQL, MARKET_SQL, PRIORITIES, SERIES_SQL, bars, market_bars, series, table
 from tidewright.sources import tables as src
 
@@ -174,15 +174,26 @@ def merged_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(src.merge_metrics({"urgent": s.where(F.col("series_name") == "1-URGENT").select("day", "value"), "close": b.where(F.col("symbol") == "R").select("day", ta.close().alias("value")), "volume": b.where(F.col("symbol") == "A").select("day", F.col("volume").alias("value"))}))
 
 
-@query("""WITH w AS (SELECT event_type, json_extract_string(props, '$') AS j, value FROM events) SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM w WHERE j IS NOT NULL GROUP BY 1""", date=None)
+@query("""WITH w AS (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value FROM events)
+SELECT event_type, count(k) AS n, count(DISTINCT k) AS kinds, sum(k)::BIGINT AS k_sum, min(k) AS k_min, max(k) AS k_max, round(avg(CASE WHEN k % 2 = 0 THEN value END), 6) AS mean_even FROM w GROUP BY 1""", date=None)
 def json_properties(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("j", F.from_json("props", "map<string,string>"))
-    return rounded(e.where(F.col("j").isNotNull()).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value")))
+    e = table(spark, d, "events").select("event_type", "value", F.from_json("props", "k bigint")["k"].alias("k"))
+    return rounded(e.groupBy("event_type").agg(F.count("k").alias("n"), F.countDistinct("k").alias("kinds"), F.sum("k").alias("k_sum"), F.min("k").alias("k_min"), F.max("k").alias("k_max"), F.avg(F.when(F.col("k") % 2 == 0, F.col("value"))).alias("mean_even")))
 
 
-@query("SELECT page_id, regexp_extract(html, 'track\\(([0-9]+)\\)', 1) AS track, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages", date=None)
+@query("""WITH p AS (SELECT page_id, regexp_extract(html, 'track\\(([0-9]+)\\)', 1) AS track, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang FROM pages),
+e AS (SELECT '<script>draw("plot", [{"name": "' || event_type || '", "y": [' || string_agg(value::VARCHAR, ', ' ORDER BY event_id) || ']}], {});</script>' AS html FROM events WHERE event_id % 100 = 0 GROUP BY event_type),
+j AS (SELECT json_extract(regexp_extract(html, 'draw[(]"plot", (.*), [{]', 1), '$[0]') AS t FROM e), y AS (SELECT json_extract_string(t, '$.name') AS name, list_sum(CAST(json_extract(t, '$.y') AS DOUBLE[])) AS total FROM j)
+SELECT 'page' AS kind, page_id::VARCHAR AS name, TRY_CAST(track AS DOUBLE) AS total, lang AS note FROM p UNION ALL SELECT 'plot', name, round(total, 4), name FROM y""", date=None)
 def html_embedded_values(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"track\(([0-9]+)\)", 1).alias("track"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
+    """Values in scripts of pages, and the traces of a plot call that are found and parsed as JSON."""
+    p = table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("name"), F.regexp_extract("html", r"track\(([0-9]+)\)", 1).try_cast("double").alias("total"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("note"))
+    points = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"].cast("string"))
+    made = table(spark, d, "events").where(F.col("event_id") % 100 == 0).groupBy(F.col("event_type").alias("name")).agg(F.array_join(points, ", ").alias("y"))
+    made = made.select(F.concat(F.lit('<script>draw("plot", [{"name": "'), "name", F.lit('", "y": ['), "y", F.lit("]}], {});</script>")).alias("html"))
+    trace = src.embedded_json(made, "html", r'draw\("plot", (\[.*\]), \{', "array<struct<name:string,y:array<double>>>").select(F.explode("parsed").alias("t"))
+    total = F.aggregate("t.y", F.lit(0.0), lambda a, x: a + x)
+    return p.unionByName(trace.select(F.lit("plot").alias("kind"), F.col("t.name").alias("name"), rounded_column(total, 4).alias("total"), F.col("t.name").alias("note")))
 
 
 # ---- joins and alignment
@@ -198,10 +209,10 @@ def cohort_sums(spark: SparkSession, d: str) -> DataFrame:
     return j.select("r_name", "n_name", "customers", rounded_column("s", 4).alias("balance"), rounded_column(F.col("s") / F.col("customers"), 6).alias("mean_balance"))
 
 
-_STEPS = "(VALUES (DATE '1995-06-01', 34.0), (DATE '1997-01-15', 29.5), (DATE '1998-09-01', 21.5), (DATE '2000-03-10', 18.0)) AS s(day, step)"
+_STEPS = "(VALUES (DATE '1995-06-01', 34.0::DOUBLE), (DATE '1997-01-15', 29.5), (DATE '1998-09-01', 21.5), (DATE '2000-03-10', 18.0)) AS s(day, step)"
 
 
-@query(f"""WITH {MARKET_SQL}, s AS (SELECT * FROM {_STEPS}) SELECT b.day, round(b.close, 6) AS close, coalesce(s.step, 34.0) AS step FROM bars b ASOF LEFT JOIN s ON b.day >= s.day""")
+@query(f"""WITH {MARKET_SQL}, s AS (SELECT * FROM {_STEPS}) SELECT b.day, round(b.close, 6) AS close, coalesce(s.step, 34.0::DOUBLE) AS step FROM bars b ASOF LEFT JOIN s ON b.day >= s.day""")
 def as_of_steps(spark: SparkSession, d: str) -> DataFrame:
     steps = spark.sql("SELECT * FROM VALUES (DATE '1995-06-01', 34.0D), (DATE '1997-01-15', 29.5D), (DATE '1998-09-01', 21.5D), (DATE '2000-03-10', 18.0D) AS s(day, step)")
     return rounded(rel.as_of(market_bars(spark, d).select("symbol", "day", "close"), steps.withColumn("symbol", F.lit("ALL")), "day", "step", ["symbol"], fill_head=True).select("day", "close", "step"))
@@ -260,14 +271,15 @@ _Q = "quantile_cont({}, %s)"
 @query(f"""WITH {BARS_SQL}, m AS (SELECT *, {roll(_Q % 0.5, 'close', 90, 30)} AS med, {roll(_Q % 0.75, 'close', 90, 30)} - {roll(_Q % 0.25, 'close', 90, 30)} AS iqr FROM bars), a AS (SELECT *, abs(close - med) AS off FROM m)
 SELECT symbol, day, round(med, 6) AS median, round((close - med) / nullif(iqr, 0), 6) AS iqr_z, round({roll(_Q % 0.5, 'off', 90, 30)}, 6) AS mad, round({roll(_Q % 0.95, 'close', 365, 90, 1)}, 6) AS prior_p95 FROM a""")
 def rolling_robust(spark: SparkSession, d: str) -> DataFrame:
-    df = bars(spark, d).withColumns({"med": O.quantile(ta.close(), 0.5, 90, 30), "iqr": O.quantile(ta.close(), 0.75, 90, 30) - O.quantile(ta.close(), 0.25, 90, 30)})
-    df = df.withColumn("off", F.abs(ta.close() - F.col("med")))
+    df = bars(spark, d).withColumn("q", O.roll(lambda x: F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), ta.close(), 90, 30))
+    df = df.withColumns({"med": F.col("q")[1], "iqr": F.col("q")[2] - F.col("q")[0]}).withColumn("off", F.abs(ta.close() - F.col("med")))
     return rounded(df.select("symbol", "day", F.col("med").alias("median"), ratio(ta.close() - F.col("med"), F.col("iqr")).alias("iqr_z"), O.quantile(F.col("off"), 0.5, 90, 30).alias("mad"), O.quantile(ta.close(), 0.95, 365, 90, shift=1).alias("prior_p95")))
 
 
 @query(f"""WITH {BARS_SQL} SELECT symbol, day, round({roll('avg', 'close', None, 10)}, 6) AS mean, round({roll('stddev_samp', 'close', None, 10)}, 6) AS sd, round({roll(_Q % 0.5, 'close', None, 10)}, 6) AS median, round({roll(_Q % 0.05, 'close', None, 10)}, 6) AS p05 FROM bars""")
 def expanding_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(bars(spark, d).select("symbol", "day", O.mean(ta.close(), None, 10).alias("mean"), O.deviation(ta.close(), None, 10).alias("sd"), O.quantile(ta.close(), 0.5, None, 10).alias("median"), O.quantile(ta.close(), 0.05, None, 10).alias("p05")))
+    df = fold(bars(spark, d).select("symbol", "day", "close"), [Recursion("median", "close", partial(running_quantile, level=0.5, window=None, least=10)), Recursion("p05", "close", partial(running_quantile, level=0.05, window=None, least=10))])
+    return rounded(df.select("symbol", "day", O.mean(ta.close(), None, 10).alias("mean"), O.deviation(ta.close(), None, 10).alias("sd"), "median", "p05"))
 
 
 @query(f"""WITH RECURSIVE {MARKET_SQL}, o AS (SELECT day, close, row_number() OVER (ORDER BY day) AS n FROM bars),
@@ -303,10 +315,7 @@ def weighted_means_and_fits(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {BARS_SQL}, a AS (SELECT *, list(close) {frame(365, 1)} AS past FROM bars)
 SELECT symbol, day, CASE WHEN len(past) >= 90 THEN round(2.0 * len(list_filter(past, lambda x: x <= close)) / len(past) - 1, 6) END AS extreme FROM a""")
 def percentile_extreme(spark: SparkSession, d: str) -> DataFrame:
-    past = F.collect_list(ta.close()).over(O.spec.rowsBetween(-365, -1))
-    df = bars(spark, d).withColumn("past", past)
-    share = 2 * F.size(F.filter("past", lambda x: x <= ta.close())) / F.size("past") - 1
-    return rounded(df.select("symbol", "day", F.when(F.size("past") >= 90, share).alias("extreme")))
+    return rounded(fold(bars(spark, d).select("symbol", "day", "close"), [Recursion("extreme", "close", partial(percentile_of_last, window=365, least=90))]).drop("close"))
 
 
 @query(f"""WITH {BARS_SQL}, a AS (SELECT *, floor(close / 100) AS level FROM bars), b AS (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) {W} THEN day END AS changed FROM a)
@@ -327,7 +336,7 @@ def rank_buckets(spark: SparkSession, d: str) -> DataFrame:
     return rounded(df.groupBy("symbol", bucket_of_rank(F.col("r"), F.col("k"), 3).alias("tercile")).agg(F.count(F.lit(1)).alias("n"), F.avg("close").alias("mean_close")))
 
 
-@query(f"""WITH {MARKET_SQL}, o AS (SELECT day, date_diff('day', min(day) OVER (), day) AS k, count(*) OVER () AS n, date_diff('day', min(day) OVER (), max(day) OVER ()) + 1 AS span FROM bars) SELECT day FROM o WHERE k % 7 = 0""")
+@query(f"""WITH RECURSIVE {MARKET_SQL}, s AS (SELECT min(day) AS day FROM bars UNION ALL SELECT (SELECT min(b.day) FROM bars b WHERE b.day >= s.day + 7) FROM s WHERE (SELECT min(b.day) FROM bars b WHERE b.day >= s.day + 7) IS NOT NULL) SELECT day FROM s""")
 def spaced_sample(spark: SparkSession, d: str) -> DataFrame:
     df = fold(market_bars(spark, d).select("symbol", "day", F.unix_date("day").cast("double").alias("k")), [Recursion("taken", "k", partial(spaced, gap=7))])
     return df.where(F.col("taken") == 1).select("day")
@@ -408,7 +417,7 @@ def network_value(spark: SparkSession, d: str) -> DataFrame:
     return rounded(df.select("day", "value", F.ln(ta.close() / F.col("value")).alias("gap")))
 
 
-@query(f"""WITH {MARKET_SQL}, s AS (SELECT * FROM {_STEPS}), a AS (SELECT b.symbol, b.day, b.close, b.volume, coalesce(s.step, 34.0) AS step FROM bars b ASOF LEFT JOIN s ON b.day >= s.day)
+@query(f"""WITH {MARKET_SQL}, s AS (SELECT * FROM {_STEPS}), a AS (SELECT b.symbol, b.day, b.close, b.volume, coalesce(s.step, 34.0::DOUBLE) AS step FROM bars b ASOF LEFT JOIN s ON b.day >= s.day)
 SELECT day, round(least(greatest({roll('avg', 'step', 365, 1)}, 10), 800) * volume * 24 * (0.04 + 0.001 * (year(day) - 1995)) / 1000, 6) AS energy_value FROM a""")
 def energy_value(spark: SparkSession, d: str) -> DataFrame:
     steps = spark.sql("SELECT 'ALL' AS symbol, * FROM VALUES (DATE '1995-06-01', 34.0D), (DATE '1997-01-15', 29.5D), (DATE '1998-09-01', 21.5D), (DATE '2000-03-10', 18.0D) AS s(day, step)")
@@ -421,8 +430,8 @@ round((close - {roll(_Q % 0.05, 'close', None, 30)}) / nullif({roll(_Q % 0.95, '
 def causal_transforms(spark: SparkSession, d: str) -> DataFrame:
     df = bars(spark, d).withColumn("x", F.ln(ta.close()))
     x = F.col("x")
-    df = df.withColumn("q", O.roll(lambda v: F.percentile(v, F.array(F.lit(0.05), F.lit(0.95))), ta.close(), None, 30))
-    low, high = F.col("q")[0], F.col("q")[1]
+    df = fold(df.select("symbol", "day", "close", "x"), [Recursion(n, "close", partial(running_quantile, level=q, window=None, least=30)) for n, q in (("low", 0.05), ("high", 0.95))])
+    low, high = F.col("low"), F.col("high")
     return rounded(df.select("symbol", "day", clip(ratio(x - O.mean(x, None, 30), O.deviation(x, None, 30)), -3, 3).alias("causal_z"), (ratio(ta.close() - low, high - low) * 2 - 1).alias("equalised")))
 
 
@@ -437,26 +446,44 @@ def principal_components(spark: SparkSession, d: str) -> DataFrame:
 # ---- leverage
 
 
-_LEV = f"""{BARS_SQL}, a AS (SELECT symbol, day, close, ln(close / lag(close) {W}) AS r, volume FROM bars), b AS (SELECT *, {roll('stddev_samp', 'r', 30, 20)} AS sigma, CASE WHEN volume > 0 THEN volume END AS pv FROM a)"""
+_LEV = f"""{BARS_SQL}, a AS (SELECT symbol, day, close, ln(close / lag(close) {W}) AS r, volume - lag(volume, 7) {W} AS oi FROM bars), b AS (SELECT *, {roll('stddev_samp', 'r', 30, 20)} AS sigma FROM a),
+h AS (SELECT *, quantile_cont(oi, 0.9) OVER p AS high_reference, count(oi) OVER p AS known FROM b WINDOW p AS (PARTITION BY symbol, oi > 0 ORDER BY day ROWS BETWEEN 365 PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, CASE WHEN oi <= 0 THEN 0 WHEN oi IS NULL OR known < 60 THEN NULL WHEN high_reference <= 0 THEN 0 ELSE least(greatest(100 * oi / high_reference, 0), 100) END AS fuel FROM h)"""
 
 
-@query(f"""WITH {_LEV} SELECT symbol, day, round(least(greatest(100 * volume / nullif({roll(_Q % 0.9, 'pv', 365, 60, 1)}, 0), 0), 100), 6) AS fuel, round(least(greatest((abs(r) / nullif(sigma, 0) - 0.75) / 1.75 * 100, 0), 100), 6) AS trigger, round(CASE WHEN sigma IS NOT NULL THEN least(greatest(2 * sigma * sqrt(7) * 10000, 150), 1200) END, 6) AS band,
-CASE WHEN least(greatest(100 * volume / nullif({roll(_Q % 0.9, 'pv', 365, 60, 1)}, 0), 0), 100) IS NULL THEN 'unknown' WHEN least(greatest(100 * volume / nullif({roll(_Q % 0.9, 'pv', 365, 60, 1)}, 0), 0), 100) >= 65 THEN 'high' WHEN least(greatest(100 * volume / nullif({roll(_Q % 0.9, 'pv', 365, 60, 1)}, 0), 0), 100) >= 35 THEN 'medium' ELSE 'low' END AS state
-FROM (SELECT symbol, day, r, sigma, volume, pv FROM b)""".replace("least(greatest((abs(r) / nullif(sigma, 0) - 0.75) / 1.75 * 100, 0), 100)", "CASE WHEN r IS NOT NULL AND sigma > 0 THEN least(greatest((abs(r) / sigma - 0.75) / 1.75 * 100, 0), 100) END").replace(f"least(greatest(100 * volume / nullif({roll(_Q % 0.9, 'pv', 365, 60, 1)}, 0), 0), 100)", f"CASE WHEN {roll(_Q % 0.9, 'pv', 365, 60, 1)} > 0 THEN least(greatest(100 * volume / {roll(_Q % 0.9, 'pv', 365, 60, 1)}, 0), 100) END"))
+@query(f"""WITH {_LEV} SELECT symbol, day, round(fuel, 6) AS fuel, round(CASE WHEN r IS NOT NULL AND sigma IS NOT NULL THEN least(greatest((abs(r) / greatest(sigma, 0.005) - 0.75) / 1.75 * 100, 0), 100) END, 6) AS trigger, round(least(greatest(2 * coalesce(nullif(sigma, 0), 0.005) * sqrt(7) * 10000, 150), 1200), 6) AS band,
+CASE WHEN fuel IS NULL THEN 'unknown' WHEN fuel >= 65 THEN 'high' WHEN fuel >= 35 THEN 'medium' ELSE 'low' END AS state FROM f""")
 def leverage_scores(spark: SparkSession, d: str) -> DataFrame:
-    df = bars(spark, d).withColumn("r", F.ln(ta.close() / O.lag(ta.close())))
-    df = df.withColumn("sigma", O.deviation(F.col("r"), 30, 20)).withColumn("fuel", lv.fuel_score(F.col("volume")))
+    df = bars(spark, d).withColumns({"r": F.ln(ta.close() / O.lag(ta.close())), "oi": O.diff(F.col("volume"), 7)})
+    df = df.withColumn("sigma", O.deviation(F.col("r"), 30, 20)).withColumn("fuel", lv.amount_score("oi"))
     return rounded(df.select("symbol", "day", "fuel", lv.trigger(F.col("r"), F.col("sigma")).alias("trigger"), lv.cascade_band(F.col("sigma")).alias("band"), lv.threshold_state(F.col("fuel")).alias("state")))
 
 
-@query(f"""WITH {BARS_SQL}, p AS (SELECT *, quantile_cont(volume, 0.5) {frame(365, 1)} AS m, stddev_samp(volume) {frame(365, 1)} AS s, list(volume) {frame(365, 1)} AS past FROM bars), q AS (SELECT *, list_aggregate(list_transform(past, lambda x: abs(x - m)), 'median') AS mad FROM p)
-SELECT symbol, day, CASE WHEN len(past) >= 60 THEN round(100 * tanh(greatest(least((volume - m) / CASE WHEN mad > 1e-12 THEN mad WHEN s > 1e-12 THEN s END, 4), -4) / 2), 6) END AS score FROM q""")
+def _robust(x: str, name: str, source: str) -> str:
+    """SQL of the robust score of `x`, as a chain of common tables that ends in `name`."""
+    return f"""{name}_p AS (SELECT *, quantile_cont({x}, 0.5) {frame(365, 1)} AS m, stddev_pop({x}) {frame(365, 1)} AS s, list({x}) {frame(365, 1)} AS past FROM {source}),
+{name}_q AS (SELECT *, 1.4826 * list_aggregate(list_transform(past, lambda v: abs(v - m)), 'median') AS mad FROM {name}_p), {name}_z AS (SELECT *, CASE WHEN mad > 1e-12 THEN mad WHEN s > 1e-12 THEN s END AS scale FROM {name}_q),
+{name} AS (SELECT * EXCLUDE (m, s, past, mad, scale), CASE WHEN {x} IS NOT NULL AND len(past) >= 60 THEN CASE WHEN scale IS NULL THEN 0 ELSE 100 * tanh(greatest(least(({x} - m) / scale, 4), -4) / 2) END END AS {name}_score FROM {name}_z)"""
+
+
+@query(f"WITH {BARS_SQL}, {_robust('volume', 'v', 'bars')} SELECT symbol, day, round(v_score, 6) AS score FROM v")
 def robust_score(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lv.with_robust_score(bars(spark, d), "volume", "score").select("symbol", "day", "score"))
 
 
+@query(f"""WITH {BARS_SQL}, {_robust('volume', 'f', 'bars')}, t AS (SELECT * FROM f WHERE trades % 3 > 0), {_robust('trades', 'p', 't')},
+j AS (SELECT f.symbol, f.day, f.f_score AS a, p.p_score AS b, f.close FROM f LEFT JOIN p ON p.symbol = f.symbol AND p.day = f.day)
+SELECT symbol, day, round(-CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (0.6 * a + 0.4 * b) / (0.6 + 0.4) END, 6) AS crowding, round(greatest(least(-(close / 100 - 5) / 20 * 100, 100), -100), 6) AS impulse FROM j""")
+def crowding_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Funding (volume here) and predicted funding (trades, not there on every day) against their own past."""
+    b = lv.with_robust_score(bars(spark, d), "volume", "funding")
+    predicted = lv.with_robust_score(bars(spark, d).where(F.col("trades") % 3 > 0), "trades", "predicted").select("symbol", "day", "predicted")
+    df = b.join(predicted, ["symbol", "day"], "left")
+    return rounded(df.select("symbol", "day", lv.crowding(F.col("funding"), F.col("predicted")).alias("crowding"), lv.impulse(ta.close() / 100 - 5).alias("impulse")))
+
+
 @query("""WITH w AS (SELECT CAST(ts AS DATE) AS day, event_type, event_id, value * 10 AS dist, value AS notional, CASE WHEN user_id % 2 = 0 THEN 'up' ELSE 'down' END AS side FROM events),
-s AS (SELECT *, notional * exp(-0.5 * pow(dist / 300.0, 2)) AS score FROM w), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY day, event_type, side ORDER BY score DESC, abs(dist)) = 1)
+s AS (SELECT *, notional * 100 * exp(-0.5 * pow(dist / 300.0, 2)) AS score FROM w), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY day, event_type, side ORDER BY score DESC, abs(dist)) = 1)
 SELECT day, event_type, side, round(dist, 6) AS distance_bps, round(notional, 6) AS notional, round(score, 6) AS score FROM b""")
 def best_walls(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.to_date("ts").alias("day"), "event_type", (F.col("value") * 10).alias("distance_bps"), F.col("value").alias("notional"), F.lit(300.0).alias("band"), F.when(F.col("user_id") % 2 == 0, "up").otherwise("down").alias("side"))
@@ -500,18 +527,19 @@ def forecast_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def _panel(spark: SparkSession, d: str) -> DataFrame:
     t = fc.forward_targets(bars(spark, d))
-    zero = fc.window_cone(t).withColumns({n: F.lit(0.0) for n in fc.NAMES})
-    parts = [fc.cone(t).withColumn("forecaster", F.lit("expanding")), fc.window_cone(t).withColumn("forecaster", F.lit("window_365")), zero.withColumn("forecaster", F.lit("random_walk"))]
-    return fc.with_losses(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    # the random walk has a row wherever the window does
+    window = F.struct(F.lit("window_365").alias("forecaster"), *fc.NAMES)
+    zeros = F.struct(F.lit("random_walk").alias("forecaster"), *[F.lit(0.0).alias(n) for n in fc.NAMES])
+    both = fc.window_cone(t).select("symbol", "day", "horizon", "close", "actual", F.explode(F.array(window, zeros)).alias("f")).select("symbol", "day", "horizon", "close", "actual", "f.*")
+    return fc.with_losses(fc.cone(t).withColumn("forecaster", F.lit("expanding")).unionByName(both))
 
 
 _PANEL = f"""{_TARGETS}, e AS ({_cone_sql(None)}), v AS ({_cone_sql(365)}), f AS (SELECT 'expanding' AS forecaster, * FROM e UNION ALL SELECT 'window_365', * FROM v UNION ALL SELECT 'random_walk', symbol, day, horizon, y, 0, 0, 0, 0, 0 FROM v)"""
 
 
-@query(f"WITH {_PANEL} SELECT forecaster, symbol, horizon, {_SUMMARY} FROM f WHERE y IS NOT NULL GROUP BY forecaster, symbol, horizon".replace("round(corr(q50, y), 6) AS corr", "round(CASE WHEN forecaster <> 'random_walk' THEN corr(q50, y) END, 6) AS corr"), date=None)
+@query(f"WITH {_PANEL} SELECT forecaster, symbol, horizon, {_SUMMARY} FROM f WHERE y IS NOT NULL GROUP BY forecaster, symbol, horizon".replace("round(corr(q50, y), 6) AS corr", "round(CASE WHEN stddev_pop(q50) > 0 THEN corr(q50, y) END, 6) AS corr"), date=None)
 def forecaster_panel(spark: SparkSession, d: str) -> DataFrame:
-    s = rounded(fc.summarise(_panel(spark, d), ["forecaster", "symbol", "horizon"]))
-    return s.withColumn("corr", F.when(F.col("forecaster") != "random_walk", F.col("corr")))
+    return rounded(fc.summarise(_panel(spark, d), ["forecaster", "symbol", "horizon"]))
 
 
 @query(f"""WITH {_PANEL}, s AS (SELECT *, {_W1} AS wis, {_PB} AS pb FROM f), w AS (""" + " UNION ALL ".join(f"SELECT symbol, day, horizon, forecaster, avg(wis) OVER x AS mw, avg(pb) OVER x AS mp, count(wis) OVER x AS n FROM s WHERE horizon = {x} WINDOW x AS (PARTITION BY symbol, horizon, forecaster ORDER BY day ROWS BETWEEN {364 + x} PRECEDING AND {x} PRECEDING)" for x in fc.HORIZONS) + """), k AS (SELECT *, min(CASE WHEN forecaster = 'expanding' THEN mw END) OVER (PARTITION BY symbol, horizon, day) AS base FROM w WHERE n >= 120)
@@ -552,12 +580,24 @@ def conformal_calibration(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fc.additive_quantile(fc.with_losses(fc.cone(fc.forward_targets(bars(spark, d))))))
 
 
-@query()
+def _widened_sql(shifts: list[str]) -> str:
+    return f"""WITH {_TARGETS}, f AS ({_cone_sql(None)}), k AS (SELECT *, row_number() OVER (PARTITION BY symbol, horizon ORDER BY day) / count(*) OVER (PARTITION BY symbol, horizon) AS part FROM f),
+s AS (SELECT symbol, horizon, {', '.join(f'{x} AS s_{n}' for x, n in zip(shifts, fc.NAMES, strict=True))} FROM k WHERE part <= 0.65 AND y IS NOT NULL GROUP BY 1, 2),
+z AS (SELECT k.symbol, k.horizon, day, y, list_sort([{', '.join(f'{n} + coalesce(s_{n}, 0)' for n in fc.NAMES)}]) AS q FROM k LEFT JOIN s USING (symbol, horizon) WHERE part > 0.65)
+SELECT symbol, horizon, day, round(y, 6) AS actual, {', '.join(f'round(q[{i}], 6) AS {n}' for i, n in enumerate(fc.NAMES, 1))} FROM z"""
+
+
+def _out(n: str, level: float, sign: int, weight: float = 1.0) -> str:
+    side = f"y - {n}" if sign > 0 else f"{n} - y"
+    return f"{weight * sign} * greatest(quantile_cont({side}, {level}), 0)"
+
+
+@query(_widened_sql([_out("q05", 0.9, -1), _out("q25", 0.5, -1), "quantile_cont(y - q50, 0.5)", _out("q75", 0.5, 1), _out("q95", 0.9, 1)]))
 def conformal_widening(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fc.widened(fc.with_losses(fc.cone(fc.forward_targets(bars(spark, d)))), "conformal"))
 
 
-@query()
+@query(_widened_sql([_out("q05", 0.9, -1), _out("q25", 0.75, -1, 0.65), "0.25 * quantile_cont(y - q50, 0.5)", _out("q75", 0.35, 1, 0.25), _out("q95", 0.5, 1, 0.1)]))
 def asymmetric_lower_tail(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fc.widened(fc.with_losses(fc.cone(fc.forward_targets(bars(spark, d)))), "asymmetric_lower_tail"))
 
