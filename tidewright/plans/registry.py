@@ -640,10 +640,16 @@ def feature_correlations(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sp.correlations(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"]))
 
 
+def _load() -> None:
+    """Register the queries of the other modules of this folder."""
+    from tidewright.plans import evaluation, valuation  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
-
