@@ -452,7 +452,7 @@ f AS (SELECT *, CASE WHEN oi <= 0 THEN 0 WHEN oi IS NULL OR known < 60 THEN NULL
 
 
 @query(f"""WITH {_LEV} SELECT symbol, day, round(fuel, 6) AS fuel, round(CASE WHEN r IS NOT NULL AND sigma IS NOT NULL THEN least(greatest((abs(r) / greatest(sigma, 0.005) - 0.75) / 1.75 * 100, 0), 100) END, 6) AS trigger, round(least(greatest(2 * coalesce(nullif(sigma, 0), 0.005) * sqrt(7) * 10000, 150), 1200), 6) AS band,
-CASE WHEN fuel IS NULL THEN 'unknown' WHEN fuel >= 65 THEN 'high' WHEN fuel >= 35 THEN 'medium' ELSE 'low' END AS state FROM f""")
+CASE WHEN fuel IS NULL THEN '' WHEN fuel >= 65 THEN 'cascade-ready' WHEN fuel >= 35 THEN 'watch' WHEN fuel > 0 THEN 'building' ELSE 'none' END AS state FROM f""")
 def leverage_scores(spark: SparkSession, d: str) -> DataFrame:
     df = bars(spark, d).withColumns({"r": F.ln(ta.close() / O.lag(ta.close())), "oi": O.diff(F.col("volume"), 7)})
     df = df.withColumn("sigma", O.deviation(F.col("r"), 30, 20)).withColumn("fuel", lv.amount_score("oi"))
@@ -642,7 +642,7 @@ def feature_correlations(spark: SparkSession, d: str) -> DataFrame:
 
 def _load() -> None:
     """Register the queries of the other modules of this folder."""
-    from tidewright.plans import evaluation, valuation  # noqa: F401
+    from tidewright.plans import evaluation, positions, valuation  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
