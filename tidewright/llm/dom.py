@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 # Elements by their role in the HTML standard.
@@ -21,8 +22,9 @@ RAW = set("script style noscript template iframe object svg math canvas audio vi
 CLOSED_BY_BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 # A start tag on the left closes an open one on the right, up to the border.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "tbody", "thead"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody"}, {"table"})}
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
+# a quote opens a string only where a value begins, after the equals sign
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))|[^>])*+)(?:>|$)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 LEAF = "#text"
 
 
@@ -56,9 +58,9 @@ def parse(page: str | None) -> Dom:
     dom = Dom()
     root = dom.add("#root", -1)
     stack = [(root, "#root")]
+    opened: Counter[str] = Counter()  # how many of each element are on the stack
     pieces: list[tuple[str, bool]] = []
     links = marks = 0
-    skip = ""
 
     def flush() -> None:
         nonlocal marks
@@ -74,7 +76,8 @@ def parse(page: str | None) -> Dom:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][1] in names:
                 flush()
-                del stack[i:]
+                while len(stack) > i:
+                    opened[stack.pop()[1]] -= 1
                 return
             if stack[i][1] in borders:
                 return
@@ -83,7 +86,7 @@ def parse(page: str | None) -> Dom:
     for m in _TAG.finditer(page):
         if m.start() < at:  # inside raw text
             continue
-        if m.start() > at and not skip:
+        if m.start() > at:
             pieces.append((page[at : m.start()], links > 0))
         at = m.end()
         name = (m[2] or "").lower()
@@ -94,13 +97,11 @@ def parse(page: str | None) -> Dom:
                 links = max(0, links - 1)
             elif name in BLOCKS:
                 links = 0
-                if any(t == name for _, t in stack):
-                    flush()
+                flush()
+                if opened[name]:
                     while stack[-1][1] != name:
-                        stack.pop()
-                    stack.pop()
-                else:
-                    flush()
+                        opened[stack.pop()[1]] -= 1
+                    opened[stack.pop()[1]] -= 1
             continue
         if name in RAW and name != "head" and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -115,7 +116,7 @@ def parse(page: str | None) -> Dom:
             flush()
             links = 0
             if stack[-1][1] in CLOSED_BY_BLOCK:
-                stack.pop()
+                opened[stack.pop()[1]] -= 1
             if name in IMPLIED:
                 close(*IMPLIED[name])
             if name in VOID:
@@ -123,12 +124,13 @@ def parse(page: str | None) -> Dom:
             node = dom.add(name, stack[-1][0], _words(m[3]) if m[3].strip() else "")
             if not m[3].endswith("/") or name in ("p", "div", "li"):
                 stack.append((node, name))
+                opened[name] += 1
         elif name == "br":
             pieces.append((" ", False))
         else:
             marks += 1
             links += name == "a"
-    if at < len(page) and not skip:
+    if at < len(page):
         pieces.append((page[at:], links > 0))
     flush()
     return dom

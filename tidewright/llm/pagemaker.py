@@ -65,6 +65,14 @@ class Maker:
     def link(self, words: str) -> str:
         return f'<a href="/{self.r.randint(1, 999)}">{words}</a>'
 
+    def loose(self, words: str) -> str:
+        """The words with inline elements that may never end, end twice or hold a line break."""
+        r, parts = self.r, words.split(" ")
+        for _ in range(r.randint(1, 3)):
+            tag = r.choice(["b", "i", "em", "strong", "span", "u", "small", "code"])
+            parts.insert(r.randint(0, len(parts)), r.choice([f"<{tag}>", f"</{tag}>", "<br>", f"<{tag}></{tag}>"]))
+        return " ".join(parts) + r.choice(["", "</p>", "</p></p>"])
+
     def menu(self, mark: str) -> str:
         r = self.r
         items = [self.link(mark + self.prose(1, 3)) for _ in range(r.randint(2, 12))]
@@ -114,7 +122,7 @@ class Maker:
                 words = self.prose(r.choice([1, 3, 12, 20]), r.choice([20, 60, 120]))
                 if r.random() < 0.25:
                     words += " " + self.link(self.prose(1, 4)) + " " + self.prose(2, 10)
-                out.append(r.choice([f"<p>{m}{words}</p>", f"<p>{m}{words}</p>", f"<p>{m}{words}</p>", f"<p><b>{m}{words}<br><p>{m}{self.prose(3, 60)}</p>", f"<div>{m}{words}</div>", f"<p>{m}{words}"]))
+                out.append(r.choice([f"<p>{m}{words}</p>", f"<p>{m}{words}</p>", f"<p>{m}{words}</p>", f"<p>{m}{self.loose(words)}", f"<div>{m}{words}</div>", f"<p>{m}{words}"]))
             elif x < 0.78:
                 out.append(f"<h{r.randint(2, 3)}>{m}{self.prose(1, 8)}</h2>")
             elif x < 0.85:
