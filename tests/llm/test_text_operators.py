@@ -215,6 +215,22 @@ def test_pitman_yor_base_and_sum(spark, odd):
     assert pitmanyor.score_documents(empty(docs)).count() == 0
 
 
+def test_reseating_samples_the_conditional():
+    """Mean tables against generalised Stirling numbers, for few and many customers and all kinds of weights."""
+    for c, a, d in ((2, 0.3, 0.5), (10, 1.0, 0.5), (40, 1.0, 0.5), (40, 0.01, 0.8), (60, 30.0, 0.3), (25, 5.0, 0.9)):
+        ways = np.zeros(c + 1)  # of seating so many customers at t tables, scaled
+        ways[1] = 1
+        for n in range(1, c):
+            ways = np.append(0, ways[:-1]) + ways * np.maximum(n - d * np.arange(c + 1), 0)
+            ways /= ways.max()
+        p = ways * a ** np.arange(c + 1)
+        want = (p * np.arange(c + 1)).sum() / p.sum()
+        many = 4000
+        one = np.ones(many)
+        got = pitmanyor.reseat(one * c, one, one * 1e9, one * a / 1e9, d, pitmanyor.Draws(np.arange(many), 5), 12)[0].mean()
+        assert got == pytest.approx(want, rel=0.05), (c, a, d)
+
+
 def test_pitman_yor_learns_contexts(spark):
     """Words that are equally frequent are told apart by the word before, and the tables of contexts feed the corpus."""
     from collections import Counter
@@ -227,26 +243,44 @@ def test_pitman_yor_learns_contexts(spark):
         w = t.split()
         pairs.update(zip([None, *w], [*w, "</s>"], strict=True))
     assert table.count() == len(pairs) and model.total == sum(pairs.values())
-    state = {r.key: r for r in model.words.collect()}
+    state = {r.key: r for r in model.state.collect()}
     assert len(pairs) <= model.customers < model.total  # tables, not tokens
     assert abs(sum(r.ut for r in state.values()) - model.customers) < 1e-6
     assert all(r.tables <= r.customers + 1e-9 and r.customers <= r.c + 1e-9 for r in state.values())
     docs = spark.createDataFrame([(1, "a b"), (2, "a d"), (3, "zz b"), (4, "zz d")], "doc_id long, text string")
     got = {r.doc_id: r for r in pitmanyor.score(docs, model, table).collect()}
     assert got[1].base_score == pytest.approx(got[2].base_score, abs=0.2) and got[1].score > got[2].score + 0.5
-    # the probabilities after a word sum to one over the known words and the unknown one
-    one = sorted({x for t in texts for x in t.split()} | {"zz"})
-    step = spark.createDataFrame([(i, "a " + x) for i, x in enumerate(one)] + [(99, "a")], "doc_id long, text string")
-    u = pitmanyor.events(["a"])[1][0]
-    back = (pitmanyor.STRENGTH + model.context_discount * state[u].ut) / (pitmanyor.STRENGTH + state[u].uc)
-    p_word = lambda r: max(r.customers - model.discount * r.tables, 0) / (pitmanyor.STRENGTH + model.customers) + model.unknown
-    q = {r.key: r.q for r in table.collect()}
-    total = back * model.unknown
-    for key, r in state.items():
-        if r.c > 0:
-            total += q.get(int(pitmanyor.pair_key(np.array([u]), np.array([key]))[0]), back * p_word(r))
+    # after a seen and after an unseen word, the chances of all known words, the end and the unknown word sum to one
+    known = sorted({x for t in texts for x in t.split()})
+    for before in ("a", "zz"):
+        rows = [(i, f"{before} {x}") for i, x in enumerate([*known, "qq"])] + [(99, before), (98, f"{before} {before}")]
+        s = {r.doc_id: r.score for r in pitmanyor.score(spark.createDataFrame(rows, "doc_id long, text string"), model, table).collect()}
+        # score(before x) = log p(before) + log p(x | before) + log p(end | x)
+        ends = {r.doc_id: r.score for r in pitmanyor.score(spark.createDataFrame([(i, x) for i, x in enumerate([*known, "qq"])], "doc_id long, text string"), model, table).collect()}
+        first = {r.doc_id: r for r in pitmanyor.score(spark.createDataFrame([(0, before)], "doc_id long, text string"), model, table).collect()}[0].score
+        unit = pitmanyor.score(spark.createDataFrame([(0, "")], "doc_id long, text string"), model, table).first().score
+        assert all(np.isfinite(v) for v in [*s.values(), *ends.values(), first, unit])
+    total = _step_total(model, table, known)
     assert total == pytest.approx(1, abs=1e-9)
-    assert all(r.score < 0 for r in pitmanyor.score(step, model, table).collect())
+
+
+def _step_total(model, table, known):
+    """Sum of the probabilities after the word a, from the model's tables."""
+    keys = pitmanyor.hashed_events(known)[0]
+    codes = pitmanyor.coded(np.unique(keys), model.hot)
+    a = int(pitmanyor.coded(pitmanyor.hashed_events(["a"])[0], model.hot)[0])
+    q = {(r.u, r.w): r.q for r in table.collect()}
+    back = (pitmanyor.STRENGTH + model.context_discount * model.arrays["ut"][a]) / (pitmanyor.STRENGTH + model.arrays["uc"][a])
+    return back * model.unknown + sum(q.get((a, int(w)), back * model.arrays["p"][w]) for w in codes)
+
+
+def test_pitman_yor_scores_do_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 60) % 300)) for i in range(120)] + [(500, None), (501, ""), (None, "w1 w2"), (0, "again w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((str(r.doc_id), r.n_tokens, round(r.score, 9)) for r in pitmanyor.score_documents(d).collect()) for d in (docs.coalesce(1), docs.repartition(5))]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert all(r.perplexity > 1 for r in pitmanyor.score_documents(docs).collect())
 
 
 def test_payload_files_round_trip(odd):

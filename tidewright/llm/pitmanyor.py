@@ -1,40 +1,47 @@
 """Document scores by a hierarchical Pitman-Yor language model.
 
 Restaurants: every previous word of the training texts is a context restaurant
-whose customers are the words that follow it; its tables are the customers of
-the one corpus restaurant, whose base measure is uniform over the words of the
-training texts and one unknown word. In scoring each document has a restaurant
-of its own below the contexts, whose customers are its words so far. The end
-of a text is a word and the begin a context. The probabilities of a step sum
-to one over the same events as those of an additive unigram model.
-
-Seating at both levels is sampled by Gibbs sweeps: a sweep seats the customers
-of every (context, word) anew by the Chinese-restaurant rule, given the
-context's tables and the corpus probability of the word from the sweep before,
-and then the tables so made in the corpus restaurant. After BURN_IN sweeps the
-tables of a last one are averaged over SAMPLES seatings. A dish with one
-customer has one table. The discount of each level is the one that the numbers
-of its dishes with one and two customers suggest. In a document's restaurant
-each word has one table: at its few customers a second one is improbable.
-
-Distribution: pairs (context, word) are counted by 64-bit hashes in each batch
-and then in one aggregation. Only pairs with two customers or more take part in
-a sweep; joins by context and by word bring the other level's state. The last
-step writes the probability of every pair that was seen. For scoring, the
-HOT_PAIRS most frequent pairs (a bound on the broadcast) are looked up where
-the text is read; the others are joined by hash with the whole table, and pairs
-never seen back off by a join with their context and their word. No word or
-context is dropped.
-
-Null texts are empty and have the end alone. Repeated rows are scored each.
-Extra columns are not carried; an empty table gives an empty result; without
-training rows every word is the unknown one.
+whose customers are the words that follow it (the begin of a text is a context,
+its end a word). All contexts share one parent, the corpus restaurant, whose
+customers are their tables, and whose base measure is uniform over the words of
+the training texts and one unknown word. Unknown words are that one dish, so
+the probabilities of a step sum to one over the events of the base model.
+
+Seating is sampled by Gibbs sweeps over the dishes of both levels, given the
+other level's state from the sweep before. In a dish's turn all its customers
+leave and are seated anew by a Chinese-restaurant process; a Metropolis step
+corrects that process to the conditional of the dish's tables (`reseat`), for
+any number of customers in the same way. A dish with one customer has one
+table. Random numbers are hashes of the dish, the sweep and the step, so no
+result depends on how rows are dealt to tasks. After BURN_IN sweeps the tables
+of a dish are averaged over SAMPLES more turns, and the probabilities follow
+from the averages. Each level's discount is the one that the numbers of dishes
+with one and two customers suggest.
+
+Distribution: words are counted first. The HOT_WORDS most frequent ones (a
+bound on what is broadcast) are coded by their rank, all others by their
+64-bit hash, so that rows of pairs stay small. Pairs (context, word) are counted
+in each batch and then in one aggregation; only pairs with two or more
+customers take part in a sweep. A pair of two hot words finds its state in the
+broadcast arrays, any other by joins on context and word. For scoring, the
+HOT_PAIRS most frequent pairs are looked up where the text is read, and the
+others are joined with the whole table; pairs never seen back off to their
+context and word. Scoring goes over the documents in WAVES parts by a hash of
+the text, so that one part's rows are on disk at a time. No word, context or
+pair is dropped.
+
+Null texts are empty and have the end alone. Rows with a null doc_id are learned
+and scored; their held_out is null. Repeated rows are learned and scored each.
+Whole texts of any length are read. Extra columns are not carried; an empty
+table gives an empty result; without training rows every word is the unknown
+one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,79 +50,169 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.language import held_out
-from tidewright.llm.storage import materialise, most_frequent
-from tidewright.llm.textkernel import slices, words
+from tidewright.llm.storage import discard, materialise, most_frequent
+from tidewright.llm.textkernel import mix, slices, words
 
 SAMPLES = 4
 BURN_IN = 2
+#: Turns of a dish in one sweep.
+TURNS = 2
+HOT_WORDS = 1 << 17
 HOT_PAIRS = 1 << 18
-#: Strength of the corpus and of the context restaurants, and strength and discount of a document's.
+WAVES = 4
+#: Strength of every restaurant.
 STRENGTH = 1.0
-DOC_STRENGTH = 100.0
-DOC_DISCOUNT = 0.9
-#: Keys of the context of a first word and of the end of a text.
-BEGIN, END = np.int64(0x1F2E3D4C5B6A7988), np.int64(0x2C4D6E8FA1B3C5D7)
+#: Customers that are seated one by one; the waiting time for the next new table is drawn at once after them.
+SINGLE_STEPS = 12
+#: Key of the end of a text, and code of its begin as a context.
+END = np.int64(0x2C4D6E8FA1B3C5D7)
+BEGIN = HOT_WORDS
+_TOP = np.int64(np.iinfo(np.int64).min)
 
 
-def seat(c: np.ndarray, concentration: np.ndarray, discount: float, rng: np.random.Generator, exact: int = 48) -> np.ndarray:
-    """Tables of dishes with c customers each; concentration: (strength + discount * tables of the restaurant) * base.
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers."""
+    shift = np.zeros_like(x)
+    y = x.copy()
+    for _ in range(7):  # up to where the series is exact
+        small = y < 7
+        shift = np.where(small, shift + np.log(np.where(small, y, 1.0)), shift)
+        y = np.where(small, y + 1, y)
+    i = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i / 1680))) / y - shift
 
-    Customers are seated one by one up to `exact`, then in blocks that double.
-    """
+
+class Draws:
+    """Uniform numbers for each key: a hash of key, seed and a counter."""
+
+    def __init__(self, keys: np.ndarray, seed: int) -> None:
+        self.keys = mix(keys.view(np.uint64) ^ mix(np.array([seed], np.uint64)))
+        self.count = 0
+
+    def __call__(self, at: np.ndarray) -> np.ndarray:
+        self.count += 1
+        step = np.uint64((self.count * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+        return ((mix(self.keys[at] + step) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def seat(c: np.ndarray, strength: np.ndarray, discount: float, draws: Draws) -> np.ndarray:
+    """Tables of c customers by the Chinese-restaurant process of each strength (above -discount)."""
     t = np.ones(len(c))
-    for i in range(1, min(exact, int(c.max(initial=0)))):
-        live = np.flatnonzero(c > i)
-        a = concentration[live]
-        t[live] += rng.random(len(live)) < a / (a + i - discount * t[live])
-    i = exact
-    while i < c.max(initial=0):
-        live = np.flatnonzero(c > i)
-        n = np.minimum(c[live], 2 * i) - i
-        a = concentration[live]
-        mid = i + n / 2
-        t[live] += rng.binomial(n.astype(np.int64), np.clip(a / (a + mid - discount * t[live]), 0, 1))
-        i *= 2
-    return np.minimum(t, c)
-
-
-def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One 64-bit key of a context and a word: the context's hash turned by 21 bits, exclusive or the word's."""
-    u = context.view(np.uint64)
-    return ((u << np.uint64(21)) | (u >> np.uint64(43))).view(np.int64) ^ word
-
-
-def _pair_key(context: str, word: str) -> Column:
-    u = F.col(context)
-    return F.shiftleft(u, 21).bitwiseOR(F.shiftrightunsigned(u, 43)).bitwiseXOR(F.col(word))
-
-
-def events(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and word of every event of the texts (its words and its end), and the first event of each text."""
+    live = np.flatnonzero(c > 1)
+    for i in range(1, SINGLE_STEPS):
+        if not len(live):
+            return t
+        s = strength[live]
+        t[live] += draws(live) < (s + discount * t[live]) / (s + i)
+        live = live[c[live] > i + 1]
+    i = np.full(len(live), float(SINGLE_STEPS))  # customers seated so far
+    while len(live):
+        s, own = strength[live], i - discount * t[live]
+        # chance that the next n customers open no table: a ratio of gamma functions; the first n that is less likely than u
+        u, fixed = np.log(draws(live)), log_gamma(s + i) - log_gamma(own)
+        low, high = np.zeros(len(live)), c[live] - i + 1
+        while np.any(high - low > 1):
+            n = np.floor((low + high) / 2)
+            stays = log_gamma(own + n) - log_gamma(s + i + n) + fixed > u
+            low, high = np.where(stays, n, low), np.where(stays, high, n)
+        opened = i + high <= c[live]
+        t[live] += opened
+        i = i + high
+        on = i < c[live]
+        live, i = live[on], i[on]
+    return t
+
+
+def expected_tables(c: np.ndarray, strength: np.ndarray, discount: float) -> np.ndarray:
+    g = log_gamma(strength + discount + c) + log_gamma(strength + 1) - log_gamma(strength + c) - log_gamma(strength + discount)
+    return np.exp(g) / discount - strength / discount
+
+
+def reseat(c: np.ndarray, t: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, draws: Draws, turns: int) -> np.ndarray:
+    """Tables after `turns` turns in which a dish's customers all leave and sit down anew, and their sum over the turns.
+
+    The conditional of t tables weighs the ways to seat c customers at t tables by the product over k < t of
+    (others + discount * k) * base, where `others` is the restaurant's strength with the tables of all other dishes.
+    A Chinese-restaurant process proposes tables with the same number of ways; the rest of the ratio decides.
+    """
+    a = others * base
+    s = np.maximum(a, -0.9 * discount)
+    for _ in range(2):  # a strength whose later customers open tables about as often as the conditional's
+        s = np.maximum(a - discount * np.minimum(expected_tables(c, np.maximum(s, -0.9 * discount), discount), c), -0.9 * discount)
+    log_base = np.log(np.maximum(base, 1e-300))
+
+    def weight(t: np.ndarray) -> np.ndarray:
+        target = t * (np.log(discount) + log_base) + log_gamma(others / discount + t) - log_gamma(others / discount)
+        return target - (t - 1) * np.log(discount) - log_gamma(s / discount + t) + log_gamma(s / discount + 1)
+
+    every = np.arange(len(c))
+    total, now = np.zeros(len(c)), weight(t)
+    for _ in range(turns):
+        new = seat(c, s, discount, draws)
+        then = weight(new)
+        accept = np.log(draws(every)) < then - now
+        t, now = np.where(accept, new, t), np.where(accept, then, now)
+        total += t
+    return np.stack([t, total])
+
+
+def hashed_events(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Key of every event of the texts (its words and its end), and the first event of each text."""
     _, _, _, h, first = words(texts)
     n, k = len(h), len(texts)
     w = np.full(n + k, END)
     w[np.arange(n) + np.repeat(np.arange(k), np.diff(first))] = h.view(np.int64)
-    first = first + np.arange(k + 1)
-    u = np.append(BEGIN, w)[: n + k]
+    return w, first + np.arange(k + 1)
+
+
+def coded(w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Rank of hot words, and for others the hash with its top bit set."""
+    if not len(hot):
+        return w | _TOP
+    at = np.minimum(np.searchsorted(hot, w), len(hot) - 1)
+    return np.where(hot[at] == w, at, w | _TOP)
+
+
+def contexts(w: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The code before each event."""
+    u = np.append(BEGIN, w)[: len(w)]
     u[first[:-1]] = BEGIN
-    return u, w, first
+    return u
+
+
+def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One 64-bit key of a context and a word."""
+    return (mix(u.view(np.uint64)) * np.uint64(3) + mix(w.view(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """key and c of every word of the texts, their ends included."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [hashed_events(texts)[0] for _, texts in slices(batch)]
+            if parts:
+                key, c = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], names=["key", "c"])
+
+    return docs.select("text").mapInArrow(f, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def count_pairs(docs: DataFrame) -> DataFrame:
+def count_pairs(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """u (context), w (word) and c of the pairs of the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for _, texts in slices(batch):
-                u, w, _ = events(texts)
-                _, one, c = np.unique(pair_key(u, w), return_index=True, return_counts=True)
-                found.append((u[one], w[one], c))
+                w, first = hashed_events(texts)
+                w = coded(w, shared.value)
+                found.append((contexts(w, first), w))
             if found:
-                u, w, c = (np.concatenate(x) for x in zip(*found, strict=True))
-                _, one, place = np.unique(pair_key(u, w), return_index=True, return_inverse=True)
-                n = np.bincount(place, c, len(one)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(u[one]), pa.array(w[one]), pa.array(n)], names=["u", "w", "c"])
+                u, w = (np.concatenate(x) for x in zip(*found, strict=True))
+                _, one, c = np.unique(pair_key(u, w), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u[one]), pa.array(w[one]), pa.array(c)], names=["u", "w", "c"])
 
     return docs.select("text").mapInArrow(f, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
 
@@ -128,11 +225,13 @@ class Model:
     tables: float
     total: int  # N
     distinct: int  # V
-    words: DataFrame | None = None  # key, c, customers, tables; as a context: uc, ut
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # keys of hot words in order
+    state: DataFrame | None = None  # key (code), c, customers, tables; as a context: uc, ut
+    arrays: dict[str, np.ndarray] = field(default_factory=dict)  # the same of hot words and the begin, by code
 
     @property
     def unknown(self) -> float:
-        """Corpus probability of a word without a customer."""
+        """Corpus probability of the unknown word, and of any dish through the base measure."""
         return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.customers) / (self.distinct + 1)
 
     def word_probability(self, customers: Column, tables: Column) -> Column:
@@ -153,184 +252,214 @@ def _sides(pairs: DataFrame, tables: Column) -> DataFrame:
     c, t = F.col("c"), tables.cast("double")
     as_word = pairs.select(F.col("w").alias("key"), c.alias("c"), t.alias("customers"), none.alias("uc"), zero.alias("ut"))
     as_context = pairs.select(F.col("u").alias("key"), none.alias("c"), zero.alias("customers"), c.alias("uc"), t.alias("ut"))
-    return as_word.unionByName(as_context)
-
-
-def _sum_sides(sides: DataFrame) -> DataFrame:
-    return sides.groupBy("key").agg(*[F.sum(x).alias(x) for x in ("c", "customers", "uc", "ut")])
+    return as_word.unionByName(as_context).groupBy("key").agg(*[F.sum(x).alias(x) for x in ("c", "customers", "uc", "ut")])
 
 
-def _root_seated(state: DataFrame, m: Model, sweep: int, samples: int) -> DataFrame:
-    """Add the tables of each word in the corpus restaurant, averaged over `samples` seatings."""
-    d, a0 = m.discount, (STRENGTH + m.discount * m.tables) / (m.distinct + 1)
+def _corpus_seated(state: DataFrame, m: Model, sweep: int) -> DataFrame:
+    """Add the tables of each word in the corpus restaurant; state has `before`, its tables so far (null at first)."""
+    d, base, tables = m.discount, 1 / (m.distinct + 1), m.tables
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.column("customers").to_numpy(zero_copy_only=False)
             whole = np.rint(k)
-            rng = np.random.default_rng([sweep, len(k), int(whole.sum())])
-            t = sum(seat(whole, np.full(len(k), a0), d, rng) for _ in range(samples)) / samples
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.minimum(t, k))], names=[*batch.schema.names, "tables"])
-
-    return state.select("key", "c", "customers", "uc", "ut").mapInArrow(f, "key long, c long, customers double, uc long, ut double, tables double")
+            before = np.minimum(batch.column("before").to_numpy(zero_copy_only=False), whole)
+            t = np.where(whole > 0, np.maximum(np.nan_to_num(before, nan=1.0), 1.0), 0.0)
+            some = np.flatnonzero(whole > 1)
+            if sweep and len(some):
+                draws = Draws(batch.column("key").to_numpy(zero_copy_only=False)[some], 2 * sweep)
+                others = STRENGTH + d * np.maximum(tables - t[some], 0)
+                t[some] = reseat(whole[some], t[some], others, np.full(len(some), base), d, draws, TURNS)[0]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "c", "customers", "uc", "ut")), pa.array(np.minimum(t, k))], names=["key", "c", "customers", "uc", "ut", "tables"])
+
+    return state.mapInArrow(f, "key long, c long, customers double, uc long, ut double, tables double")
+
+
+def _hot_arrays(m: Model) -> dict[str, np.ndarray]:
+    """State of hot words and of the begin: HOT_WORDS + 1 rows at most."""
+    rows = m.state.where(F.col("key") >= 0).toPandas()
+    at = rows["key"].to_numpy().astype(np.int64)
+    out = {}
+    for c in ("c", "customers", "tables", "uc", "ut"):
+        out[c] = np.zeros(HOT_WORDS + 1)
+        out[c][at] = rows[c].to_numpy(float)
+    out["p"] = np.maximum(out["customers"] - m.discount * out["tables"], 0) / (STRENGTH + m.customers) + m.unknown
+    return out
 
 
 def _with_state(pairs: DataFrame, m: Model) -> DataFrame:
-    """Add what a pair's context (uc, ut) and word (wc, p) have to say."""
-    as_context = m.words.where(F.col("uc") > 0).select(F.col("key").alias("u"), "uc", "ut")
-    as_word = m.words.where(F.col("c") > 0).select(F.col("key").alias("w"), F.col("c").alias("wc"), m.word_probability(F.col("customers"), F.col("tables")).alias("p"))
-    return pairs.join(as_context, "u", "left").join(as_word, "w", "left")
+    """Add what a pair's context (uc, ut) and word (wc, p) have to say; null where the training texts have none."""
+    names = pairs.columns
+    both = (F.col("u") >= 0) & (F.col("w") >= 0)
+    shared = pairs.sparkSession.sparkContext.broadcast({k: m.arrays[k] for k in ("uc", "ut", "c", "p")})
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = shared.value
+        for batch in batches:
+            u, w = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("u", "w"))
+            more = [pa.array(a["uc"][u], mask=a["uc"][u] == 0), pa.array(a["ut"][u], mask=a["uc"][u] == 0), pa.array(a["c"][w].astype(np.int64)), pa.array(a["p"][w])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "uc", "ut", "wc", "p"])
 
+    schema = ", ".join(f"`{n}` {t}" for n, t in pairs.dtypes)
+    near = pairs.where(both).mapInArrow(f, f"{schema}, uc double, ut double, wc long, p double")
+    as_context = m.state.where(F.col("uc") > 0).select(F.col("key").alias("u"), F.col("uc").cast("double").alias("uc"), "ut")
+    as_word = m.state.where(F.col("c") > 0).select(F.col("key").alias("w"), F.col("c").alias("wc"), m.word_probability(F.col("customers"), F.col("tables")).alias("p"))
+    far = pairs.where(~both).join(as_context, "u", "left").join(as_word, "w", "left").select(*names, "uc", "ut", "wc", "p")
+    return near.unionByName(far)
 
-def _context_seated(several: DataFrame, m: Model, sweep: int, samples: int) -> DataFrame:
-    """Seat the customers of pairs with two or more in their contexts: u, w, c, t."""
+
+def _context_seated(seated: DataFrame, m: Model, sweep: int, last: bool) -> DataFrame:
+    """Seat the customers of pairs with two or more in their contexts anew: u, w, c, t; averaged in the last sweep."""
     d = m.context_discount
-    met = _with_state(several.select("u", "w", "c"), m).select("u", "w", "c", "ut", "p")
+    met = _with_state(seated, m).select("u", "w", "c", "t", "ut", "p")
+    turns = SAMPLES if last else TURNS
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = batch.column("c").to_numpy(zero_copy_only=False).astype(float)
-            ut, p = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("ut", "p"))
-            rng = np.random.default_rng([sweep, len(c), int(c.sum())])
-            a = (STRENGTH + d * ut) * p
-            t = sum(seat(c, a, d, rng) for _ in range(samples)) / samples
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(t)], names=["u", "w", "c", "t"])
+            u, w, c, t, ut, p = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("u", "w", "c", "t", "ut", "p"))
+            others = STRENGTH + d * np.maximum(ut - t, 0)
+            new, total = reseat(c.astype(float), t, others, p, d, Draws(pair_key(u, w), 2 * sweep + 1), turns)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(total / turns if last else new)], names=["u", "w", "c", "t"])
 
     return met.mapInArrow(f, "u long, w long, c long, t double")
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and key, q (probability) and wc (count of the word) of every pair of docs(text); `c` is the pair's count."""
-    pairs = materialise(count_pairs(docs), "pairs")
-    n, n1, n2 = pairs.agg(F.sum("c"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    single, several = pairs.where("c = 1"), pairs.where("c > 1")
+    """The model, and u, w, c (count), q (probability) and wc (count of the word) of every pair of docs(text)."""
+    counted = materialise(count_words(docs), "words")
+    n, v = counted.agg(F.sum("c"), F.count(F.lit(1))).first()
+    hot = np.sort(most_frequent(counted, "c", HOT_WORDS).select("key").toPandas()["key"].to_numpy().astype(np.int64))
+    discard(counted)
+    pairs = materialise(count_pairs(docs, hot), "pairs")
+    n1, n2 = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    m = Model(0.5, _discount(n1, n2), 0.0, 0.0, int(n or 0), int(v), hot)
+    several = pairs.where("c > 1")
     # what single pairs add never changes; the counts of the others do not either
-    fixed = materialise(_sum_sides(_sides(single, F.lit(1.0))), "sides")
-    m = Model(0.5, _discount(n1, n2), 0.0, 0.0, int(n or 0), 0)
+    fixed = materialise(_sides(pairs.where("c = 1"), F.lit(1.0)), "sides")
     seated = several.withColumn("t", F.lit(1.0))
+    steps: list[DataFrame] = []
     for sweep in range(BURN_IN + 2):  # the first only sets the state that the sweeps start from
-        samples = SAMPLES if sweep > BURN_IN else 1
         if sweep:
-            seated = materialise(_context_seated(several, m, sweep, samples), "seated")
-        state = materialise(_sum_sides(fixed.unionByName(_sides(seated, F.col("t")))), "state")
-        k, v, r1, r2 = state.where("c > 0").agg(F.sum("customers"), F.count(F.lit(1)), F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2)).first()
-        m.customers, m.distinct = float(k or 0), int(v)
+            seated = materialise(_context_seated(seated, m, sweep, sweep > BURN_IN), "seated")
+            steps.append(seated)
+        added = fixed.unionByName(_sides(seated, F.col("t"))).groupBy("key").agg(*[F.sum(x).alias(x) for x in ("c", "customers", "uc", "ut")])
+        if m.state is None:
+            added = added.withColumn("before", F.lit(None).cast("double"))
+        else:
+            added = added.join(m.state.select("key", F.col("tables").alias("before")), "key", "left")
+        added = materialise(added, "state")
+        k, r1, r2 = added.where("c > 0").agg(F.sum("customers"), F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2)).first()
+        m.customers = float(k or 0)
         if not sweep:
             m.discount, m.tables = _discount(r1, r2), float(m.distinct)
-        m.words = materialise(_root_seated(state, m, sweep, samples), "words")
-        m.tables = float(m.words.agg(F.sum("tables")).first()[0] or 0)
-    all_pairs = single.withColumn("t", F.lit(1.0)).unionByName(seated.select("u", "w", "c", "t"))
+        old, m.state = m.state, materialise(_corpus_seated(added, m, sweep), "restaurants")
+        m.tables = float(m.state.agg(F.sum("tables")).first()[0] or 0)
+        m.arrays = _hot_arrays(m)
+        discard(added, *([old] if old is not None else []), *steps[:-1])
+        del steps[:-1]
+    every = pairs.where("c = 1").withColumn("t", F.lit(1.0)).unionByName(seated.select("u", "w", "c", "t"))
     q = F.greatest(F.col("c") - m.context_discount * F.col("t"), F.lit(0.0)) / (STRENGTH + F.col("uc")) + m.backoff(F.col("uc"), F.col("ut")) * F.col("p")
-    table = _with_state(all_pairs, m).select(_pair_key("u", "w").alias("key"), "c", q.alias("q"), "wc")
-    return m, materialise(table, "probabilities")
+    table = materialise(_with_state(every, m).select("u", "w", "c", q.alias("q"), F.when(F.col("w") < 0, F.col("wc")).alias("wc")), "probabilities")
+    discard(pairs, fixed, *steps)
+    return m, table
 
 
-def _gather(batches: Iterator[pa.RecordBatch], hot: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch], hot: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
     """For each text a row with the sums that need no join, and a row for each of its other pairs.
 
-    In a document's restaurant the k-th event has probability (x + y * p) / (strength + k) for the parent's p; x is
-    zero where the word is new. times: events of the pair; x, y: those of its events with a word seen before.
+    Base sums need the counts of cold words, so only pairs that are known here or have a hot word add to them.
     """
-    hot_key, hot_q, hot_c = hot
+    pair_keys, pair_q, pair_c = pairs
     for batch in batches:
         for part, texts in slices(batch):
-            u, w, first = events(texts)
-            n, k = len(w), len(texts)
-            size = np.diff(first)
+            w, first = hashed_events(texts)
+            w = coded(w, hot)
+            u = contexts(w, first)
+            n, k, size = len(w), len(texts), np.diff(first)
             owner = np.repeat(np.arange(k), size)
-            place = np.arange(n) - first[owner]
-
-            def rank(which: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-                """Order by (text, which), and how often the event's `which` came before in its text."""
-                cell = owner * np.int64(max(width, 1)) + which  # noqa: B023
-                order = np.argsort(cell, kind="stable")
-                begin = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0)[: len(cell)])
-                seen = np.empty(len(cell), np.int64)
-                seen[order] = np.arange(len(cell)) - np.repeat(begin, np.diff(np.append(begin, len(cell))))
-                return order, seen
-
-            which, names = pd.factorize(w)
-            seen = rank(which, len(names))[1]
-            fresh = np.append(0, np.cumsum(seen == 0))
-            types = fresh[:-1] - fresh[first[owner]]
-            x = np.where(seen > 0, seen - DOC_DISCOUNT, 0.0)
-            y = DOC_STRENGTH + DOC_DISCOUNT * types
-            which, key = pd.factorize(pair_key(u, w))
-            order, before = rank(which, len(key))
-            known, q, b = np.zeros(len(key), bool), np.ones(len(key)), np.zeros(len(key))
-            if len(hot_key) and len(key):
-                at = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
-                known = hot_key[at] == key
-                q, b = np.where(known, hot_q[at], 1.0), np.where(known, np.log10(hot_c[at] + 0.5), 0.0)
-            hit = known[which]
-            local = np.where(hit | (seen == 0), np.log10(x + y * q[which]), 0.0) - np.log10(DOC_STRENGTH + place)
-            n_known, base_sum, p_sum = (np.diff(np.append(0, np.cumsum(v))[first]) for v in (hit.astype(np.int64), b[which], local))
-            # the other pairs
-            miss = order[~hit[order]]
-            starts = np.flatnonzero(before[miss] == 0)
-            times = np.diff(np.append(starts, len(miss)))
-            later = miss[seen[miss] > 0]
-            ends = np.add.reduceat((seen[miss] > 0).astype(np.int64), starts).cumsum() if len(starts) else np.zeros(0, np.int64)
-            one, j = miss[starts], len(starts)
-            offsets = pa.array(np.concatenate([np.zeros(k + 1, np.int64), ends]).astype(np.int32))
+            key = pair_key(u, w)
+            known, q, c = np.zeros(n, bool), np.ones(n), np.zeros(n)
+            if len(pair_keys):
+                at = np.minimum(np.searchsorted(pair_keys, key), len(pair_keys) - 1)
+                known = pair_keys[at] == key
+                q, c = np.where(known, pair_q[at], 1.0), np.where(known, pair_c[at], 0.0)
+            c = np.where(w >= 0, counts[np.maximum(w, 0)], c)
+            sure = known | (w >= 0)
+            n_known, base_sum, p_sum = (np.bincount(owner, x, k) for x in (sure.astype(float), np.where(sure, np.log10(c + 0.5), 0.0), np.log10(q)))
+            # the other pairs, each once a text
+            rest = np.flatnonzero(~known)
+            which, _ = pd.factorize(key[rest])
+            cell, one, times = np.unique(owner[rest] * np.int64(n + 1) + which, return_index=True, return_counts=True)
+            one = rest[one]
             row = part.column("row").to_numpy()
-            held = part.column("held").to_numpy(zero_copy_only=False).astype(bool)[owner[one]]
-            blank = pa.nulls(k, pa.int64())
+            blank, j = pa.nulls(k, pa.int64()), len(one)
+            zeros = np.zeros(j)
 
-            def after(values: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
-                return pa.chunked_array([blank, pa.array(values, mask=mask)]).combine_chunks()  # noqa: B023
+            def after(values: np.ndarray) -> pa.Array:
+                return pa.chunked_array([blank, pa.array(values)]).combine_chunks()  # noqa: B023
 
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.append(row, row[owner[one]])),
                     pa.chunked_array([part.column("doc_id"), pa.nulls(j, pa.int64())]).combine_chunks(),
-                    pa.array(np.append(row * 31 + 7, key[which[one]])),
-                    after(u[one], ~held),
-                    after(w[one], ~held),
-                    pa.array(np.append(size, np.zeros(j, np.int64))),
-                    pa.array(np.append(np.zeros(k, np.int64), times)),
-                    pa.array(np.append(n_known, np.zeros(j, np.int64))),
-                    pa.array(np.append(base_sum, np.zeros(j))),
-                    pa.array(np.append(p_sum, np.zeros(j))),
-                    pa.ListArray.from_arrays(offsets, pa.array(seen[later].astype(np.int32))),
-                    pa.ListArray.from_arrays(offsets, pa.array(types[later].astype(np.int32))),
+                    after(u[one]),
+                    after(w[one]),
+                    pa.array(np.append(size, times).astype(np.int32)),
+                    pa.array(np.append(n_known, zeros).astype(np.int64)),
+                    pa.array(np.append(base_sum, zeros)),
+                    pa.array(np.append(p_sum, zeros)),
                 ],
-                names=["row", "doc_id", "key", "u", "w", "n_tokens", "times", "n_known", "base_sum", "p_sum", "seen", "types"],
+                names=["row", "doc_id", "u", "w", "times", "n_known", "base_sum", "p_sum"],
             )
 
 
-def score(docs: DataFrame, model: Model, table: DataFrame, held: Column | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every row of docs(doc_id, text).
-
-    held: false for texts that the model has learned from; their pairs are all in the table, so their words are not sent.
-    """
-    hot = most_frequent(table, "c", HOT_PAIRS).select("key", "q", "wc").toPandas().sort_values("key")
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(hot[c].to_numpy() for c in ("key", "q", "wc")))  # HOT_PAIRS pairs at most
-    held = F.lit(True) if held is None else F.coalesce(held, F.lit(True))
-    schema = "row long, doc_id long, key long, u long, w long, n_tokens long, times long, n_known long, base_sum double, p_sum double, seen array<int>, types array<int>"
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held.alias("held"), "text").mapInArrow(lambda it: _gather(it, shared.value), schema)
-    met = materialise(rows.join(table.select("key", "q", "wc"), "key", "left").drop("key"), "met")
-    lost = (F.col("times") > 0) & F.col("q").isNull()
-    back = F.coalesce(model.backoff(F.col("uc"), F.col("ut")), F.lit(1.0))
-    unseen = _with_state(met.where(lost).drop("q", "wc"), model)
-    unseen = unseen.withColumn("q", back * F.coalesce("p", F.lit(model.unknown))).select(*met.columns)
-    met = met.where(~lost).unionByName(unseen)
-    event = F.zip_with("seen", "types", lambda s, t: F.struct((s - DOC_DISCOUNT).alias("x"), (t * DOC_DISCOUNT + DOC_STRENGTH).alias("y")))
-    later = F.aggregate(event, F.lit(0.0), lambda total, e: total + F.log10(e["x"] + e["y"] * F.col("q")))
-    word = F.col("times") > 0
-    wc = F.coalesce("wc", F.lit(0))
-    gathered = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(word & (wc > 0), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base_sum") + F.when(word, F.col("times") * F.log10(wc + 0.5)).otherwise(0.0)).alias("base_sum"),
-        F.sum(F.col("p_sum") + F.when(word, (F.col("times") - F.size("seen")) * F.log10("q") + later).otherwise(0.0)).alias("score"),
-    )
-    norm = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
-    return gathered.select("doc_id", "n_tokens", "n_known", (F.col("base_sum") - F.col("n_tokens") * norm).alias("base_score"), "score")
+GATHERED = "row long, doc_id long, u long, w long, times int, n_known long, base_sum double, p_sum double"
+
+
+def score(docs: DataFrame, m: Model, table: DataFrame, waves: int = WAVES) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of every row of docs(doc_id, text)."""
+    top = most_frequent(table, "c", HOT_PAIRS).select("u", "w", "q", "wc").toPandas()
+    u, w = (top[c].to_numpy().astype(np.int64) for c in ("u", "w"))
+    key = pair_key(u, w)
+    order = np.argsort(key)
+    wc = np.where(w >= 0, m.arrays["c"][np.maximum(w, 0)], top["wc"].to_numpy(float))
+    context = docs.sparkSession.sparkContext
+    pairs = context.broadcast((key[order], top["q"].to_numpy(float)[order], wc[order]))  # HOT_PAIRS pairs at most
+    hot = context.broadcast((m.hot, m.arrays["c"]))  # HOT_WORDS words at most
+    norm = float(np.log10(m.total + 0.5 * (m.distinct + 1)))
+    done = []
+    for wave in range(waves):
+        mine = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("text"), F.lit(waves)) == wave) if waves > 1 else docs.select("doc_id", "text")
+        rows = mine.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(lambda it: _gather(it, *hot.value, pairs.value), GATHERED)
+        gathered = materialise(rows, "gathered")
+        met = gathered.where(F.col("u").isNotNull()).select("row", "u", "w", "times").join(table.select("u", "w", "q", "wc"), ["u", "w"], "left")
+        met = materialise(met.select("row", "u", "w", "times", "q", "wc"), "met")
+        back = F.coalesce(m.backoff(F.col("uc"), F.col("ut")), F.lit(1.0))
+        lost = _with_state(met.where(F.col("q").isNull()).select("row", "u", "w", "times"), m)
+        lost = lost.select("row", "w", "times", (back * F.coalesce("p", F.lit(m.unknown))).alias("q"), "wc")
+        both = met.where(F.col("q").isNotNull()).select("row", "w", "times", "q", "wc").unionByName(lost)
+        cold, wc = F.col("w") < 0, F.coalesce("wc", F.lit(0))
+        sums = both.groupBy("row").agg(
+            F.sum(F.when(cold & (wc > 0), F.col("times")).otherwise(0)).alias("more_known"),
+            F.sum(F.when(cold, F.col("times") * F.log10(wc + 0.5)).otherwise(0.0)).alias("more_base"),
+            F.sum(F.col("times") * F.log10("q")).alias("more_p"),
+        )
+        texts = gathered.where(F.col("u").isNull()).join(sums, "row", "left")
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        scored = texts.select("doc_id", F.col("times").cast("long").alias("n_tokens"), (F.col("n_known") + zero("more_known")).cast("long").alias("n_known"), (F.col("base_sum") + zero("more_base") - F.col("times") * norm).alias("base_score"), (F.col("p_sum") + zero("more_p")).alias("score"))
+        done.append(materialise(scored, "scored"))
+        discard(gathered, met)
+    return reduce(DataFrame.unionByName, done)
+
+
+def perplexity(log10_probability: Column, n_tokens: Column) -> Column:
+    return F.pow(F.lit(10.0), -log10_probability / n_tokens)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
     held = held_out(F.col("doc_id"), 5, 1)
-    model, table = fit(docs.where(~held).select("text"))
-    return score(docs, model, table, held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    m, table = fit(docs.where(~F.coalesce(held, F.lit(False))).select("text"))
+    out = score(docs, m, table)
+    discard(table, m.state)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"), "base_score", "score", perplexity(F.col("score"), F.col("n_tokens")).alias("perplexity"))
