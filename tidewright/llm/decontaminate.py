@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows, in native column functions.
 
-Tokens are runs of letters and numbers such as 3, 1,000 or 12:30; a mark . ! ?
-: at the end stays with them for the next step. Canonicalisation replaces
+Tokens are runs of letters with their combining marks, single letters of scripts
+that put no space between words, and numbers such as 3, 1,000 or 12:30; a mark
+. ! ? : at the end stays with them for the next step. Canonicalisation replaces
 - numbers with one placeholder,
 - a unit right after a number with a second,
 - a name (a capitalised word that does not start a sentence) with a third,
@@ -18,10 +19,12 @@ before a document's window decides whether its first token is a name or a unit;
 so a window whose first token is one is hashed a second time with that token in
 lower case, for the items of one window: their exact copies are found after any
 text. Longer items have other windows, and their first one counts only in its
-context, as in the SQL. Items below MIN_TOKENS tokens match the same tokens, in the same case,
+context. Items below MIN_TOKENS tokens match the same tokens, in the same case,
 without placeholders. Null and empty items match nothing, and null or empty texts match
 nothing. Repeated rows count once: a pair gets one row with its
-best coverage. An empty table on either side gives no pairs.
+best coverage, also where one doc_id has several texts. Rows with a null key are
+documents and items like others. Whole texts of any length are read. Extra
+columns are not carried. An empty table on either side gives no pairs.
 
 The benchmark's windows are broadcast if they are at most BROADCAST_ROWS, and
 hash joined with a shuffle otherwise; so are the keys of documents with a hit.
@@ -40,7 +43,17 @@ WINDOW = 8
 MIN_TOKENS = 3
 MIN_COVERAGE = 0.25
 BROADCAST_ROWS = 1_000_000
-TOKEN = r"[0-9]+(?:[.,:/][0-9]+)*[.!?:]?|\p{L}+[.!?:]?"
+# Scripts that put no space between words.
+UNSPACED = "Han Hiragana Katakana Thai Lao Khmer Myanmar Tibetan".split()
+
+
+def token_pattern(script: str) -> str:
+    """Numbers, letters of unspaced scripts one by one, other words; `script` names a script in the engine's syntax."""
+    apart = "".join(script.format(x) for x in UNSPACED)
+    return rf"[0-9]+(?:[.,:/][0-9]+)*[.!?:]?|[{apart}]\p{{M}}*[.!?:]?|[^\P{{L}}{apart}](?:\p{{M}}|[^\P{{L}}{apart}])*[.!?:]?"
+
+
+TOKEN = token_pattern(r"\p{{Is{}}}")
 # Unit words and signs that follow a number.
 UNITS = "mm cm m km in ft mi mg g kg t ml l s sec min h hr hrs ms kb mb gb tb hz khz mhz ghz w kw mw v kv a ma j kj cal kcal pa kpa usd eur gbp dollars euros cents percent meters metres kilometers kilometres miles feet inches grams kilograms pounds ounces liters litres seconds minutes hours days weeks months years degrees".split()
 _NUMBER, _UNIT, _NAME = 1, 2, 3
@@ -201,42 +214,46 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, mi
 
 _UNIT_LIST = ", ".join(f"'{u}'" for u in UNITS)
 
+_TOKEN_SQL = token_pattern(r"\p{{{}}}")
+
 #: The same for DuckDB, over documents and benchmark. Windows are compared as texts, not as hashes.
 ORACLE_SQL = rf"""
 WITH toks AS (
-  SELECT 'd' AS side, doc_id AS id, md5(text) AS row, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS raw FROM documents
+  SELECT 'd' AS side, doc_id AS id, md5(text) AS row, regexp_extract_all(coalesce(text, ''), '{_TOKEN_SQL}') AS raw FROM documents
   UNION ALL
-  SELECT 'b', item_id, '', regexp_extract_all(coalesce(text, ''), '{TOKEN}') FROM benchmark
+  SELECT 'b', item_id, '', regexp_extract_all(coalesce(text, ''), '{_TOKEN_SQL}') FROM benchmark
 ), uniq AS (SELECT DISTINCT side, id, row, raw FROM toks),
 flat AS (
   SELECT side, id, row, len(raw) AS n, u.i AS i, raw[u.i] AS tok, CASE WHEN u.i > 1 THEN raw[u.i - 1] END AS prev
   FROM uniq, (SELECT unnest(range(1, len(raw) + 1)) AS i) AS u
 ), kinds AS (
   SELECT *, lower(rtrim(tok, '.!?:')) AS plain,
-    CASE WHEN regexp_matches(tok, '^[0-9]') THEN '<number>'
-      WHEN prev IS NOT NULL AND regexp_matches(prev, '^[0-9]') AND lower(rtrim(tok, '.!?:')) IN ({_UNIT_LIST}) THEN '<unit>'
-      WHEN substr(tok, 1, 1) <> lower(substr(tok, 1, 1)) AND prev IS NOT NULL AND NOT regexp_matches(prev, '[.!?:]$') THEN '<name>' END AS kind
+    CASE WHEN regexp_matches(tok, '^[0-9]') THEN '<1>'
+      WHEN prev IS NOT NULL AND regexp_matches(prev, '^[0-9]') AND lower(rtrim(tok, '.!?:')) IN ({_UNIT_LIST}) THEN '<2>'
+      WHEN substr(tok, 1, 1) <> lower(substr(tok, 1, 1)) AND prev IS NOT NULL AND NOT regexp_matches(prev, '[.!?:]$') THEN '<3>' END AS kind
   FROM flat
 ), lists AS (
-  SELECT side, id, row, n, list(coalesce(kind, plain) ORDER BY i) AS canon, list(CASE WHEN kind IS NOT NULL THEN plain END ORDER BY i) AS vals
+  SELECT side, id, row, n, list(coalesce(kind, plain) ORDER BY i) AS canon, list(CASE WHEN kind IS NOT NULL THEN plain END ORDER BY i) AS vals,
+    list(CASE WHEN kind IN ('<2>', '<3>') THEN plain END ORDER BY i) AS heads, list('=' || rtrim(tok, '.!?:') ORDER BY i) AS exact
   FROM kinds GROUP BY ALL
 ), bw AS (
   SELECT id AS item_id, least(n, {WINDOW}) AS w, n - least(n, {WINDOW}) + 1 AS item_windows, p.i AS item_pos,
-    canon[p.i : p.i + least(n, {WINDOW}) - 1] AS win, vals[p.i : p.i + least(n, {WINDOW}) - 1] AS item_vals
-  FROM lists, (SELECT unnest(range(1, n - least(n, {WINDOW}) + 2)) AS i) AS p WHERE side = 'b' AND n >= {MIN_TOKENS}
+    CASE WHEN n < {MIN_TOKENS} THEN exact ELSE canon[p.i : p.i + least(n, {WINDOW}) - 1] END AS win,
+    CASE WHEN n < {MIN_TOKENS} THEN [] ELSE list_filter(vals[p.i : p.i + least(n, {WINDOW}) - 1], lambda x: x IS NOT NULL) END AS item_slots
+  FROM lists, (SELECT unnest(range(1, n - least(n, {WINDOW}) + 2)) AS i) AS p WHERE side = 'b'
 ), dw AS (
-  SELECT id AS doc_id, row, k.w AS w, p.i AS pos, canon[p.i : p.i + k.w - 1] AS win, vals[p.i : p.i + k.w - 1] AS vals
+  SELECT id AS doc_id, row, k.w AS w, CASE WHEN k.w < {MIN_TOKENS} THEN exact[p.i : p.i + k.w - 1] ELSE canon[p.i : p.i + k.w - 1] END AS win,
+    CASE WHEN k.w < {MIN_TOKENS} THEN [] ELSE list_filter(vals[p.i : p.i + k.w - 1], lambda x: x IS NOT NULL) END AS slots, heads[p.i] AS head
   FROM lists, (SELECT DISTINCT w FROM bw) AS k, (SELECT unnest(range(1, n - k.w + 2)) AS i) AS p WHERE side = 'd' AND n >= k.w
+), forms AS (
+  SELECT doc_id, row, w, win, slots, FALSE AS plain FROM dw
+  UNION ALL
+  SELECT doc_id, row, w, list_concat([head], win[2:]), slots[2:], TRUE FROM dw WHERE w >= {MIN_TOKENS} AND head IS NOT NULL
 ), pairs AS (
-  SELECT doc_id, row, item_id, item_windows, item_pos, pos - item_pos AS diagonal, item_vals, vals FROM dw JOIN bw USING (w, win)
-), slots AS (
-  SELECT doc_id, row, item_id, diagonal, item_vals[k] AS b, vals[k] AS d
-  FROM pairs, (SELECT unnest(range(1, len(vals) + 1)) AS k) WHERE vals[k] IS NOT NULL
-), verdict AS (
-  SELECT doc_id, row, item_id, diagonal, count(DISTINCT (b, d)) = count(DISTINCT b) AS ok, bool_or(b <> d) AS changed FROM slots GROUP BY ALL
+  SELECT doc_id, row, item_id, item_windows, item_pos, list_distinct(list_transform(range(1, len(slots) + 1), lambda k: [item_slots[k], slots[k]])) AS filled
+  FROM forms JOIN bw USING (w, win) WHERE NOT plain OR item_windows = 1
 ), good AS (
-  SELECT p.doc_id, p.row, p.item_id, p.item_windows, p.item_pos, coalesce(v.changed, false) AS changed
-  FROM pairs p LEFT JOIN verdict v USING (doc_id, row, item_id, diagonal) WHERE coalesce(v.ok, true)
+  SELECT *, len(list_filter(filled, lambda x: x[1] <> x[2])) > 0 AS changed FROM pairs WHERE len(list_distinct(list_transform(filled, lambda x: x[1]))) = len(filled)
 ), merged AS (
   SELECT doc_id, row, item_id, item_windows, count(DISTINCT item_pos) AS matched, bool_or(changed) AS changed FROM good GROUP BY ALL
 )
