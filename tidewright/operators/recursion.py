@@ -75,11 +75,13 @@ def high_pass(x: np.ndarray, period: float) -> np.ndarray:
     return out
 
 
-def integrate(x: np.ndarray, rho: float) -> np.ndarray:
-    """Mean-reverting sum y = rho y + x; a gap adds nothing."""
+def integrate(x: np.ndarray, rho: float, bound: float = 0.0) -> np.ndarray:
+    """Mean-reverting sum y = rho y + x; a gap adds nothing; with a bound it is squashed to stay within."""
     out, y = np.zeros(len(x)), 0.0
     for i, v in enumerate(x):
         y = rho * y + (v if v == v else 0.0)
+        if bound:
+            y = float(np.tanh(y / bound) * bound)
         out[i] = y
     return out
 

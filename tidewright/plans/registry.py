@@ -291,10 +291,17 @@ def recursive_means(spark: SparkSession, d: str) -> DataFrame:
     return rounded(df.select("day", "ema_20", "rma_14"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BARS_SQL}, o AS (SELECT symbol, day, row_number() {W} AS n, ln(close) AS x, ln(close) - lag(ln(close)) {W} AS r, {roll('avg', 'ln(close)', 12)} AS m12 FROM bars),
+f AS (SELECT symbol, day, n, CAST(NULL AS DOUBLE) AS smma, x AS lv, 1.0::DOUBLE AS p, x AS m0, 0.0::DOUBLE AS m1, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS c, 0.0::DOUBLE AS integrated, 0.0::DOUBLE AS squashed FROM o WHERE n = 1
+UNION ALL SELECT o.symbol, o.day, o.n, CASE WHEN o.n = 12 THEN o.m12 ELSE (f.smma * 11 + o.x) / 12 END, f.lv + (f.p + 1e-4) / (f.p + 1e-4 + 1e-2) * (o.x - f.lv), (1 - (f.p + 1e-4) / (f.p + 1e-4 + 1e-2)) * (f.p + 1e-4),
+ (f.m0 + f.m1) + (f.a + 2 * f.b + f.c + 1e-4) / (f.a + 2 * f.b + f.c + 1e-4 + 1e-2) * (o.x - f.m0 - f.m1), 0.98 * f.m1 + 0.98 * (f.b + f.c) / (f.a + 2 * f.b + f.c + 1e-4 + 1e-2) * (o.x - f.m0 - f.m1),
+ (f.a + 2 * f.b + f.c + 1e-4) * (1 - (f.a + 2 * f.b + f.c + 1e-4) / (f.a + 2 * f.b + f.c + 1e-4 + 1e-2)), 0.98 * (f.b + f.c) * (1 - (f.a + 2 * f.b + f.c + 1e-4) / (f.a + 2 * f.b + f.c + 1e-4 + 1e-2)), 0.98 * 0.98 * f.c + 1e-6 - pow(0.98 * (f.b + f.c), 2) / (f.a + 2 * f.b + f.c + 1e-4 + 1e-2),
+ 0.98 * f.integrated + o.r, tanh((0.98 * f.squashed + o.r) / 0.3) * 0.3 FROM f JOIN o ON o.symbol = f.symbol AND o.n = f.n + 1)
+SELECT symbol, day, round(smma, 6) AS smma_12, round(lv, 6) AS level, round(m0, 6) AS trend_level, round(integrated, 6) AS integrated, round(squashed, 6) AS squashed FROM f""")
 def recursive_filters(spark: SparkSession, d: str) -> DataFrame:
     df = bars(spark, d).select("symbol", "day", F.ln(ta.close()).alias("x"), O.diff(F.ln(ta.close())).alias("r"))
-    return rounded(fold(df, [Recursion("smma_12", "x", partial(smoothed, n=12)), Recursion("level", "x", partial(local_level, q=1e-4, r=1e-2)), Recursion("trend_level", "x", partial(local_trend, q_level=1e-4, q_trend=1e-6, r=1e-2, phi=0.98)), Recursion("integrated", "r", partial(integrate, rho=0.98))]))
+    made = fold(df, [Recursion("smma_12", "x", partial(smoothed, n=12)), Recursion("level", "x", partial(local_level, q=1e-4, r=1e-2)), Recursion("trend_level", "x", partial(local_trend, q_level=1e-4, q_trend=1e-6, r=1e-2, phi=0.98)), Recursion("integrated", "r", partial(integrate, rho=0.98)), Recursion("squashed", "r", partial(integrate, rho=0.98, bound=0.3))])
+    return rounded(made.drop("x", "r"))
 
 
 def _lags(x: str, weights: list[float]) -> str:
@@ -379,12 +386,59 @@ def trend_indicators(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ta.trend_windows(bars(spark, d)), 5)
 
 
-@query()
+def _ema(x: str, state: str, span: int, alpha: str | None = None) -> str:
+    """SQL of one step of an exponential mean that starts at the first value."""
+    return f"CASE WHEN r.{state} IS NULL THEN o.{x} WHEN o.{x} IS NULL THEN r.{state} ELSE r.{state} + {alpha or f'2.0 / {span + 1}'} * (o.{x} - r.{state}) END AS {state}"
+
+
+def _rma(x: str, state: str, n: int = 14) -> str:
+    return f"CASE WHEN o.n = {n} THEN o.{x}_seed WHEN o.n > {n} THEN r.{state} + (o.{x} - r.{state}) / {n} END AS {state}"
+
+
+def _high_pass(state: str, period: int) -> str:
+    a = f"exp(-1.414 * pi() / {period})"
+    c2, c3 = f"2 * {a} * cos(1.414 * pi() / {period})", f"(-{a} * {a})"
+    return f"CASE WHEN o.n <= 2 THEN 0 ELSE (1 + {c2} - {c3}) / 4 * (o.close - 2 * o.c1 + o.c2) + {c2} * r.{state} + {c3} * r.{state}_before END AS {state}, r.{state} AS {state}_before"
+
+
+def _recursion(name: str, source: str, states: list[str], first: list[str]) -> str:
+    """A table `name` that follows the rows of `source` by symbol and n; first: the states of the first row."""
+    return f"{name} AS (SELECT o.symbol, o.day, o.n, {', '.join(first)} FROM {source} o WHERE n = 1 UNION ALL SELECT o.symbol, o.day, o.n, {', '.join(states)} FROM {name} r JOIN {source} o ON o.symbol = r.symbol AND o.n = r.n + 1)"
+
+
+_STRENGTH = "CASE WHEN {d} = 0 THEN 100 WHEN {u} = 0 THEN 0 ELSE 100 - 100 / (1 + {u} / {d}) END"
+_EMAS = [("sv", "e_sv", 21), ("volume", "e_v", 21), ("sc", "e_sc", 21), ("close", "e_c21", 21), ("close", "e_fast", 23), ("close", "e_slow", 50), ("close", "e5", 5), ("wl", "wls", 3), ("close", "e55", 55), ("rdiff", "rel", 3), ("span", "spread", 3)]
+_CMO = (5, 10, 20)
+_INDICATORS = f"""WITH RECURSIVE {BARS_SQL}, i0 AS (SELECT *, row_number() {W} AS n, close - lag(close) {W} AS ch, lag(close) {W} AS c1, lag(close, 2) {W} AS c2, (high + low + close) / 3 AS tp FROM bars),
+i1 AS (SELECT *, greatest(ch, 0) + (ch * 0) AS gain, greatest(-ch, 0) + (ch * 0) AS loss, CASE WHEN close > c1 THEN volume WHEN close < c1 THEN -volume ELSE 0 END AS sv, CASE WHEN close > c1 THEN close WHEN close < c1 THEN -close ELSE 0 END AS sc, tp - lag(tp) {W} AS tpc, greatest(high - low, abs(high - c1), abs(low - c1)) AS tr,
+ {_lags('close', [max(14 - i - 14 / 3, 0.0) for i in range(15)])} AS wl, CASE WHEN tp > lag(tp) {W} THEN tp * volume ELSE 0 END AS fu, CASE WHEN tp < lag(tp) {W} THEN tp * volume ELSE 0 END AS fd, close - ({roll('max', 'high', 10)} + {roll('min', 'low', 10)}) / 2 AS rdiff, {roll('max', 'high', 10)} - {roll('min', 'low', 10)} AS span FROM i0),
+i2 AS (SELECT *, {', '.join(f"coalesce(100 * ({roll('sum', 'coalesce(gain, 0)', k)} - {roll('sum', 'coalesce(loss, 0)', k)}) / nullif({roll('sum', 'coalesce(gain, 0)', k)} + {roll('sum', 'coalesce(loss, 0)', k)}, 0), 0) AS cmo{k}" for k in _CMO)}, {', '.join(f'avg({x}) {frame(None)} AS {x}_seed' for x in ('gain', 'loss', 'volume'))}, {roll('avg', 'close', 4)} AS m4, {roll('avg', 'close', 12)} AS m12 FROM i1),
+{_recursion('ra', 'i2', [_ema(x, s, k) for x, s, k in _EMAS] + [_ema('tr', 'atr', 0, '1.0 / 89'), _rma('gain', 'ru'), _rma('loss', 'rd'), _rma('volume', 'rv'), _high_pass('hp250', 250), _high_pass('hp40', 40), 'CASE WHEN o.n = 4 THEN o.m4 WHEN o.n > 4 THEN (r.s4 * 3 + o.close) / 4 END AS s4', 'CASE WHEN o.n = 12 THEN o.m12 WHEN o.n > 12 THEN (r.s12 * 11 + o.close) / 12 END AS s12'] + [_ema(f'cmo{k}', f'd{k}', 3) for k in _CMO],
+    [f'CAST(o.{x} AS DOUBLE) AS {s}' for x, s, _ in _EMAS] + ['o.tr AS atr', *[f'CAST(NULL AS DOUBLE) AS {x}' for x in ('ru', 'rd', 'rv')], *[f'0.0::DOUBLE AS {x}' for x in ('hp250', 'hp250_before', 'hp40', 'hp40_before')], 'CAST(NULL AS DOUBLE) AS s4', 'CAST(NULL AS DOUBLE) AS s12'] + [f'o.cmo{k} AS d{k}' for k in _CMO])},
+i3 AS (SELECT i2.symbol, i2.day, i2.n, i2.open, high, low, close, volume, tpc, fu, fd, ra.* EXCLUDE (symbol, day, n), e_fast - e_slow AS macd, {', '.join(f'CASE WHEN i2.n >= 3 THEN d{k} END AS ds{k}' for k in _CMO)}, CASE WHEN i2.n >= 12 THEN rel END AS rels, CASE WHEN i2.n >= 12 THEN spread END AS spreads, CASE WHEN i2.n >= 55 THEN e55 END AS e55s, CASE WHEN i2.n >= 89 THEN atr END AS atrs,
+ coalesce(least(greatest(abs(volume - lag(volume, 14) OVER z) / nullif(CASE WHEN count(dv) OVER q >= 14 THEN sum(dv) OVER q END, 0), 0), 1) + abs(volume - lag(volume, 14) OVER z) * 0 + CASE WHEN count(dv) OVER q >= 14 AND sum(dv) OVER q <> 0 THEN 0 END, 0) AS er
+ FROM (SELECT *, abs(volume - lag(volume) {W}) AS dv FROM i2) i2 JOIN ra ON ra.symbol = i2.symbol AND ra.n = i2.n WINDOW z AS (PARTITION BY i2.symbol ORDER BY i2.day), q AS (PARTITION BY i2.symbol ORDER BY i2.day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+i4 AS (SELECT *, rv + pow(er * (2 / 3 - 2 / 31) + 2 / 31, 2) * (volume - rv) AS smv, CASE WHEN high >= e55s THEN high ELSE low END AS anchor, 100 * (macd - {roll('min', 'macd', 10)}) / nullif({roll('max', 'macd', 10)} - {roll('min', 'macd', 10)}, 0) AS k, CASE WHEN spreads <> 0 THEN rels / (spreads / 2) * 100 WHEN spreads = 0 THEN 0 END AS smi_raw,
+ ({_STRENGTH.format(u='ru', d='rd')} + (100 - 100 / (1 + {roll('sum', 'fu', 14)} / nullif({roll('sum', 'fd', 14)}, 0)))) / 2 AS blend FROM i3),
+i5 AS (SELECT *, CASE WHEN tpc IS NOT NULL THEN greatest(tpc, 0) END * smv AS vup, CASE WHEN tpc IS NOT NULL THEN greatest(-tpc, 0) END * smv AS vdown, abs(anchor - e55s) / nullif(e55s, 0) * 100 / nullif(atrs, 0) * 100 AS ls, {roll('avg', 'smi_raw', 5)} AS smi5,
+ 0.6 * (blend - 50) / 50 + 0.25 * CASE WHEN blend IS NOT NULL THEN greatest(least((blend - 50) / 18, 2), -2) END / 2 + 0.15 * CASE WHEN {roll('stddev_samp', 'close', 14)} > 0 AND e_c21 IS NOT NULL THEN greatest(least((e5 - e_c21) / {roll('stddev_samp', 'close', 14)}, 3), -3) END / 3 AS comp FROM i4),
+i6 AS (SELECT *, avg(vup) {frame(None)} AS vup_seed, avg(vdown) {frame(None)} AS vdown_seed, count(smi5) {frame(None)} AS smi_n FROM i5),
+{_recursion('rb', 'i6', [_ema('k', 'd', 3), _ema('comp', 'rmi', 3), _ema('smi5', 'smi', 10), _rma('vup', 'vru'), _rma('vdown', 'vrd'), *[_ema(f'ds{k}', f'dd{k}', 3) for k in _CMO]], ['o.k AS d', 'o.comp AS rmi', 'o.smi5 AS smi', 'CAST(NULL AS DOUBLE) AS vru', 'CAST(NULL AS DOUBLE) AS vrd', *[f'o.ds{k} AS dd{k}' for k in _CMO]])},
+i7 AS (SELECT i6.*, rb.* EXCLUDE (symbol, day, n), {', '.join(f'CASE WHEN i6.n >= 5 THEN 2 * ds{k} - dd{k} END AS de{k}' for k in _CMO)}, {_STRENGTH.format(u='vru', d='vrd')} AS vrsi FROM i6 JOIN rb ON rb.symbol = i6.symbol AND rb.n = i6.n),
+i8 AS (SELECT *, 100 * (d - {roll('min', 'd', 10)}) / nullif({roll('max', 'd', 10)} - {roll('min', 'd', 10)}, 0) AS kd FROM i7),
+{_recursion('rc', 'i8', [_ema('kd', 'stc', 3), _ema('vrsi', 've', 14)], ['o.kd AS stc', 'o.vrsi AS ve'])}
+SELECT i8.symbol, i8.day, round(CASE WHEN ru = 0 THEN 0 WHEN rd = 0 THEN 100 ELSE 100 - 100 / (1 + ru / rd) END, 5) AS rsi, round(100 * e_sv / nullif(e_v, 0), 5) AS vzo, round(100 * e_sc / nullif(e_c21, 0), 5) AS pzo, round(CASE WHEN stc IS NOT NULL THEN greatest(least(stc, 100), 0) END - 50, 5) AS schaff, round(wls - lag(wls) OVER w, 5) AS trend_sniper, round(rmi, 5) AS rmi, round(hp250 - hp40, 5) AS precision_trend,
+round(ve + 2 / 15 * (vrsi - ve) - 50, 5) AS volume_rsi, round(s4 - s12, 5) AS ma_momentum, round(({' + '.join(f'sd{k} * de{k}' for k in _CMO)}) / nullif({' + '.join(f'sd{k}' for k in _CMO)}, 0), 5) AS cmo_momentum, round(CASE WHEN smi_n >= 10 THEN smi END, 5) AS slow_stochastic, round(CASE WHEN count(ls) OVER v >= 89 THEN (ls - min(ls) OVER v) * 100 / nullif(max(ls) OVER v - min(ls) OVER v, 0) END, 5) AS ls_normalized
+FROM (SELECT *, {', '.join(f'{roll("stddev_pop", "close", k)} AS sd{k}' for k in _CMO)} FROM i8) i8 JOIN rc ON rc.symbol = i8.symbol AND rc.n = i8.n WINDOW w AS (PARTITION BY i8.symbol ORDER BY i8.day), v AS (PARTITION BY i8.symbol ORDER BY i8.day ROWS BETWEEN 88 PRECEDING AND CURRENT ROW)"""
+
+
+@query(_INDICATORS)
 def recursive_indicators(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ta.recursive(bars(spark, d)), 5)
 
 
-@query()
+@query(f"""WITH {BARS_SQL}, a AS (SELECT *, 2 * {_lags('close', ta.linear_weights(10))} - {_lags('close', ta.linear_weights(20))} AS raw, row_number() {W} AS n FROM bars), b AS (SELECT *, open - (({roll('max', 'high', 20)} + {roll('min', 'low', 20)}) / 2 + {_lags('raw', ta.linear_weights(4))}) / 2 AS y FROM a)
+SELECT symbol, day, round(CASE WHEN count(y) {frame(20)} >= 20 THEN regr_slope(y, n) {frame(20)} * n + regr_intercept(y, n) {frame(20)} END, 5) AS squeeze_momentum FROM b""")
 def squeeze_momentum(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ta.squeeze_momentum(bars(spark, d)), 5)
 
