@@ -88,3 +88,24 @@ def common_rows(frames: list[DataFrame], keys: list[str]) -> DataFrame:
         part = df.select(*keys, F.lit(i).alias("_i"))
         every = part if every is None else every.unionByName(part)
     return every.groupBy(*keys).agg(F.countDistinct("_i").alias("_n")).where(F.col("_n") == len(frames)).select(*keys)
+
+
+def replace_suffix(existing: DataFrame, new: DataFrame, time: str, start: Column | None = None) -> DataFrame:
+    """existing with its rows from `start` on (all, without one) replaced by `new`."""
+    kept = existing.limit(0) if start is None else existing.where(F.col(time) < start)
+    return kept.unionByName(new.select(*existing.columns))
+
+
+def merge_endpoint(existing: DataFrame, new: DataFrame, time: str) -> DataFrame:
+    """existing with its rows from the least time of `new` on replaced by `new`; without that column, `new` alone."""
+    if time not in existing.columns:
+        return new
+    first = new.agg(F.min(time).alias("_first"))  # one row
+    kept = existing.join(F.broadcast(first)).where(F.col("_first").isNull() | (F.col(time) < F.col("_first"))).drop("_first")
+    return kept.unionByName(new.select(*existing.columns))
+
+
+def is_current(stored: DataFrame, source: DataFrame, time: str) -> DataFrame:
+    """One row: whether the newest stored time is not before the source's newest one."""
+    a, b = stored.agg(F.max(time).alias("_a")), source.agg(F.max(time).alias("_b"))
+    return a.join(F.broadcast(b)).select(F.coalesce(F.col("_a") >= F.col("_b"), F.col("_b").isNull()).alias("current"))

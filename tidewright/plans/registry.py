@@ -696,7 +696,7 @@ def feature_correlations(spark: SparkSession, d: str) -> DataFrame:
 
 def _load() -> None:
     """Register the queries of the other modules of this folder."""
-    from tidewright.plans import evaluation, positions, valuation  # noqa: F401
+    from tidewright.plans import evaluation, positions, states, valuation  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
