@@ -38,7 +38,7 @@ FAR_CHARS = 1 << 20
 FAR_CHUNK = 1 << 18
 FAR_OVERLAP = 1_024
 #: Pieces that a worker keeps encoded.
-CACHED_PIECES = 500_000
+CACHED_PIECES = 200_000
 #: A match may depend on so many characters after its end.
 LOOKAHEAD = 4
 

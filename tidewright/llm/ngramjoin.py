@@ -51,7 +51,7 @@ HOT_TOKENS = 1 << 17
 #: Documents that share a shingle before it counts as frequent.
 HOT_LEAST = 8
 #: Shingles that a task sorts at once.
-SORTED_TOKENS = 1 << 20
+SORTED_TOKENS = 1 << 18
 #: Keys up to this many are broadcast to pick documents; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 _SALTS = tuple(np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of text that reach a Python worker at once.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 #: Steps that may be discarded, by identity.
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
