@@ -120,7 +120,67 @@ def test_stream_upsert(spark, tmp_path):
         spark.createDataFrame(rows, "k int, v string, seq int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         q = upsert_stream(spark.readStream.schema("k int, v string, seq int").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", ["k"], ["seq"], f"{tmp_path}/cp").trigger(availableNow=True).start()
         q.awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/v1").collect())) == [(1, "a", 1), (2, "c", 2)]
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").drop("_bucket").collect())) == [(1, "a", 1), (2, "c", 2)]
+    # a new query over a table that holds rows keeps them
+    spark.createDataFrame([(9, "z", 3)], "k int, v string, seq int").coalesce(1).write.parquet(f"{tmp_path}/more")
+    q = upsert_stream(spark.readStream.schema("k int, v string, seq int").parquet(f"{tmp_path}/more"), f"{tmp_path}/out", ["k"], ["seq"], f"{tmp_path}/cp2").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").drop("_bucket").collect())) == [(1, "a", 1), (2, "c", 2), (9, "z", 3)]
+
+
+def _run(stream, name, mode="append"):
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def test_stream_windows_sessions_and_state(spark, tmp_path):
+    from datetime import datetime
+
+    from tidewright.streaming.upserts import position_state, rejected_as_stale, sessions, tumbling
+
+    start = datetime(2024, 1, 1)
+    rows = [("A", start + timedelta(days=i), float(i)) for i in (0, 1, 2, 7, 8, 15, 40)] + [("B", start + timedelta(days=3), 1.0)]
+    schema = "symbol string, ts timestamp, value double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    _run(tumbling(stream(), "ts", "7 days", "1 day", ["symbol"], "value"), "tumble", "complete")
+    got = sorted((r.symbol, r.n, r.total, r.low, r.high) for r in spark.table("tumble").collect())
+    assert sum(n for _, n, *_ in got) == 8 and ("B", 1, 1.0, 1.0, 1.0) in got
+    _run(sessions(stream(), "ts", "2 days", "1 day", ["symbol"]), "session", "complete")
+    assert sorted(r.n for r in spark.table("session").where("symbol = 'A'").collect()) == [1, 1, 2, 3]
+    _run(position_state(stream(), "60 days"), "taken")
+    assert sorted((r.symbol, r.value) for r in spark.table("taken").collect()) == [("A", 0.0), ("A", 7.0), ("A", 15.0), ("A", 40.0), ("B", 1.0)]
+    late = rejected_as_stale(spark.createDataFrame(rows, schema), "ts", F.lit(start + timedelta(days=20)), "10 days").collect()
+    assert sorted((r.value, r.reason) for r in late) == [(0.0, "stale"), (1.0, "stale"), (1.0, "stale"), (2.0, "stale"), (7.0, "stale"), (8.0, "stale"), (40.0, "future")]
+
+
+def test_klines_traces_and_csv(spark, tmp_path):
+    raw = spark.createDataFrame([(["0", "1.5", "2", "1", "1.7", "10", "59999", "17", "3"],)], "kline array<string>")
+    bar = tables.klines(raw, F.lit("1970-01-01 00:02:00").cast("timestamp")).first()
+    assert (bar.open, bar.high, bar.low, bar.close, bar.volume, bar.trades, bar.is_closed) == (1.5, 2.0, 1.0, 1.7, 10.0, 3, True)
+    trace = spark.createDataFrame([("a", ["2024-01-01", "2024-01-01", "2024-01-02"], [1.0, 2.0, float("nan")])], "name string, x array<string>, y array<double>")
+    assert [(r.name, str(r.day), r.value) for r in tables.trace_points(trace, ["name"]).collect()] == [("a", "2024-01-01", 2.0)]
+    (tmp_path / "f.csv").write_text("day,close\n2024-01-01,5\n")
+    assert tables.read_csv(spark, f"{tmp_path}/f.csv", "day date, close double", ["day", "close"]).first().close == 5.0
+    with pytest.raises(ValueError):
+        tables.read_csv(spark, f"{tmp_path}/f.csv", "day date, close double", ["open"])
+
+
+def test_table_sinks(spark, tmp_path):
+    from tidewright.sources import sinks
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string")
+    assert sinks.save(df, f"{tmp_path}/t") == 3 and sinks.save(df.where("1 = 0"), f"{tmp_path}/t") == 0
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 3
+    sinks.append_failure(spark, f"{tmp_path}/fail", "2024-01-01", ValueError("no"))
+    sinks.append_failure(spark, f"{tmp_path}/fail", "2024-01-02", KeyError("x"))
+    assert sorted((r.as_of, r.error) for r in spark.read.parquet(f"{tmp_path}/fail").collect()) == [("2024-01-01", "ValueError: no"), ("2024-01-02", "KeyError: 'x'")]
+    sinks.write_csv_by_day(spark.createDataFrame([("2024-01-02", 1, 1), ("2024-01-01", 2, 1), ("2024-01-02", 3, 2)], "day string, v int, seq int"), f"{tmp_path}/c", "day", ["seq"])
+    assert [(str(r.day), r.v) for r in spark.read.csv(f"{tmp_path}/c", header=True, inferSchema=True).collect()] == [("2024-01-01", 2), ("2024-01-02", 3)]
+    assert sinks.check_names(["close", "target_7"], ["target", "future"]) == ["target_7"]
+    with pytest.raises(ValueError):
+        sinks.guard_names(["future_return"], ["target", "future"])
+    assert sinks.quoted("a`b") == "`a``b`"
 
 
 def test_conformal_calibration_never_narrows(spark):

@@ -602,12 +602,23 @@ def walk_forward_selection(spark: SparkSession, d: str) -> DataFrame:
     return fc.realised_selection(_panel(spark, d), "expanding").groupBy("symbol", "horizon", "selected").agg(F.count(F.lit(1)).alias("days"))
 
 
-@query()
+_AT = ", ".join(f"arg_max(v, mid) FILTER (WHERE mid <= {q}) AS a{i}, max(mid) FILTER (WHERE mid <= {q}) AS ma{i}, arg_min(v, mid) FILTER (WHERE mid >= {q}) AS b{i}, min(mid) FILTER (WHERE mid >= {q}) AS mb{i}" for i, q in enumerate(fc.LEVELS))
+
+
+@query(f"""WITH {_TARGETS.replace(BARS_SQL, MARKET_SQL)}, n AS (SELECT *, count(past) OVER (PARTITION BY horizon ORDER BY day ROWS UNBOUNDED PRECEDING) AS kc FROM t), j AS (SELECT i.horizon, i.day, i.kc, k.past AS v, k.kc AS p, pow(0.5, (i.kc - k.kc) / 180.0) AS w FROM n i JOIN n k ON k.horizon = i.horizon AND k.past IS NOT NULL AND k.kc <= i.kc AND k.day <= i.day WHERE i.kc >= 180),
+c AS (SELECT horizon, day, v, (sum(w) OVER (PARTITION BY horizon, day ORDER BY v, p ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY horizon, day) AS mid FROM j), q AS (SELECT horizon, day, {_AT} FROM c GROUP BY 1, 2)
+SELECT n.symbol, n.day, n.horizon, round(n.y, 6) AS actual, {', '.join(f'round(coalesce(a{i} + (b{i} - a{i}) * ({q} - ma{i}) / nullif(mb{i} - ma{i}, 0), a{i}, b{i}), 6) AS {x}' for i, (q, x) in enumerate(zip(fc.LEVELS, fc.NAMES, strict=True)))} FROM q JOIN n ON n.horizon = q.horizon AND n.day = q.day""")
 def decayed_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fc.decayed_cone(fc.forward_targets(market_bars(spark, d))).drop("close"))
 
 
-@query()
+_VOL = "OVER (PARTITION BY e.symbol ORDER BY e.day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(f"""WITH RECURSIVE {BARS_SQL}, o AS (SELECT symbol, day, row_number() {W} AS n, ln(close / lag(close) {W}) AS r FROM bars), e AS (SELECT symbol, day, n, r, r AS m, 0.0::DOUBLE AS v, 1.0::DOUBLE AS s FROM o WHERE n = 2
+UNION ALL SELECT o.symbol, o.day, o.n, o.r, e.m + 2.0 / 31 * (o.r - e.m), 29.0 / 31 * (e.v + 2.0 / 31 * (o.r - e.m) * (o.r - e.m)), pow(29.0 / 31, 2) * e.s + pow(2.0 / 31, 2) FROM e JOIN o ON o.symbol = e.symbol AND o.n = e.n + 1),
+g AS (SELECT *, CASE WHEN n > 2 THEN sqrt(v / (1 - s)) END AS sigma FROM e), z AS (SELECT *, r / nullif(lag(sigma) {W}, 0) AS z FROM g), q AS (SELECT *, CASE WHEN count(z) {_VOL} >= 90 THEN quantile_cont(z, [0.05, 0.25, 0.5, 0.75, 0.95]) {_VOL} END AS q FROM z e)
+SELECT symbol, day, horizon, {', '.join(f'round(q[{i}] * sigma * sqrt(horizon), 6) AS {x}' for i, x in enumerate(fc.NAMES, 1))} FROM q, (SELECT unnest([1, 3, 7, 15]) AS horizon) WHERE q IS NOT NULL""")
 def volatility_cone(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fc.volatility_cone(bars(spark, d)))
 
