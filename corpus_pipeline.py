@@ -15,8 +15,6 @@ from tidewright.llm import bpe, decontaminate, language, ngramjoin, toxicity
 from tidewright.llm.storage import materialise, new_path, prepare
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document stays if one language holds at least this share of its letters.
-MIN_LANGUAGE_SHARE = 0.35
 #: The tokens are made by a Python tokenizer and the classifiers are fitted, so no SQL gives run()'s rows.
 ORACLE_SQL = None
 
@@ -36,11 +34,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def reject_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language."""
+    """Documents that have a language; texts in several languages have one too, whatever the shares."""
     prepare(spark)
     docs = docs.select(*COLUMNS)
     found = language.identify(docs, language.fit_documents(docs), COLUMNS)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

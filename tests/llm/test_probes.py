@@ -219,6 +219,8 @@ def test_pipeline_stages_against_brute_force(spark, corpus):
     assert got.columns == corpus_pipeline.COLUMNS and keys(got) == expected(lambda r: not bad(r))
     got = stages["language"](spark, docs, folder)
     assert keys(got) == expected(lambda r: r[1] and any(c.isalpha() for c in r[1]))
+    mixed = spark.createDataFrame([(900, "the cat and the dog der hund und die katze zed yon xal wub qip", "en", "s", 1)], docs.schema)
+    assert stages["language"](spark, docs.unionByName(mixed), folder).where("doc_id = 900").count() == 1
     # one row of each group: the least key, then the least hash; other texts of a key stay
     got = keys(stages["near_copies"](spark, docs, folder))
     sets = [s.tobytes() for s in ngramjoin.shingle_sets([r[1] or "" for r in rows])]
