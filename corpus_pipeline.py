@@ -73,7 +73,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(docs, path), path)
+    # encoding and decoding in one task would hold two Python workers each
+    decoded = bpe.decode(materialise(bpe.encode(docs, path), "encoded"), path)
     return decoded.select("doc_id", "ids", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
