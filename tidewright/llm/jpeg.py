@@ -389,8 +389,7 @@ _RUN = (1 << 15) - 1
 def encode(coefficients: list[np.ndarray], width: int, height: int, sampling: list[tuple[int, int]], comment: bytes = b"") -> bytes:
     """Write coefficients (rows, cols, 64 each, zigzag, whole MCUs) as a progressive file.
 
-    AC values must be 256 to 511 and DC values 0 to 1023, as for 8-bit samples
-    stored by `samples_to_blocks`.
+    AC values must be 256 to 511 and DC values 0 to 1023, as `media.pack` makes them of bytes.
     """
     n = len(coefficients)
     out = [b"\xff\xd8", _segment(0xDB, b"\x00" + b"\x01" * 64)]
