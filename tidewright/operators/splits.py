@@ -58,13 +58,6 @@ def clusters(df: DataFrame, columns: list[str], least: float = 0.95) -> dict[str
     return {c: find(c) for c in columns}
 
 
-def ridge_one(x: Column, y: Column, penalty: float) -> tuple[Column, Column]:
-    """Slope and intercept aggregates of a one-feature ridge fit on a standardised feature."""
-    n, sd = F.count(F.when(x.isNotNull() & y.isNotNull(), 1)), F.stddev_pop(x)
-    slope = F.covar_pop(x, y) / F.nullif(sd, F.lit(0.0)) * n / (n + penalty) / F.nullif(sd, F.lit(0.0))
-    return slope, F.avg(y) - slope * F.avg(x)
-
-
 def principal(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, loadings (rows, by variance) and variances from one covariance aggregation; signs by the largest loading."""
     pairs = [(a, b) for a in columns for b in columns]
@@ -80,11 +73,3 @@ def principal(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray
 
 def scores(df: DataFrame, columns: list[str], mean: np.ndarray, loading: np.ndarray) -> Column:
     return reduce(lambda a, b: a + b, [(F.col(c) - float(m)) * float(w) for c, m, w in zip(columns, mean, loading, strict=True)])
-
-
-def soft_assignment(distances: list[Column], temperature: float) -> list[Column]:
-    """Softmax of negative distances."""
-    least = F.least(*distances)
-    parts = [F.exp(-(d - least) / temperature) for d in distances]
-    total = reduce(lambda a, b: a + b, parts)
-    return [p / total for p in parts]
