@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.sources.tables import keep_last
 
 
 def append_checked(existing: DataFrame, new: DataFrame) -> DataFrame:
