@@ -231,6 +231,15 @@ def test_reseating_samples_the_conditional():
         assert got == pytest.approx(want, rel=0.05), (c, a, d)
 
 
+def test_waiting_times_follow_the_same_process(monkeypatch):
+    """Tables by single customers and by waiting times have the mean that the process has."""
+    c, s, d = np.full(3000, 60.0), np.full(3000, 2.0), 0.4
+    want = float(pitmanyor.expected_tables(c, s, d)[0])
+    for lone in (1 << 20, 0):
+        monkeypatch.setattr(pitmanyor, "LONE_CUSTOMERS", lone)
+        assert pitmanyor.seat(c, s, d, pitmanyor.Draws(np.arange(3000), 9)).mean() == pytest.approx(want, rel=0.03)
+
+
 def test_pitman_yor_learns_contexts(spark):
     """Words that are equally frequent are told apart by the word before, and the tables of contexts feed the corpus."""
     from collections import Counter

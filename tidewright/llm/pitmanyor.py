@@ -51,19 +51,25 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.language import held_out
 from tidewright.llm.storage import discard, materialise, most_frequent
-from tidewright.llm.textkernel import mix, slices, words
+from tidewright.llm.textkernel import mix, ragged, slices, words
 
-SAMPLES = 4
+SAMPLES = 3
 BURN_IN = 2
 #: Turns of a dish in one sweep.
-TURNS = 2
+TURNS = 1
+#: Dishes that are seated at once: those with many tables take as many steps, whatever their number.
+DISHES = 500_000
 HOT_WORDS = 1 << 17
 HOT_PAIRS = 1 << 18
 WAVES = 4
 #: Strength of every restaurant.
 STRENGTH = 1.0
-#: Customers that are seated one by one; the waiting time for the next new table is drawn at once after them.
+#: Customers that all dishes of a batch seat in step; after them each dish goes on alone.
 SINGLE_STEPS = 12
+#: Above so many customers the waiting time for the next new table is drawn at once: the same process, cheaper there.
+LONE_CUSTOMERS = 1 << 20
+#: Random numbers of lone dishes that are held at once.
+LONE_DRAWS = 1 << 20
 #: Key of the end of a text, and code of its begin as a context.
 END = np.int64(0x2C4D6E8FA1B3C5D7)
 BEGIN = HOT_WORDS
@@ -71,15 +77,15 @@ _TOP = np.int64(np.iinfo(np.int64).min)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the gamma function of positive numbers."""
-    shift = np.zeros_like(x)
-    y = x.copy()
-    for _ in range(7):  # up to where the series is exact
-        small = y < 7
-        shift = np.where(small, shift + np.log(np.where(small, y, 1.0)), shift)
-        y = np.where(small, y + 1, y)
+    """Logarithm of the gamma function of positive numbers: the series at x + 6, less six factors."""
+    y = x + 6
     i = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i / 1680))) / y - shift
+    series = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i * (1 / 1680 - i / 1188)))) / y
+    small = x < 1e7  # beyond, the factors are taken one by one to stay within range
+    factors = np.log(np.where(small, x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5), 1.0))
+    if small.all():
+        return series - factors
+    return series - np.where(small, factors, sum(np.log(x + k) for k in range(6)))
 
 
 class Draws:
@@ -91,8 +97,33 @@ class Draws:
 
     def __call__(self, at: np.ndarray) -> np.ndarray:
         self.count += 1
+        return self.at(at, np.zeros(1, np.int64))
+
+    def at(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Numbers of the keys at further places of the present count."""
         step = np.uint64((self.count * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        return ((mix(self.keys[at] + step) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+        return ((mix(self.keys[at] + step + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def _seat_alone(lone: np.ndarray, c: np.ndarray, t: np.ndarray, strength: np.ndarray, discount: float, draws: Draws) -> None:
+    """Seat the customers after SINGLE_STEPS of each dish in `lone`, one by one; t is changed in place."""
+    size = (c[lone] - SINGLE_STEPS).astype(np.int64)
+    part = np.cumsum(size) // LONE_DRAWS
+    for k in np.unique(part):
+        own = np.flatnonzero(part == k)
+        places = ragged(np.zeros(len(own), np.int64), size[own])
+        u = draws.at(np.repeat(lone[own], size[own]), places).tolist()
+        first = 0
+        for j in own.tolist():
+            dish, n = lone[j], int(size[j])
+            s, tables, seated = float(strength[dish]), float(t[dish]), float(strength[dish]) + SINGLE_STEPS
+            for x in u[first : first + n]:
+                if x * seated < s + discount * tables:
+                    tables += 1
+                seated += 1
+            t[dish] = tables
+            first += n
+    draws.count += 1
 
 
 def seat(c: np.ndarray, strength: np.ndarray, discount: float, draws: Draws) -> np.ndarray:
@@ -105,18 +136,34 @@ def seat(c: np.ndarray, strength: np.ndarray, discount: float, draws: Draws) ->
         s = strength[live]
         t[live] += draws(live) < (s + discount * t[live]) / (s + i)
         live = live[c[live] > i + 1]
+    if len(live):
+        lone = live[c[live] <= LONE_CUSTOMERS]
+        _seat_alone(lone, c, t, strength, discount, draws)
+        live = live[c[live] > LONE_CUSTOMERS]
     i = np.full(len(live), float(SINGLE_STEPS))  # customers seated so far
     while len(live):
-        s, own = strength[live], i - discount * t[live]
-        # chance that the next n customers open no table: a ratio of gamma functions; the first n that is less likely than u
+        s = strength[live]
+        own, new = i - discount * t[live], s + discount * t[live]
+        left = c[live] - i
+        # chance that the next n customers open no table: a ratio of gamma functions; the first n for which it is not above u
         u, fixed = np.log(draws(live)), log_gamma(s + i) - log_gamma(own)
-        low, high = np.zeros(len(live)), c[live] - i + 1
-        while np.any(high - low > 1):
-            n = np.floor((low + high) / 2)
-            stays = log_gamma(own + n) - log_gamma(s + i + n) + fixed > u
-            low, high = np.where(stays, n, low), np.where(stays, high, n)
-        opened = i + high <= c[live]
-        t[live] += opened
+
+        def stays(n: np.ndarray) -> np.ndarray:
+            return log_gamma(own + n) - log_gamma(s + i + n) + fixed > u  # noqa: B023
+
+        # the ratio is near (own / (own + n)) ** new, which gives a first guess; then steps that double find the place
+        n = np.clip(np.ceil(own * np.expm1(np.minimum(-u / new, 700.0))), 1, left + 1)
+        low, high = np.zeros(len(live)), left + 1
+        step, above = np.ones(len(live)), stays(n)
+        while True:
+            low, high = np.where(above, np.maximum(low, n), low), np.where(above, high, np.minimum(high, n))
+            if not np.any(high - low > 1):
+                break
+            near = np.where(above, n + step, n - step)
+            n = np.where((near > low) & (near < high), near, np.floor((low + high) / 2))
+            n = np.where(high - low > 1, n, high)
+            step, above = step * 2, np.where(high - low > 1, stays(n), False)
+        t[live] += high <= left
         i = i + high
         on = i < c[live]
         live, i = live[on], i[on]
@@ -242,6 +289,19 @@ class Model:
         return (STRENGTH + self.context_discount * ut) / (STRENGTH + uc)
 
 
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = DISHES) -> Iterator[pa.RecordBatch]:
+    """The batches put together up to about `rows` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _discount(n1: int | None, n2: int | None) -> float:
     return float(np.clip(n1 / (n1 + 2 * (n2 or 0)), 0.1, 0.95)) if n1 else 0.5
 
@@ -260,7 +320,7 @@ def _corpus_seated(state: DataFrame, m: Model, sweep: int) -> DataFrame:
     d, base, tables = m.discount, 1 / (m.distinct + 1), m.tables
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _larger(batches):
             k = batch.column("customers").to_numpy(zero_copy_only=False)
             whole = np.rint(k)
             before = np.minimum(batch.column("before").to_numpy(zero_copy_only=False), whole)
@@ -315,7 +375,7 @@ def _context_seated(seated: DataFrame, m: Model, sweep: int, last: bool) -> Data
     turns = SAMPLES if last else TURNS
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _larger(batches):
             u, w, c, t, ut, p = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("u", "w", "c", "t", "ut", "p"))
             others = STRENGTH + d * np.maximum(ut - t, 0)
             new, total = reseat(c.astype(float), t, others, p, d, Draws(pair_key(u, w), 2 * sweep + 1), turns)
