@@ -80,12 +80,18 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(store_payload(_table(spark, sf_dir, "documents")))
 
 
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.vectorcodes import code_table
+
+    return code_table(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_join, op2_main_text, op3_toxicity, op4_decontamination, op5_rendezvous_sharding, op6_pitman_yor, op7_language, op8_byte_bpe, op9_token_files, op10_progressive_jpeg)
+    found = (op1_ngram_join, op2_main_text, op3_toxicity, op4_decontamination, op5_rendezvous_sharding, op6_pitman_yor, op7_language, op8_byte_bpe, op9_token_files, op10_progressive_jpeg, op12_delta_lloyd)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidewright.llm import decontaminate
+    from tidewright.llm import decontaminate, vectorcodes
 
-    return {"op4_decontamination": decontaminate.ORACLE_SQL}
+    return {"op4_decontamination": decontaminate.ORACLE_SQL, "op12_delta_lloyd": vectorcodes.ORACLE_SQL}
