@@ -80,6 +80,12 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(store_payload(_table(spark, sf_dir, "documents")))
 
 
+def op11_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.vectorlinks import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm.vectorcodes import code_table
 
@@ -87,11 +93,11 @@ def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_join, op2_main_text, op3_toxicity, op4_decontamination, op5_rendezvous_sharding, op6_pitman_yor, op7_language, op8_byte_bpe, op9_token_files, op10_progressive_jpeg, op12_delta_lloyd)
+    found = (op1_ngram_join, op2_main_text, op3_toxicity, op4_decontamination, op5_rendezvous_sharding, op6_pitman_yor, op7_language, op8_byte_bpe, op9_token_files, op10_progressive_jpeg, op11_projection_passes, op12_delta_lloyd)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidewright.llm import decontaminate, vectorcodes
+    from tidewright.llm import decontaminate, vectorcodes, vectorlinks
 
-    return {"op4_decontamination": decontaminate.ORACLE_SQL, "op12_delta_lloyd": vectorcodes.ORACLE_SQL}
+    return {"op4_decontamination": decontaminate.ORACLE_SQL, "op11_projection_passes": vectorlinks.ORACLE_SQL, "op12_delta_lloyd": vectorcodes.ORACLE_SQL}
