@@ -92,8 +92,16 @@ def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_table(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidewright.llm.tokenalign import alignment_table
+
+    return alignment_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_join, op2_main_text, op3_toxicity, op4_decontamination, op5_rendezvous_sharding, op6_pitman_yor, op7_language, op8_byte_bpe, op9_token_files, op10_progressive_jpeg, op11_projection_passes, op12_delta_lloyd)
+    found = (op1_ngram_join, op2_main_text, op3_toxicity, op4_decontamination, op5_rendezvous_sharding, op6_pitman_yor, op7_language, op8_byte_bpe, op9_token_files, op10_progressive_jpeg, op11_projection_passes, op12_delta_lloyd, op13_token_alignment)
     return {f.__name__: f for f in found}
 
 
