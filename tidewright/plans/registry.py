@@ -707,7 +707,7 @@ def feature_correlations(spark: SparkSession, d: str) -> DataFrame:
 
 def _load() -> None:
     """Register the queries of the other modules of this folder."""
-    from tidewright.plans import cycles, evaluation, positions, states, synthesis, valuation  # noqa: F401
+    from tidewright.plans import cycles, evaluation, fits, positions, states, synthesis, valuation  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
