@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tidewright.operators import blends as bl
 from tidewright.operators import fairvalue as fv
 from tidewright.operators import isotonic as iso
 from tidewright.operators import likelihood as lk
@@ -269,3 +270,59 @@ def test_isotonic_curves(spark):
     assert len(got) == 5 and np.allclose([v for v in (got[0].q05, got[0].q25, got[0].q50, got[0].q75, got[0].q95) if v is not None], want)
     few = iso.isotonic_calibrated(df.where("symbol = 'B'"), fit_share=0.65).first()
     assert few.q50 == pytest.approx(0.2)
+
+
+def plain_blend(q, s, e, p, b, horizon):
+    """One row's blended quantiles, a step at a time."""
+    cut = lambda x, lo, hi: min(max(x, lo), hi)
+    half, low, up = max((q[3] - q[1]) / 2, 1e-6), max(q[1] - q[0], 1e-6), max(q[4] - q[3], 1e-6)
+    wide, scope = max(q[4] - q[0], 2 * half, 1e-6), cut(horizon, 7, 240)
+    hot, flare, z, gz = cut(s["high_vol"], 0, 1), cut(s["tail_flare"] / 2, 0, 1.5), s["innovation_z"], s["gap_z"]
+    sigma = s["residual_sigma"] * scope**0.5 * cut(1 + b.sigma_boost * hot + 0.5 * b.sigma_boost * flare, 0.5, 3.5)
+    to = p.drift_weight * s["drift"] * scope - p.reversion_weight * (1 - p.phi**scope) * s["gap"]
+    trust = cut(np.exp(-0.2 * abs(z)) / (1 + 0.08 * s["uncertainty"] / s["residual_sigma"]), 0.2, 1)
+    pull = cut(cut(b.center * cut((scope / 7) ** 0.5, 0.35, 1.35), 0, 0.9) * (1 - b.dampen * hot), 0, 0.9)
+    most = max(wide, sigma, 1e-6)
+    mid = q[2] + pull * trust * cut(to - q[2], -b.clip_widths * most, b.clip_widths * most)
+    widen = cut(1 + b.disagreement * trust * min(abs(to - q[2]) / most, 3) + b.uncertainty * min(sigma / max(wide, 1e-6), 3), 0.75, 2.5)
+    own = (max((e[3] - e[1]) / 2, 1e-6), max(e[1] - e[0], 1e-6), max(e[4] - e[3], 1e-6)) if e else None
+    share = cut(b.empirical * (0.6 + 0.4 * hot), 0, 0.95) if e else 0
+    base = [(1 - share) * x + share * (own[i] if own else x) for i, x in enumerate((half, low, up))]
+    normal = [0.6744897501960817 * sigma * b.sigma] + [(1.6448536269514722 - 0.6744897501960817) * sigma * b.sigma] * 2
+    cap = [max(n, own[i] if own else 0, 1e-6) for i, n in enumerate(normal)]
+    grown = [base[0] * widen] + [x * (1 + 0.5 * (widen - 1)) for x in base[1:]]
+    new = cap if b.mode == "replace" else [min(x, c) for x, c in zip(grown, cap, strict=True)] if b.mode == "cap" else grown
+    boost = 1 + b.tail_boost * cut(0.5 * hot + flare, 0, 2)
+    for i, side in ((1, 1), (2, -1)):
+        new[i] *= cut((1 + b.tail * min(max(side * gz, 0) + 0.35 * max(-side * z, 0), 3) / 3) * boost, 0.75, 4)
+    full = 2 * new[0] + new[1] + new[2]
+    safe = max(2 * 1.6448536269514722 * sigma * b.sigma, max(e[4] - e[0], 1e-6) if e else 0) * b.safety * (1 + b.safety_boost * hot)
+    shrink = safe / full if b.safety > 0 and full > safe > 0 else 1
+    return sorted([mid - (new[0] + new[1]) * shrink, mid - new[0] * shrink, mid, mid + new[0] * shrink, mid + (new[0] + new[2]) * shrink])
+
+
+def test_blends_equal_plain_steps(spark):
+    rng = np.random.default_rng(8)
+    quantiles, empirical, states = [], [], []
+    for i in range(12):
+        day = pd.Timestamp("2021-01-01").date() + pd.Timedelta(days=i)
+        quantiles.append(("A", day, 15, 0.0, *sorted(rng.standard_normal(5).tolist())))
+        empirical.append(("A", day, 15, *(sorted((2 * rng.standard_normal(5)).tolist()) if i % 3 else [None] * 5)))
+        for p in bl.PROFILES:
+            states.append(("A", day, p.state, 239 if i == 5 else 300, 0.0, 0.0, *map(float, (rng.standard_normal(), 0.1 * rng.standard_normal(), abs(rng.standard_normal()) + 0.05, 2 * rng.standard_normal(), 2 * rng.standard_normal(), abs(rng.standard_normal()), 4 * rng.random(), rng.random()))))
+    names = ", ".join(f"{n} double" for n in vol.NAMES)
+    rows = spark.createDataFrame(quantiles, f"symbol string, day date, horizon int, actual double, {names}")
+    held = spark.createDataFrame(states, "symbol string, day date, state string, history long, " + ", ".join(f"{c} double" for c in bl.STATE))
+    made = bl.blended(rows, held, spark.createDataFrame(empirical, f"symbol string, day date, horizon int, {names}"), extra=["actual"])
+    got = {(r.forecaster, r.day): [r[n] for n in vol.NAMES] for r in made.collect()}
+    assert len(got) == 45 * 12
+    for q, e in zip(quantiles, empirical, strict=True):
+        for p in bl.PROFILES:
+            s = dict(zip(bl.STATE, next(x for x in states if x[1] == q[1] and x[2] == p.state)[4:], strict=True))
+            for b in bl.BLENDS:
+                want = list(q[4:]) if q[1].day == 6 else plain_blend(q[4:], s, e[3:] if e[3] is not None else None, p, b, 15)
+                assert got[f"blend_{p.state}_{b.blend}", q[1]] == pytest.approx(want, rel=1e-9)
+    chosen = bl.picked(made).collect()
+    assert len(chosen) == 12 and {r.variant for r in chosen} == {"blend_fundamental_slow_directional_anchor"}
+    # without the slow profile the next choice follows
+    assert {r.variant for r in bl.picked(made.where("state <> 'fundamental_slow'")).collect()} == {"blend_local_responsive_directional_anchor"}

@@ -64,7 +64,8 @@ def off_ties(sql: str) -> str:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(F.col(x) + 10.0 ** -(digits + 3), digits).alias(x) if t == "double" else F.col(x) for x, t in df.dtypes])
+    # + 0.0: no negative zeros
+    return df.select(*[(F.round(F.col(x) + 10.0 ** -(digits + 3), digits) + 0.0).alias(x) if t == "double" else F.col(x) for x, t in df.dtypes])
 
 
 def rounded_column(x: Column | str, digits: int) -> Column:
@@ -707,7 +708,7 @@ def feature_correlations(spark: SparkSession, d: str) -> DataFrame:
 
 def _load() -> None:
     """Register the queries of the other modules of this folder."""
-    from tidewright.plans import cycles, evaluation, fits, positions, states, synthesis, valuation  # noqa: F401
+    from tidewright.plans import blends, cycles, evaluation, fits, positions, states, synthesis, valuation  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

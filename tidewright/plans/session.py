@@ -44,10 +44,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def tune(spark: SparkSession) -> None:
+    """Long expressions leave the fused loop: the JVM doesn't compile methods above 8,000 bytes of code."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        tune(spark)
         return query(spark, sf_dir)
 
     return run
