@@ -11,6 +11,7 @@ from tidewright.operators import blends as bl
 from tidewright.operators import fairvalue as fv
 from tidewright.operators import isotonic as iso
 from tidewright.operators import likelihood as lk
+from tidewright.operators import ridge as rg
 from tidewright.operators import unitroots as ur
 from tidewright.operators import volatility as vol
 
@@ -326,3 +327,43 @@ def test_blends_equal_plain_steps(spark):
     assert len(chosen) == 12 and {r.variant for r in chosen} == {"blend_fundamental_slow_directional_anchor"}
     # without the slow profile the next choice follows
     assert {r.variant for r in bl.picked(made.where("state <> 'fundamental_slow'")).collect()} == {"blend_local_responsive_directional_anchor"}
+
+
+def plain_ridge(x, y, x2, y2, alpha):
+    mean, sd = x.mean(0), x.std(0)
+    sd = np.where(sd > 0, sd, 1)
+    z, z2 = (x - mean) / sd, (x2 - mean) / sd
+    b = np.linalg.solve(z.T @ z + alpha * np.eye(x.shape[1]), z.T @ (y - y.mean()))
+    mse = ((y2 - y.mean() - z2 @ b) ** 2).mean()
+    return b, 1 - mse / ((y2 - y.mean()) ** 2).mean()
+
+
+def test_prefix_fits_equal_plain_ridge():
+    rng = np.random.default_rng(2)
+    x, x2 = rng.standard_normal((80, 4)) + 3, rng.standard_normal((40, 4)) + 2.5
+    x[:, 3], x2[:, 3] = 1.0, 1.0  # a constant feature
+    y, y2 = x[:, 0] - 0.5 * x[:, 2] + rng.standard_normal(80), x2[:, 0] + rng.standard_normal(40)
+    moments = lambda a, b: rg.Moments(len(a), np.column_stack([a, b]).mean(0), np.column_stack([a, b]).T @ np.column_stack([a, b]) / len(a))
+    order = [2, 0, 3, 1]
+    for k, fit in enumerate(rg.prefix_fits(moments(x, y), moments(x2, y2), order, 1.5)):
+        if k:
+            b, utility = plain_ridge(x[:, order[:k]], y, x2[:, order[:k]], y2, 1.5)
+            assert np.allclose(fit.coefficients, b) and fit.utility == pytest.approx(utility)
+
+
+def test_feature_selection_finds_what_predicts(spark):
+    rng = np.random.default_rng(6)
+    n = 400
+    good, slow, noise = rng.standard_normal(n), np.cumsum(rng.standard_normal(n)) * 0.1, rng.standard_normal(n)
+    y = 0.8 * good + 0.3 * rng.standard_normal(n)
+    days = pd.date_range("2019-01-01", periods=n)
+    frame = pd.DataFrame({"symbol": "A", "day": days.date, "good": good, "slow": slow, "noise": noise, "y": y})
+    frame.loc[5, "good"] = None
+    got = rg.select_features(spark.createDataFrame(frame).replace(float("nan"), None), ["good", "slow", "noise"], "y", 3, how=rg.Selection(complexity_penalty=0.02)).toPandas().set_index("feature")
+    assert got.loc["good", "place"] == 1 and got.loc["good", "selected"] and not got.loc["noise", "selected"] and got.loc["good", "folds"] == 3
+    a, b = int(n * 0.65), int(n * 0.82)
+    g = frame["good"].fillna(frame["good"][: a - 15].median()).to_numpy()
+    _, utility = plain_ridge(g[: a - 15, None], y[: a - 15], g[a : b - 15, None], y[a : b - 15], 1.0)
+    assert got.loc["good", "prefix_utility"] == pytest.approx(utility)
+    short = rg.select_features(spark.createDataFrame(frame.iloc[:8]).replace(float("nan"), None), ["good", "slow"], "y", 3)
+    assert short.count() == 0

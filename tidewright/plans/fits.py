@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.operators import codebook as cb
 from tidewright.operators import fairvalue as fv
 from tidewright.operators import forecasts as fc
 from tidewright.operators import isotonic as iso
+from tidewright.operators import ridge as rg
 from tidewright.operators import unitroots as ur
 from tidewright.operators import volatility as vol
 from tidewright.plans.market import BARS_SQL, bars, series
-from tidewright.plans.registry import _TARGETS, O, W, _cone_sql, frame, query, rounded
+from tidewright.plans.registry import _TARGETS, O, W, _cone_sql, _recursion, frame, query, roll, rounded
 from tidewright.sources import tables as src
 
 
@@ -82,3 +84,57 @@ def isotonic_calibration(spark: SparkSession, d: str) -> DataFrame:
     cone = fc.cone(fc.forward_targets(bars(spark, d)))
     quoted = fc.with_losses(cone).withColumns({n: F.rint(F.col(n) / _STEP + 1e-9) * _STEP for n in fc.NAMES})
     return rounded(iso.isotonic_calibrated(quoted, actual="actual"))
+
+
+_FEATURES = ["r1", "r7", "range_share", "volume_share", "trend"]
+_CUT = "1999-01-01"
+_INPUTS = f"""i0 AS (SELECT symbol, day, ln(close / lag(close) {W}) AS r1, ln(close / lag(close, 7) {W}) AS r7, (high - low) / close AS range_share, volume / {roll('avg', 'volume', 30, 10)} - 1 AS volume_share, ln(close) - {roll('avg', 'ln(close)', 30, 10)} AS trend FROM bars)"""
+
+
+def _inputs(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("close")
+    return bars(spark, d).select(
+        "symbol", "day", F.ln(c / O.lag(c)).alias("r1"), F.ln(c / O.lag(c, 7)).alias("r7"), ((F.col("high") - F.col("low")) / c).alias("range_share"),
+        (F.col("volume") / O.mean(F.col("volume"), 30, 10) - 1).alias("volume_share"), (F.ln(c) - O.mean(F.ln(c), 30, 10)).alias("trend"), F.ln(O.lead(c, 3) / c).alias("target"),
+    )
+
+
+@query(date=None)
+def feature_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge fits by matrices; tests/test_fits.py has the plain fits."""
+    return rounded(rg.select_features(_inputs(spark, d), _FEATURES, "target", 3), 5)
+
+
+_STATES, _STARTS, _ROUNDS, _TEMPERATURE, _ALPHA = 3, 3, 8, 0.35, 0.25
+_CODED = ["r1", "volume_share", "trend"]
+
+
+def _codebook_sql() -> str:
+    """The same starts and rounds written out, one table a round."""
+    d = lambda a, b: "(" + " + ".join(f"pow({a}.{f} - {b}.{f}, 2)" for f in _CODED) + f") / {len(_CODED)}"
+    steps = [
+        f"known AS MATERIALIZED (SELECT symbol, day, {', '.join(_CODED)} FROM i0 WHERE day < DATE '{_CUT}' AND {' AND '.join(f'{f} IS NOT NULL' for f in _CODED)})",
+        f"starts AS (SELECT unnest(range({_STARTS})) AS s)",
+        f"book0 AS MATERIALIZED (SELECT s, row_number() OVER (PARTITION BY s ORDER BY h) - 1 AS c, {', '.join(_CODED)} FROM (SELECT s, k.*, md5('7-' || s || '-' || symbol || '-' || CAST(day AS VARCHAR)) AS h FROM known k, starts QUALIFY row_number() OVER (PARTITION BY s ORDER BY h) <= {_STATES}))",
+    ]
+    for k in range(_ROUNDS):
+        steps.append(f"near{k} AS (SELECT k.symbol, k.day, b.s, arg_min(b.c, ({d('k', 'b')}, b.c)) AS c FROM known k, book{k} b GROUP BY k.symbol, k.day, b.s)")
+        steps.append(f"book{k + 1} AS MATERIALIZED (SELECT b.s, b.c, {', '.join(f'coalesce(m.{f}, b.{f}) AS {f}' for f in _CODED)} FROM book{k} b LEFT JOIN (SELECT s, c, {', '.join(f'avg(k.{f}) AS {f}' for f in _CODED)} FROM near{k} JOIN known k USING (symbol, day) GROUP BY s, c) m USING (s, c))")
+    last = f"book{_ROUNDS}"
+    steps.append(f"least AS MATERIALIZED (SELECT k.symbol, k.day, b.s, min({d('k', 'b')}) AS v FROM known k, {last} b GROUP BY k.symbol, k.day, b.s)")
+    steps.append("best AS (SELECT arg_min(s, (i, s)) AS s FROM (SELECT s, sum(v) AS i FROM least GROUP BY s))")
+    steps.append("scale AS (SELECT greatest(quantile_cont(v, 0.5), 1e-6) AS m, greatest(quantile_cont(v, 0.95), 1e-6) AS p FROM least JOIN best USING (s) WHERE v > 1e-10)")
+    steps.append(f"centres AS MATERIALIZED (SELECT b.* FROM {last} b JOIN best USING (s))")
+    steps.append(f"far AS (SELECT k.symbol, k.day, c.c, {d('k', 'c')} AS v FROM (SELECT * FROM i0 WHERE {' AND '.join(f'{f} IS NOT NULL' for f in _CODED)}) k, centres c)")
+    steps.append(f"part AS (SELECT symbol, day, c, v, exp(greatest(-(v - min(v) OVER w) / (m * {_TEMPERATURE}), -60)) AS e, min(v) OVER w / p AS novelty FROM far, scale WINDOW w AS (PARTITION BY symbol, day))")
+    steps.append(f"share AS MATERIALIZED (SELECT symbol, day, any_value(novelty) AS novelty, row_number() OVER (PARTITION BY symbol ORDER BY day) AS n, {', '.join(f'sum(e) FILTER (WHERE c = {i}) / sum(e) AS regime_{i}' for i in range(_STATES))} FROM part GROUP BY symbol, day)")
+    steps.append(_recursion("smooth", "share", [f"{1 - _ALPHA} * r.smooth_{i} + {_ALPHA} * o.regime_{i} AS smooth_{i}" for i in range(_STATES)], [f"o.regime_{i} AS smooth_{i}" for i in range(_STATES)]))
+    shown = [f"round({n}, 5) AS {n}" for n in [*(f"regime_{i}" for i in range(_STATES)), *(f"smooth_{i}" for i in range(_STATES)), "novelty"]]
+    return f"WITH RECURSIVE {BARS_SQL}, {_INPUTS}, {', '.join(steps)} SELECT i0.symbol, i0.day, {', '.join(shown)} FROM i0 LEFT JOIN (SELECT symbol, day, n, novelty, {', '.join(f'regime_{i}' for i in range(_STATES))} FROM share) s USING (symbol, day) LEFT JOIN (SELECT symbol, day, {', '.join(f'smooth_{i}' for i in range(_STATES))} FROM smooth) t USING (symbol, day)"
+
+
+@query(_codebook_sql())
+def regime_codebook(spark: SparkSession, d: str) -> DataFrame:
+    df = _inputs(spark, d).select("symbol", "day", *_CODED)
+    book = cb.fit_codebook(df.where(F.col("day") < F.lit(_CUT).cast("date")), _CODED, ["symbol", "day"], _STATES, _STARTS, _ROUNDS, temperature=_TEMPERATURE)
+    return rounded(cb.regime_shares(df, book, _ALPHA).drop(*_CODED, "regime"), 5)
