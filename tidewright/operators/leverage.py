@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,34 +11,22 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.scalars import clip, weighted_mean
 from tidewright.operators.frames import Ordered
+from tidewright.operators.recursion import Recursion, fold, fold_rows, robust_scores, robust_z, running_quantile, share_of_amounts, share_of_high
 
 O = Ordered()  # noqa: E741
 
 
 def with_robust_score(df: DataFrame, column: str, out: str, n: int = 365, least: int = 60) -> DataFrame:
-    """100 tanh(z / 2) against the median and 1.4826 median deviations of the rows before; z within 4; 0 without spread.
+    """100 tanh(z / 2) against the median and 1.4826 median deviations of the values before; z within 4; 0 without spread.
 
-    The median deviation is that of each prior frame about its own median, by an array of the frame. Rows without a
-    value don't belong in df: they are no history.
+    The median deviation is that of each prior frame about its own median. Values that are missing are no history.
     """
-    w = O.spec.rowsBetween(-n, -1)
-    x = F.col(column)
-    df = df.withColumns({"_past": F.array_sort(F.collect_list(x).over(w)), "_m": F.percentile(x, 0.5).over(w), "_s": F.stddev_pop(x).over(w), "_n": F.count(x).over(w)})
-    off = F.array_sort(F.transform("_past", lambda v: F.abs(v - F.col("_m"))))
-    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
-    df = df.withColumn("_mad", F.when(F.col("_n") > 0, 1.4826 * middle(off)))
-    scale = F.when(F.col("_mad") > 1e-12, F.col("_mad")).when(F.col("_s") > 1e-12, F.col("_s"))
-    z = F.coalesce(clip((x - F.col("_m")) / scale, -4, 4), F.lit(0.0))
-    return df.withColumn(out, F.when(x.isNotNull() & (F.col("_n") >= least), 100 * F.tanh(z / 2))).drop("_past", "_m", "_s", "_n", "_mad")
-
-
-def amount_score(column: str, n: int = 365, least: int = 60) -> Column:
-    """Share of the 90th percentile of the last n positive values before, in percent, 0 to 100; 0 for values up to 0."""
-    x = F.col(column)
-    # positive rows are a partition of their own, so that a frame counts positive rows only
-    w = Window.partitionBy("symbol", x > 0).orderBy("day").rowsBetween(-n, -1)
-    high = F.percentile(x, 0.9).over(w)
-    return F.when(x <= 0, 0.0).when(x.isNotNull() & (F.count(x).over(w) >= least), F.when(high > 0, clip(100 * x / high, 0, 100)).otherwise(0.0))
+    return fold(df, [Recursion(out, column, partial(robust_scores, window=n, least=least))])
+
+
+def with_amount_scores(df: DataFrame, scores: dict[str, str], n: int = 365, least: int = 60) -> DataFrame:
+    """Columns {name: source}: share of the 90th percentile of the source's last n positive values before, in percent, 0 to 100; 0 for values up to 0."""
+    return fold(df, [Recursion(name, c, partial(share_of_amounts, window=n, least=least)) for name, c in scores.items()])
 
 
 def crowding(funding: Column, predicted: Column) -> Column:
@@ -141,12 +131,13 @@ def daily_scores(bars: DataFrame) -> DataFrame:
     w30 = O.spec.rowsBetween(-30, -1)
     df = bars.withColumn("r", F.ln(F.col("price") / O.lag(F.col("price"))))
     df = df.withColumns({"baseline": F.when(F.count("r").over(w30) >= 15, F.stddev_pop("r").over(w30)), "realised": F.sqrt(F.avg(F.col("r") * F.col("r")).over(O.spec.rowsBetween(-6, 0))), "closing": -F.col("oi")})
-    df = df.withColumns({"added": amount_score("oi"), "regime_score": amount_score("realised"), "trigger": trigger(F.col("r"), F.col("baseline")), "depletion": F.coalesce(amount_score("closing") / 100, F.lit(0.0))})
+    df = with_amount_scores(df, {"added": "oi", "regime_score": "realised", "gone": "closing"})
+    df = df.withColumns({"trigger": trigger(F.col("r"), F.col("baseline")), "depletion": F.coalesce(F.col("gone") / 100, F.lit(0.0))}).drop("gone")
     df = df.withColumns({"vulnerable": F.col("funding"), "band": F.coalesce(clip(2 * F.col("baseline") * 7**0.5, 0.04, 0.18), F.lit(0.04))})
     df = tranche_inventory(df.drop("closing"))
-    past = O.spec.rowsBetween(-365, -1)
-    high = F.percentile("active", 0.9).over(past)
-    fuel = F.when(F.count("active").over(past) >= 60, F.when(high > 0, clip(100 * F.col("active") / high, 0, 100)).otherwise(F.coalesce("added", F.lit(0.0))))
+    df = fold(df, [Recursion("_high", "active", partial(running_quantile, level=0.9, window=365, least=60, shift=1))])
+    high = F.col("_high")
+    fuel = F.when(high.isNotNull(), F.when(high > 0, clip(100 * F.col("active") / high, 0, 100)).otherwise(F.coalesce("added", F.lit(0.0))))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     df = df.withColumns({"fuel": fuel, "reactivation": F.when(F.col("total") > 0, clip(100 * F.col("active") / F.col("total"), 0, 100)).otherwise(0.0), "side": F.when(F.col("active") > 0, clip(100 * F.col("directional") / F.col("active"), -100, 100)).otherwise(0.0), "anchor": F.when(F.col("active") > 0, F.exp(F.col("anchor_log") / F.col("active")))})
     pressure = F.col("side") * F.col("reactivation") / 100
@@ -171,23 +162,18 @@ def space_days(walls: DataFrame) -> DataFrame:
     return usable.groupBy("symbol", "day").agg(F.max("band").alias("band"), *[x.alias(n) for n, x in (best | most).items()])
 
 
-def _against(value: Column, history: str, n: int = 365, least: int = 60) -> Column:
-    """Share of the 90th percentile of `history` in the rows before, in percent."""
-    w = O.spec.rowsBetween(-n, -1)
-    high = F.percentile(history, 0.9).over(w)
-    return F.when(value <= 0, 0.0).when(value.isNotNull() & (F.count(history).over(w) >= least), F.when(high > 0, clip(100 * value / high, 0, 100)).otherwise(0.0))
-
-
 def space_scores(days: DataFrame, pressure: DataFrame) -> DataFrame:
     """Cascade score and direction of each day; pressure: symbol, day, down, up. Every day has both kinds of walls."""
     df = days.join(pressure, ["symbol", "day"])
-    df = df.withColumns({f"p_{s}": amount_score(s) for s in ("down", "up")})
-    sides = {}
-    for k in ("wall", "area"):
-        for s in ("up", "down"):
-            c = F.col(f"{k}_{s}")
-            sides[f"{k}_{s}_score"] = F.sqrt(_against(c["notional"], f"{k}_most") * closeness(c["distance_bps"], F.col("band")))
-    df = df.withColumns(sides)
+    kinds = [(k, s) for k in ("wall", "area") for s in ("up", "down")]
+    df = df.withColumns({f"_{k}_{s}": F.col(f"{k}_{s}.notional") for k, s in kinds})
+
+    def shares(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+        x = {c: frame[c].to_numpy(float, na_value=np.nan) for c in ("down", "up", "wall_most", "area_most", *(f"_{k}_{s}" for k, s in kinds))}
+        return {f"p_{s}": share_of_amounts(x[s], 365, 60) for s in ("down", "up")} | {f"_a_{k}_{s}": share_of_high(x[f"_{k}_{s}"], x[f"{k}_most"], 365, 60) for k, s in kinds}
+
+    df = fold_rows(df, shares, ["p_down", "p_up", *(f"_a_{k}_{s}" for k, s in kinds)])
+    df = df.withColumns({f"{k}_{s}_score": F.sqrt(F.col(f"_a_{k}_{s}") * closeness(F.col(f"{k}_{s}.distance_bps"), F.col("band"))) for k, s in kinds}).drop(*[f"{x}_{k}_{s}" for x in ("_a", "") for k, s in kinds])
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     top = {s: F.greatest(f"wall_{s}_score", f"area_{s}_score", f"p_{s}") for s in ("up", "down")}
     df = df.withColumns({"top_up": top["up"], "top_down": top["down"], "net": F.when(F.col("p_up").isNotNull() | F.col("p_down").isNotNull(), clip(zero(F.col("p_up")) - zero(F.col("p_down")), -100, 100))})
@@ -211,14 +197,11 @@ def missing_flags(df: DataFrame, columns: list[str]) -> dict[str, Column]:
 def enriched(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each column filled forward, with its spread over 7 and 30 rows and a bounded robust score over 180."""
     df = df.withColumns({c: F.coalesce(O.last_known(F.col(c)), F.lit(0.0)) for c in columns})
-    df = df.withColumns({f"_m_{c}": O.quantile(F.col(c), 0.5, 180, 30) for c in columns})
-    df = df.withColumns({f"_o_{c}": F.abs(F.col(c) - F.col(f"_m_{c}")) for c in columns})
-    mad = {c: 1.4826 * O.quantile(F.col(f"_o_{c}"), 0.5, 180, 30) for c in columns}
+    df = fold(df, [Recursion(f"_z_{c}", c, partial(robust_z, window=180, least=30)) for c in columns])
     made = {}
     for c in columns:
-        z = F.coalesce((F.col(c) - F.col(f"_m_{c}")) / F.nullif(mad[c], F.lit(0.0)), F.lit(0.0))
-        made |= {f"{c}_roll7_std": F.coalesce(O.deviation(F.col(c), 7, 3), F.lit(0.0)), f"{c}_roll30_std": F.coalesce(O.deviation(F.col(c), 30, 10), F.lit(0.0)), f"{c}_signalboost": F.tanh(z / 2)}
-    return df.withColumns(made).drop(*[f"_{x}_{c}" for x in "mo" for c in columns])
+        made |= {f"{c}_roll7_std": F.coalesce(O.deviation(F.col(c), 7, 3), F.lit(0.0)), f"{c}_roll30_std": F.coalesce(O.deviation(F.col(c), 30, 10), F.lit(0.0)), f"{c}_signalboost": F.tanh(F.coalesce(f"_z_{c}", F.lit(0.0)) / 2)}
+    return df.withColumns(made).drop(*[f"_z_{c}" for c in columns])
 
 
 def semantic_targets(df: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ history is its daily rows, which bounds the group.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import tanh
 
 import numpy as np
 import pandas as pd
@@ -167,6 +169,101 @@ def percentile_of_last(x: np.ndarray, window: int, least: int) -> np.ndarray:
     return out
 
 
+def clamp(x: float, low: float, high: float) -> float:
+    return min(max(x, low), high)
+
+
+class Trailing:
+    """The last n values, in order of time and of size."""
+
+    def __init__(self, n: int = 365, least: int = 60) -> None:
+        self.n, self.least, self.queue, self.held = n, least, deque(), []
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def add(self, v: float) -> None:
+        if v != v:
+            return
+        self.queue.append(v)
+        insort(self.held, v)
+        if len(self.queue) > self.n:
+            del self.held[bisect_left(self.held, self.queue.popleft())]
+
+    def quantile(self, q: float) -> float:
+        at = q * (len(self.held) - 1)
+        k = int(at)
+        return self.held[k] + (self.held[min(k + 1, len(self.held) - 1)] - self.held[k]) * (at - k)
+
+    def share(self, v: float) -> float:
+        """v in percent of the 90th percentile; unknown with too little history, 0 for v up to 0."""
+        if v != v:
+            return float("nan")
+        if v <= 0:
+            return 0.0
+        if len(self) < self.least:
+            return float("nan")
+        high = self.quantile(0.9)
+        return clamp(100 * v / high, 0, 100) if high > 0 else 0.0
+
+    def robust(self, v: float) -> float:
+        """100 tanh(z / 2) against median and scaled median deviation, else the deviation; z within 4."""
+        if v != v or len(self) < self.least:
+            return float("nan")
+        past = np.array(self.queue)
+        middle = np.median(past)
+        scale = 1.4826 * float(np.median(np.abs(past - middle)))
+        if scale <= 1e-12:
+            scale = float(past.std())
+        return 100 * tanh(clamp((v - middle) / scale, -4, 4) / 2) if scale > 1e-12 else 0.0
+
+
+def robust_scores(x: np.ndarray, window: int, least: int) -> np.ndarray:
+    """Each value's robust score against the values before it."""
+    past, out = Trailing(window, least), np.full(len(x), np.nan)
+    for i, v in enumerate(x.tolist()):
+        out[i] = past.robust(v)
+        past.add(v)
+    return out
+
+
+def robust_z(x: np.ndarray, window: int, least: int) -> np.ndarray:
+    """(x - m) / 1.4826 d of the last rows: m their median, d the median of the rows' own |x - m|; NaN without spread."""
+    m = running_quantiles(x, (0.5,), window, least)[:, 0]
+    spread = 1.4826 * running_quantiles(np.abs(x - m), (0.5,), window, least)[:, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(spread != 0, (x - m) / spread, np.nan)
+
+
+def share_of_high(x: np.ndarray, history: np.ndarray, window: int, least: int) -> np.ndarray:
+    """x in percent of the 90th percentile of history's rows before, within 0 and 100; 0 for x up to 0."""
+    high = np.concatenate([[np.nan], running_quantiles(history, (0.9,), window, least)[:-1, 0]])[: len(x)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = np.where(high > 0, np.clip(100 * x / high, 0, 100), np.where(high <= 0, 0.0, np.nan))
+    return np.where(x <= 0, 0.0, np.where(np.isnan(x), np.nan, share))
+
+
+def share_of_amounts(x: np.ndarray, window: int, least: int) -> np.ndarray:
+    """The same against the last positive values themselves."""
+    out, at = np.where(x <= 0, 0.0, np.nan), np.flatnonzero(x > 0)
+    out[at] = share_of_high(x[at], x[at], window, least)
+    return out
+
+
+def rolling_correlation(x: np.ndarray, y: np.ndarray, window: int, least: int) -> np.ndarray:
+    """Correlation over the last rows in which both are known, from running sums; NaN without spread."""
+    both = ~(np.isnan(x) | np.isnan(y))
+    if not both.any():
+        return np.full(len(x), np.nan)
+    x, y = (np.where(both, v - v[both].mean(), 0.0) for v in (x, y))
+    sums = np.cumsum(np.stack([both.astype(float), x, y, x * x, y * y, x * y]), axis=1)
+    sums[:, window:] = sums[:, window:] - sums[:, :-window]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        n, sx, sy, xx, yy, xy = sums
+        spread = np.sqrt(np.maximum(xx / n - (sx / n) ** 2, 0) * np.maximum(yy / n - (sy / n) ** 2, 0))
+        return np.where((n >= least) & (spread > 1e-14), (xy / n - sx * sy / n**2) / spread, np.nan)
+
+
 @dataclass(frozen=True)
 class Recursion:
     """`name` = f(values of `source`)."""

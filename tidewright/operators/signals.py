@@ -10,9 +10,8 @@ from the day's volatility.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections import deque
-from math import copysign, exp, log, sqrt, tanh
+from math import copysign, exp, log, sqrt
 
 import numpy as np
 import pandas as pd
@@ -20,63 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.operators.leverage import DECAY, DEPLETION, LEAST_WEIGHT, direction_label, potential_label, regime_text, space_days, threshold_state
-from tidewright.operators.recursion import fold_rows
+from tidewright.operators.recursion import Trailing, clamp, fold_rows
 
 # Lengths of histories, and the venues that quote funding and predicted funding.
-HISTORY, LEAST, RETURNS, LEAST_RETURNS, WEEK = 365, 60, 30, 15, 7
+LEAST, RETURNS, LEAST_RETURNS, WEEK = 60, 30, 15, 7
 FUNDING_VENUES, PREDICTED_VENUES = 13, 12
 NAN = float("nan")
 
 
-def clamp(x: float, low: float, high: float) -> float:
-    return min(max(x, low), high)
-
-
-class Trailing:
-    """The last n values, in order of time and of size."""
-
-    def __init__(self, n: int = HISTORY) -> None:
-        self.n, self.queue, self.held = n, deque(), []
-
-    def __len__(self) -> int:
-        return len(self.held)
-
-    def add(self, v: float) -> None:
-        if v != v:
-            return
-        self.queue.append(v)
-        insort(self.held, v)
-        if len(self.queue) > self.n:
-            del self.held[bisect_left(self.held, self.queue.popleft())]
-
-    def quantile(self, q: float) -> float:
-        at = q * (len(self.held) - 1)
-        k = int(at)
-        return self.held[k] + (self.held[min(k + 1, len(self.held) - 1)] - self.held[k]) * (at - k)
-
-    def share(self, v: float) -> float:
-        """v in percent of the 90th percentile; unknown with too little history, 0 for v up to 0."""
-        if v != v:
-            return NAN
-        if v <= 0:
-            return 0.0
-        if len(self) < LEAST:
-            return NAN
-        high = self.quantile(0.9)
-        return clamp(100 * v / high, 0, 100) if high > 0 else 0.0
-
-    def robust(self, v: float) -> float:
-        """100 tanh(z / 2) against median and scaled median deviation, else the deviation; z within 4."""
-        if v != v or len(self) < LEAST:
-            return NAN
-        past = np.array(self.queue)
-        middle = np.median(past)
-        scale = 1.4826 * float(np.median(np.abs(past - middle)))
-        if scale <= 1e-12:
-            scale = float(past.std())
-        return 100 * tanh(clamp((v - middle) / scale, -4, 4) / 2) if scale > 1e-12 else 0.0
-
-
 def price_days(frame: pd.DataFrame) -> dict[str, np.ndarray]:
     """Return against the last known price, usual and present volatility, and the width of the cascade's band."""
     out = np.full((4, len(frame)), NAN)

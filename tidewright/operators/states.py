@@ -6,12 +6,14 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import partial, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.scalars import clip, ratio, row_mean, safe_log, sigmoid
 from tidewright.operators.frames import Ordered
-from tidewright.operators.recursion import Recursion, ema, fold
+from tidewright.operators.recursion import Recursion, ema, fold, fold_rows, robust_z, rolling_correlation
 
 O = Ordered()  # noqa: E741
 
@@ -38,10 +40,8 @@ def with_robust_z(df: DataFrame, sources: Mapping[str, Column], window: int, lea
     """Columns with the median z of each source over the last rows: 0 without spread or history."""
     least = least or max(window // 4, 20)
     df = df.withColumns({f"_x_{n}": c for n, c in sources.items()})
-    df = df.withColumns({f"_m_{n}": O.quantile(F.col(f"_x_{n}"), 0.5, window, least) for n in sources})
-    df = df.withColumns({f"_o_{n}": F.abs(F.col(f"_x_{n}") - F.col(f"_m_{n}")) for n in sources})
-    df = df.withColumns({n: F.coalesce((F.col(f"_x_{n}") - F.col(f"_m_{n}")) / F.nullif(1.4826 * O.quantile(F.col(f"_o_{n}"), 0.5, window, least), F.lit(0.0)), F.lit(0.0)) for n in sources})
-    return df.drop(*[f"_{k}_{n}" for k in "xmo" for n in sources])
+    df = fold(df, [Recursion(n, f"_x_{n}", partial(robust_z, window=window, least=least)) for n in sources])
+    return df.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in sources}).drop(*[f"_x_{n}" for n in sources])
 
 
 def confidence(components: Sequence[Column], freshness: Column, missing: Column, support: Column | None = None) -> Column:
@@ -235,17 +235,15 @@ def lead_impact(df: DataFrame, signal: str, leads: Sequence[int], default: int,
 
     Leads weigh by their squared positive correlations, or by all squared ones where none is positive.
     """
-    x, c = F.col(signal), F.col("_log")
-    w = O.spec.rowsBetween(-(window - 1), 0)
+    x = F.col(signal)
     df = df.withColumn("_log", safe_log(F.col("close")))
-    df = df.withColumns({f"_f{k}": O.lead(c, k) - c for k in leads})
-    corr = {}
-    for k in leads:
-        y = F.when(x.isNotNull(), F.col(f"_f{k}"))
-        mine = F.when(F.col(f"_f{k}").isNotNull(), x)
-        spread = F.stddev_pop(mine).over(w) * F.stddev_pop(y).over(w)
-        corr[f"_c{k}"] = F.when(F.count(y).over(w) >= least, F.covar_pop(mine, y).over(w) / F.when(spread > 1e-14, spread))
-    df = df.withColumns(corr)
+
+    def f(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+        v, c = (frame[k].to_numpy(float, na_value=np.nan) for k in (signal, "_log"))
+        ahead = {k: np.concatenate([c[k:], np.full(min(k, len(c)), np.nan)])[: len(c)] - c for k in leads}
+        return {f"_c{k}": rolling_correlation(v, y, window, least) for k, y in ahead.items()}
+
+    df = fold_rows(df, f, [f"_c{k}" for k in leads])
     df = df.withColumns({f"corr_{k}": O.lag(F.col(f"_c{k}"), k + 1) for k in leads} | {f"_x{k}": O.lag(x, k) for k in {*leads, default}})
     r = {k: F.col(f"corr_{k}") for k in leads}
     positive = total([F.coalesce(F.pow(F.greatest(v, F.lit(0.0)), F.lit(2.0)), F.lit(0.0)) for v in r.values()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +19,8 @@ def total(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def capped_weights(weights: Sequence[Column], caps: Sequence[float], rounds: int = 8) -> list[Column]:
-    """Weights (null: not there) that sum to one, each within its cap: what is over goes to the others by their room.
+def capped_weights(weights: Sequence[Column], caps: Sequence[float], rounds: int = 8) -> Column:
+    """Array of weights (null: not there) that sum to one, each within its cap: what is over goes to the others by their room.
 
     Caps of the sources that are there are raised to a sum of one where they are below it.
     """
@@ -36,18 +36,20 @@ def capped_weights(weights: Sequence[Column], caps: Sequence[float], rounds: int
     add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
 
     def one(state: Column) -> Column:
-        v = state["v"]
-        excess = add(F.zip_with(v, cap_array, lambda x, c: F.greatest(x - c, F.lit(0.0))))
-        space = F.zip_with(v, cap_array, lambda x, c: F.greatest(c - x, F.lit(0.0)))
-        size = add(space)
-        cut = F.zip_with(v, cap_array, lambda x, c: F.least(x, c))
-        dealt = F.zip_with(cut, space, lambda x, s: x + excess * s / F.greatest(size, F.lit(1e-300)))
-        go = ~state["done"] & (excess > 0)
-        return F.struct(F.when(go, F.when(size > 0, dealt).otherwise(cut)).otherwise(v).alias("v"), (state["done"] | ~go | (size <= 0)).alias("done"))
+        """A round; its sums are fields of one value, which later expressions name instead of repeating them."""
+        parts = F.zip_with(state["v"], cap_array, lambda x, c: F.struct(F.greatest(x - c, F.lit(0.0)).alias("over"), F.greatest(c - x, F.lit(0.0)).alias("room"), F.least(x, c).alias("cut")))
+        sums = let(F.struct(state["v"].alias("v"), state["done"].alias("done"), parts.alias("p")), lambda t: F.struct(t["v"].alias("v"), t["done"].alias("done"), t["p"].alias("p"), add(t["p"]["over"]).alias("excess"), add(t["p"]["room"]).alias("size")))
+        return let(sums, lambda t: F.when(t["done"] | (t["excess"] <= 0), F.struct(t["v"].alias("v"), F.lit(True).alias("done"))).otherwise(
+            F.struct(F.transform(t["p"], lambda p: p["cut"] + F.when(t["size"] > 0, t["excess"] * p["room"] / F.greatest(t["size"], F.lit(1e-300))).otherwise(0.0)).alias("v"), (t["size"] <= 0).alias("done"))
+        ))
 
     end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(start.alias("v"), F.lit(False).alias("done")), lambda s, _: one(s))["v"]
-    size = F.greatest(add(end), F.lit(1e-12))
-    return [F.get(end, F.lit(i)) / size for i in range(len(weights))]
+    return let(end, lambda e: F.transform(e, lambda x: x / F.greatest(add(e), F.lit(1e-12))))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def level_ensemble(df: DataFrame, sources: Sequence[str], caps: Sequence[float], clip_log: float = 0.5) -> DataFrame:
@@ -57,7 +59,8 @@ def level_ensemble(df: DataFrame, sources: Sequence[str], caps: Sequence[float],
     n = F.size("_s")
     median = (F.get("_s", F.floor((n - 1) / 2).cast("int")) + F.get("_s", F.floor(n / 2).cast("int"))) / 2
     df = df.withColumns({"_n": n, "_m": F.when(n > 0, median)})
-    df = df.withColumns(dict(zip([f"weight_{s}" for s in sources], capped_weights([F.when(c.isNotNull(), 1 / F.nullif(F.col("_n"), F.lit(0))) for c in x], caps), strict=True)))
+    df = df.withColumn("_w", capped_weights([F.when(c.isNotNull(), 1 / F.nullif(F.col("_n"), F.lit(0))) for c in x], caps))
+    df = df.withColumns({f"weight_{s}": F.get("_w", F.lit(i)) for i, s in enumerate(sources)}).drop("_w")
     df = df.withColumns({f"weight_{s}": F.when(F.col("_n") == 1, F.col(s).isNotNull().cast("double")).otherwise(F.col(f"weight_{s}")) for s in sources})
     near = [F.coalesce(F.when(c.isNotNull(), F.least(F.greatest(c, F.col("_m") - clip_log), F.col("_m") + clip_log)) * F.col(f"weight_{s}"), F.lit(0.0)) for s, c in zip(sources, x, strict=True)]
     df = df.withColumn("_e", F.when(F.col("_n") > 0, total(near)))

@@ -20,7 +20,7 @@ from tidewright.operators import leverage as lv
 from tidewright.operators import relational as rel
 from tidewright.operators import splits as sp
 from tidewright.operators.frames import Ordered, bucket_of_rank
-from tidewright.operators.recursion import Recursion, ema, fold, integrate, local_level, local_trend, percentile_of_last, running_quantile, smoothed, spaced, wilder
+from tidewright.operators.recursion import Recursion, ema, fold, fold_rows, integrate, local_level, local_trend, percentile_of_last, running_quantile, running_quantiles, smoothed, spaced, wilder
 from tidewright.plans.market import BARS_SQL, MARKET_SQL, PRIORITIES, SERIES_SQL, bars, market_bars, series, table
 from tidewright.sources import tables as src
 
@@ -272,9 +272,13 @@ _Q = "quantile_cont({}, %s)"
 @query(f"""WITH {BARS_SQL}, m AS (SELECT *, {roll(_Q % 0.5, 'close', 90, 30)} AS med, {roll(_Q % 0.75, 'close', 90, 30)} - {roll(_Q % 0.25, 'close', 90, 30)} AS iqr FROM bars), a AS (SELECT *, abs(close - med) AS off FROM m)
 SELECT symbol, day, round(med, 6) AS median, round((close - med) / nullif(iqr, 0), 6) AS iqr_z, round({roll(_Q % 0.5, 'off', 90, 30)}, 6) AS mad, round({roll(_Q % 0.95, 'close', 365, 90, 1)}, 6) AS prior_p95 FROM a""")
 def rolling_robust(spark: SparkSession, d: str) -> DataFrame:
-    df = bars(spark, d).withColumn("q", O.roll(lambda x: F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), ta.close(), 90, 30))
-    df = df.withColumns({"med": F.col("q")[1], "iqr": F.col("q")[2] - F.col("q")[0]}).withColumn("off", F.abs(ta.close() - F.col("med")))
-    return rounded(df.select("symbol", "day", F.col("med").alias("median"), ratio(ta.close() - F.col("med"), F.col("iqr")).alias("iqr_z"), O.quantile(F.col("off"), 0.5, 90, 30).alias("mad"), O.quantile(ta.close(), 0.95, 365, 90, shift=1).alias("prior_p95")))
+    def f(frame):
+        x = frame["close"].to_numpy(float)
+        q = running_quantiles(x, (0.25, 0.5, 0.75), 90, 30)
+        return {"low": q[:, 0], "median": q[:, 1], "high": q[:, 2], "mad": running_quantile(abs(x - q[:, 1]), 0.5, 90, 30), "prior_p95": running_quantile(x, 0.95, 365, 90, shift=1)}
+
+    df = fold_rows(bars(spark, d).select("symbol", "day", "close"), f, ["low", "median", "high", "mad", "prior_p95"])
+    return rounded(df.select("symbol", "day", "median", ratio(ta.close() - F.col("median"), F.col("high") - F.col("low")).alias("iqr_z"), "mad", "prior_p95"))
 
 
 @query(f"""WITH {BARS_SQL} SELECT symbol, day, round({roll('avg', 'close', None, 10)}, 6) AS mean, round({roll('stddev_samp', 'close', None, 10)}, 6) AS sd, round({roll(_Q % 0.5, 'close', None, 10)}, 6) AS median, round({roll(_Q % 0.05, 'close', None, 10)}, 6) AS p05 FROM bars""")
@@ -510,7 +514,7 @@ f AS (SELECT *, CASE WHEN oi <= 0 THEN 0 WHEN oi IS NULL OR known < 60 THEN NULL
 CASE WHEN fuel IS NULL THEN '' WHEN fuel >= 65 THEN 'cascade-ready' WHEN fuel >= 35 THEN 'watch' WHEN fuel > 0 THEN 'building' ELSE 'none' END AS state FROM f""")
 def leverage_scores(spark: SparkSession, d: str) -> DataFrame:
     df = bars(spark, d).withColumns({"r": F.ln(ta.close() / O.lag(ta.close())), "oi": O.diff(F.col("volume"), 7)})
-    df = df.withColumn("sigma", O.deviation(F.col("r"), 30, 20)).withColumn("fuel", lv.amount_score("oi"))
+    df = lv.with_amount_scores(df.withColumn("sigma", O.deviation(F.col("r"), 30, 20)), {"fuel": "oi"})
     return rounded(df.select("symbol", "day", "fuel", lv.trigger(F.col("r"), F.col("sigma")).alias("trigger"), lv.cascade_band(F.col("sigma")).alias("band"), lv.threshold_state(F.col("fuel")).alias("state")))
 
 
