@@ -22,6 +22,7 @@ from tidewright.operators import splits as sp
 from tidewright.operators.frames import Ordered, bucket_of_rank
 from tidewright.operators.recursion import Recursion, ema, fold, fold_rows, integrate, local_level, local_trend, percentile_of_last, running_quantile, running_quantiles, smoothed, spaced, wilder
 from tidewright.plans.market import BARS_SQL, MARKET_SQL, PRIORITIES, SERIES_SQL, bars, market_bars, series, table
+from tidewright.plans.session import tune
 from tidewright.sources import tables as src
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,7 @@ def query(sql: str | None = None, date: str | None = "day"):
     def keep(f):
         @functools.wraps(f)
         def run(spark: SparkSession, d: str) -> DataFrame:
+            tune(spark)
             df = f(spark, d)
             return df.withColumns({x: F.col(x).cast("string") for x, t in df.dtypes if t == "date"})
 
@@ -712,7 +714,7 @@ def feature_correlations(spark: SparkSession, d: str) -> DataFrame:
 
 def _load() -> None:
     """Register the queries of the other modules of this folder."""
-    from tidewright.plans import blends, cycles, evaluation, fits, positions, readers, signals, states, synthesis, valuation  # noqa: F401
+    from tidewright.plans import blends, cycles, evaluation, fits, positions, readers, semantics, signals, states, synthesis, valuation  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -53,7 +53,6 @@ def with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[S
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
-        tune(spark)
         return query(spark, sf_dir)
 
     return run
