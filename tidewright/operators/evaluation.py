@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.scalars import clip, ratio
 from tidewright.operators.forecasts import HORIZONS, LEVELS, NAMES, actual, average_rank, predicted, summarise
 from tidewright.operators.frames import Ordered, bucket_of_rank
-from tidewright.operators.recursion import Recursion, ema, fold, running_quantile
+from tidewright.operators.recursion import Recursion, Trailing, ema, fold, fold_rows, running_quantile
 
 O = Ordered()  # noqa: E741
 
@@ -159,16 +159,42 @@ def _known(x: Column) -> Column:
     return F.coalesce(*[F.when(F.col("horizon") == h, F.lag(x, h).over(w)) for h in HORIZONS])
 
 
-def lower_tail_corrected(rows: DataFrame, least: int = 60) -> DataFrame:
-    """q05 and q25 moved by the residual quantiles of the forecasts that have come true, kept below the one above."""
+def lower_tail_corrected(rows: DataFrame, least: int = 60, regime: str | None = None) -> DataFrame:
+    """q05 and q25 moved by the residual quantiles of the forecasts that have come true, kept below the one above.
+
+    With a regime column the forecasts made in the row's own regime count, where there are `least` of them.
+    """
     df = rows.withColumns({"_e05": actual() - F.col("q05"), "_e25": actual() - F.col("q25")})
     df = df.withColumns({"_k05": _known(F.col("_e05")), "_k25": _known(F.col("_e25"))}).drop("_e05", "_e25")
-    df = fold(df, [Recursion("_s05", "_k05", partial(running_quantile, level=0.05, window=None, least=least)), Recursion("_s25", "_k25", partial(running_quantile, level=0.25, window=None, least=least))], keys=("symbol", "horizon"))
+    shifts = (("_s05", "_k05", 0.05), ("_s25", "_k25", 0.25))
+    if regime is None:
+        df = fold(df, [Recursion(s, k, partial(running_quantile, level=q, window=None, least=least)) for s, k, q in shifts], keys=("symbol", "horizon"))
+    else:
+        df = df.withColumn("_from", _known(F.col(regime)))
+
+        def f(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+            now, start = (frame[c].tolist() for c in (regime, "_from"))
+            return {s: _by_regime(frame[k].to_numpy(float, na_value=np.nan), start, now, q, least) for s, k, q in shifts}
+
+        df = fold_rows(df, f, ["_s05", "_s25"], keys=("symbol", "horizon")).drop("_from")
     df = df.withColumn("q25", F.least(F.col("q25") + F.coalesce("_s25", F.lit(0.0)), F.col("q50") - 1e-9))
     df = df.withColumn("q05", F.least(F.col("q05") + F.coalesce("_s05", F.lit(0.0)), F.col("q25") - 1e-9))
     return df.drop("_s05", "_s25", "_k05", "_k25")
 
 
+def _by_regime(x: np.ndarray, start: list, now: list, level: float, least: int) -> np.ndarray:
+    """Running quantile of the values that began in the row's regime if there are enough, else of all."""
+    every, own, out = Trailing(len(x) + 1, least), {}, np.full(len(x), np.nan)
+    for i, v in enumerate(x.tolist()):
+        every.add(v)
+        own.setdefault(start[i], Trailing(len(x) + 1, least)).add(v)
+        same = own.get(now[i])
+        held = same if same is not None and len(same) >= least else every
+        if len(held) >= least:
+            out[i] = held.quantile(level)
+    return out
+
+
 def conditional_reference(targets: DataFrame, least: int = 180, regime_least: int = 60) -> DataFrame:
     """Quantiles of the returns known at each row: those that began in the row's regime if there are enough, else all.
 

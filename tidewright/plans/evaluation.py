@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.operators import attention as at
 from tidewright.operators import evaluation as ev
 from tidewright.operators import forecasts as fc
 from tidewright.plans.market import BARS_SQL, MARKET_SQL, SERIES_SQL, bars, market_bars, series
-from tidewright.plans.registry import _PANEL, _PB, _TARGETS, _W1, O, W, _cone_sql, _panel, frame, query, roll, rounded
+from tidewright.plans.registry import O, W, _PANEL, _PB, _TARGETS, _W1, _cone_sql, _ema, _panel, _recursion, frame, query, roll, rounded
 
 _F = f"{_TARGETS}, f AS ({_cone_sql(None)})"
 _NAMES = ", ".join(fc.NAMES)
@@ -123,6 +124,55 @@ def lower_tail_correction(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ev.lower_tail_corrected(_expanding(spark, d)).select("symbol", "horizon", "day", "q05", "q25", "q50"))
 
 
+_HIGH = f"CASE WHEN {roll('stddev_samp', 'r', 30, 20)} > {roll('quantile_cont({}, 0.5)', 'size', 365, 60, 1)} THEN 'high' ELSE 'low' END"
+
+
+@query(f"""WITH {_F}, b0 AS (SELECT symbol, day, ln(close / lag(close) {W}) AS r, abs(ln(close / lag(close) {W})) AS size FROM bars), b1 AS (SELECT symbol, day, {_HIGH} AS regime FROM b0), g AS (SELECT f.*, regime FROM f JOIN b1 USING (symbol, day)),
+k AS (SELECT *, row_number() OVER p AS n, {', '.join(f"CASE horizon {' '.join(f'WHEN {h} THEN lag({x}, {h}) OVER p' for h in fc.HORIZONS)} END AS {o}" for x, o in (('y - q05', 'k05'), ('y - q25', 'k25'), ('regime', 'start')))} FROM g WINDOW p AS (PARTITION BY symbol, horizon ORDER BY day)),
+s AS (SELECT *, {', '.join(f"list({c}) FILTER (WHERE {c} IS NOT NULL AND start = '{v}') OVER e AS {c}_{v}, list({c}) FILTER (WHERE {c} IS NOT NULL) OVER e AS {c}_all" if v == 'high' else f"list({c}) FILTER (WHERE {c} IS NOT NULL AND start = '{v}') OVER e AS {c}_{v}" for c in ('k05', 'k25') for v in ('high', 'low'))} FROM k WINDOW e AS (PARTITION BY symbol, horizon ORDER BY day ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT *, {', '.join(f"CASE WHEN len(CASE regime WHEN 'high' THEN {c}_high ELSE {c}_low END) >= 60 THEN CASE regime WHEN 'high' THEN {c}_high ELSE {c}_low END ELSE {c}_all END AS {c}_held" for c in ('k05', 'k25'))} FROM s),
+tq AS (SELECT *, CASE WHEN len(k05_held) >= 60 THEN list_aggregate(k05_held, 'quantile_cont', 0.05) ELSE 0 END AS s05, CASE WHEN len(k25_held) >= 60 THEN list_aggregate(k25_held, 'quantile_cont', 0.25) ELSE 0 END AS s25 FROM h), a AS (SELECT *, least(q25 + s25, q50 - 1e-9) AS n25 FROM tq)
+SELECT symbol, horizon, day, regime, round(least(q05 + s05, n25 - 1e-9), 6) AS q05, round(n25, 6) AS q25, round(q50, 6) AS q50 FROM a""")
+def lower_tail_by_regime(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("close")
+    b = bars(spark, d).withColumn("r", F.ln(c / O.lag(c))).withColumn("size", F.abs("r"))
+    regime = F.when(O.deviation(F.col("r"), 30, 20) > O.quantile(F.col("size"), 0.5, 365, 60, shift=1), "high").otherwise("low")
+    rows = _expanding(spark, d).join(b.select("symbol", "day", regime.alias("regime")), ["symbol", "day"])
+    return rounded(ev.lower_tail_corrected(rows, regime="regime").select("symbol", "horizon", "day", "regime", "q05", "q25", "q50"))
+
+
+_AW, _BW, _SPAN = (365, 90), (180, 60), 21
+
+
+def _extreme_sql(x: str, w: tuple[int, int]) -> str:
+    past = f"list_filter(list({x}) {frame(w[0], 1)}, lambda v: v IS NOT NULL)"
+    share = f"(len(list_filter({past}, lambda v: v <= {x})) / len({past}))"
+    return f"CASE WHEN {x} IS NOT NULL AND len({past}) >= {w[1]} THEN greatest(least(CASE WHEN {share} >= 0.75 THEN ({share} - 0.75) * 4 WHEN {share} <= 0.25 THEN ({share} - 0.25) * 4 ELSE 0 END, 1), -1) END"
+
+
+def _quartile_sql(x: str, w: tuple[int, int]) -> str:
+    q = lambda p: roll(f"quantile_cont({{}}, {p})", x, *w, 1)
+    return f"({x} - {q(0.5)}) / nullif({q(0.75)} - {q(0.25)}, 0)"
+
+
+def _kept(x: str, low: float, high: float) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN greatest(least({x}, {high}), {low}) END"
+
+
+@query(f"""WITH RECURSIVE {BARS_SQL}, i0 AS (SELECT symbol, day, CASE WHEN trades % 7 > 0 THEN close / {roll('avg', 'close', 60, 20)} - 1 END AS a0, CASE WHEN trades % 3 = 0 THEN ln(close / lag(close) {W}) WHEN trades % 3 = 1 THEN 0 END AS b0 FROM bars),
+i1 AS (SELECT symbol, day, row_number() {W} AS n, last_value(a0 IGNORE NULLS) {frame(None)} AS a, last_value(b0 IGNORE NULLS) {frame(None)} AS b FROM i0), i2 AS (SELECT *, CASE WHEN a IS NOT NULL THEN abs(b) END AS size FROM i1),
+i3 AS (SELECT *, coalesce(size > 1e-9, FALSE) AS event, {_extreme_sql('a', _AW)} AS ea, {_kept(_quartile_sql('a', _AW), -4, 4)} AS za, {_extreme_sql('size', _BW)} AS es, {_kept(_quartile_sql('size', _BW), 0, 4)} AS zs FROM i2),
+i4 AS (SELECT *, CASE WHEN ea IS NULL AND za IS NULL THEN tanh(a) ELSE (coalesce(0.7 * ea, 0) + coalesce(0.3 * tanh(za / 2), 0)) / (CASE WHEN ea IS NULL THEN 0 ELSE 0.7 END + CASE WHEN za IS NULL THEN 0 ELSE 0.3 END) END AS position, CASE WHEN NOT event THEN 0 WHEN es IS NOT NULL THEN greatest(es, 0) END AS far FROM i3),
+i5 AS (SELECT *, CASE WHEN NOT event THEN 0 WHEN far IS NULL AND zs IS NULL THEN tanh(size / 0.05) ELSE (coalesce(0.65 * far, 0) + coalesce(0.35 * tanh(zs / 2), 0)) / (CASE WHEN far IS NULL THEN 0 ELSE 0.65 END + CASE WHEN zs IS NULL THEN 0 ELSE 0.35 END) END::DOUBLE AS raw FROM i4),
+{_recursion('g', 'i5', [f'r.gate + 2.0 / {_SPAN + 1} * (o.raw - r.gate) AS gate'], ['o.raw AS gate'])}, i6 AS (SELECT i5.*, CASE WHEN i5.n >= {_SPAN // 4} THEN gate END AS gate FROM i5 JOIN g USING (symbol, n)), i7 AS (SELECT *, position * gate AS product FROM i6), i8 AS (SELECT *, count(product) {frame(None)} AS seen FROM i7),
+{_recursion('h', 'i8', [_ema('product', 'score', max(_SPAN // 3, 5))], ['o.product AS score'])}
+SELECT i8.symbol, i8.day, round(position, 5) AS average_position, round(gate, 5) AS attention_gate, round(CASE WHEN seen >= 3 THEN score END, 5) AS attention_score, round(far, 5) AS boost_extreme, (a IS NOT NULL)::INT::DOUBLE AS average_available, event::INT::DOUBLE AS boost_event FROM i8 JOIN h USING (symbol, n)""".replace("SELECT i8.symbol, i8.day,", "SELECT symbol, i8.day,"))
+def signal_attention(spark: SparkSession, d: str) -> DataFrame:
+    c, t = F.col("close"), F.col("trades") % 3
+    df = bars(spark, d).select("symbol", "day", F.when(F.col("trades") % 7 > 0, c / O.mean(c, 60, 20) - 1).alias("a"), F.when(t == 0, F.ln(c / O.lag(c))).when(t == 1, 0.0).alias("b"))
+    return rounded(at.attention(df, "a", "b", _AW, _BW, _SPAN), 5)
+
+
 @query(f"""WITH {MARKET_SQL}, r AS (SELECT symbol, day, close, row_number() OVER (ORDER BY day) AS n, CASE WHEN close > {roll('avg', 'close', 60)} THEN 'high_vol' WHEN close <= {roll('avg', 'close', 60)} THEN 'low_vol' ELSE 'unknown_vol' END AS regime FROM bars),
 t AS (SELECT *, ln(close / lag(close, 7) {W}) AS past, lag(regime, 7) {W} AS start FROM r), j AS (SELECT a.day, a.n, a.regime, list(b.past) AS every, list(b.past) FILTER (WHERE b.start = a.regime) AS same FROM t a JOIN t b ON b.n <= a.n AND b.past IS NOT NULL GROUP BY 1, 2, 3),
 k AS (SELECT day, CASE WHEN regime <> 'unknown_vol' AND len(every) >= 180 AND coalesce(len(same), 0) >= 60 THEN regime ELSE 'all' END AS reference, every, same FROM j), u AS (SELECT day, reference, CASE WHEN reference = 'all' THEN every ELSE same END AS held FROM k)
