@@ -714,7 +714,7 @@ def feature_correlations(spark: SparkSession, d: str) -> DataFrame:
 
 def _load() -> None:
     """Register the queries of the other modules of this folder."""
-    from tidewright.plans import blends, cycles, evaluation, fits, interactions, positions, readers, semantics, signals, states, synthesis, valuation  # noqa: F401
+    from tidewright.plans import blends, cycles, evaluation, fits, interactions, lookups, positions, readers, semantics, signals, states, synthesis, valuation  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -179,12 +179,15 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return st.content_hash(o, ["o_orderpriority"], ["o_orderkey"], ["o_orderkey", "o_orderstatus", "c"])
 
 
-@query(f"""WITH {_PANEL}, s AS (SELECT forecaster, symbol, horizon, day, {_W1} AS wis FROM f WHERE y IS NOT NULL) SELECT a.symbol, a.horizon, a.day, round(a.wis, 6) AS model_wis, round(b.wis, 6) AS other_wis, round(a.wis - b.wis, 6) AS difference FROM s a JOIN s b ON a.symbol = b.symbol AND a.horizon = b.horizon AND a.day = b.day WHERE a.forecaster = 'expanding' AND b.forecaster = 'random_walk'""")
+@query(f"""WITH {_PANEL}, s AS (SELECT symbol, horizon, day, max({_W1}) FILTER (WHERE forecaster = 'expanding') AS a, max({_W1}) FILTER (WHERE forecaster = 'random_walk') AS b FROM f WHERE y IS NOT NULL GROUP BY symbol, horizon, day)
+SELECT symbol, horizon, day, round(a, 6) AS model_wis, round(b, 6) AS other_wis, round(a - b, 6) AS difference FROM s WHERE a IS NOT NULL AND b IS NOT NULL""")
 def paired_losses(spark: SparkSession, d: str) -> DataFrame:
-    p = _panel(spark, d).where(F.col("actual").isNotNull()).select("forecaster", "symbol", "horizon", "day", "wis")
-    a = p.where(F.col("forecaster") == "expanding").select("symbol", "horizon", "day", F.col("wis").alias("model_wis"))
-    b = p.where(F.col("forecaster") == "random_walk").select("symbol", "horizon", "day", F.col("wis").alias("other_wis"))
-    return rounded(a.join(b, ["symbol", "horizon", "day"]).withColumn("difference", F.col("model_wis") - F.col("other_wis")))
+    """Both forecasters' losses of a row by one aggregate; rows that one of them lacks are left out."""
+    p = _panel(spark, d).where(F.col("actual").isNotNull())
+    loss = lambda f: F.max(F.when(F.col("forecaster") == f, F.col("wis")))
+    both = p.groupBy("symbol", "horizon", "day").agg(loss("expanding").alias("model_wis"), loss("random_walk").alias("other_wis"))
+    both = both.where(F.col("model_wis").isNotNull() & F.col("other_wis").isNotNull())
+    return rounded(both.withColumn("difference", F.col("model_wis") - F.col("other_wis")))
 
 
 @query(f"""WITH {BARS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS k FROM bars), t AS (SELECT symbol, 'rows' AS span, day, close FROM n WHERE k <= 100 UNION ALL SELECT symbol, 'years', day, close FROM bars b WHERE day >= (SELECT max(day) FROM bars c WHERE c.symbol = b.symbol) - INTERVAL 2 YEAR)
