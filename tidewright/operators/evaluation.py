@@ -287,3 +287,25 @@ def robust_scaled(fit: DataFrame, df: DataFrame, columns: list[str], key: str =
     j = df.join(F.broadcast(params), key, "left")  # a row a symbol
     spread = lambda c: F.coalesce(F.nullif(F.col(f"_{c}")[2] - F.col(f"_{c}")[0], F.lit(0.0)), F.lit(1.0))
     return j.withColumns({c: F.coalesce((F.col(c) - F.coalesce(F.col(f"_{c}")[1], F.lit(0.0))) / spread(c), F.lit(0.0)) for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+def miss_clusters(losses: DataFrame, drawdown: DataFrame, keys: tuple[str, ...] = ("forecaster", "symbol", "horizon"), least: int = 20) -> DataFrame:
+    """How misses below the lowest quantile cluster in time, and the drawdowns ahead after a miss and without one.
+
+    losses: keys, day, the outcome, q05 and q05_miss; drawdown: symbol, day, drawdown. A cluster is a run of misses in
+    the rows' order. The autocorrelation is that of neighbours, where there are five of them and both kinds occur.
+    """
+    w = Window.partitionBy(*keys).orderBy("day")
+    df = losses.where(actual().isNotNull() & F.col("q05").isNotNull()).select(*keys, "day", F.col("q05_miss").cast("double").alias("miss")).join(drawdown, ["symbol", "day"], "left")
+    df = df.withColumn("before", F.lag("miss").over(w))
+    starts = (F.col("miss") == 1) & (F.coalesce("before", F.lit(0.0)) == 0)
+    df = df.withColumn("cluster", F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = df.where(F.col("miss") == 1).groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("size"))
+    longest = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("clusters"), F.max("size").alias("longest"))
+    both = F.col("before").isNotNull()
+    x, y = F.when(both, F.col("miss")), F.col("before")
+    varied = (F.count("before") >= 5) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    after = lambda miss: F.avg(F.when(F.col("miss") == miss, F.col("drawdown")))
+    table = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.avg("miss").alias("miss_rate"), F.when(varied, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))).alias("autocorrelation"), after(1).alias("drawdown_after_miss"), after(0).alias("drawdown_without"))
+    table = table.where(F.col("observations") >= least).join(longest, list(keys), "left")
+    return table.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("clusters", "longest")})

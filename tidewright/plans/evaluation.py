@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.operators import attention as at
 from tidewright.operators import evaluation as ev
 from tidewright.operators import forecasts as fc
+from tidewright.operators import leverage as lv
 from tidewright.plans.market import BARS_SQL, MARKET_SQL, SERIES_SQL, bars, market_bars, series
 from tidewright.plans.registry import O, W, _PANEL, _PB, _TARGETS, _W1, _cone_sql, _ema, _panel, _recursion, frame, query, roll, rounded
 
@@ -240,3 +241,15 @@ def rolling_scores(spark: SparkSession, d: str) -> DataFrame:
     ok = (F.count("close").over(w) >= 5) & (F.min("close").over(w) < F.max("close").over(w)) & (F.min("volume").over(w) < F.max("volume").over(w))
     spread = F.stddev_pop("close").over(w) * F.stddev_pop("volume").over(w)
     return rounded(bars(spark, d).select("symbol", "day", z(90, 20).alias("z_90"), z(180, 45).alias("z_180"), F.when(ok, F.covar_pop("close", "volume").over(w) / F.nullif(spread, F.lit(0.0))).alias("corr_60")))
+
+
+@query(f"""WITH {_PANEL}, dd AS (SELECT symbol, day, min(close) OVER (PARTITION BY symbol ORDER BY day RANGE BETWEEN INTERVAL 1 DAY FOLLOWING AND INTERVAL 30 DAY FOLLOWING) / close - 1 AS drawdown FROM bars),
+m AS (SELECT forecaster, symbol, horizon, day, (q05 > y)::INT::DOUBLE AS miss, lag((q05 > y)::INT::DOUBLE) OVER w AS before, drawdown FROM f LEFT JOIN dd USING (symbol, day) WHERE y IS NOT NULL AND q05 IS NOT NULL WINDOW w AS (PARTITION BY forecaster, symbol, horizon ORDER BY day)),
+c AS (SELECT *, sum((miss = 1 AND coalesce(before, 0) = 0)::INT) OVER (PARTITION BY forecaster, symbol, horizon ORDER BY day ROWS UNBOUNDED PRECEDING) AS cluster FROM m),
+s AS (SELECT forecaster, symbol, horizon, count(*) AS clusters, max(size) AS longest FROM (SELECT forecaster, symbol, horizon, cluster, count(*) AS size FROM c WHERE miss = 1 GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT forecaster, symbol, horizon, count(*) AS observations, avg(miss) AS miss_rate, CASE WHEN count(before) >= 5 AND stddev_pop(miss) FILTER (WHERE before IS NOT NULL) > 0 AND stddev_pop(before) > 0 THEN corr(miss, before) END AS autocorrelation, avg(drawdown) FILTER (WHERE miss = 1) AS drawdown_after_miss, avg(drawdown) FILTER (WHERE miss = 0) AS drawdown_without FROM m GROUP BY ALL)
+SELECT forecaster, symbol, horizon, observations, round(miss_rate, 6) AS miss_rate, round(autocorrelation, 5) AS autocorrelation, round(drawdown_after_miss, 6) AS drawdown_after_miss, round(drawdown_without, 6) AS drawdown_without, coalesce(clusters, 0) AS clusters, coalesce(longest, 0) AS longest FROM g LEFT JOIN s USING (forecaster, symbol, horizon) WHERE observations >= 20""", date=None)
+def miss_clusters(spark: SparkSession, d: str) -> DataFrame:
+    b = bars(spark, d)
+    made = ev.miss_clusters(_panel(spark, d), b.select("symbol", "day", lv.forward_drawdown(b).alias("drawdown")))
+    return rounded(made.withColumn("autocorrelation", F.round(F.col("autocorrelation") + 1e-8, 5)))
