@@ -13,6 +13,7 @@ for each word of the longest text.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,6 +118,10 @@ class Crf:
     def emissions(self, words: Words) -> np.ndarray:
         """Scores of each word and label; a repeated word is scored once."""
         which, w = different(words)
+        return self.word_scores(w)[which]
+
+    def word_scores(self, w: Words) -> np.ndarray:
+        """Scores of each word and label, one by one."""
         fixed = fixed_features(w, self.bits)
         e = np.repeat(self.bias[None, :], w.count, 0)
         for j in range(fixed.shape[1]):
@@ -124,7 +129,7 @@ class Crf:
         if w.count:
             i2, i3 = ngram_features(w, self.bits)
             e += np.add.reduceat(self.weights[i2] + self.weights[i3], w.starts, axis=0)
-        return e[which]
+        return e
 
     def marginals(self, w: Words) -> np.ndarray:
         """P(label | text) of each word by forward-backward."""
@@ -220,8 +225,23 @@ def forward_backward(e: np.ndarray, first: np.ndarray, trans: np.ndarray, initia
     return out, t * ((before / ((before @ t) * after).sum(1, keepdims=True)).T @ after)
 
 
-def train(crf: Crf, sequences: list[tuple[Words, np.ndarray]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-6, seed: int = 7) -> Crf:
-    """Adagrad on the log-likelihood; each sequence is a batch: words of some texts, and a label for each word."""
+def _smallest(x: np.ndarray) -> np.ndarray:
+    """Values from 0 on in the smallest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _owners(u: Words, keep: np.ndarray) -> np.ndarray:
+    """The word of each kept feature: fixed ones by column, then bigrams and trigrams."""
+    every, owner = np.arange(u.count), np.repeat(np.arange(u.count), u.ends - u.starts)
+    return np.concatenate([*[every] * (1 + len(PREFIXES) + len(SUFFIXES)), owner, owner])[keep]
+
+
+def train(crf: Crf, sequences: Iterable[tuple[Words, np.ndarray]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-6, seed: int = 7) -> Crf:
+    """Adagrad on the log-likelihood; each sequence is a batch: words of some texts, and a label for each word.
+
+    The batches are read once; what stays of each are its different words and small indices, so that a generator of
+    batches keeps the driver's memory low.
+    """
     k, dims = len(crf.labels), (1 << crf.bits) + 1
     h = np.full((dims, k), 1e-2, np.float32)
     ht, hb = np.full((k, k), 1.0), np.full(k, 1.0)
@@ -232,26 +252,23 @@ def train(crf: Crf, sequences: list[tuple[Words, np.ndarray]], epochs: int = 6,
             continue
         which, u = different(w)
         fixed, (i2, i3) = fixed_features(u, crf.bits), ngram_features(u, crf.bits)
-        n = len(u.starts)
         letters = ragged(u.starts, u.ends - u.starts)
-        owner = np.repeat(np.arange(n), u.ends - u.starts)
         index = np.concatenate([*fixed.T, i2[letters], i3[letters]])
         index[index < 0] = dims - 1
-        who = np.concatenate([*[np.arange(n)] * fixed.shape[1], owner, owner]).astype(np.int32)
         keep = index < dims - 1
         cells, place = np.unique(index[keep], return_inverse=True)
-        place = place.astype(np.int32)
         inner = np.setdiff1d(np.arange(w.count), w.first[:-1])
         seen = np.zeros((k, k))
         np.add.at(seen, (y[inner - 1], y[inner]), 1)
-        prepared.append((w, y, which, n, cells, place, who[keep], seen))
+        prepared.append((w.first, y, _smallest(which), u, cells, _smallest(place), np.packbits(keep), len(keep), seen))
     for _ in range(epochs):
         for i in rng.permutation(len(prepared)):
-            w, y, which, n, cells, place, who, seen = prepared[i]
-            texts = max(1, len(w.first) - 1)
-            m, xi = forward_backward(crf.emissions(w), w.first, crf.trans, crf.initial, pairs=True)
+            first, y, which, u, cells, place, kept, size, seen = prepared[i]
+            who = _owners(u, np.unpackbits(kept, count=size).view(bool))
+            texts, n = max(1, len(first) - 1), u.count
+            m, xi = forward_backward(crf.word_scores(u)[which], first, crf.trans, crf.initial, pairs=True)
             g = -m
-            g[np.arange(w.count), y] += 1
+            g[np.arange(len(y)), y] += 1
             by_word = np.stack([np.bincount(which, g[:, j], n) for j in range(k)], 1)
             total = np.stack([np.bincount(place, by_word[who, j], len(cells)) for j in range(k)], 1)
             total = (total / texts - l2 * crf.weights[cells]).astype(np.float32)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.crf import Crf, letter_words, new_crf, train
+from tidewright.llm.crf import Crf, Words, letter_words, new_crf, train
 from tidewright.llm.textkernel import SLICE_CHARS, slices
 
 UNKNOWN = "und"
@@ -70,16 +70,18 @@ def fit(rows: list[tuple[str, str]], words: int = SEGMENT_WORDS, bits: int = BIT
             b = min(w.count, a + words)
             segments.append((labels.index(lang), text[w.starts[a] : w.ends[b - 1]]))
     rng.shuffle(segments)
-    batches = []
-    for i in range(0, len(segments), 32):
-        texts, marks = [], []
-        part = segments[i : i + 32]
-        for j in range(0, len(part), 2):  # two segments in a row are one code-switched text
-            two = part[j : j + 2]
-            texts.append(" ".join(s for _, s in two))
-            marks.append(np.concatenate([np.full(letter_words([s]).count, y) for y, s in two]))
-        batches.append((letter_words(texts), np.concatenate(marks)))
-    return train(new_crf(bits, labels), batches, epochs=3)
+
+    def batches() -> Iterator[tuple[Words, np.ndarray]]:
+        for i in range(0, len(segments), 32):
+            texts, marks = [], []
+            part = segments[i : i + 32]
+            for j in range(0, len(part), 2):  # two segments in a row are one code-switched text
+                two = part[j : j + 2]
+                texts.append(" ".join(s for _, s in two))
+                marks.append(np.concatenate([np.full(letter_words([s]).count, y, np.int32) for y, s in two]))
+            yield letter_words(texts), np.concatenate(marks)
+
+    return train(new_crf(bits, labels), batches(), epochs=3)
 
 
 def predict(texts: list[str], crf: Crf | None) -> tuple[list[str], list[float], list[list[float]]]:

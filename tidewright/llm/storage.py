@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that reach a Python worker at once.
 BATCH_BYTES = "4m"
-#: Steps that may be discarded, by identity.
-_paths: dict[int, tuple[DataFrame, str]] = {}
+#: Paths of steps that may be discarded. A step that nobody holds goes from here too, and with it its plan in the driver's JVM.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -50,14 +51,14 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     schema = df.schema
     df.write.options(**options).mode("overwrite").parquet(path)
     out = spark.read.schema(schema).parquet(path)
-    _paths[id(out)] = (out, path)
+    _paths[out] = path
     return out
 
 
 def discard(*steps: DataFrame) -> None:
     """Delete steps that `materialise` returned and that no later plan reads."""
     for df in steps:
-        remove(df.sparkSession, _paths.pop(id(df))[1])
+        remove(df.sparkSession, _paths.pop(df))
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

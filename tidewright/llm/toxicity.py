@@ -19,7 +19,7 @@ doc_id are no inputs of a score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +37,8 @@ STEP_CHARS = 60_000
 BITS = 16
 MINE_PREFIXES = (3, 4, 5, 6)
 MINE_SUFFIXES = (4, 5, 6)
+#: Texts whose candidates are held until they are counted.
+MINE_DOCS = 100
 #: Chance that any candidate passes without cause.
 ALPHA = 0.01
 
@@ -56,20 +58,35 @@ def candidates(w: Words) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def mine(docs: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Candidates tied to toxic documents; docs: label and different candidates of each."""
-    labels = np.array([y for y, _ in docs])
-    rate = labels.mean()
-    if not 0 < rate < 1:
-        return np.zeros(0, np.uint64)
-    seen: list[tuple[np.ndarray, np.ndarray]] = []
-    counts = []
-    for y in (1, 0):
-        parts = [c for z, c in docs if z == y]
-        counts.append(np.unique(np.concatenate(parts), return_counts=True))
-    keys, toxic = counts[0]
-    at = np.minimum(np.searchsorted(counts[1][0], keys), len(counts[1][0]) - 1)
-    clean = np.where(counts[1][0][at] == keys, counts[1][1][at], 0)
+def _added(counts: tuple[np.ndarray, np.ndarray], parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and their counts, with the keys of the parts."""
+    keys, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    both, which = np.unique(np.concatenate([counts[0], keys]), return_inverse=True)
+    return both, np.bincount(which, np.concatenate([counts[1], n]), len(both)).astype(np.int64)
+
+
+def mine(docs: Iterable[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Candidates tied to toxic documents; docs: label and different candidates of each, counted MINE_DOCS at a time."""
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    counts, held, number = {1: none, 0: none}, {1: [], 0: []}, {1: 0, 0: 0}
+    for y, c in docs:
+        number[y] += 1
+        held[y].append(c)
+        if len(held[y]) >= MINE_DOCS:
+            counts[y], held[y] = _added(counts[y], held[y]), []
+    counts = {y: _added(counts[y], held[y]) for y in (1, 0)}
+    if not number[0] or not number[1]:
+        return none[0]
+    rate = number[1] / (number[0] + number[1])
+    keys, toxic = counts[1]
+    if not len(keys):
+        return none[0]
+    others, clean = counts[0]
+    if len(others):
+        at = np.minimum(np.searchsorted(others, keys), len(others) - 1)
+        clean = np.where(others[at] == keys, clean[at], 0)
+    else:
+        clean = np.zeros(len(keys), np.int64)
     total = toxic + clean
     share = toxic / total
     q = np.clip(share, 1e-9, 1 - 1e-9)
@@ -115,7 +132,7 @@ def fit(rows: list[tuple[int, str]], seed: int = 5) -> Model:
     """A model from (toxic, text) rows."""
     rate = float(np.clip(np.mean([y for y, _ in rows]) if rows else 0.0, 1e-4, 1 - 1e-4))
     constant = Model(None, np.array([0.0, 0.0, np.log(rate / (1 - rate))]))
-    found = mine([(y, np.unique(candidates(letter_words([t])))) for y, t in rows]) if rows else np.zeros(0, np.uint64)
+    found = mine((y, np.unique(candidates(letter_words([t])))) for y, t in rows)
     if not len(found):
         return constant
 
@@ -123,9 +140,8 @@ def fit(rows: list[tuple[int, str]], seed: int = 5) -> Model:
         w = letter_words([text])
         return np.isin(candidates(w), found).any(1).astype(np.int8) if y else np.zeros(w.count, np.int8)
 
-    batches = []
-    for part in _steps([t for _, t in rows], np.random.default_rng(seed)):
-        batches.append((letter_words([rows[i][1] for i in part]), np.concatenate([mark(*rows[i]) for i in part])))
+    steps = _steps([t for _, t in rows], np.random.default_rng(seed))
+    batches = ((letter_words([rows[i][1] for i in part]), np.concatenate([mark(*rows[i]) for i in part])) for part in steps)
     crf = train(new_crf(BITS, ["clean", "toxic"]), batches, epochs=3)
     x = []
     for i in range(0, len(rows), 200):
