@@ -318,3 +318,8 @@ def test_boosting_learns_made_pages():
         right += ((y == htmltext.ARTICLE) == keep)[leaf].sum()
         leaves += leaf.sum()
     assert right / leaves > 0.98
+
+
+def test_pitman_yor_steps_are_dense(spark):
+    model, table = pitmanyor.fit(spark.createDataFrame([(f"a b c{i} d",) for i in range(9)], "text string"))
+    assert all(x.endswith(".zstd.parquet") for df in (table, model.state) for x in df.inputFiles())

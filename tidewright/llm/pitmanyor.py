@@ -50,7 +50,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.language import held_out
-from tidewright.llm.storage import discard, materialise, most_frequent
+from tidewright.llm import storage
+from tidewright.llm.storage import discard, most_frequent
 from tidewright.llm.textkernel import mix, ragged, slices, words
 
 SAMPLES = 3
@@ -76,6 +77,11 @@ BEGIN = HOT_WORDS
 _TOP = np.int64(np.iinfo(np.int64).min)
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """A step in the denser codec: tables of pairs are most of what is on disk."""
+    return storage.materialise(df, name, compression="zstd")
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function of positive numbers: the series at x + 6, less six factors."""
     y = x + 6
