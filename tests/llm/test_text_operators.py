@@ -323,3 +323,74 @@ def test_boosting_learns_made_pages():
 def test_pitman_yor_steps_are_dense(spark):
     model, table = pitmanyor.fit(spark.createDataFrame([(f"a b c{i} d",) for i in range(9)], "text string"))
     assert all(x.endswith(".zstd.parquet") for df in (table, model.state) for x in df.inputFiles())
+
+
+def test_pitman_yor_parts_equal_one_array(spark, monkeypatch):
+    """Many parts with few hot words (so that most pairs and links are cold) give what one array of all pairs gives."""
+    from collections import Counter
+
+    py = pitmanyor
+    for name, value in (("HOT_WORDS", 12), ("HOT_PAIRS", 5), ("PART_EVENTS", 300)):
+        monkeypatch.setattr(py, name, value)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in (rng.integers(0, 40, 25) * rng.random(25)).astype(int)) for _ in range(110)]
+    model, table = py.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert model.number > 5 and len(model.hot) <= 12
+
+    def pairs(text):
+        w, first = py.hashed_events([text])
+        w = py.coded(w, model.hot)
+        return list(zip(py.contexts(w, first).tolist(), w.tolist(), strict=True))
+
+    counts = Counter(x for t in texts for x in pairs(t))
+    u, w = np.array(list(counts)).T.copy()
+    c = np.array(list(counts.values()))
+    assert ((u < 0) & (w < 0) & (c > 1)).sum() > 20
+    us, iu = np.unique(u, return_inverse=True)
+    ws, iw = np.unique(w, return_inverse=True)
+    t, m, tables, uc, wc = np.ones(len(c)), c > 1, np.ones(len(ws)), np.bincount(iu, c), np.bincount(iw, c)
+    customers, ut = np.bincount(iw, t), np.bincount(iu, t)
+    r = py.Rates(py._discount((customers == 1).sum(), (customers == 2).sum()), py._discount((c == 1).sum(), (c == 2).sum()), customers.sum(), len(ws), len(ws))
+    for sweep in range(1, py.BURN_IN + 2):
+        turns = py.SAMPLES if sweep > py.BURN_IN else py.TURNS
+        t[m] = py.context_tables(u[m], w[m], c[m], t[m], ut[iu][m], r.word_probability(customers, tables)[iw][m], r, sweep, turns) / turns
+        customers, ut = np.bincount(iw, t), np.bincount(iu, t)
+        tables = py.corpus_tables(ws, customers, tables, r, sweep)
+        r.customers, r.tables = customers.sum(), tables.sum()
+    back, p = dict(zip(us.tolist(), r.backoff(uc, ut), strict=True)), dict(zip(ws.tolist(), r.word_probability(customers, tables), strict=True))
+    q = dict(zip(zip(u.tolist(), w.tolist(), strict=True), np.maximum(c - r.context_discount * t, 0) / (1 + uc[iu]) + r.backoff(uc, ut)[iu] * r.word_probability(customers, tables)[iw], strict=True))
+    got = {(x.u, x.w): x for x in table.collect()}
+    assert got.keys() == q.keys() and all(got[k].q == pytest.approx(q[k], rel=1e-9) and got[k].c == counts[k] for k in q)
+    assert {x.key: round(x.customers, 9) for x in model.state.collect() if x.c} == dict(zip(ws.tolist(), customers.round(9).tolist(), strict=True))
+    docs = [*texts[:20], *(" ".join(f"w{int(x)}" for x in rng.integers(0, 60, 25)) for _ in range(20)), "zz w30 w31 zz w82 zz", ""]
+    known = dict(zip(ws.tolist(), wc.tolist(), strict=True))
+    scored = {x.doc_id: x for x in py.score(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), model, table, waves=2).collect()}
+    for i, text in enumerate(docs):
+        own = pairs(text)
+        assert scored[i].score == pytest.approx(sum(np.log10(q.get(x, back.get(x[0], 1.0) * p.get(x[1], r.unknown))) for x in own), rel=1e-9)
+        assert (scored[i].n_tokens, scored[i].n_known) == (len(own), sum(x[1] in known for x in own))
+        assert scored[i].base_score == pytest.approx(sum(np.log10((known.get(x[1], 0) + 0.5) / (model.total + 0.5 * (model.distinct + 1))) for x in own))
+
+
+def test_pitman_yor_steps_have_no_row_a_pair(spark, monkeypatch):
+    rows, plain = {}, pitmanyor.materialise
+
+    def counted(df, name):
+        out = plain(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(pitmanyor, "materialise", counted)
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(x)}" for x in rng.integers(0, 300, 200))) for i in range(20)], "doc_id long, text string")
+    assert pitmanyor.score_documents(docs.coalesce(1)).count() == 20
+    assert max(n for name, n in rows.items() if name != "words") < 60
+
+
+def test_pitman_yor_draws_do_not_depend_on_other_dishes():
+    c, one = np.array([2.0, 3.0, 5.0, 40.0]), np.ones(4)
+    for base in (0.3, 0.05):
+        both = pitmanyor.reseat(np.repeat(c, 200), np.ones(800), np.full(800, 3.0), np.full(800, base), 0.6, pitmanyor.Draws(np.arange(800), 3), 4)
+        for i in range(4):
+            own = np.arange(200) + 200 * i
+            assert (pitmanyor.reseat(np.repeat(c[i], 200), np.ones(200), np.full(200, 3.0), np.full(200, base), 0.6, pitmanyor.Draws(own, 3), 4) == both[:, own]).all()

@@ -20,15 +20,20 @@ with one and two customers suggest.
 
 Distribution: words are counted first. The HOT_WORDS most frequent ones (a
 bound on what is broadcast) are coded by their rank, all others by their
-64-bit hash, so that rows of pairs stay small. Pairs (context, word) are counted
-in each batch and then in one aggregation; only pairs with two or more
-customers take part in a sweep. A pair of two hot words finds its state in the
-broadcast arrays, any other by joins on context and word. For scoring, the
-HOT_PAIRS most frequent pairs are looked up where the text is read, and the
-others are joined with the whole table; pairs never seen back off to their
-context and word. Scoring goes over the documents in WAVES parts by a hash of
-the text, so that one part's rows are on disk at a time. No word, context or
-pair is dropped.
+64-bit hash. Pairs (context, word) are counted in each task, dealt to parts as
+arrays and counted there. A pair goes to the part of its word if that is cold,
+else to the part of its context if that is cold, else by both, so that a part
+knows all of its cold words and contexts; the state of hot ones is broadcast,
+and each part returns what it adds to it. A pair of two cold words (a link) is
+held at both parts. In a sweep each part sends the other side's part the state
+of its end of a link, and both seat it alike. Parts have some PART_EVENTS
+training events whatever the input, and only pairs with two or more customers
+take part in a sweep. For scoring, the HOT_PAIRS most frequent pairs are looked
+up where the text is read; all others are dealt to their parts, and their sums
+return to their texts. Pairs never seen back off to their context and word, an
+unseen link by one factor at each part. Scoring goes over the documents in WAVES
+parts by a hash of the text, so that one part's rows are on disk at a time. No
+word, context or pair is dropped.
 
 Null texts are empty and have the end alone. Rows with a null doc_id are learned
 and scored; their held_out is null. Repeated rows are learned and scored each.
@@ -63,6 +68,9 @@ DISHES = 500_000
 HOT_WORDS = 1 << 17
 HOT_PAIRS = 1 << 18
 WAVES = 4
+#: Training events of a part, and events that a task counts or deals out at once.
+PART_EVENTS = 1 << 20
+BATCH_EVENTS = 1 << 19
 #: Strength of every restaurant.
 STRENGTH = 1.0
 #: Customers that all dishes of a batch seat in step; after them each dish goes on alone.
@@ -200,8 +208,9 @@ def reseat(c: np.ndarray, t: np.ndarray, others: np.ndarray, base: np.ndarray, d
 
     every = np.arange(len(c))
     total, now = np.zeros(len(c)), weight(t)
-    for _ in range(turns):
+    for k in range(turns):
         new = seat(c, s, discount, draws)
+        draws.count = (k + 1) << 32  # so that no dish's draws depend on how many steps others take
         then = weight(new)
         accept = np.log(draws(every)) < then - now
         t, now = np.where(accept, new, t), np.where(accept, then, now)
@@ -218,12 +227,35 @@ def hashed_events(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return w, first + np.arange(k + 1)
 
 
-def coded(w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+class Slots:
+    """Places of 64-bit hashes among keys in order: by the first bits, and by bisection where several keys share them."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        bits = int(len(keys)).bit_length() + 2
+        self.shift = np.uint64(64 - bits)
+        slot = keys.view(np.uint64) >> self.shift
+        self.first = np.zeros(1 << bits, np.int32)
+        self.first[slot] = np.arange(len(keys), dtype=np.int32)
+        self.shared = np.bincount(slot.astype(np.int64), minlength=1 << bits) > 1
+
+    def __call__(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A place for each wanted key, and whether the key is there."""
+        if not len(self.keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        slot = wanted.view(np.uint64) >> self.shift
+        at = self.first[slot].astype(np.int64)
+        there = self.keys[at] == wanted
+        rest = np.flatnonzero(~there & self.shared[slot])
+        at[rest] = np.minimum(np.searchsorted(self.keys, wanted[rest]), len(self.keys) - 1)
+        there[rest] = self.keys[at[rest]] == wanted[rest]
+        return at, there
+
+
+def coded(w: np.ndarray, hot: np.ndarray | Slots) -> np.ndarray:
     """Rank of hot words, and for others the hash with its top bit set."""
-    if not len(hot):
-        return w | _TOP
-    at = np.minimum(np.searchsorted(hot, w), len(hot) - 1)
-    return np.where(hot[at] == w, at, w | _TOP)
+    at, there = (hot if isinstance(hot, Slots) else Slots(hot))(w)
+    return np.where(there, at, w | _TOP)
 
 
 def contexts(w: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -251,240 +283,492 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(f, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def count_pairs(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """u (context), w (word) and c of the pairs of the texts."""
+def part_of(u: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each pair: that of its word if cold, else of its context if cold, else by both."""
+    own = np.where(w < 0, w, np.where(u < 0, u, pair_key(u, w)))
+    return (mix(own.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def context_part(u: np.ndarray, parts: int) -> np.ndarray:
+    """Part of cold contexts."""
+    return (mix(u.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def ddl(scalars: str, fields: dict[str, str]) -> str:
+    return ", ".join([scalars, *(f"{name} binary" for name in fields)])
+
+
+def packed(a: np.ndarray, kind: str) -> bytes:
+    """An array's bytes with the first bytes of all values first, then the second ones: small numbers compress well."""
+    return np.ascontiguousarray(a, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+
+
+def unpacked(b: bytes | None, kind: str) -> np.ndarray:
+    if not b:
+        return np.zeros(0, kind)
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _rows(rows: list[dict], fields: dict[str, str]) -> pa.Table:
+    """Rows of (part, kind, arrays by name) as a table."""
+    out = {name: pa.array([r[name] for r in rows], pa.int32()) for name in ("part", "kind")}
+    return pa.table(out | {name: pa.array([packed(r[name], kind) if name in r else None for r in rows], pa.binary()) for name, kind in fields.items()})
+
+
+def _arrays(table: pa.Table, fields: dict[str, str], kind: int) -> dict[str, np.ndarray]:
+    """Arrays of the table's rows of one kind, put together."""
+    own = [i for i, k in enumerate(table.column("kind").to_pylist()) if k == kind]
+    return {name: np.concatenate([np.zeros(0, t), *(unpacked(table.column(name)[i].as_py(), t) for i in own)]) for name, t in fields.items()}
+
+
+def _dealt(part: np.ndarray, kind: int, **arrays: np.ndarray) -> list[dict]:
+    """A row for each part with its share of the arrays."""
+    order = np.argsort(part.astype(np.uint16) if part.max(initial=0) < 1 << 16 else part, kind="stable")
+    found, first = np.unique(part[order], return_index=True)
+    ends = np.append(first, len(part))[1:]
+    return [{"part": int(p), "kind": kind, **{k: v[order[i:j]] for k, v in arrays.items()}} for p, i, j in zip(found, first, ends, strict=True)]
+
+
+def find(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray, default: float = 0.0) -> np.ndarray:
+    """Values of the wanted keys; keys are in order."""
+    if not len(keys):
+        return np.full(len(wanted), default, values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], values.dtype.type(default))
+
+
+COUNTED = {"u": "i8", "w": "i8", "c": "i8"}
+#: Of a part. SEATS: pairs with two or more customers, links (the pairs of two cold words, at the part of their context),
+#: cold words (customers and tables; of single pairs in w1) and cold contexts. SINGLES: pairs with one customer.
+#: TO_WORDS and TO_CONTEXTS: what one side of a link says to the other. HOT: what the part adds to a slice of the hot words.
+SEATS, SINGLES, TO_WORDS, TO_CONTEXTS, HOT, SUMS = range(6)
+STEP = {"u": "i8", "w": "i8", "c": "i8", "t": "f8", "bu": "i8", "bw": "i8", "bc": "i8", "bt": "f8", "wk": "i8", "wc": "i8", "w1": "i8", "wn": "f8", "wt": "f8", "uk": "i8", "uc": "i8", "u1": "i8", "un": "f8", "key": "i8", "x": "f8", "y": "f8"}
+_STEP = ddl("part int, kind int", STEP)
+PARTS = {"u": "i8", "w": "i8", "c": "i8", "t": "f8", "su": "i8", "sw": "i8", "lk": "i8", "lc": "f8", "lt": "f8", "wk": "i8", "wc": "i8", "wn": "f8", "wt": "f8", "p": "f8", "uk": "i8", "uc": "i8", "un": "f8", "back": "f8", "links": "i8"}
+_SLICE = HOT_WORDS // 8 + 1
+
+
+def count_pairs(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
+    """Pairs of the texts (u context, w word, c) by part: kind 0, and once more as links (kind 1) if both are cold."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
+    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        u, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, one, c = np.unique(pair_key(u, w), return_index=True, return_counts=True)
+        u, w = u[one], w[one]
+        both = (u < 0) & (w < 0)
+        rows = _dealt(part_of(u, w, parts), 0, u=u, w=w, c=c) + _dealt(context_part(u[both], parts), 1, u=u[both], w=w[both], c=c[both])
+        return _rows(rows, COUNTED)
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, words_at = [], 0, Slots(shared.value)
         for batch in batches:
-            found = []
             for _, texts in slices(batch):
                 w, first = hashed_events(texts)
-                w = coded(w, shared.value)
-                found.append((contexts(w, first), w))
-            if found:
-                u, w = (np.concatenate(x) for x in zip(*found, strict=True))
-                _, one, c = np.unique(pair_key(u, w), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u[one]), pa.array(w[one]), pa.array(c)], names=["u", "w", "c"])
+                w = coded(w, words_at)
+                held.append((contexts(w, first), w))
+                n += len(w)
+                if n >= BATCH_EVENTS:
+                    yield from counted(held).to_batches()
+                    held, n = [], 0
+        if n:
+            yield from counted(held).to_batches()
+
+    return docs.select("text").mapInArrow(f, ddl("part int, kind int", COUNTED))
+
+
+def _summed(counted: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, in the order of its key."""
+    _, one, which = np.unique(pair_key(counted["u"], counted["w"]), return_index=True, return_inverse=True)
+    return counted["u"][one], counted["w"][one], np.bincount(which, counted["c"], len(one)).astype(np.int64)
+
+
+def _of(keys: np.ndarray, own: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Sums of the values by key."""
+    return [np.bincount(np.searchsorted(keys, own), v, len(keys)) for v in values]
+
+
+def _hot_rows(u: np.ndarray, w: np.ndarray, of_words: dict[str, np.ndarray], of_contexts: dict[str, np.ndarray]) -> list[dict]:
+    """What pairs add to the hot words, by slices."""
+    sums = {k: np.bincount(w[w >= 0], v[w >= 0], 8 * _SLICE) for k, v in of_words.items()}
+    sums |= {k: np.bincount(u[u >= 0], v[u >= 0], 8 * _SLICE) for k, v in of_contexts.items()}
+    return [{"part": i, "kind": HOT, **{k: v[i * _SLICE : (i + 1) * _SLICE] for k, v in sums.items()}} for i in range(8)]
+
+
+def _messages(s: dict[str, np.ndarray], parts: int, whole: bool) -> list[dict]:
+    """What cold words and cold contexts say to the other side of their links; of single pairs in `whole` only."""
+    a = (s["u"] < 0) & (s["w"] < 0)
+    u, w = s["u"][a], s["w"][a]
+    rows = _dealt(context_part(u, parts), TO_CONTEXTS, key=pair_key(u, w), x=find(s["wk"], w, s["wn"]), y=find(s["wk"], w, s["wt"]))
+    b = np.full(len(s["bu"]), True) if whole else s["bc"] > 1
+    u, w = s["bu"][b], s["bw"][b]
+    return rows + _dealt(part_of(u, w, parts), TO_WORDS, key=pair_key(u, w), x=find(s["uk"], u, s["uc"]).astype(float), y=find(s["uk"], u, s["un"]))
+
 
-    return docs.select("text").mapInArrow(f, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
+def _sums(s: dict[str, np.ndarray], c: np.ndarray) -> dict:
+    """Numbers of pairs with one and two customers, of cold words with as many, and sums of cold customers and tables."""
+    n = s["wn"]
+    return {"part": 0, "kind": SUMS, "x": np.array([(c == 1).sum(), (c == 2).sum(), (n == 1).sum(), (n == 2).sum(), n.sum(), s["wt"].sum()], float)}
+
+
+def first_seats(counted: DataFrame, parts: int) -> DataFrame:
+    """Each part with one table a pair, what it says to others and what it adds to hot words."""
+
+    def f(_: tuple, table: pa.Table) -> pa.Table:
+        u, w, c = _summed(_arrays(table, COUNTED, 0))
+        bu, bw, bc = _summed(_arrays(table, COUNTED, 1))
+        part = table.column("part")[0].as_py()
+        one = (c == 1).astype(np.int64)
+        word = w < 0
+        context = (u < 0) & (w >= 0)
+        wk, uk = np.unique(w[word]), np.unique(np.append(u[context], bu))
+        wc, w1, wn = _of(wk, w[word], c[word], one[word], np.ones(word.sum()))
+        uc, u1, un = _of(uk, np.append(u[context], bu), np.append(c[context], bc), np.append(one[context], bc == 1), np.ones(context.sum() + len(bu)))
+        m = c > 1
+        s = {"u": u[m], "w": w[m], "c": c[m], "t": np.ones(m.sum()), "bu": bu, "bw": bw, "bc": bc, "bt": np.ones(len(bu)), "wk": wk, "wc": wc, "w1": w1, "wn": wn, "wt": np.ones(len(wk)), "uk": uk, "uc": uc, "u1": u1, "un": un}
+        every = np.ones(len(c))
+        rows = [{"part": part, "kind": SEATS, **s}, {"part": part, "kind": SINGLES, "u": u[~m], "w": w[~m]}, _sums(s, c)]
+        rows += _hot_rows(u, w, {"wc": c, "w1": one, "wn": every}, {"uc": c, "u1": one, "un": every}) + _messages(s, parts, False)
+        return _rows(rows, STEP)
+
+    return counted.groupBy("part").applyInArrow(f, _STEP)
 
 
 @dataclass
-class Model:
+class Rates:
+    """What both levels share."""
+
     discount: float  # of the corpus restaurant
     context_discount: float
     customers: float  # tables of all contexts
     tables: float
-    total: int  # N
     distinct: int  # V
-    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # keys of hot words in order
-    state: DataFrame | None = None  # key (code), c, customers, tables; as a context: uc, ut
-    arrays: dict[str, np.ndarray] = field(default_factory=dict)  # the same of hot words and the begin, by code
 
     @property
     def unknown(self) -> float:
         """Corpus probability of the unknown word, and of any dish through the base measure."""
         return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.customers) / (self.distinct + 1)
 
-    def word_probability(self, customers: Column, tables: Column) -> Column:
-        return F.greatest(customers - self.discount * tables, F.lit(0.0)) / (STRENGTH + self.customers) + self.unknown
+    def word_probability(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return np.maximum(customers - self.discount * tables, 0) / (STRENGTH + self.customers) + self.unknown
 
-    def backoff(self, uc: Column, ut: Column) -> Column:
+    def backoff(self, uc: np.ndarray, ut: np.ndarray) -> np.ndarray:
         """Weight that a context gives to the corpus restaurant."""
         return (STRENGTH + self.context_discount * ut) / (STRENGTH + uc)
 
 
-def _larger(batches: Iterator[pa.RecordBatch], rows: int = DISHES) -> Iterator[pa.RecordBatch]:
-    """The batches put together up to about `rows` rows."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            yield pa.concat_batches(held)
-            held, n = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
-def _discount(n1: int | None, n2: int | None) -> float:
-    return float(np.clip(n1 / (n1 + 2 * (n2 or 0)), 0.1, 0.95)) if n1 else 0.5
-
-
-def _sides(pairs: DataFrame, tables: Column) -> DataFrame:
-    """What each pair adds to its word (c, customers) and to its context (uc, ut)."""
-    none, zero = F.lit(0).cast("long"), F.lit(0.0)
-    c, t = F.col("c"), tables.cast("double")
-    as_word = pairs.select(F.col("w").alias("key"), c.alias("c"), t.alias("customers"), none.alias("uc"), zero.alias("ut"))
-    as_context = pairs.select(F.col("u").alias("key"), none.alias("c"), zero.alias("customers"), c.alias("uc"), t.alias("ut"))
-    return as_word.unionByName(as_context).groupBy("key").agg(*[F.sum(x).alias(x) for x in ("c", "customers", "uc", "ut")])
+@dataclass
+class Model(Rates):
+    total: int = 0  # N
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # keys of hot words in order
+    parts: DataFrame | None = None  # pairs with their probabilities, cold words and contexts, by part
+    number: int = 1  # of parts
+    arrays: dict[str, np.ndarray] = field(default_factory=dict)  # of hot words and the begin, by code
 
+    def rates(self) -> Rates:
+        return Rates(self.discount, self.context_discount, self.customers, self.tables, self.distinct)
 
-def _corpus_seated(state: DataFrame, m: Model, sweep: int) -> DataFrame:
-    """Add the tables of each word in the corpus restaurant; state has `before`, its tables so far (null at first)."""
-    d, base, tables = m.discount, 1 / (m.distinct + 1), m.tables
+    @property
+    def state(self) -> DataFrame:
+        """key (code), c, customers, tables of every word; as a context: uc, ut."""
+        names = "key long, c long, customers double, tables double, uc long, ut double"
+        a = self.arrays
+        some = np.flatnonzero((a["c"] > 0) | (a["uc"] > 0))
+        hot = self.parts.sparkSession.createDataFrame(pd.DataFrame({"key": some, **{k: a[k][some] for k in ("c", "customers", "tables", "uc", "ut")}}).astype({"c": int, "uc": int}), names)
+
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    s = {k: unpacked(batch.column(k)[i].as_py(), PARTS[k]) for k in ("wk", "wc", "wn", "wt", "uk", "uc", "un")}
+                    key = np.union1d(s["wk"], s["uk"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(find(s[k], key, s[v])) for k, v in (("wk", "wc"), ("wk", "wn"), ("wk", "wt"), ("uk", "uc"), ("uk", "un")))], names=["key", "c", "customers", "tables", "uc", "ut"])
+
+        return self.parts.select("wk", "wc", "wn", "wt", "uk", "uc", "un").mapInArrow(f, names).unionByName(hot)
+
+
+class Seen:
+    """The pairs of a part: those with several customers, then single ones, each in the order of the key."""
+
+    def __init__(self, s: dict[str, np.ndarray], a: dict[str, np.ndarray], r: Rates) -> None:
+        self.s, self.a, self.r = s, a, r
+        self.several, self.single = pair_key(s["u"], s["w"]), pair_key(s["su"], s["sw"])
+
+    def q(self, u: np.ndarray, w: np.ndarray, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Probabilities of pairs with c customers at t tables; without customers, by the word's and the context's state alone."""
+        s, a, r = self.s, self.a, self.r
+        uc, ut = (a[k][np.maximum(u, 0)] for k in ("uc", "ut"))
+        own = np.flatnonzero((u < 0) & (w >= 0))
+        uc[own], ut[own] = (find(s["uk"], u[own], s[k]) for k in ("uc", "un"))
+        link = np.flatnonzero((u < 0) & (w < 0))
+        uc[link], ut[link] = (find(s["lk"], pair_key(u[link], w[link]), s[k]) for k in ("lc", "lt"))
+        p, cold = a["p"][np.maximum(w, 0)], np.flatnonzero(w < 0)
+        p[cold] = find(s["wk"], w[cold], s["p"], r.unknown)
+        return np.maximum(c - r.context_discount * t, 0.0) / (STRENGTH + uc) + r.backoff(uc, ut) * p
+
+    def met(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Probabilities of any pairs of the part. What an unseen link's context weighs is left out: its part adds it."""
+        key, c, t = pair_key(u, w), np.zeros(len(u)), np.zeros(len(u))
+        for keys, cs, ts in ((self.several, self.s["c"], self.s["t"]), (self.single, None, None)):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                on = np.flatnonzero(keys[at] == key)
+                c[on], t[on] = (1, 1) if cs is None else (cs[at[on]], ts[at[on]])
+        return self.q(u, w, c, t)
+
+
+def table_rows(m: Model, least: int = 1) -> DataFrame:
+    """u, w, c (count), q (probability) and wc (count of a cold word) of every pair with `least` customers (1 or 2)."""
+    r, names = m.rates(), ["u", "w", "c", "t", "wk", "wc", "p", "uk", "uc", "un", "lk", "lc", "lt", *(["su", "sw"] if least < 2 else [])]
+    shared = m.parts.sparkSession.sparkContext.broadcast({k: m.arrays[k] for k in ("uc", "ut", "p")})
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _larger(batches):
-            k = batch.column("customers").to_numpy(zero_copy_only=False)
-            whole = np.rint(k)
-            before = np.minimum(batch.column("before").to_numpy(zero_copy_only=False), whole)
-            t = np.where(whole > 0, np.maximum(np.nan_to_num(before, nan=1.0), 1.0), 0.0)
-            some = np.flatnonzero(whole > 1)
-            if sweep and len(some):
-                draws = Draws(batch.column("key").to_numpy(zero_copy_only=False)[some], 2 * sweep)
-                others = STRENGTH + d * np.maximum(tables - t[some], 0)
-                t[some] = reseat(whole[some], t[some], others, np.full(len(some), base), d, draws, TURNS)[0]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "c", "customers", "uc", "ut")), pa.array(np.minimum(t, k))], names=["key", "c", "customers", "uc", "ut", "tables"])
-
-    return state.mapInArrow(f, "key long, c long, customers double, uc long, ut double, tables double")
-
-
-def _hot_arrays(m: Model) -> dict[str, np.ndarray]:
-    """State of hot words and of the begin: HOT_WORDS + 1 rows at most."""
-    rows = m.state.where(F.col("key") >= 0).toPandas()
-    at = rows["key"].to_numpy().astype(np.int64)
-    out = {}
-    for c in ("c", "customers", "tables", "uc", "ut"):
-        out[c] = np.zeros(HOT_WORDS + 1)
-        out[c][at] = rows[c].to_numpy(float)
-    out["p"] = np.maximum(out["customers"] - m.discount * out["tables"], 0) / (STRENGTH + m.customers) + m.unknown
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = {"su": np.zeros(0, np.int64), "sw": np.zeros(0, np.int64)} | {k: unpacked(batch.column(k)[i].as_py(), PARTS[k]) for k in names}
+                one = np.ones(len(s["su"]), np.int64)
+                u, w, c, t = (np.append(*x) for x in ((s["u"], s["su"]), (s["w"], s["sw"]), (s["c"], one), (s["t"], one)))
+                wc = pa.array(find(s["wk"], w, s["wc"]).astype(np.int64), mask=w >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(c), pa.array(Seen(s, shared.value, r).q(u, w, c, t)), wc], names=["u", "w", "c", "q", "wc"])
+
+    return m.parts.select(*names).mapInArrow(f, "u long, w long, c long, q double, wc long")
+
+
+def _discount(n1: float, n2: float) -> float:
+    return float(np.clip(n1 / (n1 + 2 * n2), 0.1, 0.95)) if n1 else 0.5
+
+
+def corpus_tables(key: np.ndarray, k: np.ndarray, before: np.ndarray, r: Rates, sweep: int) -> np.ndarray:
+    """Tables of words with k customers in the corpus restaurant, seated anew; `before` has those of the last sweep."""
+    whole = np.rint(k)
+    t = np.where(whole > 0, np.maximum(np.minimum(before, whole), 1.0), 0.0)
+    for some in np.array_split(np.flatnonzero(whole > 1), 1 + len(key) // DISHES):
+        if len(some):
+            others = STRENGTH + r.discount * np.maximum(r.tables - t[some], 0)
+            t[some] = reseat(whole[some], t[some], others, np.full(len(some), 1 / (r.distinct + 1)), r.discount, Draws(key[some], 2 * sweep), TURNS)[0]
+    return np.minimum(t, k)
+
+
+def context_tables(u: np.ndarray, w: np.ndarray, c: np.ndarray, t: np.ndarray, ut: np.ndarray, p: np.ndarray, r: Rates, sweep: int, turns: int) -> np.ndarray:
+    """Sums over the turns of the tables of pairs with two or more customers, seated anew."""
+    out = t.copy()
+    for some in np.array_split(np.arange(len(u)), 1 + len(u) // DISHES):
+        if len(some):
+            others = STRENGTH + r.context_discount * np.maximum(ut[some] - t[some], 0)
+            out[some] = reseat(c[some].astype(float), t[some], others, p[some], r.context_discount, Draws(pair_key(u[some], w[some]), 2 * sweep + 1), turns)[1]
     return out
 
 
-def _with_state(pairs: DataFrame, m: Model) -> DataFrame:
-    """Add what a pair's context (uc, ut) and word (wc, p) have to say; null where the training texts have none."""
-    names = pairs.columns
-    both = (F.col("u") >= 0) & (F.col("w") >= 0)
-    shared = pairs.sparkSession.sparkContext.broadcast({k: m.arrays[k] for k in ("uc", "ut", "c", "p")})
+def _heard(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    s = _arrays(table.select(["kind", "key", "x", "y"]), {k: STEP[k] for k in ("key", "x", "y")}, kind)
+    order = np.argsort(s["key"])
+    return s["key"][order], s["x"][order], s["y"][order]
+
+
+def swept(step: DataFrame, m: Model, sweep: int, last: bool) -> DataFrame:
+    """All parts after one more sweep; the last one averages over SAMPLES turns."""
+    r, parts, turns = m.rates(), m.number, SAMPLES if last else TURNS
+    shared = step.sparkSession.sparkContext.broadcast({k: m.arrays[k] for k in ("ut", "p")})
+
+    def f(_: tuple, seats: pa.Table, said: pa.Table) -> pa.Table:
+        a, s = shared.value, _arrays(seats, STEP, SEATS)
+        part = seats.column("part")[0].as_py()
+        u, w, c, t = (s[k] for k in ("u", "w", "c", "t"))
+        key, _, ut = _heard(said, TO_WORDS)
+        here = np.where(w >= 0, find(s["uk"], u, s["un"]), find(key, pair_key(u, w), ut))
+        p = np.where(w >= 0, a["p"][np.maximum(w, 0)], find(s["wk"], w, r.word_probability(s["wn"], s["wt"])))
+        total = context_tables(u, w, c, t, np.where(u >= 0, a["ut"][np.maximum(u, 0)], here), p, r, sweep, turns)
+        b = s["bc"] > 1
+        bu, bw = s["bu"][b], s["bw"][b]
+        key, wn, wt = _heard(said, TO_CONTEXTS)
+        links = context_tables(bu, bw, s["bc"][b], s["bt"][b], find(s["uk"], bu, s["un"]), find(key, pair_key(bu, bw), r.word_probability(wn, wt)), r, sweep, turns)
+        word, context = w < 0, (u < 0) & (w >= 0)
+        wn = s["w1"] + _of(s["wk"], w[word], total[word])[0] / turns
+        un = s["u1"] + _of(s["uk"], np.append(u[context], bu), np.append(total[context], links))[0] / turns
+        bt = s["bt"].copy()
+        bt[b] = links / turns
+        s |= {"t": total / turns, "bt": bt, "wt": corpus_tables(s["wk"], wn, s["wt"], r, sweep), "wn": wn, "un": un}
+        rows = [{"part": part, "kind": SEATS, **{k: v for k, v in s.items() if k not in ("key", "x", "y")}}, _sums(s, c)]
+        return _rows(rows + _hot_rows(u, w, {"wn": total}, {"un": total}) + _messages(s, parts, last), STEP)
+
+    said = step.where(F.col("kind").isin(TO_WORDS, TO_CONTEXTS))
+    return step.where(F.col("kind") == SEATS).groupBy("part").cogroup(said.groupBy("part")).applyInArrow(f, _STEP)
+
+
+def _gathered_hot(step: DataFrame, m: Model, sweep: int, turns: int) -> dict[str, np.ndarray]:
+    """What all parts add to the hot words and the begin (8 slices), and after the first step their new tables."""
+    fixed, r = {k: m.arrays[k] for k in ("w1", "u1", "tables") if m.arrays}, m.rates()
+    shared = step.sparkSession.sparkContext.broadcast(fixed)
+    names = ("wc", "w1", "wn", "uc", "u1", "un")
+
+    def f(key: tuple, table: pa.Table) -> pa.Table:
+        s = {k: np.zeros(_SLICE) for k in names}
+        for k in names:
+            for x in table.column(k):
+                if x.as_py():
+                    s[k] += unpacked(x.as_py(), STEP[k])
+        if sweep:
+            own = slice(key[0].as_py() * _SLICE, (key[0].as_py() + 1) * _SLICE)
+            at, held = np.arange(own.start, own.stop), {k: v[own] for k, v in shared.value.items()}
+            s["wn"], s["un"] = held["w1"] + s["wn"] / turns, held["u1"] + s["un"] / turns
+            s["wt"] = corpus_tables(at, s["wn"], held["tables"], r, sweep)
+        return _rows([{"part": key[0].as_py(), "kind": HOT, **s}], STEP)
+
+    out = {k: np.zeros(8 * _SLICE) for k in (*names, "wt")}
+    for row in step.where(F.col("kind") == HOT).groupBy("part").applyInArrow(f, _STEP).collect():
+        for k in out:
+            if row[k]:
+                out[k][row["part"] * _SLICE : (row["part"] + 1) * _SLICE] = unpacked(bytes(row[k]), STEP[k])
+    return out
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = shared.value
-        for batch in batches:
-            u, w = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("u", "w"))
-            more = [pa.array(a["uc"][u], mask=a["uc"][u] == 0), pa.array(a["ut"][u], mask=a["uc"][u] == 0), pa.array(a["c"][w].astype(np.int64)), pa.array(a["p"][w])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "uc", "ut", "wc", "p"])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in pairs.dtypes)
-    near = pairs.where(both).mapInArrow(f, f"{schema}, uc double, ut double, wc long, p double")
-    as_context = m.state.where(F.col("uc") > 0).select(F.col("key").alias("u"), F.col("uc").cast("double").alias("uc"), "ut")
-    as_word = m.state.where(F.col("c") > 0).select(F.col("key").alias("w"), F.col("c").alias("wc"), m.word_probability(F.col("customers"), F.col("tables")).alias("p"))
-    far = pairs.where(~both).join(as_context, "u", "left").join(as_word, "w", "left").select(*names, "uc", "ut", "wc", "p")
-    return near.unionByName(far)
+def _take_state(step: DataFrame, m: Model, sweep: int, turns: int = 1) -> None:
+    """Set the model's rates and arrays from a step."""
+    hot, rows = _gathered_hot(step, m, sweep, turns), [unpacked(bytes(x["x"]), "f8") for x in step.where(F.col("kind") == SUMS).select("x").collect()]
+    n1, n2, r1, r2, customers, tables = np.sum(rows, axis=0) if rows else np.zeros(6)
+    if not sweep:
+        m.context_discount = _discount(n1, n2)
+        m.discount = _discount(r1 + (hot["wn"] == 1).sum(), r2 + (hot["wn"] == 2).sum())
+        m.arrays = {"c": hot["wc"], "w1": hot["w1"], "uc": hot["uc"], "u1": hot["u1"]}
+        hot["wt"] = (hot["wn"] > 0).astype(float)
+    m.customers, m.tables = float(customers + hot["wn"].sum()), float(tables + hot["wt"].sum())
+    m.arrays |= {"customers": hot["wn"], "tables": hot["wt"], "ut": hot["un"]}
+    m.arrays |= {"p": m.word_probability(hot["wn"], hot["wt"]), "back": m.backoff(m.arrays["uc"], hot["un"])}
 
 
-def _context_seated(seated: DataFrame, m: Model, sweep: int, last: bool) -> DataFrame:
-    """Seat the customers of pairs with two or more in their contexts anew: u, w, c, t; averaged in the last sweep."""
-    d = m.context_discount
-    met = _with_state(seated, m).select("u", "w", "c", "t", "ut", "p")
-    turns = SAMPLES if last else TURNS
+def whole_parts(step: DataFrame, singles: DataFrame, m: Model) -> DataFrame:
+    """Every part with all that the probabilities of its pairs follow from."""
+    r = m.rates()
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _larger(batches):
-            u, w, c, t, ut, p = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("u", "w", "c", "t", "ut", "p"))
-            others = STRENGTH + d * np.maximum(ut - t, 0)
-            new, total = reseat(c.astype(float), t, others, p, d, Draws(pair_key(u, w), 2 * sweep + 1), turns)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(total / turns if last else new)], names=["u", "w", "c", "t"])
+    def f(_: tuple, seats: pa.Table, said: pa.Table) -> pa.Table:
+        s, one = _arrays(seats, STEP, SEATS), _arrays(seats, {"u": "i8", "w": "i8"}, SINGLES)
+        lk, lc, lt = _heard(said, TO_WORDS)
+        own = {"su": one["u"], "sw": one["w"], "lk": lk, "lc": lc, "lt": lt, "p": r.word_probability(s["wn"], s["wt"]), "back": r.backoff(s["uc"], s["un"]), "links": np.sort(pair_key(s["bu"], s["bw"]))}
+        return _rows([{"part": seats.column("part")[0].as_py(), "kind": SEATS, **{x: s[x] for x in ("u", "w", "c", "t", "wk", "wc", "wn", "wt", "uk", "uc", "un")}, **own}], PARTS)
 
-    return met.mapInArrow(f, "u long, w long, c long, t double")
+    left = step.where(F.col("kind") == SEATS).unionByName(singles)
+    said = step.where(F.col("kind") == TO_WORDS)
+    return left.groupBy("part").cogroup(said.groupBy("part")).applyInArrow(f, ddl("part int, kind int", PARTS))
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and u, w, c (count), q (probability) and wc (count of the word) of every pair of docs(text)."""
+    """The model, and u, w, c (count), q (probability) and wc (count of a cold word) of every pair of docs(text)."""
     counted = materialise(count_words(docs), "words")
     n, v = counted.agg(F.sum("c"), F.count(F.lit(1))).first()
     hot = np.sort(most_frequent(counted, "c", HOT_WORDS).select("key").toPandas()["key"].to_numpy().astype(np.int64))
     discard(counted)
-    pairs = materialise(count_pairs(docs, hot), "pairs")
-    n1, n2 = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    m = Model(0.5, _discount(n1, n2), 0.0, 0.0, int(n or 0), int(v), hot)
-    several = pairs.where("c > 1")
-    # what single pairs add never changes; the counts of the others do not either
-    fixed = materialise(_sides(pairs.where("c = 1"), F.lit(1.0)), "sides")
-    seated = several.withColumn("t", F.lit(1.0))
-    steps: list[DataFrame] = []
-    for sweep in range(BURN_IN + 2):  # the first only sets the state that the sweeps start from
-        if sweep:
-            seated = materialise(_context_seated(seated, m, sweep, sweep > BURN_IN), "seated")
-            steps.append(seated)
-        added = fixed.unionByName(_sides(seated, F.col("t"))).groupBy("key").agg(*[F.sum(x).alias(x) for x in ("c", "customers", "uc", "ut")])
-        if m.state is None:
-            added = added.withColumn("before", F.lit(None).cast("double"))
-        else:
-            added = added.join(m.state.select("key", F.col("tables").alias("before")), "key", "left")
-        added = materialise(added, "state")
-        k, r1, r2 = added.where("c > 0").agg(F.sum("customers"), F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2)).first()
-        m.customers = float(k or 0)
-        if not sweep:
-            m.discount, m.tables = _discount(r1, r2), float(m.distinct)
-        old, m.state = m.state, materialise(_corpus_seated(added, m, sweep), "restaurants")
-        m.tables = float(m.state.agg(F.sum("tables")).first()[0] or 0)
-        m.arrays = _hot_arrays(m)
-        discard(added, *([old] if old is not None else []), *steps[:-1])
-        del steps[:-1]
-    every = pairs.where("c = 1").withColumn("t", F.lit(1.0)).unionByName(seated.select("u", "w", "c", "t"))
-    q = F.greatest(F.col("c") - m.context_discount * F.col("t"), F.lit(0.0)) / (STRENGTH + F.col("uc")) + m.backoff(F.col("uc"), F.col("ut")) * F.col("p")
-    table = materialise(_with_state(every, m).select("u", "w", "c", q.alias("q"), F.when(F.col("w") < 0, F.col("wc")).alias("wc")), "probabilities")
-    discard(pairs, fixed, *steps)
-    return m, table
-
-
-def _gather(batches: Iterator[pa.RecordBatch], hot: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-    """For each text a row with the sums that need no join, and a row for each of its other pairs.
+    m = Model(0.5, 0.5, 0.0, 0.0, int(v), int(n or 0), hot, number=1 + int(n or 0) // PART_EVENTS)
+    first = step = materialise(first_seats(count_pairs(docs, hot, m.number), m.number), "seats")
+    _take_state(step, m, 0)
+    for sweep in range(1, BURN_IN + 2):
+        last = sweep > BURN_IN
+        old, step = step, materialise(swept(step, m, sweep, last), "seats")
+        if old is not first:
+            discard(old)
+        _take_state(step, m, sweep, SAMPLES if last else TURNS)
+    m.parts = materialise(whole_parts(step, first.where(F.col("kind") == SINGLES), m), "probabilities")
+    discard(first, step)
+    return m, table_rows(m)
+
+
+GATHERED = {"rows": "i8", "u": "i8", "w": "i8"}
+#: Rows of texts in what _gather returns.
+TEXT = 2
+_GATHERED = ddl("part int, kind int", GATHERED) + ", row long, doc_id long, n_tokens long, n_known long, base_sum double, p_sum double"
+SUMMED = {"rows": "i8", "known": "i8", "base": "f8", "p": "f8"}
+
+
+def _gather(batches: Iterator[pa.RecordBatch], hot: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, ...], parts: int) -> Iterator[pa.RecordBatch]:
+    """For each text a row with the sums that need no join, and its other pairs by part; links are sent to both parts.
 
     Base sums need the counts of cold words, so only pairs that are known here or have a hot word add to them.
     """
     pair_keys, pair_q, pair_c = pairs
+    words_at, pairs_at = Slots(hot), Slots(pair_keys)
+
+    def dealt(held: list[tuple[np.ndarray, ...]]) -> pa.Table:
+        row, u, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        both = np.flatnonzero((u < 0) & (w < 0))
+        rows = _rows(_dealt(part_of(u, w, parts), 0, rows=row, u=u, w=w) + _dealt(context_part(u[both], parts), 1, rows=row[both], u=u[both], w=w[both]), GATHERED)
+        for name, kind in (("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_sum", pa.float64()), ("p_sum", pa.float64())):
+            rows = rows.append_column(name, pa.nulls(rows.num_rows, kind))
+        return rows
+
+    held, waiting = [], 0
     for batch in batches:
         for part, texts in slices(batch):
             w, first = hashed_events(texts)
-            w = coded(w, hot)
+            w = coded(w, words_at)
             u = contexts(w, first)
             n, k, size = len(w), len(texts), np.diff(first)
             owner = np.repeat(np.arange(k), size)
             key = pair_key(u, w)
             known, q, c = np.zeros(n, bool), np.ones(n), np.zeros(n)
             if len(pair_keys):
-                at = np.minimum(np.searchsorted(pair_keys, key), len(pair_keys) - 1)
-                known = pair_keys[at] == key
+                at, known = pairs_at(key)
                 q, c = np.where(known, pair_q[at], 1.0), np.where(known, pair_c[at], 0.0)
             c = np.where(w >= 0, counts[np.maximum(w, 0)], c)
             sure = known | (w >= 0)
             n_known, base_sum, p_sum = (np.bincount(owner, x, k) for x in (sure.astype(float), np.where(sure, np.log10(c + 0.5), 0.0), np.log10(q)))
-            # the other pairs, each once a text
-            rest = np.flatnonzero(~known)
-            which, _ = pd.factorize(key[rest])
-            cell, one, times = np.unique(owner[rest] * np.int64(n + 1) + which, return_index=True, return_counts=True)
-            one = rest[one]
             row = part.column("row").to_numpy()
-            blank, j = pa.nulls(k, pa.int64()), len(one)
-            zeros = np.zeros(j)
-
-            def after(values: np.ndarray) -> pa.Array:
-                return pa.chunked_array([blank, pa.array(values)]).combine_chunks()  # noqa: B023
-
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.append(row, row[owner[one]])),
-                    pa.chunked_array([part.column("doc_id"), pa.nulls(j, pa.int64())]).combine_chunks(),
-                    after(u[one]),
-                    after(w[one]),
-                    pa.array(np.append(size, times).astype(np.int32)),
-                    pa.array(np.append(n_known, zeros).astype(np.int64)),
-                    pa.array(np.append(base_sum, zeros)),
-                    pa.array(np.append(p_sum, zeros)),
-                ],
-                names=["row", "doc_id", "u", "w", "times", "n_known", "base_sum", "p_sum"],
-            )
-
-
-GATHERED = "row long, doc_id long, u long, w long, times int, n_known long, base_sum double, p_sum double"
-
-
-def score(docs: DataFrame, m: Model, table: DataFrame, waves: int = WAVES) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every row of docs(doc_id, text)."""
-    top = most_frequent(table, "c", HOT_PAIRS).select("u", "w", "q", "wc").toPandas()
+            # the other pairs
+            rest = np.flatnonzero(~known)
+            held.append((row[owner[rest]], u[rest], w[rest]))
+            waiting += len(rest)
+            blank = [pa.nulls(k, pa.binary())] * len(GATHERED)
+            own = [pa.array((row >> 33).astype(np.int32)), pa.array(np.full(k, TEXT, np.int32)), *blank, pa.array(row), part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base_sum), pa.array(p_sum)]
+            yield pa.RecordBatch.from_arrays(own, names=["part", "kind", *GATHERED, "row", "doc_id", "n_tokens", "n_known", "base_sum", "p_sum"])
+            if waiting >= BATCH_EVENTS:
+                yield from dealt(held).to_batches()
+                held, waiting = [], 0
+    if waiting:
+        yield from dealt(held).to_batches()
+
+
+def _met(gathered: DataFrame, m: Model) -> DataFrame:
+    """Sums of the texts' pairs in each part, by the group of rows of a text (part)."""
+    r = m.rates()
+    shared = gathered.sparkSession.sparkContext.broadcast({k: m.arrays[k] for k in ("uc", "ut", "p")})
+    names = ("u", "w", "c", "t", "su", "sw", "lk", "lc", "lt", "wk", "wc", "p", "uk", "uc", "un", "back", "links")
+
+    def f(_: tuple, texts: pa.Table, own: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return _rows([], SUMMED)
+        s = {k: np.concatenate([np.zeros(0, PARTS[k]), *(unpacked(x.as_py(), PARTS[k]) for x in own.column(k))]) for k in names}
+        g, b = _arrays(texts, GATHERED, 0), _arrays(texts, GATHERED, 1)
+        p = np.log10(Seen(s, shared.value, r).met(g["u"], g["w"]))
+        cold = np.flatnonzero(g["w"] < 0)
+        wc = find(s["wk"], g["w"][cold], s["wc"])
+        unseen = find(s["links"], pair_key(b["u"], b["w"]), np.ones(len(s["links"]))) == 0
+        more = np.where(unseen, np.log10(find(s["uk"], b["u"], s["back"], 1.0)), 0.0)
+        which, rows = pd.factorize(np.append(g["rows"], b["rows"]))
+        n, here = len(rows), which[cold]
+        known, base, p = np.bincount(here, wc > 0, n), np.bincount(here, np.log10(wc + 0.5), n), np.bincount(which, np.append(p, more), n)
+        return _rows(_dealt(rows >> 33, 0, rows=rows, known=known, base=base, p=p), SUMMED)
+
+    pairs = gathered.where(F.col("kind") != TEXT).select("part", "kind", *GATHERED)
+    own = m.parts.select("part", *names)
+    return pairs.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(f, ddl("part int, kind int", SUMMED))
+
+
+def _scored(gathered: DataFrame, met: DataFrame, norm: float) -> DataFrame:
+    """The texts' rows with all sums."""
+
+    def f(_: tuple, texts: pa.Table, sums: pa.Table) -> pa.Table:
+        row = texts.column("row").to_numpy()
+        order = np.argsort(row)
+        s = _arrays(sums, SUMMED, 0)
+        at = order[np.searchsorted(row[order], s["rows"])]
+        known, base, p = (np.bincount(at, s[k], len(row)) for k in ("known", "base", "p"))
+        n, n_known, base_sum, p_sum = (texts.column(k).to_numpy() for k in ("n_tokens", "n_known", "base_sum", "p_sum"))
+        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": n, "n_known": n_known + known.astype(np.int64), "base_score": base_sum + base - n * norm, "score": p_sum + p})
+
+    texts = gathered.where(F.col("kind") == TEXT).select("part", "row", "doc_id", "n_tokens", "n_known", "base_sum", "p_sum")
+    return texts.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(f, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def score(docs: DataFrame, m: Model, table: DataFrame | None = None, waves: int = WAVES) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of every row of docs(doc_id, text); table: the model's, if at hand."""
+    top = most_frequent(table_rows(m, 2), "c", HOT_PAIRS).select("u", "w", "q", "wc").toPandas()
     u, w = (top[c].to_numpy().astype(np.int64) for c in ("u", "w"))
     key = pair_key(u, w)
     order = np.argsort(key)
@@ -492,29 +776,14 @@ def score(docs: DataFrame, m: Model, table: DataFrame, waves: int = WAVES) -> Da
     context = docs.sparkSession.sparkContext
     pairs = context.broadcast((key[order], top["q"].to_numpy(float)[order], wc[order]))  # HOT_PAIRS pairs at most
     hot = context.broadcast((m.hot, m.arrays["c"]))  # HOT_WORDS words at most
-    norm = float(np.log10(m.total + 0.5 * (m.distinct + 1)))
+    norm, parts = float(np.log10(m.total + 0.5 * (m.distinct + 1))), m.number
     done = []
     for wave in range(waves):
         mine = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("text"), F.lit(waves)) == wave) if waves > 1 else docs.select("doc_id", "text")
-        rows = mine.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(lambda it: _gather(it, *hot.value, pairs.value), GATHERED)
-        gathered = materialise(rows, "gathered")
-        met = gathered.where(F.col("u").isNotNull()).select("row", "u", "w", "times").join(table.select("u", "w", "q", "wc"), ["u", "w"], "left")
-        met = materialise(met.select("row", "u", "w", "times", "q", "wc"), "met")
-        back = F.coalesce(m.backoff(F.col("uc"), F.col("ut")), F.lit(1.0))
-        lost = _with_state(met.where(F.col("q").isNull()).select("row", "u", "w", "times"), m)
-        lost = lost.select("row", "w", "times", (back * F.coalesce("p", F.lit(m.unknown))).alias("q"), "wc")
-        both = met.where(F.col("q").isNotNull()).select("row", "w", "times", "q", "wc").unionByName(lost)
-        cold, wc = F.col("w") < 0, F.coalesce("wc", F.lit(0))
-        sums = both.groupBy("row").agg(
-            F.sum(F.when(cold & (wc > 0), F.col("times")).otherwise(0)).alias("more_known"),
-            F.sum(F.when(cold, F.col("times") * F.log10(wc + 0.5)).otherwise(0.0)).alias("more_base"),
-            F.sum(F.col("times") * F.log10("q")).alias("more_p"),
-        )
-        texts = gathered.where(F.col("u").isNull()).join(sums, "row", "left")
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        scored = texts.select("doc_id", F.col("times").cast("long").alias("n_tokens"), (F.col("n_known") + zero("more_known")).cast("long").alias("n_known"), (F.col("base_sum") + zero("more_base") - F.col("times") * norm).alias("base_score"), (F.col("p_sum") + zero("more_p")).alias("score"))
-        done.append(materialise(scored, "scored"))
-        discard(gathered, met)
+        rows = mine.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+        gathered = materialise(rows.mapInArrow(lambda it: _gather(it, *hot.value, pairs.value, parts), _GATHERED), "gathered")
+        done.append(materialise(_scored(gathered, _met(gathered, m), norm), "scored"))
+        discard(gathered)
     return reduce(DataFrame.unionByName, done)
 
 
@@ -527,5 +796,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
     held = held_out(F.col("doc_id"), 5, 1)
     m, table = fit(docs.where(~F.coalesce(held, F.lit(False))).select("text"))
     out = score(docs, m, table)
-    discard(table, m.state)
+    discard(m.parts)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"), "base_score", "score", perplexity(F.col("score"), F.col("n_tokens")).alias("perplexity"))
