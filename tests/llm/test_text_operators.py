@@ -394,3 +394,48 @@ def test_pitman_yor_draws_do_not_depend_on_other_dishes():
         for i in range(4):
             own = np.arange(200) + 200 * i
             assert (pitmanyor.reseat(np.repeat(c[i], 200), np.ones(200), np.full(200, 3.0), np.full(200, base), 0.6, pitmanyor.Draws(own, 3), 4) == both[:, own]).all()
+
+
+def test_pitman_yor_seats_many_customers_in_few_steps(monkeypatch):
+    """A dish draws some numbers for each table, not one for each customer, alone and beside others, with the same result."""
+    drawn, plain = [], pitmanyor.mix
+
+    def counted(x):
+        drawn.append(len(x))
+        return plain(x)
+
+    c, s, d = np.full(30, 500_000.0), np.full(30, -0.3), 0.4
+    monkeypatch.setattr(pitmanyor, "mix", counted)
+    got = pitmanyor.seat(c, s, d, pitmanyor.Draws(np.arange(30), 9))
+    assert sum(drawn) < 1_000_000
+    alone = [pitmanyor.seat(c[:1], s[:1], d, pitmanyor.Draws(np.arange(i, i + 1), 9))[0] for i in range(30)]
+    assert got.tolist() == alone
+    monkeypatch.undo()
+    want = float(pitmanyor.expected_tables(c[:1], s[:1], d)[0])
+    assert pitmanyor.seat(np.full(4000, c[0]), np.full(4000, s[0]), d, pitmanyor.Draws(np.arange(4000), 2)).mean() == pytest.approx(want, rel=0.05)
+
+
+def test_pitman_yor_draws_few_customers_from_the_conditional():
+    """One turn is enough, whatever the tables before: 1 to 3 tables of three customers by their weights."""
+    d, a, many = 0.3, 4.0, 40_000
+    weight = np.cumprod([(1 - d) * (2 - d), 3 * (a + d) / (2 - d), (a + 2 * d) / (3 * (1 - d))])
+    one = np.ones(many)
+    for before in (1, 3):
+        got = pitmanyor.reseat(3 * one, before * one, a * one, one, d, pitmanyor.Draws(np.arange(many), 5), 1)[0]
+        assert np.bincount(got.astype(int), minlength=4)[1:] / many == pytest.approx(weight / weight.sum(), abs=0.01)
+
+
+def test_pitman_yor_packs_by_the_bytes_in_use():
+    rng = np.random.default_rng(6)
+    small, hashes = rng.integers(0, 200, 4001), rng.integers(-(1 << 63), 1 << 63, 4001)
+    for a, kind, most in ((small, "i8", 1), (small * 1.0, "f8", 1), (small / 3, "f8", 2), (rng.random(4001), "f8", 8), (hashes, "i8", 8.2), (np.where(small < 20, hashes, small), "i8", 2), (np.zeros(0), "f8", 0), (np.zeros(9), "f8", 1), (np.array([1 << 31, -1, 5]), "i8", 8), (np.array([np.nan, np.inf, -0.5]), "f8", 8)):
+        b = pitmanyor.packed(a, kind)
+        assert pitmanyor.unpacked(b, kind).dtype == kind and np.array_equal(pitmanyor.unpacked(b, kind), a, equal_nan=kind == "f8")
+        assert len(b) <= most * len(a) + 8
+
+
+def test_pitman_yor_slots_take_keys_in_any_order():
+    keys = np.random.default_rng(7).integers(-(1 << 63), 1 << 63, 5000)
+    keys[:50] = keys[50] + np.arange(1, 51)  # these share their first bits
+    at, there = pitmanyor.Slots(keys)(np.append(keys, keys + (1 << 40)))
+    assert there[:5000].all() and (keys[at[:5000]] == keys).all() and not there[5000:].any()

@@ -9,10 +9,11 @@ the probabilities of a step sum to one over the events of the base model.
 
 Seating is sampled by Gibbs sweeps over the dishes of both levels, given the
 other level's state from the sweep before. In a dish's turn all its customers
-leave and are seated anew by a Chinese-restaurant process; a Metropolis step
-corrects that process to the conditional of the dish's tables (`reseat`), for
-any number of customers in the same way. A dish with one customer has one
-table. Random numbers are hashes of the dish, the sweep and the step, so no
+leave and are seated anew. Up to FEW customers, the dish's tables are drawn from
+their conditional itself; above, a Chinese-restaurant process seats them, and a
+Metropolis step corrects it to the conditional (`reseat`). Its steps are some for
+each table, not one for each customer. A dish with one customer has one table.
+Random numbers are hashes of the dish, the sweep and the step, so no
 result depends on how rows are dealt to tasks. After BURN_IN sweeps the tables
 of a dish are averaged over SAMPLES more turns, and the probabilities follow
 from the averages. Each level's discount is the one that the numbers of dishes
@@ -44,6 +45,8 @@ one.
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -67,22 +70,28 @@ TURNS = 1
 DISHES = 500_000
 HOT_WORDS = 1 << 17
 HOT_PAIRS = 1 << 18
-WAVES = 4
+WAVES = 2
 #: Training events of a part, and events that a task counts or deals out at once.
 PART_EVENTS = 1 << 20
-BATCH_EVENTS = 1 << 19
+BATCH_EVENTS = 1 << 20
+#: Events whose words a task counts at once.
+WORD_EVENTS = 1 << 21
 #: Strength of every restaurant.
 STRENGTH = 1.0
-#: Customers that all dishes of a batch seat in step; after them each dish goes on alone.
-SINGLE_STEPS = 12
-#: Above so many customers the waiting time for the next new table is drawn at once: the same process, cheaper there.
-LONE_CUSTOMERS = 1 << 20
-#: Random numbers of lone dishes that are held at once.
-LONE_DRAWS = 1 << 20
+#: Customers of a dish whose tables are drawn from their conditional itself.
+FEW = 12
+#: The last dishes of a batch go on alone, each with up to so many customers, and draw at most so many numbers at once.
+LONE_DISHES = 24
+LONE_CUSTOMERS = 1 << 53
+LONE_DRAWS = 1 << 13
+_CERTAIN = 1 - 2.0**-53
 #: Key of the end of a text, and code of its begin as a context.
 END = np.int64(0x2C4D6E8FA1B3C5D7)
 BEGIN = HOT_WORDS
 _TOP = np.int64(np.iinfo(np.int64).min)
+#: Of a packed array: what its whole numbers are divided by (0: none) and whether hashes are apart; bytes used; length.
+_HEAD = struct.Struct("<BBI")
+_APART = 128
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -111,91 +120,102 @@ class Draws:
 
     def __call__(self, at: np.ndarray) -> np.ndarray:
         self.count += 1
-        return self.at(at, np.zeros(1, np.int64))
-
-    def at(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Numbers of the keys at further places of the present count."""
         step = np.uint64((self.count * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        return ((mix(self.keys[at] + step + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
-
-
-def _seat_alone(lone: np.ndarray, c: np.ndarray, t: np.ndarray, strength: np.ndarray, discount: float, draws: Draws) -> None:
-    """Seat the customers after SINGLE_STEPS of each dish in `lone`, one by one; t is changed in place."""
-    size = (c[lone] - SINGLE_STEPS).astype(np.int64)
-    part = np.cumsum(size) // LONE_DRAWS
-    for k in np.unique(part):
-        own = np.flatnonzero(part == k)
-        places = ragged(np.zeros(len(own), np.int64), size[own])
-        u = draws.at(np.repeat(lone[own], size[own]), places).tolist()
-        first = 0
-        for j in own.tolist():
-            dish, n = lone[j], int(size[j])
-            s, tables, seated = float(strength[dish]), float(t[dish]), float(strength[dish]) + SINGLE_STEPS
-            for x in u[first : first + n]:
-                if x * seated < s + discount * tables:
-                    tables += 1
-                seated += 1
-            t[dish] = tables
-            first += n
-    draws.count += 1
+        return self._uniform(self.keys[at] + step)
+
+    def ahead(self, at: int, count: int, n: int) -> np.ndarray:
+        """The n numbers of one key that follow a count."""
+        return self._uniform(self.keys[at] + np.arange(count + 1, count + n + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def of(self, some: np.ndarray) -> Draws:
+        """The same numbers for some of the keys."""
+        out = Draws.__new__(Draws)
+        out.keys, out.count = self.keys[some], 0
+        return out
+
+    @staticmethod
+    def _uniform(x: np.ndarray) -> np.ndarray:
+        return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def _seat_alone(seated: float, c: float, tables: float, strength: float, discount: float, draws: Draws, dish: int) -> float:
+    """Tables of one dish whose first customers sit, in the steps of `seat`."""
+    n, u = 64, iter(())
+    count = draws.count
+    while seated < c:
+        first = next(u, None)
+        if first is None:
+            n = min(2 * n, LONE_DRAWS)
+            u = iter(draws.ahead(dish, count, n).tolist())
+            count += n
+            first = next(u)
+        own = strength + seated
+        at = seated + math.log(first) // math.log1p(-min((strength + discount * tables) / own, _CERTAIN))
+        if next(u) * (strength + at) < own and at < c:
+            tables += 1
+        seated = at + 1
+    return tables
 
 
 def seat(c: np.ndarray, strength: np.ndarray, discount: float, draws: Draws) -> np.ndarray:
-    """Tables of c customers by the Chinese-restaurant process of each strength (above -discount)."""
-    t = np.ones(len(c))
+    """Tables of c customers by the Chinese-restaurant process of each strength (above -discount).
+
+    Until the next new table the chance to open one falls with each customer. So the chance of the next customer gives
+    a waiting time, and who comes after it opens a table by the ratio of the own chance to that one: a step for some
+    tables, not for every customer.
+    """
+    t, seated = np.ones(len(c)), np.ones(len(c))
     live = np.flatnonzero(c > 1)
-    for i in range(1, SINGLE_STEPS):
-        if not len(live):
-            return t
-        s = strength[live]
-        t[live] += draws(live) < (s + discount * t[live]) / (s + i)
-        live = live[c[live] > i + 1]
-    if len(live):
-        lone = live[c[live] <= LONE_CUSTOMERS]
-        _seat_alone(lone, c, t, strength, discount, draws)
-        live = live[c[live] > LONE_CUSTOMERS]
-    i = np.full(len(live), float(SINGLE_STEPS))  # customers seated so far
     while len(live):
-        s = strength[live]
-        own, new = i - discount * t[live], s + discount * t[live]
-        left = c[live] - i
-        # chance that the next n customers open no table: a ratio of gamma functions; the first n for which it is not above u
-        u, fixed = np.log(draws(live)), log_gamma(s + i) - log_gamma(own)
-
-        def stays(n: np.ndarray) -> np.ndarray:
-            return log_gamma(own + n) - log_gamma(s + i + n) + fixed > u  # noqa: B023
-
-        # the ratio is near (own / (own + n)) ** new, which gives a first guess; then steps that double find the place
-        n = np.clip(np.ceil(own * np.expm1(np.minimum(-u / new, 700.0))), 1, left + 1)
-        low, high = np.zeros(len(live)), left + 1
-        step, above = np.ones(len(live)), stays(n)
-        while True:
-            low, high = np.where(above, np.maximum(low, n), low), np.where(above, high, np.minimum(high, n))
-            if not np.any(high - low > 1):
-                break
-            near = np.where(above, n + step, n - step)
-            n = np.where((near > low) & (near < high), near, np.floor((low + high) / 2))
-            n = np.where(high - low > 1, n, high)
-            step, above = step * 2, np.where(high - low > 1, stays(n), False)
-        t[live] += high <= left
-        i = i + high
-        on = i < c[live]
-        live, i = live[on], i[on]
+        if len(live) <= LONE_DISHES and c[live].max() <= LONE_CUSTOMERS:
+            for dish in live.tolist():
+                t[dish] = _seat_alone(float(seated[dish]), float(c[dish]), float(t[dish]), float(strength[dish]), discount, draws, dish)
+            break
+        s, i, tables, most = strength[live], seated[live], t[live], c[live]
+        at = i + np.minimum(np.log(draws(live)) // np.log1p(-np.minimum((s + discount * tables) / (s + i), _CERTAIN)), most)
+        t[live] = tables + ((draws(live) * (s + at) < s + i) & (at < most))
+        seated[live] = at + 1
+        live = live[at + 1 < most]
     return t
 
 
+def ways(discount: float) -> np.ndarray:
+    """Ways to seat so many customers (up to FEW, by row) at so many tables: generalised Stirling numbers."""
+    out = np.zeros((FEW + 1, FEW + 1))
+    out[1, 1] = 1
+    for n in range(1, FEW):
+        out[n + 1, 1:] = out[n, :-1] + np.maximum(n - discount * np.arange(1, FEW + 1), 0) * out[n, 1:]
+    return out
+
+
+def _reseat_few(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, draws: Draws, turns: int) -> np.ndarray:
+    """What `reseat` gives, for at most FEW customers: every turn draws from the conditional itself."""
+    t, total, table = np.ones(len(c)), np.full(len(c), float(turns)), ways(discount)
+    for n in range(2, FEW + 1):
+        own = np.flatnonzero(c == n)
+        if not len(own):
+            continue
+        weight, whole = np.ones(len(own)), np.empty((n, len(own)))
+        whole[0] = table[n, 1]
+        for k in range(1, n):
+            weight *= (others[own] + discount * k) * base[own]
+            whole[k] = whole[k - 1] + table[n, k + 1] * weight
+        total[own] = 0
+        for turn in range(turns):
+            draws.count = turn << 32
+            u = draws(own) * whole[-1]
+            t[own] = 1.0 + (whole[:-1] < u).sum(axis=0)
+            total[own] += t[own]
+    return np.stack([t, total])
+
+
 def expected_tables(c: np.ndarray, strength: np.ndarray, discount: float) -> np.ndarray:
     g = log_gamma(strength + discount + c) + log_gamma(strength + 1) - log_gamma(strength + c) - log_gamma(strength + discount)
     return np.exp(g) / discount - strength / discount
 
 
-def reseat(c: np.ndarray, t: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, draws: Draws, turns: int) -> np.ndarray:
-    """Tables after `turns` turns in which a dish's customers all leave and sit down anew, and their sum over the turns.
-
-    The conditional of t tables weighs the ways to seat c customers at t tables by the product over k < t of
-    (others + discount * k) * base, where `others` is the restaurant's strength with the tables of all other dishes.
-    A Chinese-restaurant process proposes tables with the same number of ways; the rest of the ratio decides.
-    """
+def _reseat_many(c: np.ndarray, t: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, draws: Draws, turns: int) -> np.ndarray:
+    """What `reseat` gives, for any number of customers: a process proposes tables, the rest of the ratio decides."""
     a = others * base
     s = np.maximum(a, -0.9 * discount)
     for _ in range(2):  # a strength whose later customers open tables about as often as the conditional's
@@ -218,6 +238,20 @@ def reseat(c: np.ndarray, t: np.ndarray, others: np.ndarray, base: np.ndarray, d
     return np.stack([t, total])
 
 
+def reseat(c: np.ndarray, t: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, draws: Draws, turns: int) -> np.ndarray:
+    """Tables after `turns` turns in which a dish's customers all leave and sit down anew, and their sum over the turns.
+
+    The conditional of t tables weighs the ways to seat c customers at t tables by the product over k < t of
+    (others + discount * k) * base, where `others` is the restaurant's strength with the tables of all other dishes.
+    It is drawn from directly for few customers. Else a Chinese-restaurant process proposes tables with the same number
+    of ways; the rest of the ratio decides.
+    """
+    out, many = _reseat_few(c, others, base, discount, draws, turns), np.flatnonzero(c > FEW)
+    if len(many):
+        out[:, many] = _reseat_many(c[many], t[many], others[many], base[many], discount, draws.of(many), turns)
+    return out
+
+
 def hashed_events(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Key of every event of the texts (its words and its end), and the first event of each text."""
     _, _, _, h, first = words(texts)
@@ -228,27 +262,32 @@ def hashed_events(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Slots:
-    """Places of 64-bit hashes among keys in order: by the first bits, and by bisection where several keys share them."""
+    """Places of 64-bit hashes among keys: by the first bits, and by bisection for keys that share them with another one."""
 
     def __init__(self, keys: np.ndarray) -> None:
         self.keys = keys
-        bits = int(len(keys)).bit_length() + 2
+        bits = int(len(keys)).bit_length() + 1
         self.shift = np.uint64(64 - bits)
-        slot = keys.view(np.uint64) >> self.shift
+        slot, every = (keys.view(np.uint64) >> self.shift).view(np.int64), np.arange(len(keys), dtype=np.int32)
         self.first = np.zeros(1 << bits, np.int32)
-        self.first[slot] = np.arange(len(keys), dtype=np.int32)
-        self.shared = np.bincount(slot.astype(np.int64), minlength=1 << bits) > 1
+        self.first[slot] = every
+        lost = np.flatnonzero(self.first[slot] != every)
+        self.rest = lost[np.argsort(keys[lost])]
+        self.rest_keys = keys[self.rest]
+        self.shared = np.zeros(1 << bits, bool)
+        self.shared[slot[lost]] = True
 
     def __call__(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A place for each wanted key, and whether the key is there."""
         if not len(self.keys):
             return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        slot = wanted.view(np.uint64) >> self.shift
+        slot = (wanted.view(np.uint64) >> self.shift).view(np.int64)
         at = self.first[slot].astype(np.int64)
         there = self.keys[at] == wanted
-        rest = np.flatnonzero(~there & self.shared[slot])
-        at[rest] = np.minimum(np.searchsorted(self.keys, wanted[rest]), len(self.keys) - 1)
-        there[rest] = self.keys[at[rest]] == wanted[rest]
+        if len(self.rest):
+            more = np.flatnonzero(~there & self.shared[slot])
+            found = np.minimum(np.searchsorted(self.rest_keys, wanted[more]), len(self.rest) - 1)
+            at[more], there[more] = self.rest[found], self.rest_keys[found] == wanted[more]
         return at, there
 
 
@@ -273,12 +312,21 @@ def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 def count_words(docs: DataFrame) -> DataFrame:
     """key and c of every word of the texts, their ends included."""
 
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        key, c = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], names=["key", "c"])
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            parts = [hashed_events(texts)[0] for _, texts in slices(batch)]
-            if parts:
-                key, c = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], names=["key", "c"])
+            for _, texts in slices(batch):
+                held.append(hashed_events(texts)[0])
+                n += len(held[-1])
+                if n >= WORD_EVENTS:
+                    yield counted(held)
+                    held, n = [], 0
+        if n:
+            yield counted(held)
 
     return docs.select("text").mapInArrow(f, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
@@ -298,15 +346,50 @@ def ddl(scalars: str, fields: dict[str, str]) -> str:
     return ", ".join([scalars, *(f"{name} binary" for name in fields)])
 
 
+def _planes(a: np.ndarray, kind: str, used: int) -> bytes:
+    """The first bytes of all values, then the second ones, `used` of them: small numbers compress well."""
+    return np.ascontiguousarray(a, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize)[:, :used].T.tobytes()
+
+
 def packed(a: np.ndarray, kind: str) -> bytes:
-    """An array's bytes with the first bytes of all values first, then the second ones: small numbers compress well."""
-    return np.ascontiguousarray(a, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+    """An array's bytes: whole numbers (or SAMPLES-ths) below 2^31 by the bytes they use, hashes apart, fractions as they are."""
+    if not len(a):
+        return b""
+    divisor, apart = 1, b""
+    if kind == "f8":
+        for divisor in (1, SAMPLES):
+            whole = np.rint(a * divisor)
+            if (whole / divisor == a).all() and whole.min() >= 0 and whole.max() < 1 << 31:
+                a = whole.astype(np.int64)
+                break
+        else:
+            return _HEAD.pack(0, 8, len(a)) + _planes(a, "f8", 8)
+    n, small = len(a), (a >= 0) & (a < 1 << 31)
+    if not small.all():
+        divisor, apart = divisor | _APART, np.packbits(small).tobytes() + np.ascontiguousarray(a[~small], "i8").tobytes()
+        a = a[small]
+    used = (int(a.max(initial=0)).bit_length() + 7) // 8
+    return _HEAD.pack(divisor, used, n) + apart + _planes(a, "u4", used)
 
 
 def unpacked(b: bytes | None, kind: str) -> np.ndarray:
     if not b:
         return np.zeros(0, kind)
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    divisor, used, n = _HEAD.unpack_from(b)
+    body = np.frombuffer(b, np.uint8, offset=_HEAD.size)
+    if not divisor:
+        return np.ascontiguousarray(body.reshape(8, n).T).view("f8").ravel()
+    mask = body[: (n + 7) // 8 if divisor & _APART else 0]
+    small = np.unpackbits(mask, count=n).view(bool) if len(mask) else np.full(n, True)
+    some = int(small.sum())
+    whole = np.zeros(some, np.int64)
+    for k, plane in enumerate(body[len(body) - used * some :].reshape(used, some)):
+        whole |= plane.astype(np.int64) << (8 * k)
+    if some < n:
+        out = np.empty(n, np.int64)
+        out[small], out[~small] = whole, body[len(mask) : len(mask) + 8 * (n - some)].view(np.int64)
+        whole = out
+    return whole if kind == "i8" else whole / (divisor & ~_APART)
 
 
 def _rows(rows: list[dict], fields: dict[str, str]) -> pa.Table:
@@ -330,11 +413,11 @@ def _dealt(part: np.ndarray, kind: int, **arrays: np.ndarray) -> list[dict]:
 
 
 def find(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray, default: float = 0.0) -> np.ndarray:
-    """Values of the wanted keys; keys are in order."""
-    if not len(keys):
+    """Values of the wanted keys; the keys are hashes in any order."""
+    if not len(keys) or not len(wanted):
         return np.full(len(wanted), default, values.dtype)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], values.dtype.type(default))
+    at, there = Slots(keys)(wanted)
+    return np.where(there, values[at], values.dtype.type(default))
 
 
 COUNTED = {"u": "i8", "w": "i8", "c": "i8"}
@@ -385,7 +468,8 @@ def _summed(counted: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
 
 def _of(keys: np.ndarray, own: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """Sums of the values by key."""
-    return [np.bincount(np.searchsorted(keys, own), v, len(keys)) for v in values]
+    at = Slots(keys)(own)[0]
+    return [np.bincount(at, v, len(keys)) for v in values]
 
 
 def _hot_rows(u: np.ndarray, w: np.ndarray, of_words: dict[str, np.ndarray], of_contexts: dict[str, np.ndarray]) -> list[dict]:
@@ -487,11 +571,10 @@ class Model(Rates):
 
 
 class Seen:
-    """The pairs of a part: those with several customers, then single ones, each in the order of the key."""
+    """The pairs of a part: those with several customers and single ones."""
 
     def __init__(self, s: dict[str, np.ndarray], a: dict[str, np.ndarray], r: Rates) -> None:
         self.s, self.a, self.r = s, a, r
-        self.several, self.single = pair_key(s["u"], s["w"]), pair_key(s["su"], s["sw"])
 
     def q(self, u: np.ndarray, w: np.ndarray, c: np.ndarray, t: np.ndarray) -> np.ndarray:
         """Probabilities of pairs with c customers at t tables; without customers, by the word's and the context's state alone."""
@@ -508,11 +591,11 @@ class Seen:
     def met(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Probabilities of any pairs of the part. What an unseen link's context weighs is left out: its part adds it."""
         key, c, t = pair_key(u, w), np.zeros(len(u)), np.zeros(len(u))
-        for keys, cs, ts in ((self.several, self.s["c"], self.s["t"]), (self.single, None, None)):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                on = np.flatnonzero(keys[at] == key)
-                c[on], t[on] = (1, 1) if cs is None else (cs[at[on]], ts[at[on]])
+        at, there = Slots(pair_key(np.append(self.s["u"], self.s["su"]), np.append(self.s["w"], self.s["sw"])))(key)
+        single = at >= len(self.s["u"])
+        c[there & single] = t[there & single] = 1
+        on = np.flatnonzero(there & ~single)
+        c[on], t[on] = self.s["c"][at[on]], self.s["t"][at[on]]
         return self.q(u, w, c, t)
 
 
